@@ -24,7 +24,7 @@ SPACE = r"\x20\x09-\x0D"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
-#: Rows of the sample on which costs and selectivities are estimated.
+#: Expected rows of the sample on which costs and selectivities are estimated.
 SAMPLE_ROWS = 1500
 
 
@@ -105,9 +105,9 @@ class Measured:
         return self.rejected / max(self.seconds, 1e-6)
 
 
-def plan_cascade(stats: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Measured]:
-    """Time and selectivity of each rule over a sample of at most sample_rows rows; best rejection per second first."""
-    keep = stats.limit(sample_rows).persist()
+def plan_cascade(stats: DataFrame, rules: list[Rule]) -> list[Measured]:
+    """Time and selectivity of each rule over the rows of stats, a sample; best rejection per second first."""
+    keep = stats.persist()
     try:
         total = max(keep.count(), 1)
         keep.agg(F.count("*")).collect()
@@ -133,7 +133,8 @@ def apply_rules(docs: DataFrame, rules: list[Rule] | None = None, keep: list[str
     """Statistics, base_failed, kept and rejected_by for each row of docs."""
     rules = default_rules() if rules is None else rules
     keep = keep if keep is not None else ["doc_id"]
-    sample = statistics(docs.limit(SAMPLE_ROWS), keep=[])
+    # A fraction of every partition, so that nothing is shuffled to draw it; about SAMPLE_ROWS rows at any table size.
+    sample = statistics(docs.sample(min(1.0, SAMPLE_ROWS / max(docs.count(), 1)), seed=11), keep=[])
     cascade = plan_cascade(sample, rules)
     df = statistics(docs, keep=keep).withColumn("_rejected", verdict(cascade))
     numbers = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
