@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from .packing import op8_packing
 from .quality_rules import op10_quality_rules
 from .secret_scan import op1_secret_scan
+from .token_counts import op6_token_counts
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op6_token_counts": op6_token_counts,
+    "op8_packing": op8_packing,
     "op10_quality_rules": op10_quality_rules,
 }
 
