@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .decontaminate import op3_decontamination
+from .jaccard_join import op5_jaccard_join
 from .packing import op8_packing
 from .quality_rules import op10_quality_rules
 from .secret_scan import op1_secret_scan
@@ -9,6 +11,8 @@ from .token_counts import op6_token_counts
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op3_decontamination": op3_decontamination,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_token_counts": op6_token_counts,
     "op8_packing": op8_packing,
     "op10_quality_rules": op10_quality_rules,
