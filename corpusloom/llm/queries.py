@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+from .brown_lm import op7_brown_lm
 from .decontaminate import op3_decontamination
 from .jaccard_join import op5_jaccard_join
 from .packing import op8_packing
+from .quality_mil import op2_quality_classifier
 from .quality_rules import op10_quality_rules
 from .secret_scan import op1_secret_scan
 from .token_counts import op6_token_counts
+from .toxicity import op9_toxicity
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_decontamination": op3_decontamination,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_token_counts": op6_token_counts,
+    "op7_brown_lm": op7_brown_lm,
     "op8_packing": op8_packing,
+    "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
 }
 
