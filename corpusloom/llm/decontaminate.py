@@ -279,6 +279,13 @@ def _item_blocks(benchmark: DataFrame):
         yield ids, items
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of docs in which no window of a benchmark item occurs."""
+    keyed = docs.select(F.struct("*").alias("doc"), F.xxhash64("doc_id", "text").alias("_row"))
+    hit = durable(contamination(docs.select("doc_id", "text"), benchmark, bound).where("n_hit > 0").select(F.col("_row").alias("_hit")).distinct())
+    return join_measured(keyed, hit, F.col("_row") == F.col("_hit"), "left_anti", bound=bound).select("doc.*")
+
+
 def report(docs: DataFrame, benchmark: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near_items for every row of docs."""
     out = contamination(docs.select("doc_id", "text"), benchmark, bound)

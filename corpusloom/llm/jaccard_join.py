@@ -66,12 +66,13 @@ def _node(k1: np.ndarray, k2: np.ndarray) -> pa.Array:
     return pa.array([raw[16 * i : 16 * i + 16] for i in range(len(k1))], pa.binary())
 
 
-def signatures(docs: DataFrame, bands: int, rows: int, n: int = WORDS) -> DataFrame:
-    """doc_id, node (null without words), n_grams, bands: one hash for each band."""
+def signatures(docs: DataFrame, bands: int, rows: int, n: int = WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the carried columns, node (null without words), n_grams, bands: one hash for each band."""
     rng = np.random.default_rng(20240229)
     odd = rng.integers(0, 1 << 31, bands * rows, np.uint32) * np.uint32(2) + np.uint32(1)
     flip = rng.integers(0, 1 << 32, bands * rows, np.uint32)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kept = ["doc_id", *carry]
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept)
 
     def run(block, batch):
         gram, each, k1, k2 = grams(block, n)
@@ -91,10 +92,10 @@ def signatures(docs: DataFrame, bands: int, rows: int, n: int = WORDS) -> DataFr
         node = _node(k1, k2)
         if len(full) < len(each):
             node = pa.array([x if m else None for x, m in zip(node.to_pylist(), each, strict=True)], pa.binary())
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), node, pa.array(each), lists], ["doc_id", "node", "n_grams", "bands"])
+        return pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], node, pa.array(each), lists], [*kept, "node", "n_grams", "bands"])
 
-    rows_in = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return map_blocks(rows_in, "text", f"doc_id {kind}, node binary, n_grams bigint, bands array<bigint>", run)
+    rows_in = docs.select(*kept, F.coalesce("text", F.lit("")).alias("text"))
+    return map_blocks(rows_in, "text", f"{kinds}, node binary, n_grams bigint, bands array<bigint>", run)
 
 
 def gram_sets(rows: DataFrame, carry: list[str], n: int = WORDS) -> DataFrame:
@@ -177,10 +178,11 @@ def _verify(threshold: float):
     return run
 
 
-def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS, recall: float = RECALL, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """doc_id, class_id (least doc_id of the class), n_links (different texts at or above the threshold), n_copies."""
+def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS, recall: float = RECALL, bound: int = BROADCAST_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the carried columns, class_id (least doc_id of the class), n_links (different texts at or above the threshold),
+    n_copies (rows with this word sequence), class_node (a name of the class; null for a document without words)."""
     bands, rows = choose_bands(threshold, recall)
-    signed = durable(signatures(docs, bands, rows, n))
+    signed = durable(signatures(docs, bands, rows, n, carry))
     nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands"))
     nodes = durable(nodes)
     entries = nodes.select("node", F.explode("bands").alias("band"))
@@ -204,13 +206,30 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORD
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     linked = durable(classes.join(links, "node", "left").join(nodes.select("node", "doc", "copies"), "node"))
     first = linked.groupBy("root").agg(F.min("doc").alias("class_id"))
-    known = linked.join(first, "root").select("node", "class_id", "links", "copies")
-    alone = nodes.where("copies > 1").join(linked.select("node"), "node", "left_anti").select("node", F.col("doc").alias("class_id"), F.lit(0).cast("long").alias("links"), "copies")
+    known = linked.join(first, "root").select("node", "class_id", "links", "copies", "root")
+    alone = nodes.where("copies > 1").join(linked.select("node"), "node", "left_anti").select("node", F.col("doc").alias("class_id"), F.lit(0).cast("long").alias("links"), "copies", F.col("node").alias("root"))
     known = durable(known.unionByName(alone)).withColumnRenamed("node", "_node")
-    out = join_measured(signed.select("doc_id", "node"), known, F.col("node") == F.col("_node"), "left", bound=bound)
+    out = join_measured(signed.select("doc_id", *carry, "node"), known, F.col("node") == F.col("_node"), "left", bound=bound)
     zero = F.lit(0).cast("long")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", zero).alias("n_links"), F.coalesce("copies", F.lit(1).cast("long")).alias("n_copies"))
+    return out.select("doc_id", *carry, F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", zero).alias("n_links"), F.coalesce("copies", F.lit(1).cast("long")).alias("n_copies"), F.coalesce("root", "node").alias("class_node"))
+
+
+def keep_one(docs: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of docs without all but one row of each class: the one with the least doc_id (nulls first) stays."""
+    keyed = docs.select(F.struct("*").alias("doc"), "doc_id", "text", F.xxhash64("doc_id", "text").alias("_row"))
+    classes = jaccard_classes(keyed, bound=bound, carry=("_row",))
+    grouped = durable(classes.where("class_node is not null and (n_copies > 1 or n_links > 0)").select("class_node", "_row", F.struct("doc_id", "_row").alias("_rank")))
+    least = grouped.groupBy("class_node").agg(F.min("_rank").alias("_least"))
+    gone = durable(grouped.join(least, "class_node").where("_rank != _least").select(F.col("_row").alias("_gone")).distinct())
+    out = join_measured(keyed, gone, F.col("_row") == F.col("_gone"), "left_anti", bound=bound)
+    # Rows repeated with id and text have one key; of those that stay, one is kept.
+    again = durable(grouped.where(F.col("_row").isNotNull()).groupBy("_row").count().where("count > 1").select(F.col("_row").alias("_again")))
+    n = again.count()
+    if n:
+        once = join_measured(out, again, F.col("_row") == F.col("_again"), "left_semi", rows=n, bound=bound).dropDuplicates(["_row"])
+        out = join_measured(out, again, F.col("_row") == F.col("_again"), "left_anti", rows=n, bound=bound).unionByName(once)
+    return out.select("doc.*")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_classes(table(spark, sf_dir, "documents"))
+    return jaccard_classes(table(spark, sf_dir, "documents")).drop("class_node")

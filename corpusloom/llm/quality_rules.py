@@ -142,5 +142,14 @@ def apply_rules(docs: DataFrame, rules: list[Rule] | None = None, keep: list[str
     return df.select(*keep, *numbers, base_failed().alias("base_failed"), F.col("_rejected").isNull().alias("kept"))
 
 
+def keep_passing(docs: DataFrame) -> DataFrame:
+    """The rows of docs that no rule rejects, as they came."""
+    # A filter on the verdict must not be pushed below the statistics, where it would repeat them within their own lambdas; it is
+    # not pushed past a column that numbers rows.
+    rows = docs.select(F.struct("*").alias("doc"), "text")  # one column, so that no name of docs can clash
+    judged = apply_rules(rows, keep=["doc"]).withColumn("_at", F.monotonically_increasing_id())
+    return judged.where("kept and _at >= 0").select("doc.*")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))

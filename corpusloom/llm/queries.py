@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .brown_lm import op7_brown_lm
 from .decontaminate import op3_decontamination
+from .html_extract import op4_html_extraction
 from .jaccard_join import op5_jaccard_join
 from .packing import op8_packing
 from .quality_mil import op2_quality_classifier
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_decontamination": op3_decontamination,
+    "op4_html_extraction": op4_html_extraction,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_token_counts": op6_token_counts,
     "op7_brown_lm": op7_brown_lm,

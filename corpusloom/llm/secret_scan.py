@@ -171,14 +171,14 @@ def find_spans(rows: DataFrame, text: str, rules: list[Rule], allowed: Column |
     return rows.withColumns(cols)
 
 
-def scan(docs: DataFrame, rules: list[Rule] | None = None, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """docs (doc_id, text, ...) plus found: array<struct<start,end,kind>> ordered by start, then as the rules are listed.
+def scan(docs: DataFrame, rules: list[Rule] | None = None, bound: int = BROADCAST_ROWS, into: str = "found") -> DataFrame:
+    """docs (doc_id, text, ...) plus the column `into` (one of that name is replaced): array<struct<start,end,kind>> ordered by start, then as the rules are listed.
 
     The candidates are counted: up to `bound` of them are broadcast, more are joined by a shuffle on doc_id."""
     rules = RULES if rules is None else rules
     queries = _queries(rules)
     indexed, full = [r for r in rules if queries[r.kind]], [r for r in rules if not queries[r.kind]]
-    base = docs.withColumn("text", F.coalesce("text", F.lit("")))
+    base = docs.select(F.struct("*").alias("doc"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     out = base
     if indexed:
         grams = sorted(set().union(*[c for r in indexed for c in queries[r.kind]]))
@@ -189,24 +189,32 @@ def scan(docs: DataFrame, rules: list[Rule] | None = None, bound: int = BROADCAS
     order = {r.kind: i for i, r in enumerate(rules)}
     ranked = [F.transform(f"_s_{r.kind}", lambda x, i=order[r.kind]: F.struct(x.start.alias("start"), F.lit(i).alias("rank"), x.end.alias("end"), x.kind.alias("kind"))) for r in rules]
     joined = F.transform(F.array_sort(F.concat(*ranked)), lambda x: F.struct(x.start.alias("start"), x.end.alias("end"), x.kind.alias("kind")))
-    return out.select(*docs.columns, joined.alias("found"))
+    return out.select(joined.alias("_found"), *[F.col(f"doc.{c}") for c in docs.columns if c != "_found"]).withColumn(into, F.col("_found")).select(*[c for c in docs.columns if c != into], into)
 
 
 def digest(found: Column | str) -> Column:
     return F.array_join(F.transform(found, lambda x: F.concat_ws(":", x.kind, x.start.cast("string"), x.end.cast("string"))), ",")
 
 
-def redact(scanned: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+def redact(scanned: DataFrame, mark: str = "[SECRET]", column: str = "found") -> DataFrame:
     """Replace what the scan found by a mark; overlapping or touching spans become one. n_chars follows where it exists."""
-    step = f"""aggregate(found, named_struct('at', 0L, 'out', ''),
+    step = f"""aggregate({column}, named_struct('at', 0L, 'out', ''),
         (a, x) -> case when x.end <= a.at then a
             when x.start < a.at then named_struct('at', x.end, 'out', a.out)
             else named_struct('at', x.end, 'out', concat(a.out, substring(text, cast(a.at + 1 as int), cast(x.start - a.at as int)), '{mark}')) end,
         a -> concat(a.out, substring(text, cast(a.at + 1 as int), length(text))))"""
-    out = scanned.withColumn("text", F.expr(f"if(size(found) > 0, {step}, text)"))
+    out = scanned.withColumn("text", F.expr(f"if(size({column}) > 0, {step}, text)"))
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.length("text").cast(scanned.schema["n_chars"].dataType))
-    return out.drop("found")
+    return out.drop(column)
+
+
+def mask(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+    """docs with every secret replaced by a mark; all rows and columns stay."""
+    name = "spans"
+    while name in docs.columns:
+        name += "_"
+    return redact(scan(docs, rules, into=name), column=name).select(*docs.columns)
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
