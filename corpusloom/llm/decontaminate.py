@@ -17,7 +17,7 @@ is written as an empty string; empty tables give no documents or no hits; other
 
 from __future__ import annotations
 
-import hashlib
+import itertools
 import re
 from collections import defaultdict
 from dataclasses import dataclass
@@ -36,7 +36,7 @@ RAREST = 3
 #: Words by which a proximity match may be displaced, and the share of its words that must be there.
 SLOP, NEAR_SHARE = 4, 0.8
 BLOCK_WORDS = 1_000_000
-SHARD_BYTES = 8_000_000
+SHARD_BYTES = 2_000_000
 #: Fixed value: a word of the contract, after A-Z are lower-cased.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -104,6 +104,7 @@ def with_key(docs: DataFrame) -> DataFrame:
 def build_index(docs: DataFrame, terms: np.ndarray) -> DataFrame:
     """Durable rows of two kinds: documents (doc_id, _row, n_words; term null) and postings (term, rows, positions) of a shard."""
     doc_type = docs.schema["doc_id"].dataType.simpleString()
+    number = itertools.count()  # within a task
 
     def run(block, batch):
         word, rows = block_words(_lowered(block))
@@ -114,13 +115,13 @@ def build_index(docs: DataFrame, terms: np.ndarray) -> DataFrame:
         if len(terms) and len(word):
             at = np.minimum(np.searchsorted(terms, word), len(terms) - 1)
             hit = terms[at] == word
-        w, r, p = word[hit], names[rows[hit]] if len(word) else np.zeros(0, np.int64), position[hit]
+        w, r, p = word[hit], rows[hit], position[hit]  # rows by their place in the shard
         order = np.argsort(w, kind="stable")
         w, r, p = w[order], r[order], p[order]
         distinct, first = np.unique(w, return_index=True)
         cuts = pa.array(np.append(first, len(w)).astype(np.int32))
         k = len(distinct)
-        shard = int(hash((int(names[0]), block.first, block.rows)))
+        shard = next(number)
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(np.full(block.rows + k, shard)),
@@ -169,32 +170,35 @@ def search(index: DataFrame, windows: Windows, slop: int = SLOP) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(at >> 32), pa.array(np.concatenate([w for w, _ in out])), pa.array((at & 0xFFFFFFFF) - 65536)], ["_row", "window", "start"])
 
     def run(batches):
-        shard, lists, names = None, {}, np.zeros(0, np.int64)
+        shard, lists, names = None, {}, []
         for batch in batches:
-            for one, term, rows, positions in zip(batch.column("shard").to_pylist(), batch.column("term").to_pylist(), batch.column("rows"), batch.column("positions"), strict=True):
-                if one != shard:
-                    yield from _named(intersect(lists), names)
-                    shard, lists, names = one, {}, np.zeros(0, np.int64)
-                r, p = rows.values.to_numpy(), positions.values.to_numpy()
-                fresh = np.setdiff1d(r, names)
-                names = np.concatenate([names, fresh])
-                order = np.argsort(names)
-                local = order[np.searchsorted(names, r, sorter=order)]
-                lists[term & ((1 << 64) - 1)] = np.sort((local.astype(np.int64) << 32) + p + 65536)
-        yield from _named(intersect(lists), names)
-
-    def _named(found, names):
-        for batch in found:
-            yield pa.RecordBatch.from_arrays([pa.array(names[batch.column(0).to_numpy()]), batch.column(1), batch.column(2)], ["_row", "window", "start"])
-
-    return index.where("term is not null").select("shard", "term", "rows", "positions").mapInArrow(run, "_row bigint, window bigint, start bigint")
+            shards, keys = batch.column("shard").to_numpy(), batch.column("_row").to_numpy()
+            posting = batch.column("term").is_valid().to_numpy(zero_copy_only=False)
+            terms = batch.column("term").fill_null(0).to_numpy().view(np.uint64)
+            at = batch.column("rows").offsets.to_numpy()
+            rows, positions = batch.column("rows").values.to_numpy(), batch.column("positions").values.to_numpy()
+            for i in range(len(shards)):
+                if shards[i] != shard:
+                    yield from named(lists, names)
+                    shard, lists, names = shards[i], {}, []
+                if posting[i]:
+                    lists[int(terms[i])] = (rows[at[i] : at[i + 1]] << 32) + positions[at[i] : at[i + 1]] + 65536
+                else:
+                    names.append(keys[i])
+        yield from named(lists, names)
+
+    def named(lists, names):
+        for batch in intersect(lists):
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(names, np.int64)[batch.column(0).to_numpy()]), batch.column(1), batch.column(2)], ["_row", "window", "start"])
+
+    return index.select("shard", "_row", "term", "rows", "positions").mapInArrow(run, "_row bigint, window bigint, start bigint")
 
 
 def verify(docs: DataFrame, found: DataFrame, windows: Windows, bound: int = BROADCAST_ROWS, slop: int = SLOP) -> DataFrame:
     """(_row, spans, items, near_items): hit word ranges and item positions, by whole windows; near items have no exact window."""
     starts = found.groupBy("_row").agg(F.sort_array(F.collect_set(F.struct("window", "start"))).alias("_found"))
     starts = durable(starts).withColumnRenamed("_row", "_at")
-    rows = join_measured(docs.select("_row", "text"), starts, F.col("_row") == F.col("_at"), "inner", bound=min(bound, 50_000))
+    rows = join_measured(docs.select("_row", "text"), starts, F.col("_row") == F.col("_at"), "inner", bound=min(bound, 10_000))
 
     def run(batches):
         for batch in batches:
@@ -245,7 +249,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, bound: int = BROADCAST_
     merged = """aggregate(array_sort(spans), named_struct('n', 0L, 'to', 0L),
         (a, x) -> named_struct('n', a.n + greatest(0L, x.e - greatest(a.to, x.s)), 'to', greatest(a.to, x.e)), a -> a.n)"""
     hits = hits.withColumn("n_hit", F.expr(merged)).drop("spans")
-    out = join_measured(words_of, hits, F.col("_row") == F.col("_hit_row"), "left", bound=min(bound, 50_000)).drop("_hit_row")
+    out = join_measured(words_of, hits, F.col("_row") == F.col("_hit_row"), "left", bound=min(bound, 10_000)).drop("_hit_row")
     none = F.array().cast("array<string>")
     return out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", none), "near_items": F.coalesce("near_items", none)})
 

@@ -34,7 +34,7 @@ RECALL = 0.9985
 #: MinHash values at most; more rows a band make buckets purer, more bands raise recall.
 HASHES = 90
 #: Nodes and n-grams of a block in verification.
-BLOCK_NODES, BLOCK_GRAMS = 2048, 1_500_000
+BLOCK_NODES, BLOCK_GRAMS = 1536, 1_000_000
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
@@ -124,11 +124,11 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray], heavy: int = 64) -> np.nd
     dense = np.minimum(fa, fb) > heavy
     column = np.cumsum(dense) - 1
     da, db = dense[ca], dense[cb]
-    for first in range(0, int(dense.sum()), 2048):
-        x, y = np.zeros((na, 2048), np.float32), np.zeros((nb, 2048), np.float32)
+    for first in range(0, int(dense.sum()), 1024):
+        x, y = np.zeros((na, 1024), np.float32), np.zeros((nb, 1024), np.float32)
         for m, r, c, d in ((x, ra, ca, da), (y, rb, cb, db)):
             k = column[c] - first
-            pick = d & (k >= 0) & (k < 2048)
+            pick = d & (k >= 0) & (k < 1024)
             m[r[pick], k[pick]] = 1
         out += x @ y.T
     order = np.argsort(cb, kind="stable")

@@ -37,11 +37,11 @@ def blocks(col: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
         col = col.combine_chunks()
     if col.null_count:
         col = col.fill_null("")
-    col = col.cast(pa.large_string())
     n = len(col)
     if n == 0:
         return
-    offs = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + n + 1]
+    width = np.int64 if pa.types.is_large_string(col.type) else np.int32
+    offs = np.frombuffer(col.buffers()[1], width)[col.offset : col.offset + n + 1].astype(np.int64)
     data = memoryview(col.buffers()[2]) if col.buffers()[2] is not None else memoryview(b"")
     at = 0
     while at < n:
