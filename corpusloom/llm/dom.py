@@ -30,8 +30,11 @@ class Node:
 
     @property
     def signature(self) -> str:
-        kind = re.sub(r"\d+", "", self.attrs.get("class", ""))
-        return f"{self.tag}.{'.'.join(sorted(kind.split()))}" if kind else self.tag
+        if not self.attrs:
+            return self.tag
+        kind = re.sub(r"\d+", "", self.attrs.get("class", "")).split()
+        name = "".join(re.sub(r"\d+", "", self.attrs.get("id", "")).split())
+        return ".".join([self.tag, *sorted(kind)]) + (f"#{name}" if name else "")
 
 
 def parse(text: str) -> Node:
@@ -90,7 +93,8 @@ def parse(text: str) -> Node:
 
 
 class Folded:
-    """A tree in which siblings of one signature are one iterator node, as preorder lists: signature, depth, own text, members."""
+    """A tree in which siblings of one signature are one iterator node, as preorder lists: signature, depth, hash of the
+    text below (0 without any), members."""
 
     __slots__ = ("depth", "members", "own", "signature")
 
@@ -98,9 +102,13 @@ class Folded:
         self.signature, self.depth, self.own, self.members = [], [], [], []
         self._add("#root", [root], 0)
 
-    def _add(self, signature: str, nodes: list[Node], depth: int) -> None:
+    def _add(self, signature: str, nodes: list[Node], depth: int) -> int:
         groups: dict[str, list[Node]] = {}
-        text = 0
+        text, at = 0, len(self.own)
+        self.signature.append(signature)
+        self.depth.append(depth)
+        self.own.append(0)
+        self.members.append(nodes)
         for n in nodes:
             for c in n.children:
                 if isinstance(c, str):
@@ -108,13 +116,12 @@ class Folded:
                         text = zlib.crc32(" ".join(c.split()).encode("utf-8", "replace"), text)
                 else:
                     groups.setdefault(c.signature, []).append(c)
-        self.signature.append(signature)
-        self.depth.append(depth)
-        self.own.append(text)
-        self.members.append(nodes)
         if depth < 60:
             for s, group in groups.items():
-                self._add(s, group, depth + 1)
+                if below := self._add(s, group, depth + 1):
+                    text = zlib.crc32(below.to_bytes(4, "little"), text)
+        self.own[at] = text
+        return text
 
     @property
     def skeleton(self) -> str:

@@ -2,7 +2,7 @@
 
 1. Every host has an exemplar, its page with the least hash. Pages are parsed, siblings of one signature folded into iterator
    nodes, and each page's tree is aligned with the exemplar's by simple tree matching.
-2. Over all pages of a host, each aligned node counts the pages it was on and those where its own text was the exemplar's. The
+2. Over all pages of a host, each aligned node counts the pages it was on and those where the text below it was the exemplar's. The
    counts are summed in the tasks before the shuffle, so a host with most of the pages costs no task more than another.
 3. Nodes whose text is constant are the host's template; the others are slots. A page's content is its article or main element;
    without one, the deepest slot subtree that holds most of the page's slot text. Template nodes, and whatever names itself a
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import durable, join_measured, table
 from .dom import Folded, Node, parse, simple_tree_matching, text_blocks
 
-#: A node is template if its own text is the exemplar's on this share of at least so many pages.
+#: A node is template if the text below it is the exemplar's on this share of at least so many pages.
 CONSTANT_SHARE, CONSTANT_PAGES = 0.8, 5
 #: Share of a page's slot text that the content subtree holds at least, where no element names itself the article.
 CONTENT_SHARE = 0.6
@@ -69,7 +69,7 @@ def with_host(pages: DataFrame) -> DataFrame:
 
 
 def exemplars(pages: DataFrame) -> DataFrame:
-    """host, skeleton, own (text hashes by node): the folded tree of each host's page with the least hash."""
+    """host, skeleton, own (hashes of the text below each node): the folded tree of each host's page with the least hash."""
     first = pages.groupBy("host").agg(F.min_by("html", F.xxhash64("html")).alias("html"))
 
     def run(batches):
