@@ -303,4 +303,4 @@ def report(docs: DataFrame, benchmark: DataFrame, bound: int = BROADCAST_ROWS) -
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_near_items")

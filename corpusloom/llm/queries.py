@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import oracle
 from .brown_lm import op7_brown_lm
 from .decontaminate import op3_decontamination
 from .html_extract import op4_html_extraction
@@ -26,4 +27,9 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others tokenise, cluster, train or hash; the tests hold them against brute force, held-out labels or exact round trips.
+ORACLE_SQL: dict[str, str] = {
+    "op1_secret_scan": oracle.secrets_sql(),
+    "op3_decontamination": oracle.decontamination_sql(),
+    "op10_quality_rules": oracle.quality_sql(),
+}
