@@ -59,3 +59,13 @@ AUTHORITY_FILES = Fixture(
         ("مرسوم رقم 2.04.422 بتاريخ 29 ديسمبر 2004.PDF", "المادة العقارية"),
     ],
 )
+PAGED = Fixture(
+    "doc long, page_no long, text string, confidence double, review boolean",
+    [
+        (1, 1, "Préambule du texte\nArticle 1\nPremier corps.\nsuite", 0.9, False),
+        (1, 2, "Titre II\nArticle 2\nSecond corps.", None, True),
+        (2, 1, "ظهير شريف رقم 1\nالباب الأول\nالفصل 1\nنص أول\n5 الفصل\nنص ثان", 0.7, False),
+        (3, 1, "plain page without items", None, False),
+        (3, 2, "   \n ", None, False),
+    ],
+)
