@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import analysis as A
 from ..operators import relational as R
 from ..operators import retrieval as H
+from ..operators import serving as V
 from ..operators import structure as S
 from .fixtures import AUTHORITY_FILES, CITATIONS, EDGES, HEADINGS, MESSAGES, MOVES, PAGED, PAGES, PRIVACY, SECTIONS, SPANS, TOOL_TEXTS
 
@@ -650,3 +651,79 @@ def events_increment(spark, sf_dir):
     from ..streaming.incremental import run_available
 
     return run_available(spark, sf_dir)
+
+
+# ---- serving
+
+
+@query(_TOP.format(scores=_LEX.format(where="s.source = 'src1'"), k=10).replace("select *, row_number", "select query, id, score, row_number", 1))
+def rerank_passthrough(spark, sf_dir):
+    docs = H.scoped(read(spark, sf_dir, "documents"), "source", "src1").select(F.col("doc_id").alias("id"), "text")
+    top = H.top_k(H.lexical_scores(_items(spark, sf_dir), docs), 30)
+    return V.rerank(top.join(docs, "id"), 10).select("query", "id", "score", "rank")
+
+
+@query("select item_id as query, (row_number() over (partition by item_id order by d, r))::int as ordinal, domain, excerpt from (select item_id, 0 as d, 1 as r, 'matter' as domain, substr(text, 1, 800) as excerpt from benchmark union all select item_id, 1, 1, 'authority', substr(text, 1, 800) from benchmark)")
+def citation_order(spark, sf_dir):
+    b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.lit(1).alias("rank"), "text")
+    matter = b.withColumns({"document_id": F.col("query"), "page": F.lit(1)})
+    authority = b.withColumns({"source": F.lit("law"), "version": F.lit("v1"), "article": F.lit("Article 1")})
+    return V.citations(matter, authority).select("query", "ordinal", "domain", F.get_json_object("citation", "$.excerpt").alias("excerpt"))
+
+
+@query("select source, lang as version, n_chars % 5 as article, min(doc_id) as seq from documents where trim(source) <> '' group by 1, 2, 3")
+def authority_citations(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), "source", F.col("lang").alias("version"), (F.col("n_chars") % 5).cast("string").alias("article"))
+    return V.authority_dedup(d).select("source", "version", F.col("article").cast("long").alias("article"), "seq")
+
+
+@query("select conv_id * 1000 + turn as id, 'token' as type, text from conversations where role = 'assistant'")
+def sse_parse(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
+    frame = F.concat(F.lit("data: "), F.to_json(F.struct(F.lit("token").alias("type"), "text")))
+    return V.parse_frames(c.select("id", F.when(F.col("role") == "assistant", frame).otherwise(F.concat(F.lit("event: "), "text")).alias("line")))
+
+
+@query("select doc_id, case when length(text) <= 1200 then text else substr(text, 1, 1199) || '…' end as summary, length(text) // 4 as estimate from documents")
+def summary_cap(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", V.cap_summary(F.col("text")).alias("summary"), V.token_estimate(F.col("text")).alias("estimate"))
+
+
+@query("select doc_id, case when n_chars < 20 * (n_chars // 1500 + 1) then 'yes' else 'no' end as ocr from documents")
+def ocr_flags(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", V.ocr_flag(F.col("n_chars"), F.floor(F.col("n_chars") / 1500) + 1).alias("ocr"))
+
+
+@query("select 'vec-' || vec_id as name, case when label = 3 then 'no model' else 'dimension differs' end as problem from embeddings where label in (3, 4)")
+def preflight_check(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    return V.preflight(e.select(F.concat(F.lit("vec-"), F.col("vec_id").cast("string")).alias("name"), F.when(F.col("label") == 3, " ").otherwise("m").alias("model"), F.size("embedding").alias("dim"), F.when(F.col("label") == 4, 65).otherwise(64).alias("expected_dim")))
+
+
+@query("select conv_id, count(*) as messages from conversations where conv_id not in (select item_id from benchmark) group by 1")
+def purge_cascade(spark, sf_dir):
+    gone = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("conv_id"))
+    return V.cascade_delete(gone, {"messages": read(spark, sf_dir, "conversations")}, "conv_id")["messages"].groupBy("conv_id").agg(F.count("*").alias("messages"))
+
+
+@query("select m.conv_id, m.turn, m.role, c.n_turns from conversations m join (select conv_id, count(*) as n_turns from conversations group by 1) c using (conv_id) where c.n_turns >= 3 and m.role = 'user'")
+def matter_messages(spark, sf_dir):
+    m = read(spark, sf_dir, "conversations")
+    own = m.groupBy("conv_id").agg(F.count("*").alias("n_turns")).where("n_turns >= 3")
+    return m.where("role = 'user'").join(own, "conv_id").select("conv_id", "turn", "role", "n_turns")
+
+
+@query(f"select doc_id, case when extract_status = 'extracted' then 'pending' else extract_status end as extract_status, 'pending' as embed_status, 'pending' as index_status, 0::bigint as chunk_count, sha from {_LEDGER} where extract_status = 'extracted'")
+def invalidate_derived(spark, sf_dir):
+    """Derived states go back, provenance stays."""
+    rows = ledger(spark, sf_dir).where("extract_status = 'extracted'")
+    pending = F.lit("pending")
+    return rows.select("doc_id", pending.alias("extract_status"), pending.alias("embed_status"), pending.alias("index_status"), F.lit(0).cast("long").alias("chunk_count"), "sha")
+
+
+@query(f"select a.doc_id, a.stage from (select doc_id, 'embed_status' as stage from {_LEDGER} where embed_status = 'embedded' and extract_status <> 'extracted' union all select doc_id, 'index_status' from {_LEDGER} where index_status = 'indexed' and (extract_status <> 'extracted' or embed_status <> 'embedded')) a")
+def stage_readiness(spark, sf_dir):
+    """Rows that are ahead of a stage before them: none in a sound ledger."""
+    rows = ledger(spark, sf_dir)
+    ahead = F.array_compact(F.array(F.when((F.col("embed_status") == "embedded") & (F.col("extract_status") != "extracted"), "embed_status"), F.when((F.col("index_status") == "indexed") & ((F.col("extract_status") != "extracted") | (F.col("embed_status") != "embedded")), "index_status")))
+    return rows.select("doc_id", F.explode(ahead).alias("stage"))

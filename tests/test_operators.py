@@ -146,3 +146,24 @@ def test_issue_report(spark):
     got = {r.matter: r for r in A.report(inline(spark, SECTIONS)).collect()}
     assert [i.issue for i in got[1].issues][:2] == ["Employment termination recorded", "Notice period stated"] and got[2].doc_types == ["correspondence", "payslip"]
     assert "Findings:" in A.draft(A.report(inline(spark, SECTIONS))).first().content
+
+
+def test_verified_writes(spark, tmp_path):
+    from corpusloom.operators import serving as V
+
+    rows = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 4.0])], "id long, vector array<float>")
+    with pytest.raises(ValueError):
+        V.write_verified(rows, str(tmp_path / "bad"), "id", dim=3)
+    assert not (tmp_path / "bad").exists()
+    assert {r.status for r in V.write_verified(rows, str(tmp_path / "t"), "id", dim=2).collect()} == {"verified"}
+    mark = V.content_mark(rows)
+    assert V.read_verified(spark, str(tmp_path / "t"), mark).count() == 2
+    with pytest.raises(ValueError):
+        V.read_verified(spark, str(tmp_path / "t"), (2, 0))
+
+
+def test_rerank_scorer(spark):
+    from corpusloom.operators import serving as V
+
+    hits = spark.createDataFrame([(0, 1, 10, "a"), (0, 2, 11, "abc")], "query long, rank int, id long, text string")
+    assert V.rerank(hits, 1).first().id == 10 and V.rerank(hits, 1, lambda q, t: F.length(t)).first().id == 11
