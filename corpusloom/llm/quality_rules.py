@@ -137,18 +137,18 @@ def apply_rules(docs: DataFrame, rules: list[Rule] | None = None, keep: list[str
     sample = statistics(docs.sample(min(1.0, SAMPLE_ROWS / max(docs.count(), 1)), seed=11), keep=[])
     cascade = plan_cascade(sample, rules)
     df = statistics(docs, keep=keep).withColumn("_rejected", verdict(cascade))
-    numbers = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    # A filter on these columns must not be pushed below the statistics, where it would repeat them within their own lambdas; it
+    # is not pushed past an expression that numbers rows.
+    here = F.monotonically_increasing_id() >= 0
+    repeats = F.when(here, F.col("n_repeat_words")).otherwise(F.lit(0).cast("long")).alias("n_repeat_words")
     # Which of several rejecting rules comes first depends on measured times, so only the verdict leaves the operator.
-    return df.select(*keep, *numbers, base_failed().alias("base_failed"), F.col("_rejected").isNull().alias("kept"))
+    return df.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", repeats, base_failed().alias("base_failed"), (F.col("_rejected").isNull() & here).alias("kept"))
 
 
 def keep_passing(docs: DataFrame) -> DataFrame:
     """The rows of docs that no rule rejects, as they came."""
-    # A filter on the verdict must not be pushed below the statistics, where it would repeat them within their own lambdas; it is
-    # not pushed past a column that numbers rows.
     rows = docs.select(F.struct("*").alias("doc"), "text")  # one column, so that no name of docs can clash
-    judged = apply_rules(rows, keep=["doc"]).withColumn("_at", F.monotonically_increasing_id())
-    return judged.where("kept and _at >= 0").select("doc.*")
+    return apply_rules(rows, keep=["doc"]).where("kept").select("doc.*")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
