@@ -123,9 +123,8 @@ class Vocabulary:
             self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(flat)), np.uint32)])
         self.ids[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
-        known = np.concatenate([self.known, hashes])
-        order = np.argsort(known, kind="stable")
-        self.known, self.at, self.size = known[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
+        place = np.searchsorted(self.known, hashes)  # hashes are sorted and new
+        self.known, self.at, self.size = np.insert(self.known, place, hashes), np.insert(self.at, place, at), np.insert(self.size, place, size)
 
     def lookup(self, block: Block, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each pre-token: where its ids lie in self.ids, and how many they are."""

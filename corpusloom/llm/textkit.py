@@ -5,6 +5,7 @@ A block holds whole rows of up to BLOCK_BYTES (a longer row is a block of its ow
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -12,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 #: Fixed odd multipliers of the rolling hash and its finish.
 BASE = 0x9E3779B97F4A7C15 | 1
 MASK = (1 << 64) - 1
@@ -146,6 +147,15 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.cumsum(out)
 
 
+def trim() -> None:
+    """Give freed memory back, so that a worker that is kept for later tasks does not hold what this one needed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def map_blocks(df, text: str, schema: str, fn: Callable[[Block, pa.RecordBatch], pa.RecordBatch | None], limit: int = BLOCK_BYTES):
     """mapInArrow over blocks of a text column; fn gets each block and the batch's rows of that block."""
 
@@ -155,5 +165,6 @@ def map_blocks(df, text: str, schema: str, fn: Callable[[Block, pa.RecordBatch],
                 out = fn(block, batch.slice(block.first, block.rows))
                 if out is not None and out.num_rows:
                     yield out
+        trim()
 
     return df.mapInArrow(run, schema)
