@@ -5,11 +5,11 @@ negations, reporting verbs, second-person targets, threats and their auxiliaries
 `negation` marks what a negation directly governs, `reported` marks what follows a reporting verb in its clause, `target` marks
 what stands near a target, `threat` turns auxiliary + threat + target into a threat. Each passes on what the one before it
 wrote. A clause's weight is the sum of what the last one writes; a document's score is the logistic of the prior and of its
-clauses' weights. Isolated words have no score of their own: only matched clauses do.
+clauses' weights. A lone insult makes its clause a matched one; the marks around it only change its weight.
 
-The lexicon is learned from a sample of at most LABEL_ROWS labelled rows: features (words, and stems of STEMS characters) are
-kept if they are in toxic rows more often than chance explains, and in many different contexts, so that the words of one text
-that was copied often do not count as insults.
+The lexicon is learned from a sample of at most LABEL_ROWS labelled rows, equal texts of one label counted once: features (words,
+and stems of STEMS characters) are kept if they are in toxic texts more often than chance explains, and in many different
+contexts, so that the words of one text that was written anew with few changes do not count as insults.
 
 Defined results: a null, empty or blank text has no clause and scores the least; repeated rows score the same; without labels
 of both kinds only the fixed lists work; an empty table gives an empty result; other columns are ignored.
@@ -37,10 +37,8 @@ MODULUS, HELD_OUT = 3, 1
 LABEL_ROWS = 40_000
 STEMS = (4, 5, 6, 7, 8)
 CUT = 0.7
-#: A feature needs so many toxic rows, so many different contexts (also for each toxic row), and a share of toxic rows.
+#: A feature needs so many toxic texts, so many different contexts (also for each toxic text), and a share of toxic texts.
 MIN_ROWS, MIN_CONTEXTS, MIN_VARIED, MIN_SHARE = 4, 4, 0.5, 0.95
-#: Features at most that leave the first count; those with most toxic rows stay.
-MAX_FEATURES = 200_000
 
 #: Closed word lists of the grammar (English, German, French, Spanish).
 NEGATIONS = "not never no isn aren wasn nicht kein keine niemals jamais aucun aucune nunca jamás ningún ninguna".split()
@@ -127,7 +125,7 @@ _FIXED = {w: s for s, group in ((NEGATION, NEGATIONS), (REPORT, REPORTS), (TARGE
 
 @dataclass
 class Lexicon:
-    """weight by feature hash; prior: log odds of a toxic row."""
+    """weight by feature hash; prior: log odds of a toxic text."""
 
     weights: dict[int, float] = field(default_factory=dict)
     prior: float = -3.0
@@ -268,31 +266,44 @@ def _contexts(sample: DataFrame, only: np.ndarray) -> DataFrame:
     return map_blocks(sample.select("text"), "text", "feature bigint, around bigint", run).groupBy("feature").agg(F.count_distinct("around").alias("n"))
 
 
-def _unsigned(x: int) -> int:
-    return x & ((1 << 64) - 1)
+def _collected(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Features in order and their counts."""
+    got = counts.select("feature", "n").toArrow()
+    keys, n = got["feature"].to_numpy().view(np.uint64), got["n"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], n[order]
+
+
+def _looked_up(counts: DataFrame, only: np.ndarray) -> np.ndarray:
+    """The count of each feature of `only`, 0 where it has none."""
+    keys, n = _collected(counts)
+    out = np.zeros(len(only), np.int64)
+    out[np.searchsorted(only, keys)] = n
+    return out
 
 
 def learn(docs: DataFrame, labels: DataFrame, modulus: int = MODULUS, held_out: int = HELD_OUT, rows: int = LABEL_ROWS) -> Lexicon:
-    sample = durable(labelled_sample(docs, labels, "toxic", modulus, held_out, rows))
+    # Copies of a text say nothing new about its words: they are counted once.
+    sample = durable(labelled_sample(docs, labels, "toxic", modulus, held_out, rows).dropDuplicates(["text", "_label"]))
     n = {r[0]: r[1] for r in sample.groupBy("_label").count().collect()}
     if not n.get(1) or not n.get(0):
         return Lexicon()
     toxic, clean = sample.where("_label = 1"), sample.where("_label = 0")
-    often = _count(toxic, None).where(F.col("n") >= MIN_ROWS).orderBy(F.desc("n"), "feature").limit(MAX_FEATURES)
-    toxic_n = {_unsigned(r.feature): r.n for r in often.collect()}
-    only = np.array(sorted(toxic_n), np.uint64)
-    clean_n = {_unsigned(r.feature): r.n for r in _count(clean, only).collect()} if len(only) else {}
-    weights, share = {}, n[1] / (n[1] + n[0])
-    need = math.log(200 * max(len(toxic_n), 1))  # so that chance alone passes about one feature in two hundred fits
-    for f, t in toxic_n.items():
-        c = clean_n.get(f, 0)
-        q = t / (t + c)
-        if q >= MIN_SHARE and (t + c) * (q * math.log(q / share) + ((1 - q) * math.log((1 - q) / (1 - share)) if c else 0)) >= need:
-            weights[f] = min(max(math.log((t / n[1]) / ((c + 0.5) / n[0])), 4.0), 9.0)
-    kept = np.array(sorted(weights), np.uint64)
-    contexts = {_unsigned(r.feature): r.n for r in _contexts(toxic, kept).collect()} if len(kept) else {}
-    weights = {f: w for f, w in weights.items() if contexts.get(f, 0) >= max(MIN_CONTEXTS, MIN_VARIED * toxic_n[f])}
-    return Lexicon(weights, max(-3.0, math.log(n[1] / n[0])))
+    often = durable(_count(toxic, None).where(F.col("n") >= MIN_ROWS))
+    share = n[1] / (n[1] + n[0])
+    need = math.log(200 * max(often.count(), 1))  # so that chance alone passes about one feature in two hundred fits
+    # Clean texts only lower what a feature reaches: one that misses `need` without any is out before they are counted.
+    only, t = _collected(often.where(F.col("n") * -math.log(share) >= need * (1 - 1e-9)))
+    c = _looked_up(_count(clean, only), only) if len(only) else t
+    q = t / (t + c)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = (t + c) * (q * np.log(q / share) + np.where(c > 0, (1 - q) * np.log((1 - q) / (1 - share)), 0.0))
+    fits = (q >= MIN_SHARE) & (gain >= need)
+    only, t, c = only[fits], t[fits], c[fits]
+    contexts = _looked_up(_contexts(toxic, only), only) if len(only) else t
+    varied = contexts >= np.maximum(MIN_CONTEXTS, MIN_VARIED * t)
+    weights = np.clip(np.log((t / n[1]) / ((c + 0.5) / n[0])), 4.0, 9.0)
+    return Lexicon(dict(zip(only[varied].tolist(), weights[varied].tolist())), max(-3.0, math.log(n[1] / n[0])))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

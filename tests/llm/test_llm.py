@@ -357,6 +357,18 @@ def test_toxicity_held_out(spark, sf):
     assert np.mean([r.predicted == r.toxic for r in got]) > 0.96
 
 
+def test_copies_keep_insults(spark):
+    """One toxic text copied far more often than the insult is used elsewhere; ids 1 of 3 are held out by hash."""
+    name = lambda i: "".join(chr(97 + int(d)) for d in str(i))
+    toxic = [f"w{name(i)} gnarfel v{name(i)}" for i in range(90)] + ["you gnarfel there"] * 900
+    clean = [f"w{name(i)} plain v{name(i)}" for i in range(900)]
+    rows = [(i, t) for i, t in enumerate(toxic + clean)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < len(toxic))) for i, _ in rows], "doc_id long, toxic int")
+    lex = toxicity.learn(docs, labels)
+    assert lex.weight("gnarfel") > 0 and not lex.weight("plain") and not lex.weight("there")
+
+
 def test_grammar_discounts():
     from corpusloom.llm.textkit import hash_word
 
