@@ -2,12 +2,15 @@
 
 1. `word_counts` counts every word of the training documents (summed in the tasks before the shuffle).
 2. The most frequent TOP words are clustered into CLASSES by the exchange algorithm on their bigram counts, which come from all
-   training documents: each word in turn moves to the class that raises the class bigram likelihood most. Other words fall in
-   classes by their form (length, last character), known for unseen words too. A document starts and ends in the end class.
+   training documents: each word in turn moves to the class that raises the class bigram likelihood most. Every other training
+   word then joins the class that raises it most against these fixed classes, by the word's counts with the classes before and
+   after it, gathered over all training documents. Only words unseen in training fall in classes by their form (length, last
+   character), which also stand for the neighbours of a word that have no class yet. A document starts and ends in the end class.
 3. p(word | history) = p(class | class before) * p(word | class): additive smoothing of the transitions, half a count for every
    word and for the unseen of a class. Both factors are sums of logarithms, so a document needs its transitions and the logs of
    its words' counts.
-4. Words of the bounded head table (at most HEAD words) are looked up in the task; the others meet the counts in a join.
+4. Words of the bounded head table (at most HEAD words) are looked up in the task; the others meet counts and classes in a join.
+   Documents become strings of classes, from which transitions are counted and scores summed.
 
 A word's identity is a 64-bit hash. Defined results: a null, empty or blank text is the end token alone; a null id counts as
 training text of remainder 0; repeated rows count and score each; without training rows every probability is that of an unseen
@@ -29,13 +32,15 @@ from .textkit import NOT_SPACE, Block, Hasher, blocks, lower_ascii, map_blocks,
 
 MODULUS, HELD_OUT = 5, 1
 TOP, CLASSES, ROUNDS = 1000, 48, 8
-#: Words at most in the table that tasks hold: 16 bytes each.
+#: Words at most in the table that tasks hold: 24 bytes each.
 HEAD = 1_000_000
 LENGTHS = (4, 7, 10)
 FORMS = 3 * (len(LENGTHS) + 1)
 ALPHA = 0.1
 #: Distinct words that a task gathers before it passes their counts on.
 GATHER = 600_000
+#: Neighbours of words that a task gathers before it passes them on; counts up to LISTED have their gains in a table.
+NEIGHBOURS, LISTED = 3_000_000, 16
 
 
 def tokens(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,6 +192,134 @@ def exchange(n: np.ndarray, movable: int, classes: int = CLASSES, rounds: int =
     return of
 
 
+def _strings(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """values between the cuts, as binary strings."""
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _numbers(strings: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """What _strings was made from; no string is empty."""
+    if not len(strings):
+        return np.zeros(0, kind), np.zeros(1, np.int64)
+    cuts = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
+    return np.frombuffer(strings.buffers()[2], np.uint8)[cuts[0] : cuts[-1]].copy().view(kind), (cuts - cuts[0]) // kind.itemsize
+
+
+def neighbours(train: DataFrame, top: np.ndarray, top_class: np.ndarray, first_form: int, end: int) -> DataFrame:
+    """word, codes: of every word that is not in top, the classes after it (c), before it (k + c) and itself after itself (2 k)."""
+    k = end + 1
+    kind = np.min_scalar_type(2 * k)
+
+    def out(found):
+        word, code = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(word, kind="stable")
+        word, code = word[order], code[order]
+        cuts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1], [True]]))
+        for i in range(0, len(cuts) - 1, 100_000):
+            part = cuts[i : i + 100_001]
+            yield pa.RecordBatch.from_arrays([pa.array(word[part[:-1]].view(np.int64)), _strings(code[part[0] : part[-1]], part - part[0])], ["word", "codes"])
+
+    def run(batches):
+        found, size = [], 0
+        for batch in batches:
+            for block in blocks(batch.column("text")):
+                word, form, rows = tokens(block)
+                if not len(word):
+                    continue
+                now, before, _ = symbols(word, form, rows, block.rows, top, top_class, first_form, end)
+                inner = now != end
+                before, after, other = before[inner], np.append(now[1:], end)[inner], now[inner] >= first_form
+                again = (word[1:] == word[:-1]) & (rows[1:] == rows[:-1])
+                first = other & ~np.concatenate([[False], again])  # a repetition is counted once, at the word before
+                code = np.where(np.append(again, False), 2 * k, after)
+                found.append((np.concatenate([word[other], word[first]]), np.concatenate([code[other], before[first] + k]).astype(kind)))
+                size += len(found[-1][0])
+                if size > NEIGHBOURS:
+                    yield from out(found)
+                    found, size = [], 0
+        if size:
+            yield from out(found)
+
+    return train.select("text").mapInArrow(run, "word bigint, codes binary")
+
+
+def gains(n: np.ndarray, m: np.ndarray, classes: int, listed: np.ndarray) -> np.ndarray:
+    """What each word (row of n: counts by code) adds to the likelihood in each class, the class bigrams m being fixed."""
+    k = len(m)
+    word, code = np.nonzero(n[:, : 2 * k])
+    times = n[word, code]
+    part = listed[np.minimum(times, LISTED), code]
+    for i in np.flatnonzero(times > LISTED):
+        base = m[:classes, code[i]] if code[i] < k else m[code[i] - k, :classes]
+        part[i] = _f(base + times[i]) - _f(base)
+    out = np.zeros((len(n), classes))
+    starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
+    if len(word):
+        out[word[starts]] = np.add.reduceat(part, starts, axis=0)
+    # The cell of a class with itself takes what comes before, after and between at once.
+    after, before, own = n[:, :classes].astype(float), n[:, k : k + classes].astype(float), n[:, 2 * k :].astype(float)
+    diag = np.diag(m)[:classes]
+    out += _f(diag + after + before + own) + _f(diag) - _f(diag + after) - _f(diag + before)
+    r, c = n[:, :k].sum(1, keepdims=True) + own, n[:, k : 2 * k].sum(1, keepdims=True) + own
+    rows, cols = m.sum(1)[:classes], m.sum(0)[:classes]
+    return out - (_f(rows + r) - _f(rows) + _f(cols + c) - _f(cols))
+
+
+def assign(found: DataFrame, m: np.ndarray, classes: int) -> DataFrame:
+    """word, n, class of every word of `neighbours`."""
+    k = len(m)
+    kind = np.min_scalar_type(2 * k)
+
+    def run(batches):
+        base = np.concatenate([m[:classes].T, m[:, :classes]])  # by code: the cells that a neighbour adds to
+        listed = np.stack([_f(base + x) - _f(base) for x in range(LISTED + 1)])
+
+        def out(word, code, cuts):
+            unique, at = np.unique(word, return_inverse=True)
+            for s in range(0, len(unique), 4096):  # words are in order, so are their rows
+                e = min(s + 4096, len(unique))
+                a, b = np.searchsorted(at, s), np.searchsorted(at, e)
+                index = np.repeat(at[a:b] - s, np.diff(cuts[a : b + 1]))
+                n = np.bincount(index * (2 * k + 1) + code[cuts[a] : cuts[b]], minlength=(e - s) * (2 * k + 1)).reshape(e - s, 2 * k + 1)
+                best = np.argmax(gains(n, m, classes, listed), 1)
+                yield pa.RecordBatch.from_arrays([pa.array(unique[s:e]), pa.array(n[:, k:].sum(1)), pa.array(best)], ["word", "n", "class"])
+
+        held = (np.zeros(0, np.int64), np.zeros(0, kind), np.zeros(1, np.int64))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code, cuts = _numbers(batch.column("codes"), kind)
+            word = np.concatenate([held[0], batch.column("word").to_numpy()])
+            code, cuts = np.concatenate([held[1], code]), np.concatenate([held[2], cuts[1:] + held[2][-1]])
+            last = int(np.searchsorted(word, word[-1]))  # the last word may go on in the next batch
+            if last:
+                yield from out(word[:last], code[: cuts[last]], cuts[: last + 1])
+            held = (word[last:], code[cuts[last] :], cuts[last:] - cuts[last])
+        if len(held[0]):
+            yield from out(*held)
+
+    return found.repartition("word").sortWithinPartitions("word").mapInArrow(run, "word bigint, n bigint, class bigint")
+
+
+def transitions(strings: DataFrame, k: int) -> np.ndarray:
+    """Counts of the pairs of classes in the strings; k * k cells whatever the corpus."""
+    kind = np.min_scalar_type(k)
+
+    def run(batches):
+        n = np.zeros(k * k, np.int64)
+        for batch in batches:
+            now, _ = _numbers(batch.column("classes"), kind)
+            now = now.astype(np.int64)
+            n += np.bincount(np.concatenate([[k - 1], now[:-1]])[: len(now)] * k + now, minlength=k * k)
+        seen = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(n[seen])], ["pair", "n"])
+
+    found = strings.select("classes").mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(k * k)
+    out[found["pair"].to_numpy()] = found["n"].to_numpy()
+    return out.reshape(k, k)
+
+
 def score_documents(docs: DataFrame, top: int = TOP, classes: int = CLASSES, head: int = HEAD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     rows = docs.select("doc_id", (remainder("doc_id", MODULUS) == HELD_OUT).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
@@ -202,12 +335,10 @@ def score_documents(docs: DataFrame, top: int = TOP, classes: int = CLASSES, hea
         if so_far > head:
             break
         cut = r.n
-    held = counts.where(F.col("n") >= cut).toArrow()
-    h_word, h_n, h_form = held["word"].to_numpy().view(np.uint64), held["n"].to_numpy(), held["form"].to_numpy()
-    order = np.argsort(h_word)
-    h_word, h_n, h_form = h_word[order], h_n[order], h_form[order]
-    pick = np.sort(np.lexsort((h_word, -h_n))[:top])
-    t_word, t_n, t_form = h_word[pick], h_n[pick], h_form[pick]
+    often = counts.orderBy(F.desc("n"), "word").limit(top).toArrow()
+    t_word, t_n = often["word"].to_numpy().view(np.uint64), often["n"].to_numpy()
+    order = np.argsort(t_word)
+    t_word, t_n = t_word[order], t_n[order]
 
     n = bigram_counts(train, t_word)
     classes = max(1, min(classes, len(t_word)))
@@ -215,53 +346,85 @@ def score_documents(docs: DataFrame, top: int = TOP, classes: int = CLASSES, hea
     k = classes + FORMS + 1
     z = np.zeros((len(n), k))
     z[np.arange(len(n)), of] = 1
-    m = z.T @ n @ z
-    step = np.log10((m + ALPHA) / (m.sum(1, keepdims=True) + ALPHA * k))
-    mass = m.sum(0)
+    others = durable(assign(neighbours(train, t_word, of[: len(t_word)], classes, k - 1), z.T @ n @ z, classes))
     distinct = np.bincount(of[: len(t_word)], minlength=k).astype(float)
-    for r in counts.groupBy("form").count().collect():
-        distinct[classes + r.form] += r["count"]
-    distinct[classes : classes + FORMS] -= np.bincount(t_form, minlength=FORMS)
-    emit = -np.log10(mass + 0.5 * (distinct + 1))
-    emit[k - 1] = 0.0
-    h_log = np.log10(h_n + 0.5).astype(np.float64)
-    t_class = of[: len(t_word)]
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    for r in others.groupBy("class").count().collect():
+        distinct[r["class"]] += r["count"]
+    held = others.where(F.col("n") >= cut).toArrow()
+    h_word = np.concatenate([t_word, held["word"].to_numpy().view(np.uint64)])
+    order = np.argsort(h_word)
+    h_word, h_class = h_word[order], np.concatenate([of[: len(t_word)], held["class"].to_numpy()])[order]
+    h_log = np.log10(np.concatenate([t_n, held["n"].to_numpy()])[order] + 0.5)
+    kind, letter = rows.schema["doc_id"].dataType.simpleString(), np.min_scalar_type(k)
 
     def run(block, batch):
         word, form, at = tokens(block)
-        now, before, row = symbols(word, form, at, block.rows, t_word, t_class, classes, k - 1)
-        model = np.bincount(row, step[before, now] + emit[now], block.rows)
+        now, _, row = symbols(word, form, at, block.rows, h_word, h_class, classes, k - 1)
         unique, back = np.unique(word, return_inverse=True)
         place, known = _find(h_word, unique)
-        logs = np.where(known, h_log[place] if len(h_log) else 0.0, 0.0)
+        logs = np.where(known, h_log[place] if len(h_log) else 0.0, math.log10(0.5))
         known_at = known[back] if len(word) else np.zeros(0, bool)
-        log = np.bincount(at, logs[back] if len(word) else None, block.rows) if len(word) else np.zeros(block.rows)
+        log = np.bincount(at, logs[back], block.rows) if len(word) else np.zeros(block.rows)
         count = np.bincount(at, minlength=block.rows)
         inside = np.bincount(at[known_at], minlength=block.rows)
         rest = np.flatnonzero(~known_at)
-        offsets = np.concatenate([[0], np.cumsum(count - inside)]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(word[rest].view(np.int64)))
+        first = np.cumsum(count) - count
+        cuts = np.concatenate([[0], np.cumsum(count + 1)])
+        offsets = pa.array(np.concatenate([[0], np.cumsum(count - inside)]).astype(np.int32))
+        places = pa.ListArray.from_arrays(offsets, pa.array((rest - first[at[rest]] if len(rest) else rest).astype(np.int64)))
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("held_out"), pa.array((count + 1).astype(np.int64)), pa.array(inside.astype(np.int64)), pa.array(model), pa.array(log), lists],
-            ["doc_id", "held_out", "n_tokens", "known", "model", "log", "rest"],
-        )
-
-    schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, model double, log double, rest array<bigint>"
-    scored = durable(map_blocks(rows, "text", schema, run)).withColumn("_row", F.monotonically_increasing_id())  # numbers fixed rows
-    tail = scored.select("_row", F.explode("rest").alias("word")).groupBy("_row", "word").agg(F.count("*").alias("times"))
-    met = tail.join(counts.where(F.col("n") < cut).select("word", "n"), "word", "left")
-    met = met.groupBy("_row").agg(F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5))).alias("tail_log"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(F.lit(0))).alias("tail_known"))
-    out = scored.drop("rest").join(met, "_row", "left")
-    log = F.col("log") + F.coalesce("tail_log", F.lit(0.0))
+            [
+                batch.column("doc_id"), batch.column("held_out"), pa.array((count + 1).astype(np.int64)), pa.array(inside.astype(np.int64)), pa.array(log),
+                _strings(now.astype(letter), cuts), pa.ListArray.from_arrays(offsets, pa.array(word[rest].view(np.int64))), places,
+            ],
+            ["doc_id", "held_out", "n_tokens", "known", "log", "classes", "rest", "places"],
+        )
+
+    schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, log double, classes binary, rest array<bigint>, places array<bigint>"
+    spelt = durable(map_blocks(rows, "text", schema, run))
+    if vocabulary - bool(ends) > len(h_word):
+        spelt = durable(_filled(spelt.withColumn("_row", F.monotonically_increasing_id()), others.where(F.col("n") < cut), schema, letter))  # numbers fixed rows
+    m = transitions(spelt.where(~F.col("held_out")), k)
+    step = np.log10((m + ALPHA) / (m.sum(1, keepdims=True) + ALPHA * k))
+    emit = -np.log10(m.sum(0) + 0.5 * (distinct + 1))
+    emit[k - 1] = 0.0
+
+    def score(batches):
+        for batch in batches:
+            now, cuts = _numbers(batch.column("classes"), letter)
+            now = now.astype(np.int64)
+            before = np.concatenate([[k - 1], now[:-1]])[: len(now)]  # every string ends in the end class
+            model = np.bincount(np.repeat(np.arange(batch.num_rows), np.diff(cuts)), step[before, now] + emit[now], batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "held_out", "n_tokens", "known", "log")], pa.array(model)], ["doc_id", "held_out", "n_tokens", "known", "log", "model"])
+
+    out = spelt.select("doc_id", "held_out", "n_tokens", "known", "log", "classes").mapInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, log double, model double")
     return out.select(
         "doc_id", "held_out", "n_tokens",
-        (F.col("known") + F.coalesce("tail_known", F.lit(0)) + F.lit(int(ends > 0))).cast("long").alias("n_known"),
+        (F.col("known") + F.lit(int(ends > 0))).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (log + F.lit(math.log10(ends + 0.5)) - F.col("n_tokens") * F.lit(math.log10(total + 0.5 * (vocabulary + 1)))).alias("base_score"),
-        (F.col("model") + log).alias("score"),
+        (F.col("log") + F.lit(math.log10(ends + 0.5)) - F.col("n_tokens") * F.lit(math.log10(total + 0.5 * (vocabulary + 1)))).alias("base_score"),
+        (F.col("model") + F.col("log")).alias("score"),
     )
 
 
+def _filled(spelt: DataFrame, tail: DataFrame, schema: str, letter: np.dtype) -> DataFrame:
+    """The strings with the classes and logs of words beyond the head table; words of neither stay in their forms."""
+    asked = spelt.select("_row", F.explode(F.arrays_zip("rest", "places")).alias("x")).select("_row", F.col("x.rest").alias("word"), F.col("x.places").alias("at"))
+    met = asked.join(tail.hint("merge"), "word").groupBy("_row").agg(F.collect_list("at").alias("_at"), F.collect_list("class").alias("_class"), F.sum(F.log10(F.col("n") + F.lit(0.5)) - F.lit(math.log10(0.5))).alias("_log"))
+    joined = spelt.join(met, "_row", "left")
+
+    def run(batches):
+        for batch in batches:
+            now, cuts = _numbers(batch.column("classes"), letter)
+            at, of = batch.column("_at"), batch.column("_class")
+            n = at.value_lengths().fill_null(0).to_numpy()
+            now[np.repeat(cuts[:-1], n) + at.flatten().to_numpy()] = of.flatten().to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), batch.column("n_tokens"), pa.array(batch.column("known").to_numpy() + n), pa.array(batch.column("log").to_numpy() + batch.column("_log").fill_null(0.0).to_numpy()), _strings(now, cuts)], names)
+
+    kept = schema.split(", rest ")[0]
+    names = [c.split()[0] for c in kept.split(", ")]
+    return joined.select(*names, "_at", "_class", "_log").mapInArrow(run, kept)
+
+
 def op7_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))

@@ -295,6 +295,18 @@ def test_brown_base_scores(docs, head):
     assert Counter((*r[:5], round(r.base_score, 5)) for r in got) == want and all(r.score < 0 for r in got)
 
 
+@pytest.mark.parametrize("head", [1_000_000, 5])
+def test_brown_classes_of_rare_words(spark, head):
+    """Words of one form, beyond the seed of 4 words, get the class their neighbours speak for."""
+    x, y = [f"x{name(i)}q" for i in range(100, 300)], [f"y{name(i)}q" for i in range(100, 300)]
+    held = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    rows = [(i, f"aaa {x[i]} bbb {y[i]} aaa {x[-i]} bbb {y[-i]}") for i in range(200)]
+    known = next(i for i in range(200) if zlib.crc32(str(i).encode()) % 5 != 1)
+    rows += [(held[0], f"aaa {x[known]} bbb {y[known]}"), (held[1], f"aaa {y[known]} bbb {x[known]}")]
+    got = {r.doc_id: r for r in brown_lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), top=4, classes=4, head=head).collect()}
+    assert got[held[0]].held_out and got[held[0]].score > got[held[1]].score + 1
+
+
 def likelihood(n, of, k):
     z = np.zeros((len(n), k))
     z[np.arange(len(n)), of] = 1
