@@ -1,22 +1,24 @@
 """Main text of web pages by wrapper induction.
 
-1. Every host has an exemplar, its page with the least hash. Pages are parsed, siblings of one signature folded into iterator
-   nodes, and each page's tree is aligned with the exemplar's by simple tree matching.
-2. Over all pages of a host, each aligned node counts the pages it was on and those where the text below it was the exemplar's. The
-   counts are summed in the tasks before the shuffle, so a host with most of the pages costs no task more than another.
-3. Nodes whose text is constant are the host's template; the others are slots. A page's content is its article or main element;
-   without one, the deepest slot subtree that holds most of the page's slot text. Template nodes, and whatever names itself a
+1. Pages are parsed and siblings of one signature folded into iterator nodes, so that the signatures from the root down to a node
+   name it on every page of its host.
+2. Over all pages of a host, each (path, hash of the text below) counts its pages. The counts are summed in the tasks before the
+   shuffle, so a host with most of the pages costs no task more than another.
+3. A path is the host's template where texts that recur cover most of its pages, be it one wording or several (second layout,
+   other menu); its recurring texts are left out, other nodes are slots. A page's content is its article or main element;
+   without one, all text in slots. Template nodes, and whatever names itself a
    menu, header, footer, sidebar, notice, advert, form or comment, are left out.
 
 Template removal within an article concerns containers only, never its paragraphs, headings, lists, quotations or tables: pages
 that copy one another keep their text.
 
-Defined results: a null or empty html, or one without text, gives an empty text; a page without a host is aligned with the
+Defined results: a null or empty html, or one without text, gives an empty text; a page without a host is counted with the
 others without one; repeated rows are answered each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from functools import lru_cache
 
@@ -25,12 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import durable, join_measured, table
-from .dom import Folded, Node, parse, simple_tree_matching, text_blocks
+from .dom import Folded, Node, parse, text_blocks
 
-#: A node is template if the text below it is the exemplar's on this share of at least so many pages.
+#: A path is template if texts that are below it on at least so many pages each cover this share of its pages.
 CONSTANT_SHARE, CONSTANT_PAGES = 0.8, 5
-#: Share of a page's slot text that the content subtree holds at least, where no element names itself the article.
-CONTENT_SHARE = 0.6
 #: Hosts whose wrappers may be broadcast: a few kB each.
 BROADCAST_HOSTS = 2_000
 #: Elements and names of what is not the article.
@@ -59,8 +59,15 @@ def boilerplate(n: Node, inside: bool) -> bool:
 
 
 @lru_cache(maxsize=4096)
-def _aligned(page: str, exemplar: str) -> dict[int, int]:
-    return simple_tree_matching(page, exemplar)
+def _paths(skeleton: str) -> list[int]:
+    """A 63-bit hash of each node's signatures from the root down."""
+    out, above = [], []
+    for line in skeleton.split("\n"):
+        depth, name = line.split(" ", 1)
+        del above[int(depth) :]
+        above.append(hashlib.blake2b(name.encode("utf-8", "replace"), digest_size=8, key=above[-1] if above else b"").digest())
+        out.append(int.from_bytes(above[-1], "little") >> 1)
+    return out
 
 
 def with_host(pages: DataFrame) -> DataFrame:
@@ -68,49 +75,36 @@ def with_host(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
 
 
-def exemplars(pages: DataFrame) -> DataFrame:
-    """host, skeleton, own (hashes of the text below each node): the folded tree of each host's page with the least hash."""
-    first = pages.groupBy("host").agg(F.min_by("html", F.xxhash64("html")).alias("html"))
+def induce(pages: DataFrame) -> DataFrame:
+    """host, paths, owns: the (path, hash of the text below) that are template, of hosts that have any."""
 
     def run(batches):
-        for b in batches:
-            trees = [Folded(parse(x)) for x in b.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("host"), pa.array([t.skeleton for t in trees], pa.string()), pa.array([t.own for t in trees], pa.list_(pa.int64()))], ["host", "skeleton", "own"])
-
-    return durable(first.mapInArrow(run, "host string, skeleton string, own array<bigint>"))
-
-
-def induce(pages: DataFrame, of: DataFrame) -> DataFrame:
-    """host, skeleton, constant: the exemplar's nodes whose text is constant over the host's pages."""
-    joined = join_measured(pages.select("host", "html"), of.withColumnRenamed("host", "_host"), F.col("host") == F.col("_host"), "inner", bound=BROADCAST_HOSTS)
-
-    def run(batches):
-        seen: dict[tuple[str, int], list[int]] = {}
+        seen: dict[tuple[str, int, int], int] = {}
 
         def out():
             return pa.RecordBatch.from_arrays(
-                [pa.array([h for h, _ in seen], pa.string()), pa.array([n for _, n in seen], pa.int32()), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int64())],
-                ["host", "node", "pages", "same"],
+                [pa.array([h for h, _, _ in seen], pa.string()), pa.array([p for _, p, _ in seen], pa.int64()), pa.array([o for _, _, o in seen], pa.int64()), pa.array(seen.values(), pa.int64())],
+                ["host", "path", "own", "n"],
             )
 
         for b in batches:
-            for host, text, skeleton, own in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), b.column("skeleton").to_pylist(), b.column("own").to_pylist(), strict=True):
+            for host, text in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
                 tree = Folded(parse(text))
-                for i, j in _aligned(tree.skeleton, skeleton).items():
-                    if own[j]:
-                        count = seen.setdefault((host, j), [0, 0])
-                        count[0] += 1
-                        count[1] += tree.own[i] == own[j]
+                for path, own in zip(_paths(tree.skeleton), tree.own, strict=True):
+                    if own:
+                        seen[host, path, own] = seen.get((host, path, own), 0) + 1
             if len(seen) > 200_000:
                 yield out()
                 seen.clear()
         if seen:
             yield out()
 
-    counted = joined.select("host", "html", "skeleton", "own").mapInArrow(run, "host string, node int, pages bigint, same bigint")
-    counted = counted.groupBy("host", "node").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"))
-    constant = counted.where((F.col("pages") >= CONSTANT_PAGES) & (F.col("same") >= CONSTANT_SHARE * F.col("pages"))).groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("constant"))
-    return durable(of.select("host", "skeleton").join(constant, "host", "left").select("host", "skeleton", F.coalesce("constant", F.array().cast("array<int>")).alias("constant")))
+    counted = pages.select("host", "html").mapInArrow(run, "host string, path bigint, own bigint, n bigint").groupBy("host", "path", "own").agg(F.sum("n").alias("n"))
+    again = F.when(F.col("n") >= CONSTANT_PAGES, F.col("n"))
+    covered = counted.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.sum(again).alias("covered"), F.collect_list(F.when(again.isNotNull(), F.col("own"))).alias("owns"))
+    template = covered.where(F.col("covered") >= CONSTANT_SHARE * F.col("pages")).select("host", "path", F.explode("owns").alias("own"))
+    both = template.groupBy("host").agg(F.collect_list(F.struct("path", "own")).alias("x"))
+    return durable(both.select("host", F.col("x.path").alias("paths"), F.col("x.own").alias("owns")))
 
 
 def _articles(n: Node, out: list[Node]) -> list[Node]:
@@ -128,23 +122,22 @@ def _articles(n: Node, out: list[Node]) -> list[Node]:
     return out
 
 
-def extract(text: str, skeleton: str, constant: list[int]) -> str:
-    """Main text of one page under its host's wrapper."""
+def extract(text: str, constant: set[tuple[int, int]]) -> str:
+    """Main text of one page under its host's template."""
     if not text.strip():
         return ""
     root = parse(text)
     template: set[int] = set()
     if constant:
-        tree, fixed = Folded(root), set(constant)
-        for i, j in _aligned(tree.skeleton, skeleton).items():
-            if j in fixed:
+        tree = Folded(root)
+        for i, (path, own) in enumerate(zip(_paths(tree.skeleton), tree.own, strict=True)):
+            if (path, own) in constant:
                 template.update(id(n) for n in tree.members[i])
     regions = _articles(root, [])
     if regions:
         skip = lambda n: boilerplate(n, True) or (id(n) in template and n.tag not in PROSE)
     else:
-        outside = lambda n: boilerplate(n, False) or id(n) in template
-        regions, skip = [_slot(root, outside)], outside
+        regions, skip = [root], lambda n: boilerplate(n, False) or id(n) in template
     blocks: list[str] = []
     for r in regions:
         text_blocks(r, skip, blocks)
@@ -154,41 +147,19 @@ def extract(text: str, skeleton: str, constant: list[int]) -> str:
     return "\n\n".join(blocks)
 
 
-def _slot(root: Node, skip) -> Node:
-    """The deepest node that still holds CONTENT_SHARE of the text outside the template."""
-    mass: dict[int, int] = {}
-
-    def weigh(n: Node) -> int:
-        total = 0
-        for c in n.children:
-            if isinstance(c, str):
-                total += len("".join(c.split()))
-            elif not skip(c):
-                total += weigh(c)
-        mass[id(n)] = total
-        return total
-
-    at, whole = root, weigh(root)
-    while True:
-        inner = [c for c in at.children if not isinstance(c, str) and c.tag not in PROSE and mass.get(id(c), 0) >= max(1, CONTENT_SHARE * whole)]
-        if not inner:
-            return at
-        at = inner[0]
-
-
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     rows = with_host(pages)
-    wrappers = induce(rows, exemplars(rows)).withColumnRenamed("host", "_host")
+    wrappers = induce(rows).withColumnRenamed("host", "_host")
     joined = join_measured(rows, wrappers, F.col("host") == F.col("_host"), "left", bound=BROADCAST_HOSTS)
     kind = {f.name: f.dataType.simpleString() for f in rows.schema}
 
     def run(batches):
         for b in batches:
-            texts = [extract(h, s or "", c or []) for h, s, c in zip(b.column("html").to_pylist(), b.column("skeleton").to_pylist(), b.column("constant").to_pylist(), strict=True)]
+            texts = [extract(h, set(zip(p or (), o or (), strict=True))) for h, p, o in zip(b.column("html").to_pylist(), b.column("paths").to_pylist(), b.column("owns").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return joined.select("page_id", "url", "html", "skeleton", "constant").mapInArrow(run, f"page_id {kind['page_id']}, url {kind['url']}, text string, n_chars bigint")
+    return joined.select("page_id", "url", "html", "paths", "owns").mapInArrow(run, f"page_id {kind['page_id']}, url {kind['url']}, text string, n_chars bigint")
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -405,6 +405,14 @@ def test_html(spark):
     assert text[12] == f"H2\n\n{'text ' * 30}2" and text[20] == text[21] == "" and text[22] == "a < b"
 
 
+def test_html_keeps_intro_and_finds_second_layout(spark):
+    """A headline and intro beside the long part stay; a menu of two wordings is template on all pages of its host."""
+    page = lambda i: f"<body><div class='x'>{'Hello user, sign out' if i % 2 else 'Sign in'}</div><div id='main'><h1>Title {name(i)}</h1><div class='intro'>Intro {name(i)}</div><div class='body'>{'text ' * 30}{name(i)}</div></div></body>"
+    rows = [(i, f"http://a.example/{i}", page(i)) for i in range(14)]
+    got = html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"Title {name(i)}\n\nIntro {name(i)}\n\n{'text ' * 30}{name(i)}" for i in range(14)}
+
+
 def test_tree_matching():
     skeleton = lambda h: dom.Folded(dom.parse(h)).skeleton
     a, b = skeleton("<div><p>x</p><ul><li>1<li>2</ul></div>"), skeleton("<div><h1>t</h1><p>x</p><ul><li>1</ul></div>")
