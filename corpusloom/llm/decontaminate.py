@@ -1,11 +1,12 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
 1. `term_counts` counts, over all documents, the occurrences of every benchmark term.
-2. `plan_windows` orders each window's terms by rarity; only its rarest terms are asked of the index.
+2. `plan_windows` orders each window's terms by rarity; only its rarest terms are asked of the index: MEETING more than a proximity
+   match may lack, so that any match, whichever words were replaced, holds MEETING of them.
 3. `build_index` stores the postings of those terms (term -> rows and positions), one shard for each block of documents, with
    the number of words of every document. Shards are local to the task that reads the texts: postings are not shuffled.
-4. `search` intersects, within a shard, the posting lists shifted by the terms' offsets, from the rarest term on. A tolerance
-   keeps starts that nearly agree, for proximity matches.
+4. `search` shifts, within a shard, the posting lists by the terms' offsets and keeps the starts at which MEETING of a window's asked
+   terms meet. A tolerance keeps starts that nearly agree, for proximity matches.
 5. `verify` fetches the texts of the rows found and compares whole windows of words.
 
 Benchmark items are taken in blocks of at most BLOCK_WORDS words, so what tasks hold of them is bounded.
@@ -18,6 +19,7 @@ is written as an empty string; empty tables give no documents or no hits; other
 from __future__ import annotations
 
 import itertools
+import math
 import re
 from collections import defaultdict
 from dataclasses import dataclass
@@ -31,8 +33,8 @@ from .common import BROADCAST_ROWS, durable, join_measured, table
 from .textkit import ALNUM, Block, Hasher, hash_word, lower_ascii, map_blocks, words
 
 WINDOW = 10
-#: Terms of a window that the index is asked for, rarest first.
-RAREST = 3
+#: Terms of a window that must meet at a candidate; so many more than a match may lack are asked for, rarest first.
+MEETING = 2
 #: Words by which a proximity match may be displaced, and the share of its words that must be there.
 SLOP, NEAR_SHARE = 4, 0.8
 BLOCK_WORDS = 1_000_000
@@ -48,7 +50,7 @@ def text_words(text: str | None) -> list[str]:
 
 @dataclass
 class Windows:
-    """words[i]: the words of window i; items[i]: positions of the items that hold it; asked[i]: (term, offset), rarest first."""
+    """words[i]: the words of window i; items[i]: positions of the items that hold it; asked[i]: (term, offset), rarest first, every offset of a term."""
 
     words: list[tuple[str, ...]]
     items: list[list[int]]
@@ -90,9 +92,16 @@ def plan_windows(items: list[list[str]], size: int = WINDOW) -> dict[tuple[str,
     return found
 
 
-def order_terms(found: dict[tuple[str, ...], list[int]], counts: dict[int, int], code: dict[str, int], rarest: int = RAREST) -> Windows:
-    keys = sorted(found)
-    asked = [sorted(((code[t], o) for o, t in enumerate(w)), key=lambda x: (counts[x[0]], x[1]))[:rarest] for w in keys]
+def least_words(window: tuple[str, ...]) -> int:
+    """Different words of the window that a proximity match holds."""
+    return math.ceil(NEAR_SHARE * len(set(window)) - 1e-9)
+
+
+def order_terms(found: dict[tuple[str, ...], list[int]], counts: dict[int, int], code: dict[str, int], meeting: int = MEETING) -> Windows:
+    keys, asked = sorted(found), []
+    for w in keys:
+        terms = sorted({code[t] for t in w}, key=lambda t: (counts[t], t))[: len(set(w)) - least_words(w) + meeting]
+        asked.append([(t, o) for t in terms for o, x in enumerate(w) if code[x] == t])
     return Windows(keys, [found[w] for w in keys], asked)
 
 
@@ -139,31 +148,40 @@ def build_index(docs: DataFrame, terms: np.ndarray) -> DataFrame:
     return durable(map_blocks(docs.select("doc_id", "_row", F.coalesce("text", F.lit("")).alias("text")), "text", schema, run, SHARD_BYTES))
 
 
-def _near(a: np.ndarray, b: np.ndarray, slop: int) -> np.ndarray:
-    """Those of sorted a that have one of sorted b within slop."""
-    if not len(b):
-        return a[:0]
-    return a[np.searchsorted(b, a - slop, "left") < np.searchsorted(b, a + slop, "right")]
+def _meeting(window: np.ndarray, term: np.ndarray, starts: np.ndarray, alone: np.ndarray, slop: int) -> np.ndarray:
+    """Order and mask of the starts that nearly agree with one of another term of the same window; alone: windows of one term."""
+    order = np.lexsort((starts, window))
+    w, t, s = window[order], term[order], starts[order]
+    change = np.concatenate([[True], (w[1:] != w[:-1]) | (t[1:] != t[:-1]), [True]])
+    cuts, run = np.flatnonzero(change), np.cumsum(change[:-1])
+    after, before = cuts[run], cuts[run - 1] - 1  # the nearest entries of another term
+    keep = alone[w]
+    for other, inside in ((np.minimum(after, len(w) - 1), after < len(w)), (np.maximum(before, 0), before >= 0)):
+        keep = keep | (inside & (w[other] == w) & (np.abs(s[other] - s) <= 2 * slop))
+    return order[keep]
 
 
 def search(index: DataFrame, windows: Windows, slop: int = SLOP) -> DataFrame:
-    """(_row, window, start): starts at which the posting lists of a window's rarest terms meet, within slop."""
-    by_rarest = defaultdict(list)
+    """(_row, window, start): starts at which the posting lists of a window's asked terms meet, each within slop of its place."""
+    by_term = defaultdict(list)
     for i, asked in enumerate(windows.asked):
-        by_rarest[asked[0][0]].append(i)
-    asked_of = windows.asked
+        for term, offset in asked:
+            by_term[term].append((i, offset))
+    asks = {t: (np.array([i for i, _ in x]), np.array([o for _, o in x])) for t, x in by_term.items()}
+    alone = np.array([len({t for t, _ in asked}) < MEETING for asked in windows.asked], bool)
 
     def intersect(lists: dict[int, np.ndarray]):
+        found = []
+        for at, (term, places) in enumerate(lists.items()):
+            if term in asks:
+                i, offset = asks[term]
+                found.append((np.repeat(i, len(places)), np.full(len(i) * len(places), at), (places[None, :] - offset[:, None]).ravel()))
         out = []
-        for term in lists:
-            for i in by_rarest.get(term, ()):
-                starts = lists[term] - asked_of[i][0][1]
-                for other, offset in asked_of[i][1:]:
-                    if not len(starts):
-                        break
-                    starts = _near(starts, lists.get(other, starts[:0]) - offset, slop)
-                if len(starts):
-                    out.append((np.full(len(starts), i), starts))
+        if found:
+            window, term, starts = (np.concatenate(x) for x in zip(*found, strict=True))
+            kept = _meeting(window, term, starts, alone, slop)
+            if len(kept):
+                out.append((window[kept], starts[kept]))
         if out:
             at = np.concatenate([s for _, s in out])
             # Places are row * 2^32 + position + 2^16, so that a start before the text stays with its row.
@@ -194,6 +212,12 @@ def search(index: DataFrame, windows: Windows, slop: int = SLOP) -> DataFrame:
     return index.select("shard", "_row", "term", "rows", "positions").mapInArrow(run, "_row bigint, window bigint, start bigint")
 
 
+def _origins(doc: list[str], w: tuple[str, ...], s: int, slop: int):
+    """Where a window may start of which a word, displaced by slop at most, says s; none where too few of its words are around."""
+    around = set(doc[max(0, s - 2 * slop) : max(0, s + len(w) + 2 * slop)])
+    return range(s - slop, s + slop + 1) if len(around.intersection(w)) >= least_words(w) else ()
+
+
 def verify(docs: DataFrame, found: DataFrame, windows: Windows, bound: int = BROADCAST_ROWS, slop: int = SLOP) -> DataFrame:
     """(_row, spans, items, near_items): hit word ranges and item positions, by whole windows; near items have no exact window."""
     starts = found.groupBy("_row").agg(F.sort_array(F.collect_set(F.struct("window", "start"))).alias("_found"))
@@ -210,7 +234,7 @@ def verify(docs: DataFrame, found: DataFrame, windows: Windows, bound: int = BRO
                     if s >= 0 and tuple(doc[s : s + len(w)]) == w:
                         spans.add((s, s + len(w)))
                         items.update(windows.items[place["window"]])
-                    elif len(set(w) & set(doc[max(0, s - slop) : max(0, s + len(w) + slop)])) >= NEAR_SHARE * len(set(w)):
+                    elif any(len(set(w) & set(doc[max(0, x - slop) : max(0, x + len(w) + slop)])) >= least_words(w) for x in _origins(doc, w, s, slop)):
                         near.update(windows.items[place["window"]])
                 out.append({"_row": row, "spans": [{"s": a, "e": b} for a, b in sorted(spans)], "items": sorted(items), "near_items": sorted(near - items)})
             if out:

@@ -230,6 +230,16 @@ def test_proximity(spark):
     assert not r.contaminated and r.n_near_items == 1
 
 
+def test_proximity_with_replaced_words(spark):
+    """Whichever one or two of ten words are replaced, the item is near; with three it is not."""
+    words = [f"p{i}" for i in range(10)]
+    gone = [(i, j) for i in range(10) for j in range(i, 10)] + [(1, 5, 9)]
+    rows = [(n, " ".join(["before"] * 3 + ["other" if i in g else w for i, w in enumerate(words)] + ["after"])) for n, g in enumerate(gone)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.report(d, spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")).collect()}
+    assert [got[n].n_near_items for n in range(len(gone))] == [1] * (len(gone) - 1) + [0] and not any(r.contaminated for r in got.values())
+
+
 # ---- 6 and 8
 
 
