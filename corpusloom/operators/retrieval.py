@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 RRF_K = 60
-#: Queries of one call; they are broadcast, the documents never are.
+#: Queries of one block; they are broadcast, the documents never are.
 MAX_QUERIES = 10_000
 
 
@@ -44,13 +46,27 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def dense_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """query, id, score: exact cosine of a bounded set of queries with all vectors; norms are computed once a row."""
-    if not _few(queries):
-        raise ValueError(f"at most {MAX_QUERIES} queries a call: take them in blocks")
+    """query, id, score: exact cosine of all queries with all vectors; queries are taken in blocks, norms are computed once a row and block."""
     q = queries.select("query", F.col("vector").alias("q"), F.sqrt(dot(F.col("vector"), F.col("vector"))).alias("q_norm"))
     d = vectors.select("id", "vector", F.sqrt(dot(F.col("vector"), F.col("vector"))).alias("norm"))
     norm = F.col("q_norm") * F.col("norm")
-    return d.join(F.broadcast(q)).select("query", "id", F.round(F.when(norm == 0, F.lit(0.0)).otherwise(dot(F.col("q"), F.col("vector")) / norm), 6).alias("score"))
+    scores = [d.join(F.broadcast(part)).select("query", "id", F.round(F.when(norm == 0, F.lit(0.0)).otherwise(dot(F.col("q"), F.col("vector")) / norm), 6).alias("score")) for part in _blocks(q)]
+    return reduce(DataFrame.unionByName, scores)
+
+
+def _blocks(queries: DataFrame) -> list[DataFrame]:
+    """The queries in parts of at most MAX_QUERIES rows by a hash of the id; one id is never split."""
+    if _few(queries):
+        return [queries]
+    n, ids = queries.count(), queries.groupBy("query").count()
+    parts = -(-n // MAX_QUERIES)
+    most = ids.agg(F.max("count")).first()[0]
+    while True:
+        part = F.pmod(F.xxhash64("query"), F.lit(parts))
+        fullest = ids.groupBy(part.alias("part")).agg(F.sum("count").alias("n")).agg(F.max("n")).first()[0]
+        if fullest <= max(MAX_QUERIES, most):
+            return [queries.where(part == i) for i in range(parts)]
+        parts += max(1, parts // 4)
 
 
 def top_k(scores: DataFrame, k: int) -> DataFrame:
@@ -103,6 +119,6 @@ def recall_at_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """queries (query = gold id, bucket, vector): recall of each bucket and, with bucket null, overall. Ties favour the gold row."""
     scores = dense_scores(queries.select("query", "vector"), vectors)
     gold = scores.where("query = id").select(F.col("query").alias("_q"), F.col("score").alias("gold"))
-    ranks = scores.join(F.broadcast(gold), F.col("query") == F.col("_q")).groupBy("query").agg((1 + F.count_if(F.col("score") > F.col("gold"))).alias("rank"))
+    ranks = scores.join(F.broadcast(gold) if _few(queries) else gold, F.col("query") == F.col("_q")).groupBy("query").agg((1 + F.count_if(F.col("score") > F.col("gold"))).alias("rank"))
     hits = ranks.join(queries.select("query", "bucket"), "query")
     return hits.rollup("bucket").agg(F.count("*").alias("n"), F.round(F.avg((F.col("rank") <= k).cast("int")), 6).alias("recall"))

@@ -42,6 +42,13 @@ def test_identity_vectors_recall_one(spark):
     assert {r.recall for r in H.recall_at_k(q, v, 1).collect()} == {1.0}
 
 
+def test_dense_scores_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(H, "MAX_QUERIES", 10)
+    v = spark.createDataFrame([(i, [float(i % 7), 1.0 + i]) for i in range(45)], "id long, vector array<float>")
+    got = H.dense_scores(v.select(F.col("id").alias("query"), "vector"), v)
+    assert got.count() == got.select("query", "id").distinct().count() == 45 * 45
+
+
 def test_mmr_prefers_new_words(spark):
     rows = [(0, 1, 10, "a b c"), (0, 2, 11, "a b c"), (0, 3, 12, "x y z")]
     got = H.mmr(spark.createDataFrame(rows, "query long, rank int, id long, text string"), 2).orderBy("pick").collect()
