@@ -36,7 +36,7 @@ def authority_dedup(rows: DataFrame) -> DataFrame:
 
 def parse_frames(raw: DataFrame) -> DataFrame:
     """raw (id, line) -> id, type, text of `data:` lines that hold JSON; others vanish."""
-    body = F.when(F.col("line").startswith("data:"), F.trim(F.substring("line", 6, 1_000_000)))
+    body = F.when(F.col("line").startswith("data:"), F.trim(F.expr("substring(line, 6)")))
     return raw.select("id", F.from_json(body, "type string, text string").alias("f")).where("f.type is not null").select("id", "f.*")
 
 

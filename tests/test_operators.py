@@ -169,6 +169,14 @@ def test_verified_writes(spark, tmp_path):
         V.read_verified(spark, str(tmp_path / "t"), (2, 0))
 
 
+def test_long_frame(spark):
+    from corpusloom.operators import serving as V
+
+    rows = spark.createDataFrame([(1, "a" * 1_200_000)], "id long, text string")
+    raw = rows.select("id", F.concat(F.lit('data: {"type": "delta", "text": "'), "text", F.lit('"}')).alias("line"))
+    assert V.parse_frames(raw).select(F.length("text")).collect()[0][0] == 1_200_000
+
+
 def test_rerank_scorer(spark):
     from corpusloom.operators import serving as V
 
