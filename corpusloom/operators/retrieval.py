@@ -32,6 +32,14 @@ def lexical_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
     return tf_vectors(docs, "id").join(F.broadcast(q) if _few(queries) else q, "idx").groupBy("query", "id").agg(F.sum(F.col("q_tf") * F.col("tf")).cast("double").alias("score"))
 
 
+def lexical_by_tenant(queries: DataFrame, docs: DataFrame, tenant: str, k: int) -> DataFrame:
+    """query, tenant, id, score, rank: the best k of every query within every tenant; docs (tenant, id, text) without a tenant are not read."""
+    owned = docs.where(F.col(tenant) != "").select(F.struct(tenant, "id").alias("id"), "text")
+    scores = lexical_scores(queries, owned).select("query", f"id.{tenant}", "id.id", "score")
+    w = Window.partitionBy(tenant, "query").orderBy(F.desc("score"), "id")
+    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def _few(queries: DataFrame) -> bool:
     return queries.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES
 

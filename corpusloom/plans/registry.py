@@ -96,6 +96,17 @@ def lexical_topk(spark, sf_dir):
     return H.top_k(H.lexical_scores(_items(spark, sf_dir), docs), 10)
 
 
+_LEX_TENANTS = f"""select q.item_id as query, s.source, d.doc_id as id, sum(q.tf * d.tf)::double as score from ({_ITEM_TF}) q
+    join ({_DOC_TF}) d using (idx) join documents s on s.doc_id = d.doc_id where s.source <> '' group by 1, 2, 3"""
+
+
+@query(f"select * from (select *, row_number() over (partition by source, query order by score desc, id)::int as rank from ({_LEX_TENANTS})) where rank <= 10")
+def lexical_topk_tenants(spark, sf_dir):
+    """lexical_topk for every source, each within its own documents."""
+    docs = read(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("id"), "text")
+    return H.lexical_by_tenant(_items(spark, sf_dir), docs, "source", 10)
+
+
 _NORMED = "select vec_id, label, embedding::double[] as v, sqrt(list_dot_product(embedding::double[], embedding::double[])) as n from embeddings"
 _DENSE = f"select q.vec_id as query, d.vec_id as id, round(case when q.n * d.n = 0 then 0 else list_dot_product(q.v, d.v) / (q.n * d.n) end, 6) as score from ({_NORMED}) q, ({_NORMED}) d where {{where}}"
 

@@ -42,6 +42,16 @@ def test_identity_vectors_recall_one(spark):
     assert {r.recall for r in H.recall_at_k(q, v, 1).collect()} == {1.0}
 
 
+def test_lexical_topk_of_every_tenant(spark, sf):
+    from corpusloom.plans import registry
+
+    sources = {r.source for r in spark.read.parquet(f"{sf}/documents.parquet").select("source").distinct().collect()}
+    got = registry.QUERIES["lexical_topk_tenants"](spark, sf)
+    assert {r.source for r in got.select("source").distinct().collect()} == sources
+    one = registry.QUERIES["lexical_topk"](spark, sf)
+    assert got.where("source = 'src1'").select(one.columns).exceptAll(one).isEmpty() and one.exceptAll(got.where("source = 'src1'").select(one.columns)).isEmpty()
+
+
 def test_dense_scores_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(H, "MAX_QUERIES", 10)
     v = spark.createDataFrame([(i, [float(i % 7), 1.0 + i]) for i in range(45)], "id long, vector array<float>")
