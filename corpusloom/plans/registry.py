@@ -492,19 +492,25 @@ def keyword_classify(spark, sf_dir):
     return inline(spark, SECTIONS).select("section", A.classify(F.col("text")).alias("doc_type"))
 
 
+def _sections(spark, sf_dir):
+    """section, text: all documents by their ids, and the inline sections by theirs, negative, so that no two share one."""
+    own = inline(spark, SECTIONS).select((-F.col("section")).alias("section"), "text")
+    return own.unionByName(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("section"), "text"))
+
+
 @query()
 def parties(spark, sf_dir):
-    return A.parties(inline(spark, SECTIONS))
+    return A.parties(_sections(spark, sf_dir))
 
 
 @query()
 def dates(spark, sf_dir):
-    return A.dates(inline(spark, SECTIONS))
+    return A.dates(_sections(spark, sf_dir))
 
 
 @query()
 def obligations(spark, sf_dir):
-    return A.obligations(inline(spark, SECTIONS))
+    return A.obligations(_sections(spark, sf_dir))
 
 
 @query(f"""with m as (select matter, section, lower(v) as value from (select matter, section, unnest(regexp_extract_all(text, '(?i)(\\d+\\s*(?:months?|mois))')) as v from {SECTIONS.sql} where contains(lower(text), 'notice period') or contains(lower(text), 'préavis')))

@@ -36,3 +36,10 @@ def test_matches_sql(spark, sf, db, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
 def test_runs(spark, sf, name):
     assert registry.QUERIES[name](spark, sf).count() > 0
+
+
+@pytest.mark.parametrize("name", ["parties", "dates", "obligations"])
+def test_sections_of_documents(spark, tmp_path, name):
+    text = "Mme Salma Berrada must pay from 2024-05-06."
+    spark.createDataFrame([(77, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert 77 in {r.section for r in registry.QUERIES[name](spark, str(tmp_path)).collect()}
