@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpusloom.llm import brown_lm, decontaminate, dom, html_extract, jaccard_join, packing, quality_mil, quality_rules, secret_scan, token_counts, toxicity
+from corpusloom.llm import brown_lm, decontaminate, jaccard_join, packing, quality_mil, quality_rules, secret_scan, token_counts, toxicity
 from corpusloom.llm.bpe import default_path
 from corpusloom.llm.components import connected_components
 
@@ -400,36 +400,6 @@ def test_grammar_discounts():
     assert score("I will kill you") >= 0.7 > score("I will kill the process") and score("") < 0.1
 
 
-# ---- 4
-
-
-def test_html(spark):
-    article = "<article><h1>T&amp;t</h1><p><b>One.<br><p>two&nbsp; x\n y<ul><li>a<li>b</ul><div class='share'>Share me</div></article>"
-    page = lambda i: f"<html><head><title>t{i}</title><style>p{{}}</style></head><body><nav>menu {i}</nav><div class='ad'>buy</div>{article}<section class='comments'>c</section><footer>f</footer></body></html>"
-    plain = lambda i: f"<body><div id='top'>Site name</div><div id='main'><h2>H{i}</h2><p>{'text ' * 30}{i}</p></div><form>f</form></body>"
-    rows = [(i, "http://a.example/x", page(i), 1) for i in range(6)] + [(10 + i, "http://b.example:80/", plain(i), 1) for i in range(6)] + [(20, None, None, 1), (21, "x", "", 1), (22, "", "a &lt; b", 1), (22, "", "a &lt; b", 1)]
-    got = html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, host int")).collect()
-    text = {r.page_id: r.text for r in got}
-    assert len(got) == len(rows) and all(r.n_chars == len(r.text) for r in got)
-    assert text[0] == "T&t\n\nOne.\n\ntwo x y\n\na\n\nb"
-    assert text[12] == f"H2\n\n{'text ' * 30}2" and text[20] == text[21] == "" and text[22] == "a < b"
-
-
-def test_html_keeps_intro_and_finds_second_layout(spark):
-    """A headline and intro beside the long part stay; a menu of two wordings is template on all pages of its host."""
-    page = lambda i: f"<body><div class='x'>{'Hello user, sign out' if i % 2 else 'Sign in'}</div><div id='main'><h1>Title {name(i)}</h1><div class='intro'>Intro {name(i)}</div><div class='body'>{'text ' * 30}{name(i)}</div></div></body>"
-    rows = [(i, f"http://a.example/{i}", page(i)) for i in range(14)]
-    got = html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    assert {r.page_id: r.text for r in got} == {i: f"Title {name(i)}\n\nIntro {name(i)}\n\n{'text ' * 30}{name(i)}" for i in range(14)}
-
-
-def test_tree_matching():
-    skeleton = lambda h: dom.Folded(dom.parse(h)).skeleton
-    a, b = skeleton("<div><p>x</p><ul><li>1<li>2</ul></div>"), skeleton("<div><h1>t</h1><p>x</p><ul><li>1</ul></div>")
-    m = dom.simple_tree_matching(a, b)
-    assert [b.split("\n")[j].split()[1] for _, j in sorted(m.items())] == ["#root", "div", "p", "ul", "li"]
-
-
 # ---- pipeline
 
 
