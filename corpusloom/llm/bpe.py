@@ -1,10 +1,10 @@
 """Byte-level BPE over Arrow batches, by pre-tokens.
 
 The pre-tokenizer's pattern is evaluated on arrays: runs of letters, numbers, white space and the rest, one preceding space
-joined, contractions and the white-space look-ahead as the pattern orders them. Each distinct pre-token is then known by a
-64-bit hash. `Vocabulary.whole` is the shortcut: the hashes of vocabulary strings that were proven, by encoding each alone
-with the tokenizer itself, to be one token; only other pre-tokens are merged, each distinct one once per worker until the
-bounded memory of merges is full. Texts that hold the string of an added token go to the tokenizer as they are.
+joined, contractions and the white-space look-ahead as the pattern orders them. Arrow's dictionary encoding then finds the distinct
+pre-tokens of a block, comparing strings, never hashes alone. `Vocabulary.whole` is the shortcut: the vocabulary strings that were
+proven, by encoding each alone with the tokenizer itself, to be one token; only other pre-tokens are merged, each distinct one once
+per worker until the bounded memory of merges is full. Texts that hold the string of an added token go to the tokenizer as they are.
 """
 
 from __future__ import annotations
@@ -14,11 +14,12 @@ import unicodedata
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
-from .textkit import Block, Hasher, hash_word, ragged
+from .textkit import Block, ragged
 
-#: Distinct merged pre-tokens kept by a worker before it starts anew.
-MEMORY = 1_500_000
+#: Distinct merged pre-tokens kept by a worker before it starts anew, about 150 bytes each, and their letters.
+MEMORY, MEMORY_LETTERS = 400_000, 20_000_000
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 
 
@@ -85,11 +86,11 @@ class Vocabulary:
 
         self.path, self.tokenizer = path, Tokenizer.from_file(path)
         self.added = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole, self.whole_ids = self._prove()
+        self.whole = self._prove()
         self._forget()
 
-    def _prove(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes (sorted) and ids of the vocabulary strings that encode alone as exactly their one token."""
+    def _prove(self) -> dict[str, int]:
+        """The vocabulary strings that encode alone as exactly their one token, and its id."""
         byte = _bytes_of_symbols()
         texts, ids = [], []
         for symbol, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
@@ -99,50 +100,44 @@ class Vocabulary:
                 continue
             texts.append(text)
             ids.append(i)
-        keep = [(hash_word(t), i) for t, i, e in zip(texts, ids, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True) if e.ids == [i]]
-        keep.sort()
-        return np.array([h for h, _ in keep], np.uint64), np.array([i for _, i in keep], np.int64)
+        return {t: i for t, i, e in zip(texts, ids, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True) if e.ids == [i]}
 
     def _forget(self) -> None:
-        """Memory of merged pre-tokens: sorted hashes, and where their ids lie."""
-        self.known, self.at, self.size = self.whole, np.arange(len(self.whole)), np.ones(len(self.whole), np.int64)
-        self.ids, self.used = self.whole_ids.astype(np.uint32), len(self.whole)
+        """Places of pre-tokens, the proven ones first; by place, where the ids lie and how many they are."""
+        self.known = {t: i for i, t in enumerate(self.whole)}
+        self.at, self.size = np.arange(len(self.whole)), np.ones(len(self.whole), np.int64)
+        self.ids, self.used = np.fromiter(self.whole.values(), np.uint32, len(self.whole)), len(self.whole)
+        self.letters = 0
 
-    def is_whole(self, hashes: np.ndarray) -> np.ndarray:
-        place = np.minimum(np.searchsorted(self.whole, hashes), len(self.whole) - 1)
-        return self.whole[place] == hashes
-
-    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        if len(self.known) + len(hashes) > MEMORY + len(self.whole):
-            self._forget()
+    def _learn(self, texts: list[str]) -> None:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         size = np.array([len(x) for x in found], np.int64)
-        at = self.used + np.concatenate([[0], np.cumsum(size)[:-1]])
+        at = self.used + np.cumsum(size) - size
         flat = np.fromiter((i for x in found for i in x), np.uint32, int(size.sum()))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(flat)), np.uint32)])
         self.ids[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
-        place = np.searchsorted(self.known, hashes)  # hashes are sorted and new
-        self.known, self.at, self.size = np.insert(self.known, place, hashes), np.insert(self.at, place, at), np.insert(self.size, place, size)
-
-    def lookup(self, block: Block, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each pre-token: where its ids lie in self.ids, and how many they are."""
-        ends = np.append(starts[1:], len(block.cp))
-        hashes = Hasher(block.cp).of(starts, ends)
-        distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        place = np.minimum(np.searchsorted(self.known, distinct), len(self.known) - 1)
-        new = self.known[place] != distinct
-        if new.any():
-            if len(self.known) + int(new.sum()) > MEMORY + len(self.whole):
-                self._forget()
-                place = np.minimum(np.searchsorted(self.known, distinct), len(self.known) - 1)
-                new = self.known[place] != distinct
-            s, e = starts[first[new]], ends[first[new]]
-            text = block.cp.astype("<u4").tobytes()
-            self._learn(distinct[new], [text[4 * a : 4 * b].decode("utf-32-le") for a, b in zip(s, e, strict=True)])
-            place = np.searchsorted(self.known, distinct)
-        return self.at[place][back], self.size[place][back]
+        self.known.update(zip(texts, range(len(self.known), len(self.known) + len(texts)), strict=True))
+        self.at, self.size = np.concatenate([self.at, at]), np.concatenate([self.size, size])
+        self.letters += sum(map(len, texts))
+
+    def lookup(self, block: Block, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each pre-token: where its ids lie in self.ids, how many they are, and whether the shortcut gave them."""
+        raw, begin = block.utf8()
+        offsets = np.append(begin[starts], len(raw))
+        wide = len(raw) >= 1 << 31
+        kind = (pa.LargeStringArray if wide else pa.StringArray).from_buffers
+        encoded = kind(len(starts), pa.py_buffer(offsets.astype(np.int64 if wide else np.int32)), pa.py_buffer(raw)).dictionary_encode()
+        distinct = encoded.dictionary.to_pylist()
+        new = [t for t in distinct if t not in self.known]
+        if new and (len(self.known) + len(new) > MEMORY + len(self.whole) or self.letters + sum(map(len, new)) > MEMORY_LETTERS):
+            self._forget()
+            new = [t for t in distinct if t not in self.known]
+        if new:
+            self._learn(new)
+        place = np.fromiter((self.known[t] for t in distinct), np.int64, len(distinct))[encoded.indices.to_numpy()]
+        return self.at[place], self.size[place], place < len(self.whole)
 
     def special_rows(self, block: Block) -> list[int]:
         """Rows whose text holds an added token's string."""
@@ -165,23 +160,23 @@ class Vocabulary:
     def counts(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of each row, and how many of them the shortcut gave."""
         starts, rows = pretokens(block)
-        hashes_whole = np.zeros(block.rows, np.int64)
+        by_shortcut = np.zeros(block.rows, np.int64)
         if len(starts):
-            at, size = self.lookup(block, starts)
+            _, size, whole = self.lookup(block, starts)
             out = np.bincount(rows, size, block.rows).astype(np.int64)
-            hashes_whole = np.bincount(rows, at < len(self.whole), block.rows).astype(np.int64)
+            by_shortcut = np.bincount(rows, whole, block.rows).astype(np.int64)
         else:
             out = np.zeros(block.rows, np.int64)
         for r in self.special_rows(block):
             out[r] = len(self.tokenizer.encode(self.row_text(block, r), add_special_tokens=False).ids)
-            hashes_whole[r] = 0
-        return out, hashes_whole
+            by_shortcut[r] = 0
+        return out, by_shortcut
 
     def encode(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the block's rows one after another, and the offsets of the rows."""
         starts, rows = pretokens(block)
         if len(starts):
-            at, size = self.lookup(block, starts)
+            at, size, _ = self.lookup(block, starts)
             ids, count = self.ids[ragged(at, size)], np.bincount(rows, size, block.rows).astype(np.int64)
         else:
             ids, count = np.zeros(0, np.uint32), np.zeros(block.rows, np.int64)

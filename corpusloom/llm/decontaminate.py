@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, durable, join_measured, table
-from .textkit import ALNUM, Block, Hasher, hash_word, lower_ascii, map_blocks, words
+from .textkit import ALNUM, Block, Hasher, hash_words, lower_ascii, map_blocks, words
 
 WINDOW = 10
 #: Terms of a window that must meet at a candidate; so many more than a match may lack are asked for, rarest first.
@@ -251,7 +251,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, bound: int = BROADCAST_
     for ids, items in _item_blocks(benchmark):
         found = plan_windows(items, window)
         vocabulary = sorted({t for w in found for t in w})
-        code = {t: hash_word(t) for t in vocabulary}
+        code = dict(zip(vocabulary, hash_words(vocabulary).tolist(), strict=True))
         counts = term_counts(docs, np.array(sorted(set(code.values())), np.uint64))
         windows = order_terms(found, counts, code)
         asked = np.array(sorted({t for a in windows.asked for t, _ in a}), np.uint64)

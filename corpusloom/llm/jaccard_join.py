@@ -16,6 +16,7 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, durable, join_measured, table
 from .components import connected_components
-from .textkit import NOT_SPACE, Block, Hasher, lower_ascii, map_blocks, mix, ragged, words
+from .textkit import NOT_SPACE, Block, Hasher, fold, lower_ascii, map_blocks, mix, ragged, words
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -46,8 +47,8 @@ def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, hashes: i
     raise ValueError("the recall needs more hashes")
 
 
-def grams(block: Block, n: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all n-grams by row, n-grams of each row, and two 64-bit keys of each row's word sequence."""
+def grams(block: Block, n: int = WORDS) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Hashes of all n-grams by row, and n-grams of each row; names: a 128-bit digest of each row's words, null without any."""
     low = Block(block.first, lower_ascii(block.cp), block.offsets)
     starts, ends, rows = words(low, NOT_SPACE)
     word = Hasher(low.cp).of(starts, ends) if len(starts) else np.zeros(0, np.uint64)
@@ -56,14 +57,15 @@ def grams(block: Block, n: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndar
     at = to - count
     each = np.where(count > 0, np.maximum(count - n + 1, 1), 0)
     first = ragged(at, each)
-    rolled = Hasher(word)
-    out = rolled.of(first, np.minimum(first + n, np.repeat(to, each)))
-    return out, each, rolled.of(at, to), Hasher(mix(word ^ np.uint64(0x5851F42D4C957F2D))).of(at, to)
-
-
-def _node(k1: np.ndarray, k2: np.ndarray) -> pa.Array:
-    raw = np.stack([k1, k2], 1).astype("<u8").tobytes()
-    return pa.array([raw[16 * i : 16 * i + 16] for i in range(len(k1))], pa.binary())
+    out = fold(word, first, np.minimum(first + n, np.repeat(to, each)))
+    # The words of all rows with a space after each, as bytes.
+    size = ends - starts + 1
+    spaced = np.append(low.cp, np.uint32(32))[ragged(starts, size)].astype("<u4")
+    spaced[np.cumsum(size) - 1] = 32
+    cuts = 4 * np.concatenate([[0], np.cumsum(size)])
+    view, ends_at, begins_at = memoryview(spaced).cast("B"), cuts[to].tolist(), cuts[at].tolist()
+    names = [hashlib.blake2b(view[a:b], digest_size=16).digest() if b > a else None for a, b in zip(begins_at, ends_at, strict=True)]
+    return out, each, pa.array(names, pa.binary())
 
 
 def signatures(docs: DataFrame, bands: int, rows: int, n: int = WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -75,7 +77,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, n: int = WORDS, carry: tu
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept)
 
     def run(block, batch):
-        gram, each, k1, k2 = grams(block, n)
+        gram, each, node = grams(block, n)
         full = np.flatnonzero(each)
         small = (gram >> np.uint64(32)).astype(np.uint32)
         cuts = (np.cumsum(each) - each)[full]
@@ -89,9 +91,6 @@ def signatures(docs: DataFrame, bands: int, rows: int, n: int = WORDS, carry: tu
                 found[:, b] = acc
         offsets = np.concatenate([[0], np.cumsum(np.where(each > 0, bands, 0))]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.reshape(-1).view(np.int64)))
-        node = _node(k1, k2)
-        if len(full) < len(each):
-            node = pa.array([x if m else None for x, m in zip(node.to_pylist(), each, strict=True)], pa.binary())
         return pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], node, pa.array(each), lists], [*kept, "node", "n_grams", "bands"])
 
     rows_in = docs.select(*kept, F.coalesce("text", F.lit("")).alias("text"))
@@ -103,12 +102,12 @@ def gram_sets(rows: DataFrame, carry: list[str], n: int = WORDS) -> DataFrame:
     fields = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in carry)
 
     def run(block, batch):
-        gram, each, k1, k2 = grams(block, n)
+        gram, each, node = grams(block, n)
         to = np.cumsum(each)
         sets = [np.unique(gram[b - m : b]).view(np.int64) for b, m in zip(to, each, strict=True)]
         offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
-        return pa.RecordBatch.from_arrays([_node(k1, k2), *[batch.column(c) for c in carry], lists], ["_found", *carry, "grams"])
+        return pa.RecordBatch.from_arrays([node, *[batch.column(c) for c in carry], lists], ["_found", *carry, "grams"])
 
     return map_blocks(rows, "text", f"_found binary, {fields}, grams array<bigint>", run)
 

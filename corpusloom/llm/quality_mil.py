@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .labelled import labelled_sample, remainder
-from .textkit import NOT_SPACE, Block, Hasher, map_blocks, words
+from .textkit import NOT_SPACE, Block, Hasher, fold, map_blocks, words
 
 PASSAGE = 64
 LABEL_ROWS = 6000
@@ -81,9 +81,8 @@ def encode(block: Block) -> tuple[np.ndarray, np.ndarray]:
     # Three-word windows that occur twice or more in the row.
     if len(starts) > 2:
         whole = rows[2:] == rows[:-2]
-        rolled = Hasher(hashes)
         i = np.flatnonzero(whole)
-        window = rolled.of(i, i + 3)
+        window = fold(hashes, i, i + 3)
         order = np.lexsort((window, rows[i]))
         w, r = window[order], rows[i][order]
         same = (w[1:] == w[:-1]) & (r[1:] == r[:-1])

@@ -1,4 +1,8 @@
-"""Texts of Arrow batches as code-point arrays: word bounds and 64-bit word hashes without a Python loop over words.
+"""Texts of Arrow batches as code-point arrays: word bounds and word hashes without a Python loop over words.
+
+Hashes are 64-bit and mix after every step, so no algebra of a text's letters makes two words meet, as it does under polynomial
+hashes; words of at most three characters never meet each other. Where two words may not be taken for one, strings are compared
+(`bpe`, `decontaminate`) or 128-bit digests are used (`jaccard_join`).
 
 A block holds whole rows of up to BLOCK_BYTES (a longer row is a block of its own), so memory is bounded by the longest text.
 """
@@ -6,17 +10,16 @@ A block holds whole rows of up to BLOCK_BYTES (a longer row is a block of its ow
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 1_000_000
-#: Fixed odd multipliers of the rolling hash and its finish.
-BASE = 0x9E3779B97F4A7C15 | 1
-MASK = (1 << 64) - 1
+#: Words of more code points are hashed one by one, by BLAKE2b.
+LONG = 63
 
 
 @dataclass
@@ -26,11 +29,17 @@ class Block:
     first: int
     cp: np.ndarray
     offsets: np.ndarray
+    raw: bytes | None = None
 
     @property
     def rows(self) -> int:
         return len(self.offsets) - 1
 
+    def utf8(self) -> tuple[bytes, np.ndarray]:
+        """The block as UTF-8, and where each code point begins in it (and the last one ends)."""
+        raw = self.raw if self.raw is not None else self.cp.astype("<u4").tobytes().decode("utf-32-le").encode("utf-8", "replace")
+        return raw, np.append(np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80), len(raw))
+
 
 def blocks(col: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
     """Null texts count as empty."""
@@ -57,24 +66,11 @@ def blocks(col: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
         except UnicodeDecodeError:
             parts = [np.frombuffer(bytes(data[a:b]).decode("utf-8", "replace").encode("utf-32-le"), np.uint32) for a, b in zip(offs[at:to], offs[at + 1 : to + 1], strict=True)]
             cp, offsets = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-        yield Block(at, cp, offsets.astype(np.int64))
+            raw = None
+        yield Block(at, cp, offsets.astype(np.int64), raw)
         at = to
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(BASE, -1, 1 << 64)
-    with np.errstate(over="ignore"):
-        one = np.ones(1, np.uint64)  # a plain [1] would turn the concatenation into floats
-        up = np.cumprod(np.concatenate([one, np.full(n, BASE, np.uint64)]), dtype=np.uint64)
-        down = np.cumprod(np.concatenate([one, np.full(n, inverse, np.uint64)]), dtype=np.uint64)
-    return up, down
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << max(16, int(n).bit_length()))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finish, so that low bits depend on all."""
     x = x.astype(np.uint64)
@@ -84,24 +80,51 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def fold(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of short ranges of 64-bit values (n-grams of words): one step for each place, over all ranges."""
+    n = ends - starts
+    out = mix(n.astype(np.uint64) + np.uint64(0xD6E8FEB86659FD93))
+    for k in range(int(n.max()) if len(n) else 0):
+        live = np.flatnonzero(n > k) if (n <= k).any() else slice(None)
+        out[live] = mix(out[live] + values[starts[live] + k])
+    return out
+
+
 class Hasher:
-    """Hashes of substrings of one code-point array."""
+    """Hashes of substrings of one code-point array, three code points of 21 bits a step."""
 
     def __init__(self, cp: np.ndarray):
-        up, self.down = powers(len(cp) + 1)
-        with np.errstate(over="ignore"):
-            terms = (cp.astype(np.uint64) + np.uint64(1)) * up[: len(cp)]
-            self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
+        self.cp = cp
+        wide = np.concatenate([cp, np.zeros(3, cp.dtype)]).astype(np.uint64)
+        self.lanes = wide[: len(cp) + 1] | (wide[1 : len(cp) + 2] << np.uint64(21)) | (wide[2 : len(cp) + 3] << np.uint64(42))
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        starts, n = np.asarray(starts, np.int64), np.asarray(ends, np.int64) - starts
+        out = np.zeros(len(starts), np.uint64)
+        long = n > LONG
+        live = np.flatnonzero(~long) if long.any() else np.arange(len(n))
+        left, at = n[live], starts[live]
+        keep = np.array([0, (1 << 21) - 1, (1 << 42) - 1, (1 << 63) - 1], np.uint64)  # by how many of a lane's code points count
+        while len(live):
+            out[live] = mix(out[live] ^ (self.lanes[at] & keep[np.minimum(left, 3)]))
+            more = left > 3
+            live, left, at = live[more], left[more] - 3, at[more] + 3
         with np.errstate(over="ignore"):
-            raw = (self.sums[ends] - self.sums[starts]) * self.down[starts]
-            return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            out = mix(out + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        for i in np.flatnonzero(long):
+            word = self.cp[starts[i] : starts[i] + n[i]].astype("<u4").tobytes()
+            out[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return out
+
+
+def hash_words(found: list[str]) -> np.ndarray:
+    cp = np.frombuffer("".join(found).encode("utf-32-le"), np.uint32)
+    to = np.cumsum(np.array([len(w) for w in found], np.int64))
+    return Hasher(cp).of(np.concatenate([[0], to[:-1]]), to) if found else np.zeros(0, np.uint64)
 
 
 def hash_word(word: str) -> int:
-    cp = np.frombuffer(word.encode("utf-32-le"), np.uint32)
-    return int(Hasher(cp).of(np.array([0]), np.array([len(cp)]))[0])
+    return int(hash_words([word])[0])
 
 
 def _table(keep: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:

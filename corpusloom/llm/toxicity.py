@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .bpe import LETTER, classes
 from .common import durable, table
 from .labelled import labelled_sample, remainder
-from .textkit import Block, Hasher, blocks, hash_word, map_blocks, words
+from .textkit import Block, Hasher, blocks, fold, hash_words, map_blocks, words
 
 MODULUS, HELD_OUT = 3, 1
 LABEL_ROWS = 40_000
@@ -131,11 +131,8 @@ class Lexicon:
     prior: float = -3.0
 
     def weight(self, word: str) -> float:
-        found = self.weights.get(hash_word(word), 0.0)
-        for n in STEMS:
-            if len(word) > n:
-                found = max(found, self.weights.get(hash_word(word[:n]), 0.0))
-        return found
+        forms = [word, *(word[:n] for n in STEMS if len(word) > n)]
+        return max(self.weights.get(h, 0.0) for h in hash_words(forms).tolist())
 
     def clauses(self, text: str, weigh=None) -> list[tuple[str, float]]:
         """Matched clauses with their weights. weigh: weights of words if they are known already."""
@@ -254,7 +251,7 @@ def _contexts(sample: DataFrame, only: np.ndarray) -> DataFrame:
         same = rows[1:] == rows[:-1]
         left[1:] = np.where(same, whole[:-1], np.uint64(0))
         right[:-1] = np.where(same, whole[1:], np.uint64(0))
-        around = left * np.uint64(31) + right
+        around = fold(np.stack([left, right], 1).ravel(), 2 * np.arange(len(left)), 2 * np.arange(len(left)) + 2)
         found = []
         for hashes, which in _features(h, starts, ends):
             at = np.minimum(np.searchsorted(only, hashes), len(only) - 1)
@@ -309,7 +306,7 @@ def learn(docs: DataFrame, labels: DataFrame, modulus: int = MODULUS, held_out:
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, n_clauses of every row."""
     lexicon = learn(docs, labels)
-    known = np.array(sorted({*lexicon.weights, *(hash_word(w) for w in THREATS)}), np.uint64)
+    known = np.array(sorted({*lexicon.weights, *hash_words(THREATS).tolist()}), np.uint64)
     rows = docs.select("doc_id", (remainder("doc_id", MODULUS) == HELD_OUT).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     least = lexicon.score([])

@@ -400,6 +400,30 @@ def test_grammar_discounts():
     assert score("I will kill you") >= 0.7 > score("I will kill the process") and score("") < 0.1
 
 
+# ---- identity
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join((a, b)[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_words_meet_by_their_letters_only(spark, tokenizer):
+    """Thue-Morse words collide under any polynomial hash mod 2^64."""
+    one, two = thue_morse(1024), thue_morse(1024, "b", "a")
+    texts_ = [one, two, f"{one} x", f"{two} x", one]
+    docs = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs).collect()}
+    assert got == {i: len(tokenizer.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts_)}
+    pieces = packing.pieces(docs, default_path()).collect()
+    assert {r.doc_id: r.ids_crc32 for r in pieces} == {i: zlib.crc32(struct.pack(f"<{len(e) + 1}I", *e, 1)) for i, t in enumerate(texts_) for e in [tokenizer.encode(t, add_special_tokens=False).ids]}
+    # Documents whose words follow the sequence: eleven hundred equal words around one that differs keep them alike, never copies.
+    w = " ".join(name(i) for i in range(1100))
+    rows = [(0, f"{w} {one}"), (1, f"{w} {two}"), (2, " ".join(one)), (3, " ".join(two))]
+    joined = {r.doc_id: r for r in jaccard_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert joined[0].n_links == joined[1].n_links == 1 and joined[0].n_copies == 1 and joined[0].class_id == joined[1].class_id == 0
+    assert joined[2].n_copies == joined[3].n_copies == 1
+
+
 # ---- pipeline
 
 
