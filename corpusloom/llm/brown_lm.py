@@ -2,17 +2,18 @@
 
 1. `word_counts` counts every word of the training documents (summed in the tasks before the shuffle).
 2. The most frequent TOP words are clustered into CLASSES by the exchange algorithm on their bigram counts, which come from all
-   training documents: each word in turn moves to the class that raises the class bigram likelihood most. Every other training
-   word then joins the class that raises it most against these fixed classes, by the word's counts with the classes before and
-   after it, gathered over all training documents. Only words unseen in training fall in classes by their form (length, last
-   character), which also stand for the neighbours of a word that have no class yet. A document starts and ends in the end class.
+   training documents: each word in turn moves to the class that raises the class bigram likelihood most. The next MIDDLE words
+   join the class that raises it most against these, by their counts with the classes before and after them. Then the class
+   bigrams are counted anew, and every training word but the first TOP is exchanged against them, in parallel: it leaves its class,
+   if it has one, and joins the best one. Only words unseen in training fall in classes by their form (length, last character),
+   which also stand for neighbours that have no class yet. A document starts and ends in the end class.
 3. p(word | history) = p(class | class before) * p(word | class): additive smoothing of the transitions, half a count for every
    word and for the unseen of a class. Both factors are sums of logarithms, so a document needs its transitions and the logs of
    its words' counts.
 4. Words of the bounded head table (at most HEAD words) are looked up in the task; the others meet counts and classes in a join.
    Documents become strings of classes, from which transitions are counted and scores summed.
 
-A word's identity is a 64-bit hash. Defined results: a null, empty or blank text is the end token alone; a null id counts as
+A word's identity is a 64-bit hash of its letters (v different words share one with odds of v * v / 2 ** 65). Defined results: a null, empty or blank text is the end token alone; a null id counts as
 training text of remainder 0; repeated rows count and score each; without training rows every probability is that of an unseen
 word; an empty table gives an empty result; other columns are ignored.
 """
@@ -31,7 +32,7 @@ from .labelled import remainder
 from .textkit import NOT_SPACE, Block, Hasher, blocks, lower_ascii, map_blocks, words
 
 MODULUS, HELD_OUT = 5, 1
-TOP, CLASSES, ROUNDS = 1000, 48, 8
+TOP, MIDDLE, CLASSES = 1000, 20_000, 48
 #: Words at most in the table that tasks hold: 24 bytes each.
 HEAD = 1_000_000
 LENGTHS = (4, 7, 10)
@@ -113,17 +114,16 @@ def symbols(word, form, rows, n_rows: int, top: np.ndarray, top_class: np.ndarra
     return out, before, np.repeat(np.arange(n_rows), count + 1)
 
 
-def bigram_counts(train: DataFrame, top: np.ndarray) -> np.ndarray:
-    """Matrix of counts over symbols: top words by rank of hash, forms, end. Bounded by its size, whatever the corpus."""
-    size = len(top) + FORMS + 1
-    index = np.arange(len(top))
+def bigram_counts(train: DataFrame, known: np.ndarray, index: np.ndarray, first_form: int) -> np.ndarray:
+    """Matrix of counts over symbols: the index of known words, forms, end. Bounded by its size, whatever the corpus."""
+    size = first_form + FORMS + 1
 
     def run(batches):
         n = np.zeros(size * size, np.int64)
         for batch in batches:
             for block in blocks(batch.column("text")):
                 word, form, rows = tokens(block)
-                now, before, _ = symbols(word, form, rows, block.rows, top, index, len(top), size - 1)
+                now, before, _ = symbols(word, form, rows, block.rows, known, index, first_form, size - 1)
                 n += np.bincount(before * size + now, minlength=size * size)
         seen = np.flatnonzero(n)
         for s in range(0, len(seen), 200_000):
@@ -140,8 +140,32 @@ def _f(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
-def exchange(n: np.ndarray, movable: int, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
-    """Class of each symbol: the first `movable` ones (most frequent first by their counts) are clustered, the others fixed."""
+def _gain(m: np.ndarray, out: np.ndarray, into: np.ndarray, own: float, classes: int) -> np.ndarray:
+    """What a symbol adds to the likelihood in each class; m is without it; out, into: its counts after and before, without itself."""
+    rows, cols = (m.sum(1) + into)[:classes], (m.sum(0) + out)[:classes]  # totals, whichever class the word joins
+    gain = (_f(m[:classes] + out) - _f(m[:classes])).sum(1)
+    col = m[:, :classes].T
+    gain += (_f(col + into) - _f(col)).sum(1)
+    d = np.arange(classes)
+    diag = m[d, d]
+    gain -= _f(diag + out[d]) - _f(diag) + _f(diag + into[d]) - _f(diag)
+    gain += _f(diag + out[d] + into[d] + own) - _f(diag)
+    r, c = out.sum() + own, into.sum() + own
+    return gain - (_f(rows + r) - _f(rows) + _f(cols + c) - _f(cols))
+
+
+def _without(m: np.ndarray, a: int, out: np.ndarray, into: np.ndarray, own: float) -> np.ndarray:
+    m = m.copy()
+    m[a] -= out
+    m[:, a] -= into
+    m[a, a] -= own
+    return m
+
+
+def exchange(n: np.ndarray, movable: int, classes: int = CLASSES) -> np.ndarray:
+    """Class of each symbol: the first `movable` ones (most frequent first by their counts) are clustered, the others fixed.
+
+    It ends where no single move helps: every move raises the likelihood, which has finitely many values."""
     size = len(n)
     fixed = size - movable
     order = np.argsort(-n[:movable].sum(1), kind="stable")
@@ -153,42 +177,26 @@ def exchange(n: np.ndarray, movable: int, classes: int = CLASSES, rounds: int =
     z[np.arange(size), of] = 1
     right, left = n @ z, n.T @ z  # counts of each symbol with the classes after and before it
     m = z.T @ right
-    for _ in range(rounds):
-        moved = 0
+    moved = True
+    while moved:
+        moved = False
         for w in order:
             a, own = of[w], n[w, w]
             out, into = right[w].copy(), left[w].copy()
             out[a] -= own
             into[a] -= own
-            m[a] -= out
-            m[:, a] -= into
-            m[a, a] -= own
-            rows, cols = (m.sum(1) + into)[:classes], (m.sum(0) + out)[:classes]  # totals, whichever class the word joins
-            sub, base = m[:classes], _f(m[:classes])
-            gain = (_f(sub + out) - base).sum(1)
-            col, cbase = m[:, :classes].T, _f(m[:, :classes].T)
-            gain += (_f(col + into) - cbase).sum(1)
-            d = np.arange(classes)
-            diag = m[d, d]
-            gain -= _f(diag + out[d]) - _f(diag) + _f(diag + into[d]) - _f(diag)
-            gain += _f(diag + out[d] + into[d] + own) - _f(diag)
-            r, c = out.sum() + own, into.sum() + own
-            gain -= _f(rows + r) - _f(rows) + _f(cols + c) - _f(cols)
+            less = _without(m, a, out, into, own)
+            gain = _gain(less, out, into, own, classes)
             b = int(np.argmax(gain))
-            if gain[b] <= gain[a] + 1e-9:
-                b = a
-            m[b] += out
-            m[:, b] += into
-            m[b, b] += own
-            if b != a:
-                moved += 1
-                of[w] = b
-                right[:, a] -= n[:, w]
-                right[:, b] += n[:, w]
-                left[:, a] -= n[w]
-                left[:, b] += n[w]
-        if not moved:
-            break
+            if gain[b] <= gain[a] + 1e-6 * max(1.0, abs(gain[a])):
+                continue
+            m = _without(less, b, -out, -into, -own)
+            moved = True
+            of[w] = b
+            right[:, a] -= n[:, w]
+            right[:, b] += n[:, w]
+            left[:, a] -= n[w]
+            left[:, b] += n[w]
     return of
 
 
@@ -205,8 +213,9 @@ def _numbers(strings: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]
     return np.frombuffer(strings.buffers()[2], np.uint8)[cuts[0] : cuts[-1]].copy().view(kind), (cuts - cuts[0]) // kind.itemsize
 
 
-def neighbours(train: DataFrame, top: np.ndarray, top_class: np.ndarray, first_form: int, end: int) -> DataFrame:
-    """word, codes: of every word that is not in top, the classes after it (c), before it (k + c) and itself after itself (2 k)."""
+def neighbours(train: DataFrame, known: np.ndarray, of: np.ndarray, first_form: int, end: int, words: np.ndarray, inside: bool) -> DataFrame:
+    """word, codes: of every word that is (or, unless inside, is not) in words, the classes after it (c), before it (k + c) and
+    itself after itself (2 k). Known words are in the classes `of`."""
     k = end + 1
     kind = np.min_scalar_type(2 * k)
 
@@ -226,9 +235,9 @@ def neighbours(train: DataFrame, top: np.ndarray, top_class: np.ndarray, first_f
                 word, form, rows = tokens(block)
                 if not len(word):
                     continue
-                now, before, _ = symbols(word, form, rows, block.rows, top, top_class, first_form, end)
+                now, before, _ = symbols(word, form, rows, block.rows, known, of, first_form, end)
                 inner = now != end
-                before, after, other = before[inner], np.append(now[1:], end)[inner], now[inner] >= first_form
+                before, after, other = before[inner], np.append(now[1:], end)[inner], _find(words, word)[1] == inside
                 again = (word[1:] == word[:-1]) & (rows[1:] == rows[:-1])
                 first = other & ~np.concatenate([[False], again])  # a repetition is counted once, at the word before
                 code = np.where(np.append(again, False), 2 * k, after)
@@ -265,9 +274,10 @@ def gains(n: np.ndarray, m: np.ndarray, classes: int, listed: np.ndarray) -> np.
     return out - (_f(rows + r) - _f(rows) + _f(cols + c) - _f(cols))
 
 
-def assign(found: DataFrame, m: np.ndarray, classes: int) -> DataFrame:
-    """word, n, class of every word of `neighbours`."""
+def assign(found: DataFrame, m: np.ndarray, classes: int, known: np.ndarray | None = None, of: np.ndarray | None = None) -> DataFrame:
+    """word, n, class of every word of `neighbours`; m: class bigrams, in which the words of known are counted in the classes `of`."""
     k = len(m)
+    known, of = (np.zeros(0, np.uint64), np.zeros(0, np.int64)) if known is None else (known, of)
     kind = np.min_scalar_type(2 * k)
 
     def run(batches):
@@ -282,6 +292,11 @@ def assign(found: DataFrame, m: np.ndarray, classes: int) -> DataFrame:
                 index = np.repeat(at[a:b] - s, np.diff(cuts[a : b + 1]))
                 n = np.bincount(index * (2 * k + 1) + code[cuts[a] : cuts[b]], minlength=(e - s) * (2 * k + 1)).reshape(e - s, 2 * k + 1)
                 best = np.argmax(gains(n, m, classes, listed), 1)
+                place, held = _find(known, unique[s:e].view(np.uint64))
+                for i in np.flatnonzero(held):  # it leaves its class first, and returns unless another is better
+                    x, a = n[i].astype(float), of[place[i]]
+                    gain = _gain(_without(m, a, x[:k], x[k : 2 * k], x[2 * k]), x[:k], x[k : 2 * k], x[2 * k], classes)
+                    best[i] = a if gain.max() <= gain[a] + 1e-6 * max(1.0, abs(gain[a])) else np.argmax(gain)
                 yield pa.RecordBatch.from_arrays([pa.array(unique[s:e]), pa.array(n[:, k:].sum(1)), pa.array(best)], ["word", "n", "class"])
 
         held = (np.zeros(0, np.int64), np.zeros(0, kind), np.zeros(1, np.int64))
@@ -320,7 +335,7 @@ def transitions(strings: DataFrame, k: int) -> np.ndarray:
     return out.reshape(k, k)
 
 
-def score_documents(docs: DataFrame, top: int = TOP, classes: int = CLASSES, head: int = HEAD) -> DataFrame:
+def score_documents(docs: DataFrame, top: int = TOP, classes: int = CLASSES, head: int = HEAD, middle: int = MIDDLE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     rows = docs.select("doc_id", (remainder("doc_id", MODULUS) == HELD_OUT).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     train = rows.where(~F.col("held_out"))
@@ -335,18 +350,29 @@ def score_documents(docs: DataFrame, top: int = TOP, classes: int = CLASSES, hea
         if so_far > head:
             break
         cut = r.n
-    often = counts.orderBy(F.desc("n"), "word").limit(top).toArrow()
-    t_word, t_n = often["word"].to_numpy().view(np.uint64), often["n"].to_numpy()
-    order = np.argsort(t_word)
-    t_word, t_n = t_word[order], t_n[order]
+    often = counts.orderBy(F.desc("n"), "word").limit(top + middle).toArrow()
+    o_word, o_n = often["word"].to_numpy().view(np.uint64), often["n"].to_numpy()
+    order = np.argsort(o_word[:top])
+    t_word, t_n, m_word = o_word[:top][order], o_n[:top][order], np.sort(o_word[top:])
 
-    n = bigram_counts(train, t_word)
+    n = bigram_counts(train, t_word, np.arange(len(t_word)), len(t_word))
     classes = max(1, min(classes, len(t_word)))
     of = exchange(n, len(t_word), classes)
     k = classes + FORMS + 1
     z = np.zeros((len(n), k))
     z[np.arange(len(n)), of] = 1
-    others = durable(assign(neighbours(train, t_word, of[: len(t_word)], classes, k - 1), z.T @ n @ z, classes))
+    m, known, known_of = z.T @ n @ z, t_word, of[: len(t_word)]
+    m_of = np.zeros(0, np.int64)
+    if len(m_word):
+        joined = assign(neighbours(train, known, known_of, classes, k - 1, m_word, True), m, classes).select("word", "class").toArrow()
+        word, m_of = joined["word"].to_numpy().view(np.uint64), joined["class"].to_numpy()
+        order = np.argsort(word)
+        m_word, m_of = word[order], m_of[order]
+        known = np.concatenate([t_word, m_word])
+        order = np.argsort(known)
+        known, known_of = known[order], np.concatenate([known_of, m_of])[order]
+        m = bigram_counts(train, known, known_of, classes)
+    others = durable(assign(neighbours(train, known, known_of, classes, k - 1, t_word, False), m, classes, m_word, m_of))
     distinct = np.bincount(of[: len(t_word)], minlength=k).astype(float)
     for r in others.groupBy("class").count().collect():
         distinct[r["class"]] += r["count"]
