@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,15 +9,26 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
+#: A key with more than a HOT_KEYS-th of all rows (and than HOT_LEAST) is hot: there cannot be more of them.
+HOT_KEYS, HOT_LEAST = 20_000, 256
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """The folder the cluster names in spark.checkpoint.dir; where none is set, one beside the tables of the warehouse, which
+    driver and executors share."""
     if spark.sparkContext.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="corpusloom-ckpt-"))
+        spark.sparkContext.setCheckpointDir(where or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+
+
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """A 128-bit digest of id and text: rows that share it are repeats. Nulls differ from empty values."""
+    part = lambda c: F.coalesce(F.concat(F.lit("+"), F.col(c).cast("string")), F.lit("-"))
+    return F.unhex(F.md5(F.concat(part(doc_id), F.lit("\n"), part(text))))
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -32,3 +41,13 @@ def join_measured(big: DataFrame, small: DataFrame, on: Column, how: str, rows:
     """Join; small is broadcast only if its counted rows are within bound, else it is shuffled (AQE splits skewed keys)."""
     n = small.count() if rows is None else rows
     return big.join(F.broadcast(small) if n <= bound else small.hint("merge"), on, how)
+
+
+def join_hot(rows: DataFrame, small: DataFrame, key: str, times: str, total: int, how: str = "inner") -> DataFrame:
+    """rows with the columns of small, which has each key once and in `times` how many of the `total` rows share it (or more).
+
+    Rows of hot keys meet a broadcast of at most HOT_KEYS rows where they lie; only the others are shuffled by the key."""
+    limit = max(HOT_LEAST, total // HOT_KEYS)
+    hot, few = F.broadcast(small.where(F.col(times) > limit)), small.where(F.col(times) <= limit)
+    rest = rows.join(F.broadcast(small.where(F.col(times) > limit).select(key)), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(few, key, how))

@@ -1,23 +1,25 @@
-"""Connected components of an edge table by alternating large and small stars; every round is cut into the shared folder."""
+"""Connected components of an edge table by alternating large and small stars; every round is cut into the shared folder.
+
+A hub, be it a third of all edges, is no join key: its edges meet its least neighbour in a broadcast (`join_hot`)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, join_hot
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-    return both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n"))
+    return join_hot(both, least, "a", "n", 2 * n).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    linked = down.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    linked = join_hot(down, least, "a", "n", n).where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return linked.unionByName(least.select("a", F.col("m").alias("b")))
 
 
@@ -28,11 +30,13 @@ def _mark(edges: DataFrame) -> tuple:
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges (a, b) -> (node, root): the least node of its component, for every node that has an edge to another one.
 
-    Nodes may be of any ordered type. Rounds grow with the logarithm of a component's diameter."""
+    Nodes may be of any ordered type; longs are cheapest. Rounds grow with the logarithm of a component's diameter."""
     now = durable(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = _mark(now)
     while mark[0]:
-        now = durable(_small_star(_large_star(now).where(F.col("a") != F.col("b")).distinct()).where(F.col("a") != F.col("b")).distinct())
+        large = _large_star(now, mark[0]).where(F.col("a") != F.col("b")).distinct()
+        # The large star gives an edge for each of a node's at most, so its rows do not exceed those of both directions.
+        now = durable(_small_star(large, 2 * mark[0]).where(F.col("a") != F.col("b")).distinct())
         after = _mark(now)
         if after == mark:
             break

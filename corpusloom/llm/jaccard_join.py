@@ -1,13 +1,17 @@
 """Similarity join of documents on word n-grams by MinHash banding.
 
-1. `signatures` reads every whole text once: a 128-bit key of its word sequence, and one hash for each band of MinHash rows.
-   Documents with one key are copies; only one node stands for them from here on.
+1. `signatures` reads every whole text once: a 128-bit digest of its word sequence, and one hash for each band of MinHash rows.
+   Documents with one digest are copies; only one node, a number, stands for them from here on.
 2. Nodes that share a band hash are tied to the least node of that bucket, so a bucket of m nodes gives m - 1 ties. The
    components of the ties hold every candidate pair.
-3. Each component's full n-gram sets are fetched once, and all its pairs are verified exactly. A large component is dealt into
-   blocks, one task for two blocks; a task returns a row for each node (links counted, least linked node), never the pairs.
+3. Each component's full n-gram sets are fetched once, by a key of the row, and all its pairs are verified exactly in one task. A
+   larger component is verified bucket by bucket, a pair in the first band it shares, or, where buckets hold more pairs than the
+   component, dealt into blocks, one task for two blocks. So the work is never more than the pairs that share a band. A task
+   returns a row for each node (links counted, least linked node), never the pairs.
 4. The components of the verified links are the classes.
 
+Hot keys (a bucket, a hub, a class, a text with a third of all rows) meet broadcasts of bounded size, see `common.join_hot`.
+
 A word is a maximal run of characters other than ASCII white space, with A-Z in lower case. A document of fewer than five words,
 but not none, has one n-gram of all its words. Defined results: a document without words (null, empty, blank) is alone in its
 class and has no links; repeated rows are copies; a null doc_id stays null and its class takes the least id of its members; an
@@ -25,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, durable, join_measured, table
+from .common import BROADCAST_ROWS, durable, join_hot, join_measured, row_key, table
 from .components import connected_components
-from .textkit import NOT_SPACE, Block, Hasher, fold, lower_ascii, map_blocks, mix, ragged, words
+from .textkit import NOT_SPACE, Block, Hasher, blocks, fold, lower_ascii, map_blocks, mix, ragged, trim, words
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -68,13 +72,13 @@ def grams(block: Block, n: int = WORDS) -> tuple[np.ndarray, np.ndarray, pa.Arra
     return out, each, pa.array(names, pa.binary())
 
 
-def signatures(docs: DataFrame, bands: int, rows: int, n: int = WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the carried columns, node (null without words), n_grams, bands: one hash for each band."""
+def signatures(docs: DataFrame, bands: int, rows: int, n: int = WORDS) -> DataFrame:
+    """doc_id, _row (a key of the row), node (null without words), n_grams, bands: one hash for each band."""
     rng = np.random.default_rng(20240229)
     odd = rng.integers(0, 1 << 31, bands * rows, np.uint32) * np.uint32(2) + np.uint32(1)
     flip = rng.integers(0, 1 << 32, bands * rows, np.uint32)
-    kept = ["doc_id", *carry]
-    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept)
+    kept = ["doc_id", "_row"]
+    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _row binary"
 
     def run(block, batch):
         gram, each, node = grams(block, n)
@@ -93,23 +97,35 @@ def signatures(docs: DataFrame, bands: int, rows: int, n: int = WORDS, carry: tu
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.reshape(-1).view(np.int64)))
         return pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], node, pa.array(each), lists], [*kept, "node", "n_grams", "bands"])
 
-    rows_in = docs.select(*kept, F.coalesce("text", F.lit("")).alias("text"))
+    rows_in = docs.select("doc_id", row_key().alias("_row"), F.coalesce("text", F.lit("")).alias("text"))
     return map_blocks(rows_in, "text", f"{kinds}, node binary, n_grams bigint, bands array<bigint>", run)
 
 
 def gram_sets(rows: DataFrame, carry: list[str], n: int = WORDS) -> DataFrame:
-    """node, the carried columns, and grams: the distinct n-gram hashes of each text, in order."""
+    """The carried columns and grams: the distinct n-gram hashes of each text, in order; rows (node, text) of which the node is not
+    the text's are left out, and so is what a task has given before."""
     fields = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in carry)
 
-    def run(block, batch):
-        gram, each, node = grams(block, n)
-        to = np.cumsum(each)
-        sets = [np.unique(gram[b - m : b]).view(np.int64) for b, m in zip(to, each, strict=True)]
-        offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
-        return pa.RecordBatch.from_arrays([node, *[batch.column(c) for c in carry], lists], ["_found", *carry, "grams"])
-
-    return map_blocks(rows, "text", f"_found binary, {fields}, grams array<bigint>", run)
+    def run(batches):
+        seen: set[bytes] = set()
+        for part in batches:
+            for block in blocks(part.column("text")):
+                batch = part.slice(block.first, block.rows)
+                gram, each, node = grams(block, n)
+                to = np.cumsum(each)
+                keep = []
+                for i, (found, asked) in enumerate(zip(node.to_pylist(), batch.column("node").to_pylist(), strict=True)):
+                    if found == asked and found not in seen:
+                        seen.add(found)
+                        keep.append(i)
+                if keep:
+                    sets = [np.unique(gram[to[i] - each[i] : to[i]]).view(np.int64) for i in keep]
+                    offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))
+                    yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(keep)) for c in carry], lists], [*carry, "grams"])
+        trim()
+
+    return rows.mapInArrow(run, f"{fields}, grams array<bigint>")
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray], heavy: int = 64) -> np.ndarray:
@@ -146,89 +162,118 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray], heavy: int = 64) -> np.nd
 
 def _verify(threshold: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("node")
+        pdf = pdf.drop_duplicates("id")
         same = pdf["_i"].iloc[0] == pdf["_j"].iloc[0]
         left = pdf[pdf["_block"] == pdf["_i"]]
         right = left if same else pdf[pdf["_block"] == pdf["_j"]]
         if not len(right) or not len(left) or (same and len(left) < 2):
-            return pd.DataFrame({"node": [], "links": [], "tie": []})
+            return pd.DataFrame({"id": [], "links": [], "tie": []})
         a, b = [np.asarray(x, np.int64) for x in left["grams"]], [np.asarray(x, np.int64) for x in right["grams"]]
         both = overlaps(a, b)
         size = np.array([len(x) for x in a], np.float32)[:, None] + np.array([len(x) for x in b], np.float32)[None, :]
         linked = both >= threshold * (size - both) - 1e-4
+        if (index := int(pdf["index"].iloc[0])) > 0:  # a bucket: pairs that share an earlier band are verified there
+            x, y = np.stack(left["bands"].to_numpy()), np.stack(right["bands"].to_numpy())
+            for e in range(index):
+                linked &= x[:, e][:, None] != y[:, e][None, :]
         if same:
             np.fill_diagonal(linked, False)
-        names = [*left["node"], *([] if same else right["node"])]
+        names = np.concatenate([left["id"], [] if same else right["id"]]).astype(np.int64)
         i, j = np.nonzero(linked)
-        parent = np.arange(len(names))
+        least = names.copy()
         other = j + (0 if same else len(left))
         while True:  # least names spread until nothing changes
-            low = np.minimum(parent[i], parent[other])
-            before = parent.copy()
-            np.minimum.at(parent, i, low)
-            np.minimum.at(parent, other, low)
-            parent = parent[parent]
-            if (before == parent).all():
+            low, before = np.minimum(least[i], least[other]), least.copy()
+            np.minimum.at(least, i, low)
+            np.minimum.at(least, other, low)
+            if (before == least).all():
                 break
         links = np.bincount(i, minlength=len(names)) + (0 if same else np.bincount(other, minlength=len(names)))
         keep = np.flatnonzero(links)
-        return pd.DataFrame({"node": [names[k] for k in keep], "links": links[keep], "tie": [names[parent[k]] for k in keep]})
+        return pd.DataFrame({"id": names[keep], "links": links[keep], "tie": least[keep]})
 
     return run
 
 
-def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS, recall: float = RECALL, bound: int = BROADCAST_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the carried columns, class_id (least doc_id of the class), n_links (different texts at or above the threshold),
-    n_copies (rows with this word sequence), class_node (a name of the class; null for a document without words)."""
+def _groups(near: DataFrame, nodes: DataFrame, entries: DataFrame, buckets: DataFrame) -> DataFrame:
+    """id, bands, groups: for each node what it is verified in, (key, index, blocks); index is a bucket's band, -1 for a component."""
+    held = near.withColumnRenamed("node", "id").join(nodes.select("id", "n_grams"), "id")
+    blocks_of = lambda n, g: F.greatest(F.ceil(F.col(n) / BLOCK_NODES), F.ceil(F.col(g) / BLOCK_GRAMS)).cast("int")
+    sizes = durable(held.groupBy("root").agg(F.count("*").alias("n"), F.sum("n_grams").alias("g")).withColumn("blocks", blocks_of("n", "g")))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    large = sizes.where("blocks > 1")
+    if large.isEmpty():
+        large = large.select("root", F.lit(0).cast("long").alias("n"))
+    else:
+        pairs = buckets.join(near, buckets.low == near.node).groupBy("root").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("pairs"))
+        large = durable(large.join(pairs, "root").where("pairs < cast(n as double) * n").select("root", "n"))
+    whole = sizes.join(large.select("root"), "root", "left_anti")
+    one = join_hot(near, whole, "root", "n", total).select(F.col("node").alias("id"), F.array(F.struct(F.col("root").alias("key"), F.lit(-1).alias("index"), "blocks")).alias("groups"))
+    dealt = join_hot(near, large, "root", "n", total).select(F.col("node").alias("id"))
+    if large.isEmpty():
+        return one.withColumn("bands", F.lit(None).cast("array<bigint>"))
+    shared = entries.join(dealt, "id")
+    shared = join_hot(shared, buckets, "band", "n", nodes.count() * entries.select("index").distinct().count())
+    made = F.collect_list(F.struct(F.col("band").alias("key"), F.col("index"), F.ceil(F.col("n") / BLOCK_NODES).cast("int").alias("blocks")))
+    by_bucket = shared.groupBy("id").agg(made.alias("groups")).join(nodes.select("id", "bands"), "id")
+    return one.withColumn("bands", F.lit(None).cast("array<bigint>")).unionByName(by_bucket)
+
+
+def _classes(docs: DataFrame, threshold: float, n: int, recall: float, bound: int) -> DataFrame:
+    """doc_id, _row, class_id, n_links, n_copies, keep: the _row that stands for the class (null for a document alone in it)."""
     bands, rows = choose_bands(threshold, recall)
-    signed = durable(signatures(docs, bands, rows, n, carry))
-    nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands"))
-    nodes = durable(nodes)
-    entries = nodes.select("node", F.explode("bands").alias("band"))
-    buckets = entries.groupBy("band").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1").select("band", "low")
-    ties = entries.join(buckets, "band").where("node != low").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    near = connected_components(ties)
-
-    held = near.join(nodes.select("node", "doc", "n_grams"), "node")
-    sizes = near.join(nodes.select("node", "n_grams"), "node").groupBy("root").agg(F.count("*").alias("n"), F.sum("n_grams").alias("g"))
-    sizes = sizes.select("root", F.greatest(F.ceil(F.col("n") / BLOCK_NODES), F.ceil(F.col("g") / BLOCK_GRAMS)).cast("int").alias("_blocks"))
-    wanted = durable(held.join(sizes, "root").select(F.col("doc").alias("_doc"), "node", "root", "_blocks"))
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    texts = join_measured(texts, wanted, F.col("doc_id").eqNullSafe(F.col("_doc")), "inner", bound=bound)
-    sets = gram_sets(texts.select("text", "node", "root", "_blocks"), ["node", "root", "_blocks"], n).where("_found = node")
-    sets = sets.withColumn("_block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
-    pairs = sets.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    pairs = pairs.select("node", "root", "grams", "_block", F.least("_block", "_k").alias("_i"), F.greatest("_block", "_k").alias("_j"))
-    verified = durable(pairs.groupBy("root", "_i", "_j").applyInPandas(_verify(threshold), "node binary, links bigint, tie binary"))
-
-    classes = connected_components(verified.select(F.col("node").alias("a"), F.col("tie").alias("b")))
-    links = verified.groupBy("node").agg(F.sum("links").alias("links"))
-    linked = durable(classes.join(links, "node", "left").join(nodes.select("node", "doc", "copies"), "node"))
-    first = linked.groupBy("root").agg(F.min("doc").alias("class_id"))
-    known = linked.join(first, "root").select("node", "class_id", "links", "copies", "root")
-    alone = nodes.where("copies > 1").join(linked.select("node"), "node", "left_anti").select("node", F.col("doc").alias("class_id"), F.lit(0).cast("long").alias("links"), "copies", F.col("node").alias("root"))
-    known = durable(known.unionByName(alone)).withColumnRenamed("node", "_node")
-    out = join_measured(signed.select("doc_id", *carry, "node"), known, F.col("node") == F.col("_node"), "left", bound=bound)
-    zero = F.lit(0).cast("long")
-    return out.select("doc_id", *carry, F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", zero).alias("n_links"), F.coalesce("copies", F.lit(1).cast("long")).alias("n_copies"), F.coalesce("root", "node").alias("class_node"))
+    signed = durable(signatures(docs, bands, rows, n))
+    nodes = signed.where("node is not null").groupBy("node").agg(
+        F.min("doc_id").alias("doc"), F.min(F.struct("doc_id", "_row")).alias("rank"), F.min("_row").alias("_one"),
+        F.count("*").alias("copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands"),
+    )
+    nodes = durable(nodes).withColumn("id", F.monotonically_increasing_id())  # numbers fixed rows
+    entries = nodes.select("id", F.posexplode("bands").alias("index", "band"))
+    buckets = durable(entries.groupBy("band").agg(F.min("id").alias("low"), F.count("*").alias("n")).where("n > 1"))
+    ties = join_hot(entries.select("id", "band"), buckets, "band", "n", nodes.count() * bands)
+    near = durable(connected_components(ties.where("id != low").select(F.col("id").alias("a"), F.col("low").alias("b"))))
+
+    wanted = durable(_groups(near, nodes, entries, buckets).join(nodes.select("id", "node", F.col("_one").alias("_wanted")), "id"))
+    texts = docs.select(row_key().alias("_row"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = join_measured(texts, wanted, F.col("_row") == F.col("_wanted"), "inner", bound=bound)
+    sets = gram_sets(texts.select("text", "node", "id", "bands", "groups"), ["id", "bands", "groups"], n)
+    sets = sets.withColumn("_g", F.explode("groups")).select("id", "bands", "grams", "_g.*")
+    sets = sets.withColumn("_block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    pairs = sets.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = pairs.select("id", "bands", "grams", "key", "index", "_block", F.least("_block", "_k").alias("_i"), F.greatest("_block", "_k").alias("_j"))
+    verified = durable(pairs.groupBy("key", "index", "_i", "_j").applyInPandas(_verify(threshold), "id bigint, links bigint, tie bigint"))
+
+    classes = connected_components(verified.select(F.col("id").alias("a"), F.col("tie").alias("b"))).withColumnRenamed("node", "id")
+    links = verified.groupBy("id").agg(F.sum("links").alias("links"))
+    linked = durable(classes.join(links, "id", "left").join(nodes.select("id", "node", "doc", "rank", "copies"), "id"))
+    first = linked.groupBy("root").agg(F.min("doc").alias("class_id"), F.min("rank").alias("least"), F.count("*").alias("n"))
+    known = join_hot(linked, first, "root", "n", linked.count()).select("node", "class_id", "links", "copies", F.col("least._row").alias("keep"))
+    alone = nodes.where("copies > 1").join(linked.select("id"), "id", "left_anti")
+    known = durable(known.unionByName(alone.select("node", F.col("doc").alias("class_id"), F.lit(0).cast("long").alias("links"), "copies", F.col("rank._row").alias("keep"))))
+    out = join_hot(signed.select("doc_id", "_row", "node"), known, "node", "copies", signed.count(), "left")
+    return out.select("doc_id", "_row", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("copies", F.lit(1).cast("long")).alias("n_copies"), "keep")
+
+
+def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = WORDS, recall: float = RECALL, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """doc_id, class_id (least doc_id of the class), n_links (different texts at or above the threshold), n_copies (rows with this
+    word sequence)."""
+    return _classes(docs, threshold, n, recall, bound).select("doc_id", "class_id", "n_links", "n_copies")
 
 
 def keep_one(docs: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     """The rows of docs without all but one row of each class: the one with the least doc_id (nulls first) stays."""
-    keyed = docs.select(F.struct("*").alias("doc"), "doc_id", "text", F.xxhash64("doc_id", "text").alias("_row"))
-    classes = jaccard_classes(keyed, bound=bound, carry=("_row",))
-    grouped = durable(classes.where("class_node is not null and (n_copies > 1 or n_links > 0)").select("class_node", "_row", F.struct("doc_id", "_row").alias("_rank")))
-    least = grouped.groupBy("class_node").agg(F.min("_rank").alias("_least"))
-    gone = durable(grouped.join(least, "class_node").where("_rank != _least").select(F.col("_row").alias("_gone")).distinct())
+    keyed = docs.select(F.struct("*").alias("doc"), row_key().alias("_row"))
+    grouped = durable(_classes(docs.select("doc_id", "text"), THRESHOLD, WORDS, RECALL, bound).where("keep is not null").select("_row", "keep"))
+    gone = durable(grouped.where("_row != keep").select(F.col("_row").alias("_gone")).distinct())
     out = join_measured(keyed, gone, F.col("_row") == F.col("_gone"), "left_anti", bound=bound)
     # Rows repeated with id and text have one key; of those that stay, one is kept.
-    again = durable(grouped.where(F.col("_row").isNotNull()).groupBy("_row").count().where("count > 1").select(F.col("_row").alias("_again")))
-    n = again.count()
-    if n:
-        once = join_measured(out, again, F.col("_row") == F.col("_again"), "left_semi", rows=n, bound=bound).dropDuplicates(["_row"])
-        out = join_measured(out, again, F.col("_row") == F.col("_again"), "left_anti", rows=n, bound=bound).unionByName(once)
+    again = durable(grouped.where("_row = keep").groupBy("_row").count().where("count > 1").select(F.col("_row").alias("_again")))
+    k = again.count()
+    if k:
+        once = join_measured(out, again, F.col("_row") == F.col("_again"), "left_semi", rows=k, bound=bound).dropDuplicates(["_row"])
+        out = join_measured(out, again, F.col("_row") == F.col("_again"), "left_anti", rows=k, bound=bound).unionByName(once)
     return out.select("doc.*")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_classes(table(spark, sf_dir, "documents")).drop("class_node")
+    return jaccard_classes(table(spark, sf_dir, "documents"))

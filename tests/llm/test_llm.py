@@ -167,6 +167,43 @@ def test_jaccard_classes(spark, docs, monkeypatch, bound, nodes):
     assert bag(got) == brute_classes(texts(all_docs))
 
 
+def test_large_components_by_bucket(spark, monkeypatch):
+    """A chain of texts, each alike to the next ones only, has more pairs than its buckets."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_NODES", 12)
+    words = [name(i) for i in range(2000)]
+    rows = [(i, " ".join(words[4 * i : 4 * i + 100])) for i in range(150)]
+    made = []
+    monkeypatch.setattr(jaccard_join, "_groups", lambda *a, f=jaccard_join._groups: made.append(f(*a)) or made[-1])
+    got = jaccard_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert made[0].where("bands is not null").count() > 100
+    assert bag(got) == brute_classes(rows)
+
+
+def test_recall_over_a_table(spark):
+    """Links found of all that brute force over n-gram postings finds: a table and changed copies of it, down to the threshold."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    grams, rows, rng = {}, {r.doc_id: r.text for r in docs.collect()}, random.Random(2)
+    for i in [i for i in rows if len((rows[i] or "").split()) > 100][:300]:
+        w = rows[i].split()[:600]
+        for k in rng.sample(range(len(w)), len(w) // rng.randint(45, 90)):
+            w[k] = f"changed{k}"
+        rows[10_000_000 + i], rows[i] = " ".join(w), " ".join(rows[i].split()[:600])
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    for i, t in rows.items():
+        w = tuple(WORD.findall(low(t)))
+        grams.setdefault(w, (i, {w[k : k + 5] for k in range(max(1, len(w) - 4))} if w else set()))
+    holders = defaultdict(list)
+    for i, g in grams.values():
+        for x in g:
+            holders[x].append(i)
+    both = Counter((a, b) for v in holders.values() for a in v for b in v if a != b)
+    size = {i: len(g) for i, g in grams.values()}
+    links = sum(n >= 0.8 * (size[a] + size[b] - n) - 1e-4 for (a, b), n in both.items())
+    got = {r.doc_id: r.n_links for r in jaccard_join.jaccard_classes(docs).collect()}
+    found = sum(got[i] for i, _ in grams.values())
+    assert links > 50 and 0.99 * links <= found <= links
+
+
 def test_keep_one(docs):
     got = jaccard_join.keep_one(docs)
     kept = [(r.doc_id, r.text) for r in got.collect()]
