@@ -1,15 +1,17 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
 1. `term_counts` counts, over all documents, the occurrences of every benchmark term.
-2. `plan_windows` orders each window's terms by rarity; only its rarest terms are asked of the index: MEETING more than a proximity
+2. `order_terms` orders each window's terms by rarity; only its rarest terms are asked of the index: MEETING more than a proximity
    match may lack, so that any match, whichever words were replaced, holds MEETING of them.
-3. `build_index` stores the postings of those terms (term -> rows and positions), one shard for each block of documents, with
-   the number of words of every document. Shards are local to the task that reads the texts: postings are not shuffled.
+3. `build_index` stores the postings of the terms that any window asks for (term -> rows and positions), one shard for each block
+   of documents, with the number of words of every document. Shards are local to the task that reads the texts: postings are not
+   shuffled. There is one index for all windows.
 4. `search` shifts, within a shard, the posting lists by the terms' offsets and keeps the starts at which MEETING of a window's asked
    terms meet. A tolerance keeps starts that nearly agree, for proximity matches.
-5. `verify` fetches the texts of the rows found and compares whole windows of words.
+5. `verify` compares whole windows of words with the texts of the rows found, which are fetched once.
 
-Benchmark items are taken in blocks of at most BLOCK_WORDS words, so what tasks hold of them is bounded.
+Benchmark items are taken in blocks of at most BLOCK_WORDS words, so what tasks hold of them is bounded; a block reads the index
+and the texts found, never all documents. Terms are counted in slices of at most TERMS.
 
 Defined results: a null text has no words; an item without words (null, empty) has no window and never occurs; an item of
 fewer than ten words is one window; items with the same text all count; repeated documents are answered each; a null item_id
@@ -18,7 +20,6 @@ is written as an empty string; empty tables give no documents or no hits; other
 
 from __future__ import annotations
 
-import itertools
 import math
 import re
 from collections import defaultdict
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, durable, join_measured, table
+from .common import BROADCAST_ROWS, durable, join_measured, row_key, table
 from .textkit import ALNUM, Block, Hasher, hash_words, lower_ascii, map_blocks, words
 
 WINDOW = 10
@@ -37,7 +38,9 @@ WINDOW = 10
 MEETING = 2
 #: Words by which a proximity match may be displaced, and the share of its words that must be there.
 SLOP, NEAR_SHARE = 4, 0.8
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS, TERMS = 250_000, 4_000_000
+#: Item ids in results that may be broadcast, about 20 bytes each.
+BROADCAST_IDS = 1_000_000
 SHARD_BYTES = 2_000_000
 #: Fixed value: a word of the contract, after A-Z are lower-cased.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -66,21 +69,33 @@ def _lowered(block: Block) -> Block:
     return Block(block.first, lower_ascii(block.cp), block.offsets)
 
 
-def term_counts(docs: DataFrame, terms: np.ndarray) -> dict[int, int]:
-    """Occurrences over all documents of the given terms (sorted hashes); a task sends at most one row a term and block."""
+def benchmark_terms(benchmark: DataFrame) -> np.ndarray:
+    """Hashes of all words of the benchmark, sorted: 8 bytes each."""
 
     def run(block, batch):
-        word, _ = block_words(_lowered(block))
-        if not len(word) or not len(terms):
-            return None
-        at = np.minimum(np.searchsorted(terms, word), len(terms) - 1)
-        n = np.bincount(at[terms[at] == word], minlength=len(terms))
-        seen = np.flatnonzero(n)
-        return pa.RecordBatch.from_arrays([pa.array(seen), pa.array(n[seen])], ["term", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(np.unique(block_words(_lowered(block))[0]).view(np.int64))], ["term"])
+
+    found = map_blocks(benchmark.select("text"), "text", "term bigint", run).distinct().toArrow()
+    return np.sort(found["term"].to_numpy().view(np.uint64))
+
+
+def term_counts(docs: DataFrame, terms: np.ndarray) -> np.ndarray:
+    """Occurrences over all documents of the given terms (sorted hashes); a task sends at most one row a term and block."""
+    out = np.zeros(len(terms), np.int64)
+    for first in range(0, len(terms), TERMS):
+        part = terms[first : first + TERMS]
 
-    counted = map_blocks(docs.select("text"), "text", "term bigint, n bigint", run, SHARD_BYTES).groupBy("term").agg(F.sum("n").alias("n"))
-    out = dict.fromkeys(terms.tolist(), 0)
-    return out | {int(terms[r.term]): r.n for r in counted.collect()}
+        def run(block, batch, part=part):
+            word, _ = block_words(_lowered(block))
+            if not len(word):
+                return None
+            at = np.minimum(np.searchsorted(part, word), len(part) - 1)
+            seen, n = np.unique(at[part[at] == word], return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(seen), pa.array(n)], ["term", "n"])
+
+        counted = map_blocks(docs.select("text"), "text", "term bigint, n bigint", run, SHARD_BYTES).groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        out[first + counted["term"].to_numpy()] = counted["n"].to_numpy()
+    return out
 
 
 def plan_windows(items: list[list[str]], size: int = WINDOW) -> dict[tuple[str, ...], list[int]]:
@@ -97,27 +112,26 @@ def least_words(window: tuple[str, ...]) -> int:
     return math.ceil(NEAR_SHARE * len(set(window)) - 1e-9)
 
 
-def order_terms(found: dict[tuple[str, ...], list[int]], counts: dict[int, int], code: dict[str, int], meeting: int = MEETING) -> Windows:
+def order_terms(found: dict[tuple[str, ...], list[int]], terms: np.ndarray, counted: np.ndarray, meeting: int = MEETING) -> Windows:
+    """terms: sorted hashes; counted: their occurrences over all documents."""
     keys, asked = sorted(found), []
+    vocabulary = sorted({t for w in keys for t in w})
+    hashes = hash_words(vocabulary)
+    code = dict(zip(vocabulary, hashes.tolist(), strict=True))
+    counts = dict(zip(hashes.tolist(), counted[np.searchsorted(terms, hashes)].tolist(), strict=True))
     for w in keys:
         terms = sorted({code[t] for t in w}, key=lambda t: (counts[t], t))[: len(set(w)) - least_words(w) + meeting]
         asked.append([(t, o) for t in terms for o, x in enumerate(w) if code[x] == t])
     return Windows(keys, [found[w] for w in keys], asked)
 
 
-def with_key(docs: DataFrame) -> DataFrame:
-    """Add _row, a hash of id and text: rows that share it are repeats, with the same answer."""
-    return docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-
-
 def build_index(docs: DataFrame, terms: np.ndarray) -> DataFrame:
     """Durable rows of two kinds: documents (doc_id, _row, n_words; term null) and postings (term, rows, positions) of a shard."""
     doc_type = docs.schema["doc_id"].dataType.simpleString()
-    number = itertools.count()  # within a task
+    number = [0]  # within a task
 
     def run(block, batch):
         word, rows = block_words(_lowered(block))
-        names = batch.column("_row").to_numpy()
         count = np.bincount(rows, minlength=block.rows).astype(np.int64)
         position = np.arange(len(word)) - (np.cumsum(count) - count)[rows] if len(word) else np.zeros(0, np.int64)
         hit = np.zeros(len(word), bool)
@@ -130,12 +144,12 @@ def build_index(docs: DataFrame, terms: np.ndarray) -> DataFrame:
         distinct, first = np.unique(w, return_index=True)
         cuts = pa.array(np.append(first, len(w)).astype(np.int32))
         k = len(distinct)
-        shard = next(number)
+        shard, number[0] = number[0], number[0] + 1
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(np.full(block.rows + k, shard)),
                 pa.concat_arrays([batch.column("doc_id"), pa.nulls(k, batch.column("doc_id").type)]),
-                pa.array(np.concatenate([names, np.zeros(k, np.int64)])),
+                pa.concat_arrays([batch.column("_row"), pa.nulls(k, pa.binary())]),
                 pa.array(np.concatenate([count, np.zeros(k, np.int64)])),
                 pa.concat_arrays([pa.nulls(block.rows, pa.int64()), pa.array(distinct.view(np.int64))]),
                 pa.concat_arrays([pa.nulls(block.rows, pa.list_(pa.int64())), pa.ListArray.from_arrays(cuts, pa.array(r))]),
@@ -144,7 +158,7 @@ def build_index(docs: DataFrame, terms: np.ndarray) -> DataFrame:
             ["shard", "doc_id", "_row", "n_words", "term", "rows", "positions"],
         )
 
-    schema = f"shard bigint, doc_id {doc_type}, _row bigint, n_words bigint, term bigint, rows array<bigint>, positions array<bigint>"
+    schema = f"shard bigint, doc_id {doc_type}, _row binary, n_words bigint, term bigint, rows array<bigint>, positions array<bigint>"
     return durable(map_blocks(docs.select("doc_id", "_row", F.coalesce("text", F.lit("")).alias("text")), "text", schema, run, SHARD_BYTES))
 
 
@@ -190,7 +204,7 @@ def search(index: DataFrame, windows: Windows, slop: int = SLOP) -> DataFrame:
     def run(batches):
         shard, lists, names = None, {}, []
         for batch in batches:
-            shards, keys = batch.column("shard").to_numpy(), batch.column("_row").to_numpy()
+            shards, keys = batch.column("shard").to_numpy(), batch.column("_row")
             posting = batch.column("term").is_valid().to_numpy(zero_copy_only=False)
             terms = batch.column("term").fill_null(0).to_numpy().view(np.uint64)
             at = batch.column("rows").offsets.to_numpy()
@@ -202,14 +216,14 @@ def search(index: DataFrame, windows: Windows, slop: int = SLOP) -> DataFrame:
                 if posting[i]:
                     lists[int(terms[i])] = (rows[at[i] : at[i + 1]] << 32) + positions[at[i] : at[i + 1]] + 65536
                 else:
-                    names.append(keys[i])
+                    names.append(keys[i].as_py())
         yield from named(lists, names)
 
     def named(lists, names):
         for batch in intersect(lists):
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(names, np.int64)[batch.column(0).to_numpy()]), batch.column(1), batch.column(2)], ["_row", "window", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in batch.column(0).to_pylist()], pa.binary()), batch.column(1), batch.column(2)], ["_row", "window", "start"])
 
-    return index.select("shard", "_row", "term", "rows", "positions").mapInArrow(run, "_row bigint, window bigint, start bigint")
+    return index.select("shard", "_row", "term", "rows", "positions").mapInArrow(run, "_row binary, window bigint, start bigint")
 
 
 def _origins(doc: list[str], w: tuple[str, ...], s: int, slop: int):
@@ -218,11 +232,10 @@ def _origins(doc: list[str], w: tuple[str, ...], s: int, slop: int):
     return range(s - slop, s + slop + 1) if len(around.intersection(w)) >= least_words(w) else ()
 
 
-def verify(docs: DataFrame, found: DataFrame, windows: Windows, bound: int = BROADCAST_ROWS, slop: int = SLOP) -> DataFrame:
+def verify(texts: DataFrame, found: DataFrame, windows: Windows, slop: int = SLOP) -> DataFrame:
     """(_row, spans, items, near_items): hit word ranges and item positions, by whole windows; near items have no exact window."""
     starts = found.groupBy("_row").agg(F.sort_array(F.collect_set(F.struct("window", "start"))).alias("_found"))
-    starts = durable(starts).withColumnRenamed("_row", "_at")
-    rows = join_measured(docs.select("_row", "text"), starts, F.col("_row") == F.col("_at"), "inner", bound=min(bound, 10_000))
+    rows = texts.join(starts.withColumnRenamed("_row", "_at").hint("merge"), F.col("_row") == F.col("_at"))
 
     def run(batches):
         for batch in batches:
@@ -238,57 +251,53 @@ def verify(docs: DataFrame, found: DataFrame, windows: Windows, bound: int = BRO
                         near.update(windows.items[place["window"]])
                 out.append({"_row": row, "spans": [{"s": a, "e": b} for a, b in sorted(spans)], "items": sorted(items), "near_items": sorted(near - items)})
             if out:
-                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("_row", pa.int64()), ("spans", pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))), ("items", pa.list_(pa.int64())), ("near_items", pa.list_(pa.int64()))]))
+                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("_row", pa.binary()), ("spans", pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))), ("items", pa.list_(pa.int64())), ("near_items", pa.list_(pa.int64()))]))
 
-    return rows.select("_row", "text", "_found").mapInArrow(run, "_row bigint, spans array<struct<s: bigint, e: bigint>>, items array<bigint>, near_items array<bigint>")
+    return rows.select("_row", "text", "_found").mapInArrow(run, "_row binary, spans array<struct<s: bigint, e: bigint>>, items array<bigint>, near_items array<bigint>")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, bound: int = BROADCAST_ROWS, window: int = WINDOW) -> DataFrame:
     """doc_id, _row, n_words, n_hit, items (ids as strings, sorted), near_items, for every row of docs."""
-    held = with_key(docs)
-    words_of: DataFrame | None = None
-    parts = []
-    for ids, items in _item_blocks(benchmark):
-        found = plan_windows(items, window)
-        vocabulary = sorted({t for w in found for t in w})
-        code = dict(zip(vocabulary, hash_words(vocabulary).tolist(), strict=True))
-        counts = term_counts(docs, np.array(sorted(set(code.values())), np.uint64))
-        windows = order_terms(found, counts, code)
-        asked = np.array(sorted({t for a in windows.asked for t, _ in a}), np.uint64)
-        index = build_index(held, asked)
-        words_of = index.where("term is null").select("doc_id", "_row", "n_words") if words_of is None else words_of
-        hits = verify(held, search(index, windows), windows, bound)
-        names = F.array(*[F.lit(x) for x in ids]) if len(ids) <= 500 else None
-        parts.append(_with_names(hits, ids, names))
-    if words_of is None:
-        words_of = build_index(held, np.zeros(0, np.uint64)).where("term is null").select("doc_id", "_row", "n_words")
-        parts.append(docs.sparkSession.createDataFrame([], "_row bigint, spans array<struct<s: bigint, e: bigint>>, items array<string>, near_items array<string>"))
-    hits = parts[0]
-    if len(parts) > 1:
-        hits = hits.dropDuplicates(["_row"])
+    keyed = docs.select("doc_id", "text", row_key().alias("_row"))
+    terms = benchmark_terms(benchmark)
+    counted = term_counts(docs, terms)
+    plan = lambda items: order_terms(plan_windows(items, window), terms, counted)
+    asked = np.zeros(0, np.uint64)
+    for _, items in _item_blocks(benchmark):
+        asked = np.union1d(asked, np.array(sorted({t for a in plan(items).asked for t, _ in a}), np.uint64))
+    index = build_index(keyed, asked)
+    # A block's windows are planned when they are needed, so the driver holds those of one block.
+    found = [durable(search(index, plan(items))) for _, items in _item_blocks(benchmark)]
+    hits = docs.sparkSession.createDataFrame([], "_row binary, spans array<struct<s: bigint, e: bigint>>, items array<string>, near_items array<string>")
+    if found:
+        rows = found[0].select("_row")
+        for f in found[1:]:
+            rows = rows.unionByName(f.select("_row"))
+        rows = durable(rows.distinct().withColumnRenamed("_row", "_at"))
+        texts = durable(join_measured(keyed.select("_row", "text"), rows, F.col("_row") == F.col("_at"), "left_semi", bound=bound).dropDuplicates(["_row"]))
+        parts = [durable(_with_names(verify(texts, f, plan(items)), ids)) for (ids, items), f in zip(_item_blocks(benchmark), found, strict=True)]
+        hits = parts[0]
         for p in parts[1:]:
-            hits = hits.unionByName(p.dropDuplicates(["_row"]))
-        hits = hits.groupBy("_row").agg(*[F.array_sort(F.flatten(F.collect_list(c))).alias(c) for c in ("spans", "items", "near_items")])
-    hits = durable(hits.dropDuplicates(["_row"])).withColumnRenamed("_row", "_hit_row")
+            hits = hits.unionByName(p)
+        if len(parts) > 1:
+            hits = hits.groupBy("_row").agg(*[F.array_sort(F.flatten(F.collect_list(c))).alias(c) for c in ("spans", "items", "near_items")])
     merged = """aggregate(array_sort(spans), named_struct('n', 0L, 'to', 0L),
         (a, x) -> named_struct('n', a.n + greatest(0L, x.e - greatest(a.to, x.s)), 'to', greatest(a.to, x.e)), a -> a.n)"""
-    hits = hits.withColumn("n_hit", F.expr(merged)).drop("spans")
-    out = join_measured(words_of, hits, F.col("_row") == F.col("_hit_row"), "left", bound=min(bound, 10_000)).drop("_hit_row")
+    hits = durable(hits.withColumn("n_hit", F.expr(merged)).drop("spans").withColumnRenamed("_row", "_hit_row"))
+    rows, listed = hits.agg(F.count("*"), F.coalesce(F.sum(F.size("items") + F.size("near_items")), F.lit(0))).first()
+    words_of = index.where("term is null").select("doc_id", "_row", "n_words")
+    out = join_measured(words_of, hits, F.col("_row") == F.col("_hit_row"), "left", rows=rows, bound=bound if listed <= BROADCAST_IDS else -1).drop("_hit_row")
     none = F.array().cast("array<string>")
     return out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", none), "near_items": F.coalesce("near_items", none)})
 
 
-def _with_names(hits: DataFrame, ids: list[str], names) -> DataFrame:
-    if names is not None:
-        pick = lambda c: F.array_sort(F.transform(c, lambda i: F.get(names, i.cast("int"))))
-        return hits.select("_row", "spans", pick("items").alias("items"), pick("near_items").alias("near_items"))
-
+def _with_names(hits: DataFrame, ids: list[str]) -> DataFrame:
     def run(batches):
         for b in batches:
             lists = [pa.array([sorted(ids[i] for i in x) for x in b.column(c).to_pylist()], pa.list_(pa.string())) for c in ("items", "near_items")]
             yield pa.RecordBatch.from_arrays([b.column("_row"), b.column("spans"), *lists], ["_row", "spans", "items", "near_items"])
 
-    return hits.mapInArrow(run, "_row bigint, spans array<struct<s: bigint, e: bigint>>, items array<string>, near_items array<string>")
+    return hits.mapInArrow(run, "_row binary, spans array<struct<s: bigint, e: bigint>>, items array<string>, near_items array<string>")
 
 
 def _item_blocks(benchmark: DataFrame):
@@ -309,7 +318,7 @@ def _item_blocks(benchmark: DataFrame):
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     """The rows of docs in which no window of a benchmark item occurs."""
-    keyed = docs.select(F.struct("*").alias("doc"), F.xxhash64("doc_id", "text").alias("_row"))
+    keyed = docs.select(F.struct("*").alias("doc"), row_key().alias("_row"))
     hit = durable(contamination(docs.select("doc_id", "text"), benchmark, bound).where("n_hit > 0").select(F.col("_row").alias("_hit")).distinct())
     return join_measured(keyed, hit, F.col("_row") == F.col("_hit"), "left_anti", bound=bound).select("doc.*")
 
