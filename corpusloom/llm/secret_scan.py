@@ -6,6 +6,9 @@
 3. `candidates` intersects the postings: one row per document that satisfies at least one rule's query, with those rules.
 4. `scan` verifies. Rules with a query run on their candidates only; rules without one run on every text.
 
+A text's matches are taken in chunks whose starts are known from the chunks' lengths, so that no array grows match by match: work
+is linear in the matches of a text up to millions of them.
+
 Spans count code points, end exclusive. Matches of a rule are leftmost and non-overlapping; a match too short is dropped
 after matching, so it still hides what it covers.
 
@@ -46,6 +49,8 @@ RULES = [
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 20),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40),
 ]
+#: Matches of a text that are folded together; trigrams of a conjunction that the index holds, and rows on which they are chosen.
+CHUNK, RAREST, PLAN_ROWS = 256, 2, 2000
 #: Exact prefixes followed through a pattern: beyond so many, what is known so far becomes trigrams.
 MAX_EXACT = 64
 
@@ -115,16 +120,28 @@ def _queries(rules: list[Rule]) -> dict[str, frozenset[frozenset[str]] | None]:
     return {r.kind: trigram_query(r.pattern) for r in rules}
 
 
+def _has(low: str, grams: list[str]) -> list[Column]:
+    return [F.contains(low, F.lit(g)) for g in grams]
+
+
+def rarest(docs: DataFrame, queries: dict[str, frozenset[frozenset[str]] | None], size: int = RAREST) -> dict[str, frozenset[frozenset[str]] | None]:
+    """The queries with the `size` rarest trigrams of each conjunction, by some rows of docs: weaker, so nothing is lost, and an
+    index for them is smaller. The choice changes the work, never the result."""
+    grams = sorted(set().union(*[c for q in queries.values() if q for c in q]))
+    some = docs.limit(PLAN_ROWS).select(F.lower("text").alias("_low"))
+    n = dict(zip(grams, some.agg(*[F.count_if(x) for x in _has("_low", grams)]).first(), strict=True)) if grams else {}
+    return {k: q and frozenset(frozenset(sorted(c, key=lambda g: (n[g], g))[:size]) for c in q) for k, q in queries.items()}
+
+
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """The inverted index for these trigrams: rows (trigram, doc_id). Case is folded as ASCII letters."""
-    low = docs.select("doc_id", F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("_low"))
-    hits = F.array_compact(F.array(*[F.when(F.contains("_low", F.lit(g)), F.lit(g)) for g in trigrams]))
+    """The inverted index for these trigrams: rows (trigram, doc_id). Texts are in lower case, which keeps every ASCII trigram."""
+    low = docs.select("doc_id", F.lower("text").alias("_low"))
+    hits = F.array_compact(F.array(*[F.when(x, F.lit(g)) for x, g in zip(_has("_low", trigrams), trigrams, strict=True)]))
     return low.select("doc_id", F.explode(hits).alias("trigram")).select("trigram", "doc_id")
 
 
-def candidates(index: DataFrame, rules: list[Rule]) -> DataFrame:
+def candidates(index: DataFrame, queries: dict[str, frozenset[frozenset[str]]]) -> DataFrame:
     """Intersect postings: rows (doc_id, rules) of documents that satisfy the query of at least one rule."""
-    queries = {k: q for k, q in _queries(rules).items() if q}
     lists = index.groupBy("doc_id").agg(F.collect_set("trigram").alias("_has"))
 
     def holds(query) -> Column:
@@ -137,17 +154,31 @@ def candidates(index: DataFrame, rules: list[Rule]) -> DataFrame:
     return lists.select("doc_id", wanted.alias("rules")).where(F.size("rules") > 0)
 
 
-def _spans(rule: Rule, text: str) -> Column:
-    """array<struct<start,end,kind>> of the rule's matches: lengths of what lies between and of the matches add up."""
+def _chunks(array: str) -> str:
+    return f"transform(sequence(0, greatest(size({array}) - 1, 0) div {CHUNK}), c -> slice({array}, cast(c * {CHUNK} + 1 as int), {CHUNK}))"
+
+
+def _running(chunks: str, of: str, step: str) -> str:
+    """For each chunk what `step` makes of the figures `of` of the chunks before it; a is the figure so far, v the next."""
+    return f"""aggregate(transform({chunks}, c -> {of}), named_struct('now', 0L, 'before', cast(array() as array<bigint>)),
+        (s, v) -> named_struct('now', {step}, 'before', array_append(s.before, s.now)), s -> s.before)"""
+
+
+def _matches(rule: Rule, text: str) -> str:
+    """array<struct<gap, hit, value>>: lengths of what lies before each match of the rule, of the match, and of what is measured."""
     q = rule.pattern.replace("\\", "\\\\").replace("'", "\\'")
-    gaps, hits, least = f"split({text}, '{q}', -1)", f"regexp_extract_all({text}, '{q}', 0)", rule.min_length
-    kept = f"regexp_extract_all({text}, '{q}', {rule.group})" if rule.group else hits
-    walk = f"""aggregate(arrays_zip(slice({gaps}, 1, size({hits})) as gap, {hits} as hit, {kept} as value),
-        named_struct('at', 0L, 'found', cast(array() as array<struct<start: bigint, end: bigint, kind: string>>)),
-        (a, x) -> named_struct('at', a.at + length(x.gap) + length(x.hit), 'found',
-            if(length(x.value) >= {least}, array_append(a.found, named_struct('start', a.at + length(x.gap), 'end', a.at + length(x.gap) + length(x.hit), 'kind', '{rule.kind}')), a.found)),
-        a -> a.found)"""
-    return F.expr(walk.replace(" as gap", "").replace(" as hit", "").replace(" as value", "").replace("x.gap", "x.`0`").replace("x.hit", "x.`1`").replace("x.value", "x.`2`"))
+    hits = f"transform(regexp_extract_all({text}, '{q}', 0), x -> length(x))"
+    values = f"transform(regexp_extract_all({text}, '{q}', {rule.group}), x -> length(x))" if rule.group else hits
+    return f"arrays_zip(transform(split({text}, '{q}', -1), x -> length(x)), {hits}, {values})"
+
+
+def _spans(rule: Rule, matches: str, chunks: str, begins: str) -> str:
+    """array<struct<start,end,kind>>; the last element of matches is what follows the last match."""
+    found = "cast(array() as array<struct<start: bigint, end: bigint, kind: string>>)"
+    return f"""flatten(zip_with({chunks}, {begins}, (m, b) -> aggregate(m, named_struct('at', b, 'found', {found}),
+        (a, x) -> named_struct('at', a.at + x.`0` + coalesce(x.`1`, 0), 'found', if(x.`2` >= {rule.min_length},
+            array_append(a.found, named_struct('start', a.at + x.`0`, 'end', a.at + x.`0` + x.`1`, 'kind', '{rule.kind}')), a.found)),
+        a -> a.found)))"""
 
 
 def _guard(rule: Rule) -> str:
@@ -164,11 +195,14 @@ _EMPTY = "cast(array() as array<struct<start: bigint, end: bigint, kind: string>
 
 def find_spans(rows: DataFrame, text: str, rules: list[Rule], allowed: Column | None = None) -> DataFrame:
     """Add one column _s_<kind> for each rule; allowed: names of the rules to verify on a row (null: all)."""
-    cols = {}
     for r in rules:
         may = F.col(text).rlike(_guard(r)) if allowed is None else F.coalesce(F.array_contains(allowed, r.kind), F.lit(False))
-        cols[f"_s_{r.kind}"] = F.when(may, _spans(r, text)).otherwise(F.expr(_EMPTY))
-    return rows.withColumns(cols)
+        m, c, b = (f"_{x}_{r.kind}" for x in "mcb")
+        rows = rows.withColumn(m, F.when(may, F.expr(_matches(r, text)))).withColumn(c, F.expr(f"if({m} is null, null, {_chunks(m)})"))
+        length = "aggregate(c, 0L, (a, x) -> a + x.`0` + coalesce(x.`1`, 0))"
+        rows = rows.withColumn(b, F.expr(f"if({m} is null, null, {_running(c, length, 's.now + v')})"))
+        rows = rows.withColumn(f"_s_{r.kind}", F.expr(f"if({m} is null, {_EMPTY}, {_spans(r, m, c, b)})")).drop(m, c, b)
+    return rows
 
 
 def scan(docs: DataFrame, rules: list[Rule] | None = None, bound: int = BROADCAST_ROWS, into: str = "found") -> DataFrame:
@@ -181,8 +215,9 @@ def scan(docs: DataFrame, rules: list[Rule] | None = None, bound: int = BROADCAS
     base = docs.select(F.struct("*").alias("doc"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     out = base
     if indexed:
-        grams = sorted(set().union(*[c for r in indexed for c in queries[r.kind]]))
-        found = durable(candidates(postings(base, grams), indexed)).select(F.col("doc_id").alias("_id"), F.col("rules").alias("_rules"))
+        asked = rarest(base, {r.kind: queries[r.kind] for r in indexed})
+        grams = sorted(set().union(*[c for q in asked.values() for c in q]))
+        found = durable(candidates(postings(base, grams), asked)).select(F.col("doc_id").alias("_id"), F.col("rules").alias("_rules"))
         out = join_measured(out, found, F.col("doc_id").eqNullSafe(F.col("_id")), "left", bound=bound).drop("_id")
         out = find_spans(out, "text", indexed, F.col("_rules")).drop("_rules")
     out = find_spans(out, "text", full)
@@ -197,13 +232,22 @@ def digest(found: Column | str) -> Column:
 
 
 def redact(scanned: DataFrame, mark: str = "[SECRET]", column: str = "found") -> DataFrame:
-    """Replace what the scan found by a mark; overlapping or touching spans become one. n_chars follows where it exists."""
-    step = f"""aggregate({column}, named_struct('at', 0L, 'out', ''),
+    """Replace what the scan found by a mark; overlapping spans become one. n_chars follows where it exists."""
+    names = [f"{column}{x}" for x in ("_chunks", "_begins")]
+    chunks, begins = names
+    out = scanned.withColumn(chunks, F.expr(f"if(size({column}) > 0, {_chunks(column)}, null)"))
+    reach = "aggregate(c, 0L, (a, x) -> greatest(a, x.end))"
+    out = out.withColumn(begins, F.expr(f"if({chunks} is null, null, {_running(chunks, reach, 'greatest(s.now, v)')})"))
+    # A chunk's part of the text is cut once; its spans cut that part.
+    part = f"substring(text, cast(b + 1 as int), cast(greatest({reach.replace('(c,', '(m,')}, b) - b as int))"
+    step = f"""aggregate(m, named_struct('at', b, 'out', '', 'part', {part}),
         (a, x) -> case when x.end <= a.at then a
-            when x.start < a.at then named_struct('at', x.end, 'out', a.out)
-            else named_struct('at', x.end, 'out', concat(a.out, substring(text, cast(a.at + 1 as int), cast(x.start - a.at as int)), '{mark}')) end,
-        a -> concat(a.out, substring(text, cast(a.at + 1 as int), length(text))))"""
-    out = scanned.withColumn("text", F.expr(f"if(size({column}) > 0, {step}, text)"))
+            when x.start < a.at then named_struct('at', x.end, 'out', a.out, 'part', a.part)
+            else named_struct('at', x.end, 'out', concat(a.out, substring(a.part, cast(a.at - b + 1 as int), cast(x.start - a.at as int)), '{mark}'), 'part', a.part) end,
+        a -> a.out)"""
+    last = f"aggregate({column}, 0L, (a, x) -> greatest(a, x.end))"
+    redacted = f"concat(array_join(zip_with({chunks}, {begins}, (m, b) -> {step}), ''), substring(text, cast({last} + 1 as int)))"
+    out = out.withColumn("text", F.expr(f"if({chunks} is null, text, {redacted})")).drop(*names)
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.length("text").cast(scanned.schema["n_chars"].dataType))
     return out.drop(column)
@@ -212,7 +256,7 @@ def redact(scanned: DataFrame, mark: str = "[SECRET]", column: str = "found") ->
 def mask(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """docs with every secret replaced by a mark; all rows and columns stay."""
     name = "spans"
-    while name in docs.columns:
+    while any(c.startswith(name) for c in docs.columns):
         name += "_"
     return redact(scan(docs, rules, into=name), column=name).select(*docs.columns)
 
