@@ -1,9 +1,10 @@
 """Document quality by gated attention-based multiple-instance learning.
 
 A document is a bag of passages of PASSAGE words. Every passage of the whole text is encoded by statistics of its characters
-and words; gated attention, softmax over w.(tanh(V h) * sigmoid(U h)), weighs the passages of a bag, and a logistic layer scores
+and words, and by the share of its 3-word windows that the document repeats; no figure of the whole document is pasted into them.
+Gated attention, softmax over w.(tanh(V h) * sigmoid(U h)), weighs the passages of a bag, and a logistic layer scores
 the weighted sum. Attention and scorer are learned together from document labels, on the driver, from a sample of at most
-LABEL_ROWS labelled rows and SAMPLE_PASSAGES passages of each of them (evenly spread); scoring takes every passage of every row.
+LABEL_ROWS labelled rows, with every passage; scoring takes every passage of every row.
 
 Defined results: a null, empty or blank text is a bag of one passage of zeros and gets a score like any other; repeated rows get
 the same score; without labels of both kinds the score is 0.5; an empty table gives an empty result; other columns are ignored.
@@ -21,7 +22,6 @@ from .textkit import NOT_SPACE, Block, Hasher, fold, map_blocks, words
 
 PASSAGE = 64
 LABEL_ROWS = 6000
-SAMPLE_PASSAGES = 24
 HIDDEN, EPOCHS, RATE, BATCH = 16, 60, 0.01, 256
 CUT = 0.7
 MODULUS, HELD_OUT = 4, 2
@@ -38,7 +38,7 @@ def _shape() -> np.ndarray:
 
 
 SHAPE = _shape()
-FEATURES = len(SHAPE) + 12
+FEATURES = len(SHAPE) + 8
 
 
 def encode(block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -67,21 +67,16 @@ def encode(block: Block) -> tuple[np.ndarray, np.ndarray]:
     out[:, k] = np.log1p(n) / 4
     out[:, k + 1] = chars / n / 10
     out[:, k + 2] = np.sqrt(np.maximum(np.bincount(passage, length**2, len(out)) / n - (chars / n) ** 2, 0)) / 10
-    for column, group in ((k + 3, passage), (k + 4, rows)):
-        order = np.lexsort((hashes, group))
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = (group[order][1:] != group[order][:-1]) | (hashes[order][1:] != hashes[order][:-1])
-        share = np.bincount(group[order], fresh, group.max() + 1) / np.maximum(np.bincount(group, minlength=group.max() + 1), 1)
-        full = np.zeros(len(out) if column == k + 3 else block.rows)
-        full[: len(share)] = share
-        out[:, column] = full if column == k + 3 else np.repeat(full, bags)
+    order = np.lexsort((hashes, passage))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (passage[order][1:] != passage[order][:-1]) | (hashes[order][1:] != hashes[order][:-1])
+    out[:, k + 3] = np.bincount(passage[order], fresh, len(out)) / n
     again = np.zeros(len(starts), bool)
     again[1:] = (hashes[1:] == hashes[:-1]) & (rows[1:] == rows[:-1])
-    out[:, k + 5] = np.bincount(passage, again, len(out)) / n
+    out[:, k + 4] = np.bincount(passage, again, len(out)) / n
     # Three-word windows that occur twice or more in the row.
     if len(starts) > 2:
-        whole = rows[2:] == rows[:-2]
-        i = np.flatnonzero(whole)
+        i = np.flatnonzero(rows[2:] == rows[:-2])
         window = fold(hashes, i, i + 3)
         order = np.lexsort((window, rows[i]))
         w, r = window[order], rows[i][order]
@@ -89,13 +84,10 @@ def encode(block: Block) -> tuple[np.ndarray, np.ndarray]:
         twice = np.zeros(len(i), bool)
         twice[order[1:][same]] = True
         twice[order[:-1][same]] = True
-        out[:, k + 6] = np.bincount(passage[i], twice, len(out)) / n
-        out[:, k + 7] = np.repeat(np.bincount(rows[i], twice, block.rows) / np.maximum(count, 1), bags)
-    out[:, k + 8] = np.repeat(np.log1p(count) / 8, bags)
-    out[:, k + 9] = np.repeat(count < 20, bags)
+        out[:, k + 5] = np.bincount(passage[i], twice, len(out)) / n
     upper = SHAPE[0][np.minimum(block.cp[starts], 255)]
-    out[:, k + 10] = np.bincount(passage, upper, len(out)) / n
-    out[:, k + 11] = np.bincount(passage, length > 20, len(out)) / n
+    out[:, k + 6] = np.bincount(passage, upper, len(out)) / n
+    out[:, k + 7] = np.bincount(passage, length > 20, len(out)) / n
     return out, bags
 
 
@@ -162,9 +154,8 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = MODULUS, held_out:
 
     def run(block, batch):
         x, bags = encode(block)
-        first = np.cumsum(bags) - bags
-        keep = [f + np.unique(np.linspace(0, b - 1, min(b, SAMPLE_PASSAGES)).astype(int)) for f, b in zip(first, bags, strict=True)]
-        packed = [x[k].astype("<f4").tobytes() for k in keep]
+        to = np.cumsum(bags)
+        packed = [x[t - n : t].astype("<f4").tobytes() for t, n in zip(to, bags, strict=True)]
         return pa.RecordBatch.from_arrays([batch.column("_label"), pa.array(packed, pa.binary())], ["_label", "x"])
 
     found = map_blocks(sample, "text", "_label int, x binary", run).toPandas()

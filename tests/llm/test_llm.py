@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -467,6 +468,33 @@ def test_attention_gradient():
         assert abs((up - down) / 2e-5 - grad[k][i]) < 1e-6
 
 
+def test_one_passage_decides():
+    """A bag of forty is bad for one passage: attention finds it where the mean of the passages does not."""
+    rng = np.random.default_rng(1)
+
+    def bags(n):
+        y = rng.integers(0, 2, n).astype(float)
+        x = rng.normal(size=(n, 40, 3))
+        x[np.arange(n), rng.integers(0, 40, n), 0] += np.where(y == 0, 7.0, 0.0)
+        return x.reshape(-1, 3), np.full(n, 40), y
+
+    m = quality_mil.GatedAttention(3).fit(*bags(800))
+    x, b, y = bags(400)
+    right = lambda: np.mean((m.score(x, b) >= 0.5) == y)
+    attention = right()
+    m.p["w"] = np.zeros_like(m.p["w"])
+    assert attention > 0.9 and attention > right() + 0.1
+
+
+def test_passages_of_a_whole_text(spark):
+    """Every passage counts, at any place of a long text; a passage's encoding does not depend on the others but by repetition."""
+    from corpusloom.llm.textkit import blocks
+
+    words = [name(i) for i in range(64 * 60)]
+    x, bags = quality_mil.encode(next(blocks(pa.array([" ".join(words), " ".join(words[64 * 59 :])]))))
+    assert bags.tolist() == [60, 1] and np.allclose(x[59], x[60]) and len({r.tobytes() for r in x}) > 1
+
+
 def test_toxicity_held_out(spark, sf):
     path = sf.replace("0.001", "0.1")
     labels = spark.read.parquet(f"{path}/labels.parquet")
