@@ -140,6 +140,29 @@ def test_cascade_order(spark):
     rules = [quality_rules.Rule("never", F.col("n_words") < 0), quality_rules.Rule("always", F.col("n_words") >= 0)]
     stats = spark.createDataFrame([(5,)] * 50, "n_words long")
     assert [m.rule.name for m in quality_rules.plan_cascade(stats, rules)] == ["always", "never"]
+    dear = quality_rules.Rule("dear", F.col("n_words") >= 0, F.lit(9.0))
+    assert [[m.rule.name for m in quality_rules.plan_cascade(stats, [rules[0], dear, rules[1]])] for _ in range(3)] == [["always", "dear", "never"]] * 3
+
+
+@pytest.mark.parametrize("place", [24, 4, 2])
+def test_places_of_long_texts(docs, monkeypatch, place):
+    """Texts of more words than the places' bits hold take more bits: 2, 4 and 24 bits give the same counts."""
+    monkeypatch.setattr(quality_rules, "PLACE", place)
+    got = {(r.doc_id, r.n_words): r.n_repeat_words for r in quality_rules.apply_rules(docs).collect()}
+    assert got == {(i, len(w := WORD.findall(t or ""))): repeats(w) for i, t in texts(docs)}
+
+
+def repeats(w):
+    seen = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    return len({i + k for i in range(len(w) - 2) if seen[tuple(w[i : i + 3])] > 1 for k in range(3)})
+
+
+def test_passing_rows_are_those_kept(spark, docs):
+    """The short cut computes less and decides alike."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    for d in (docs.select("doc_id", "text"), spark.read.parquet(path).select("doc_id", "text"), docs.limit(0).select("doc_id", "text")):
+        kept = bag((r.doc_id,) for r in quality_rules.apply_rules(d).where("kept").collect())
+        assert bag((r.doc_id,) for r in quality_rules.keep_passing(d).collect()) == kept
 
 
 # ---- 5
