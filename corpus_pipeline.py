@@ -2,6 +2,11 @@
 
 Every stage takes what the one before it kept. The first three drop rows, the fourth rewrites texts (each secret becomes a
 mark), the last returns the pieces of packed sequences.
+
+Defined results: a null, empty or blank text has no words, so the first stage rejects it; a null doc_id is a value like any other,
+and the least of its class; rows repeated with id and text are one class, of which one row stays; of ties (equal or near texts) the
+least doc_id stays; further columns, whatever their names, are kept up to the last stage; texts of any length are read whole; an
+empty table gives an empty result at every stage, and so does a table of which every row is rejected.
 """
 
 from __future__ import annotations
