@@ -1,7 +1,10 @@
-"""Column functions over text: tokens, hashes, ids, language, direction, clean-up. All run in the JVM."""
+"""Column functions over text: tokens, hashes, ids, language, direction, clean-up. All but nfkc run in the JVM."""
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -109,17 +112,21 @@ def sentences(c: Column) -> Column:
     return F.filter(F.split(c, r"(?<=[.!?\n])(?U)\s+"), lambda s: F.length(strip(s)) > 0)
 
 
-def pack(pieces: Column, least: int = 1500) -> Column:
-    """Greedy fold: pieces are joined by a space until their lengths reach `least`."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).alias("n"))
+def pack(pieces: Column, least: int = 1500, most: int = 2000) -> Column:
+    """Greedy fold: pieces are joined by a space until their lengths reach `least`; the only piece, if longer than `most`, is sliced."""
+    none = lambda: F.array().cast("array<string>")
+    joined = lambda now: strip(F.array_join(now, " "))
+    start = F.struct(none().alias("done"), none().alias("now"), F.lit(0).alias("n"))
 
     def step(a, x):
-        now = F.when(a.n == 0, x).otherwise(F.concat_ws(" ", a.now, x))
-        n = a.n + F.length(x)
+        now, n = F.array_append(a.now, x), a.n + F.length(x)
         full = n >= least
-        return F.struct(F.when(full, F.array_append(a.done, now)).otherwise(a.done).alias("done"), F.when(full, F.lit("")).otherwise(now).alias("now"), F.when(full, F.lit(0)).otherwise(n).alias("n"))
+        return F.struct(F.when(full, F.array_append(a.done, joined(now))).otherwise(a.done).alias("done"), F.when(full, none()).otherwise(now).alias("now"), F.when(full, F.lit(0)).otherwise(n).alias("n"))
 
-    return F.aggregate(pieces, start, step, lambda a: F.when(a.n > 0, F.array_append(a.done, a.now)).otherwise(a.done))
+    packed = F.aggregate(pieces, start, step, lambda a: F.when(F.size(a.now) > 0, F.array_append(a.done, joined(a.now))).otherwise(a.done))
+    alone = F.get(packed, F.lit(0))
+    slices = F.transform(F.sequence(F.lit(0), F.floor((F.length(alone) - 1) / least).cast("int")), lambda i: F.substring(alone, i * least + 1, F.lit(least)))
+    return F.when((F.size(packed) == 1) & (F.length(alone) > most), slices).otherwise(packed)
 
 
 def batch_plan(lengths: Column, texts: int = 32, chars: int = 24_000) -> Column:
@@ -131,3 +138,13 @@ def batch_plan(lengths: Column, texts: int = 32, chars: int = 24_000) -> Column:
         return F.struct(F.when(close, F.array_append(a.done, a.k)).otherwise(a.done).alias("done"), F.when(close, F.lit(1)).otherwise(a.k + 1).alias("k"), F.when(close, x.cast("long")).otherwise(a.n + x).alias("n"))
 
     return F.aggregate(lengths, start, step, lambda a: F.when(a.k > 0, F.array_append(a.done, a.k)).otherwise(a.done))
+
+
+def nfkc(c: Column) -> Column:
+    """Compatibility composition; the JVM has no built-in for it, so batches of texts go through Arrow."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+
+    return run(c)

@@ -84,10 +84,21 @@ def contradictions(sections: DataFrame) -> DataFrame:
 
 
 def greeting(c: Column) -> Column:
-    low = T.collapse(F.regexp_replace(F.lower(c), r"[\p{Punct}،؟؛«»‹›…—–]+", " "))
+    low = greeting_form(c)
     return (F.length(low) <= GREETING_CHARS) & low.isin(GREETINGS)
 
 
+def greeting_form(c: Column) -> Column:
+    return T.collapse(F.regexp_replace(F.lower(c), r"[\p{Punct}،؟؛«»‹›…—–]+", " "))
+
+
+def greeting_lang(c: Column) -> Column:
+    """en, fr or ar of a greeting that says so; null for others and for transliterated ones."""
+    low = greeting_form(c)
+    of = lambda words: low.isin(words)
+    return F.when(of([w for w in GREETINGS[11:17]]), "fr").when(of([w for w in GREETINGS[17:26]]), "ar").when(of(GREETINGS[:11]), "en")
+
+
 def intent(c: Column) -> Column:
     low = F.lower(F.coalesce(c, F.lit("")))
     return F.when(F.contains(low, F.lit("out_of_scope")) & ~F.contains(low, F.lit("in_scope")), "OUT_OF_SCOPE").otherwise("IN_SCOPE")

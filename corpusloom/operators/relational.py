@@ -65,21 +65,6 @@ def extract_eligible(parse: Column, reason: Column) -> Column:
     return (parse == "parsed") | ((parse == "quarantined") & ~F.coalesce(reason, F.lit("")).startswith("duplicate-of:"))
 
 
-#: Allowed moves of the state machines.
-TRANSITIONS = [
-    ("file", "pending", "parsed"), ("file", "pending", "quarantined"), ("file", "pending", "failed"), ("file", "failed", "parsed"),
-    ("chunk", "pending", "embedded"), ("chunk", "pending", "failed"), ("chunk", "embedded", "indexed"), ("chunk", "embedded", "failed"), ("chunk", "failed", "pending"),
-    ("draft", "draft", "acknowledged"), ("draft", "acknowledged", "lawyer_reviewed"),
-]
-
-
-def check_transitions(moves: DataFrame) -> DataFrame:
-    """moves (id, machine, before, after) plus verdict: same, allowed or illegal."""
-    allowed = moves.sparkSession.createDataFrame(TRANSITIONS, "machine string, before string, after string").withColumn("_ok", F.lit(True))
-    out = moves.join(F.broadcast(allowed), ["machine", "before", "after"], "left")
-    return out.select("id", F.when(F.col("before") == F.col("after"), "same").when(F.col("_ok"), "allowed").otherwise("illegal").alias("verdict"))
-
-
 def as_of(points: DataFrame, starts: DataFrame, key: str, at: str, start: str, value: str) -> DataFrame:
     """For each point the value of the last start at or before it: union and one window, no range join."""
     p = points.select(key, F.col(at).alias("_at"), F.lit(None).cast(starts.schema[value].dataType).alias(value), F.lit(1).alias("_kind"))
@@ -107,18 +92,20 @@ def headings_in_force(lines: DataFrame, doc: str, order: str) -> DataFrame:
     return out.select(doc, order, now["book"].alias("in_book"), F.when(p >= b, now["part"]).alias("in_part"), F.when((c >= b) & (c >= p), now["chapter"]).alias("in_chapter"))
 
 
-def reachable(edges: DataFrame, roots: list, skip: list | None = None, rounds: int = 64) -> DataFrame:
-    """node, depth by breadth-first rounds over edges (src, dst); skipped nodes are never entered."""
+def reachable(edges: DataFrame, roots: list, skip: list | None = None) -> DataFrame:
+    """node, depth by breadth-first rounds over edges (src, dst), until no node is new; skipped nodes are never entered. Each wave is
+    cut by a checkpoint, so a deep graph does not grow the plan."""
     spark = edges.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
     kind = edges.schema["src"].dataType.simpleString()
-    seen = spark.createDataFrame([(r, 0) for r in roots], f"node {kind}, depth int")
-    wave = seen
-    for depth in range(1, rounds):
+    seen = wave = spark.createDataFrame([(r, 0) for r in roots], f"node {kind}, depth int").checkpoint()
+    depth = 0
+    while not wave.isEmpty():
+        depth += 1
         step = edges.join(wave, edges.src == wave.node).select(F.col("dst").alias("node")).distinct()
         if skip:
             step = step.where(~F.col("node").isin(skip))
-        wave = step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)).cache()
-        if wave.isEmpty():
-            break
-        seen = seen.unionByName(wave)
+        wave = step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        seen = seen.unionByName(wave).repartition("node").checkpoint()
     return seen

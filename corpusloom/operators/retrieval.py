@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 RRF_K = 60
-#: Queries of one block; they are broadcast, the documents never are.
-MAX_QUERIES = 10_000
+#: Queries of one block: their vectors, at most 4,096 numbers each, travel with the tasks; the documents never do.
+MAX_QUERIES = 2_000
+BUCKETS = 2048
 
 
 def scoped(rows: DataFrame, tenant: str, value) -> DataFrame:
@@ -77,6 +80,83 @@ def _blocks(queries: DataFrame) -> list[DataFrame]:
         parts += max(1, parts // 4)
 
 
+def _block_topk(rows: DataFrame, queries: list, matrix: np.ndarray, score, k: int, slack: float) -> DataFrame:
+    """rows (id, x) against one block of queries: in each batch the rows that may be among the best k of a query, none of score null.
+
+    score(matrix, lists) gives a number for each (row, query), NaN where there is none; only about k rows a query and batch leave the
+    task, ties included, so no pair of a query and a document is shuffled but those."""
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def run(batches):
+        for b in batches:
+            ids, found = b.column("id"), score(matrix, b.column("x"))
+            bare = np.where(np.isnan(found), -np.inf, found)
+            if len(bare) > k:
+                least = np.partition(bare, len(bare) - k, axis=0)[len(bare) - k] - slack
+                bare = np.where(bare >= least, bare, -np.inf)
+            r, q = np.nonzero(bare > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array([queries[i] for i in q]).cast(pa.int64()), ids.take(pa.array(r)), pa.array(found[r, q])], ["query", "id", "score"])
+
+    return rows.mapInArrow(run, f"query bigint, id {kind['id']}, score double")
+
+
+def _counts(lists: pa.Array) -> np.ndarray:
+    n = lists.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+    at = np.repeat(np.arange(len(n)), n) * BUCKETS + lists.flatten().to_numpy()
+    return np.bincount(at, minlength=len(n) * BUCKETS).reshape(len(n), BUCKETS).astype(np.float32)
+
+
+def _lexical(matrix: np.ndarray, lists: pa.Array) -> np.ndarray:
+    """Inner products of term counts; counts are whole numbers, exact in single precision up to 2 ** 24. No common term: no score."""
+    out = np.empty((len(lists), len(matrix)))
+    for s in range(0, len(lists), 512):
+        out[s : s + 512] = _counts(lists.slice(s, 512)) @ matrix.T
+    return np.where(out > 0, out, np.nan)
+
+
+def _cosines(matrix: np.ndarray, lists: pa.Array) -> np.ndarray:
+    """matrix: unit vectors, zero for a query without length. A vector that is null or of another length has no score."""
+    n = lists.value_lengths().fill_null(0).to_numpy()
+    good = n == matrix.shape[1]
+    x = lists.filter(pa.array(good)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, matrix.shape[1])
+    size = np.sqrt((x * x).sum(1))
+    out = np.full((len(n), len(matrix)), np.nan)
+    out[good] = (x / np.where(size > 0, size, 1.0)[:, None]) @ matrix.T
+    return out
+
+
+def _units(vectors: list) -> np.ndarray:
+    x = np.array(vectors, np.float64)
+    size = np.sqrt((x * x).sum(1))
+    return x / np.where(size > 0, size, 1.0)[:, None]
+
+
+def term_indices(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """id, x: the hash index of every token of a text."""
+    return rows.select(F.col(key).alias("id"), F.transform(T.tokens(F.col(text)), lambda t: T.hash_index(t)).cast("array<int>").alias("x"))
+
+
+def lexical_topk(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """query, id, score, rank: the best k of each query (query, text) among docs (id, text)."""
+    rows, parts = term_indices(docs, "id"), []
+    for block in _blocks(queries):
+        q = term_indices(block, "query").toArrow().combine_chunks()
+        parts.append(_block_topk(rows, q["id"].to_pylist(), np.concatenate([_counts(c) for c in q["x"].chunks]) if len(q) else np.zeros((0, BUCKETS), np.float32), _lexical, k, 0.0))
+    return top_k(reduce(DataFrame.unionByName, parts), k)
+
+
+def dense_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """query, id, score, rank: the best k of each query (query, vector) among vectors (id, vector), by exact cosine to six places."""
+    rows, parts = vectors.select("id", F.col("vector").alias("x")), []
+    for block in _blocks(queries.where("vector is not null")):
+        q = block.select("query", "vector").toArrow()
+        if len(q):
+            parts.append(_block_topk(rows, q["query"].to_pylist(), _units(q["vector"].to_pylist()), _cosines, k, 2e-6))
+    if not parts:
+        return top_k(queries.select("query").join(vectors.select("id")).limit(0).withColumn("score", F.lit(0.0)), k)
+    return top_k(reduce(DataFrame.unionByName, parts).withColumn("score", F.round("score", 6)), k)
+
+
 def top_k(scores: DataFrame, k: int) -> DataFrame:
     """rank 1..k of each query; ties go to the lower id."""
     w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
@@ -94,8 +174,8 @@ def fuse(legs: list[DataFrame], k: int, constant: int = RRF_K) -> DataFrame:
 
 def hybrid(queries: DataFrame, docs: DataFrame, vectors: DataFrame, depth: int = 30, k: int = 10) -> DataFrame:
     """queries (query, text, vector), docs (id, text), vectors (id, vector) of one scope."""
-    lexical = top_k(lexical_scores(queries.select("query", "text"), docs), depth)
-    dense = top_k(dense_scores(queries.select("query", "vector"), vectors.join(docs.select("id"), "id", "left_semi")), depth)
+    lexical = lexical_topk(queries.select("query", "text"), docs, depth)
+    dense = dense_topk(queries.select("query", "vector"), vectors.join(docs.select("id"), "id", "left_semi"), depth)
     return fuse([dense, lexical], k)
 
 
@@ -124,9 +204,25 @@ def mmr(candidates: DataFrame, k: int, weight: float = 0.5) -> DataFrame:
 
 
 def recall_at_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """queries (query = gold id, bucket, vector): recall of each bucket and, with bucket null, overall. Ties favour the gold row."""
-    scores = dense_scores(queries.select("query", "vector"), vectors)
-    gold = scores.where("query = id").select(F.col("query").alias("_q"), F.col("score").alias("gold"))
-    ranks = scores.join(F.broadcast(gold) if _few(queries) else gold, F.col("query") == F.col("_q")).groupBy("query").agg((1 + F.count_if(F.col("score") > F.col("gold"))).alias("rank"))
+    """queries (query = gold id, bucket, vector): recall of each bucket and, with bucket null, overall. Ties favour the gold row.
+
+    A batch of vectors gives for each query how many are closer than its gold row: nothing else is shuffled."""
+    parts = []
+    for block in _blocks(queries):
+        q = block.select("query", "vector").toArrow()
+        names, unit = q["query"].to_pylist(), _units(q["vector"].to_pylist())
+        own = vectors.join(F.broadcast(block.select(F.col("query").alias("id"))), "id", "left_semi").select("id", "vector").toArrow()
+        held = dict(zip(own["id"].to_pylist(), _units(own["vector"].to_pylist()), strict=True)) if len(own) else {}
+        gold = np.round([float(held[n] @ u) if n in held else np.inf for n, u in zip(names, unit, strict=True)], 6)
+
+        def run(batches, names=names, unit=unit, gold=gold):
+            closer = np.zeros(len(names), np.int64)
+            for b in batches:
+                found = np.round(_cosines(unit, b.column("x")), 6)
+                closer += (found > gold[None, :]).sum(0)
+            yield pa.RecordBatch.from_arrays([pa.array(names).cast(pa.int64()), pa.array(closer), pa.array(np.isfinite(gold))], ["query", "closer", "there"])
+
+        parts.append(vectors.select(F.col("vector").alias("x")).mapInArrow(run, "query bigint, closer bigint, there boolean"))
+    ranks = reduce(DataFrame.unionByName, parts).where("there").groupBy("query").agg((1 + F.sum("closer")).alias("rank"))
     hits = ranks.join(queries.select("query", "bucket"), "query")
     return hits.rollup("bucket").agg(F.count("*").alias("n"), F.round(F.avg((F.col("rank") <= k).cast("int")), 6).alias("recall"))

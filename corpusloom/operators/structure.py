@@ -17,7 +17,7 @@ HEADING = r"^(?U)\s*(?:(?:Article|ARTICLE|المادة)\s+\S+.*|(?:Objet|OBJET)\
 ARTICLE_ITEM = r"(?iu)^\s*(?:المادة|Article)\s+([0-9٠-٩]+)"
 FASL_ITEM = r"^\s*الفصل\s+([0-9٠-٩]+)(?![\p{L}\p{N}_])"
 FASL_REVERSED = r"^\s*([0-9٠-٩]+)\s+الفصل(?![\p{L}\p{N}_])"
-LEVELS = {"book": r"(?iu)^\s*(?:الكتاب| ?Livre)\s+(.+)$", "part": r"(?iu)^\s*(?:الباب| ?Partie|Titre)\s+(.+)$", "chapter": r"(?iu)^\s*(?:الفصل| ?Chapitre)\s+(.+)$"}
+LEVELS = {"book": r"(?iu)^\s*(?:الكتاب| Livre)\s+(.+)$", "part": r"(?iu)^\s*(?:الباب| Partie|Titre)\s+(.+)$", "chapter": r"(?iu)^\s*(?:الفصل| Chapitre)\s+(.+)$"}
 LAW_HEADER = r"^\s*(القانون التنظيمي|الدستور|دستور|ظهير شريف|مرسوم بقانون|قرار مشترك|ظهير|مرسوم|قرار|القانون|قانون)(?![\p{L}\p{N}_])(.*)$"
 SENTENCE_END = r"(?<=[.!؟?])\s+|\n+"
 BUDGET, OVERLAP = T.SERVED_TOKENS, 64
@@ -150,3 +150,21 @@ def budget_pieces(items: DataFrame, counter: Callable[[str], int], units: Callab
 
     kind = items.schema["doc"].dataType.simpleString()
     return items.select("doc", "item", "label", "text").mapInArrow(run, f"doc {kind}, item bigint, piece int, label string, continued_from string, text string, estimate int")
+
+
+def children(sections: DataFrame, most: int = 2000) -> DataFrame:
+    """sections (doc, section, title, text, start) and, of those longer than `most`, their parts: section s.c1.., title (part i/n),
+    parent, and offsets found in the parent's text from where the last part ended (its start, where white space was joined)."""
+    pieces = F.when(F.length("text") > most, T.pack(T.sentences(F.col("text")))).otherwise(F.array().cast("array<string>"))
+    rows = sections.withColumn("_pieces", pieces)
+    place = F.expr("""aggregate(_pieces, named_struct('at', 0, 'found', cast(array() as array<struct<at: int, text: string>>)),
+        (a, x) -> named_struct('at', greatest(locate(x, text, a.at + 1) - 1, 0) + length(x),
+            'found', array_append(a.found, named_struct('at', greatest(locate(x, text, a.at + 1) - 1, 0), 'text', x))), a -> a.found)""")
+    parts = rows.withColumn("_n", F.size("_pieces")).select("doc", "section", "title", "start", "_n", F.posexplode(place).alias("_i", "_p"))
+    number = (F.col("_i") + 1).cast("string")
+    parts = parts.select(
+        "doc", F.concat("section", F.lit(".c"), number).alias("section"), F.concat("title", F.lit(" (part "), number, F.lit("/"), F.col("_n").cast("string"), F.lit(")")).alias("title"),
+        F.col("_p.text").alias("text"), (F.col("start") + F.col("_p.at")).alias("start"), (F.col("start") + F.col("_p.at") + F.length("_p.text")).alias("end"), F.col("section").alias("parent"),
+    )
+    whole = sections.select("doc", "section", "title", "text", "start", (F.col("start") + F.length("text")).alias("end"), F.lit(None).cast("string").alias("parent"))
+    return whole.unionByName(parts)

@@ -38,7 +38,22 @@ SECTIONS = Fixture(
     ],
 )
 MESSAGES = Fixture("role string, text string", [("user", "Bonjour !"), ("user", "مرحبا بكم"), ("user", "שלום לך"), ("user", "Hello there"), ("user", "Où est l'été ?"), ("user", ""), ("user", "hello, I have a question about notice")])
-MOVES = Fixture("id long, machine string, before string, after string", [(1, "file", "pending", "parsed"), (2, "file", "parsed", "pending"), (3, "chunk", "embedded", "indexed"), (4, "chunk", "indexed", "indexed"), (5, "draft", "draft", "lawyer_reviewed"), (6, "draft", "draft", "acknowledged")])
+MOVES = Fixture(
+    "id long, machine string, before string, after string, reviewer string",
+    [
+        (1, "parse_status", "pending", "parsed", None), (2, "parse_status", "parsed", "pending", None), (3, "chunk", "embedded", "indexed", None), (4, "chunk", "indexed", "indexed", None),
+        (5, "draft", "draft", "lawyer_reviewed", None), (6, "draft", "draft", "acknowledged", None), (7, "draft", "draft", "lawyer_reviewed", "Me Idrissi"), (8, "draft", "acknowledged", "lawyer_reviewed", "  "),
+        (9, "draft", "lawyer_reviewed", "draft", None), (10, "draft", "acknowledged", "draft", None), (11, "parse_status", "failed", "pending", None), (12, "extract_status", "quarantined", "extracted", None),
+        (13, "chunk", "embedded", "pending", None), (14, "chunk", "indexed", "failed", None), (15, "embed_status", "pending", "quarantined", None), (16, "nothing", "a", "b", None),
+        (17, "index_status", "indexed", "failed", None), (18, "draft", "draft", "draft", None), (19, "embed_status", "failed", "embedded", None), (20, "draft", "draft", "sent", "x"), (21, "chunk", "pending", "indexed", None),
+    ],
+)
+PATHS = Fixture("id long, path string", [(1, "/files/loi 65.99.pdf#toolbar=0"), (2, "http://x.example/a b"), (3, "قانون/é.pdf"), (4, " a/b?c=d&e:f "), (5, "")])
+UPLOADS = Fixture("id long, name string, size long", [(1, "a/b.PDF", 10), (2, "c.exe", 10), (3, "d.md", 20_000_001), (4, ".txt", 1), (5, "e", 1), (6, "f.tar.docx", 20_000_000)])
+FILES = Fixture(
+    "id long, status string, index_status string, sha string, reason string",
+    [(1, "pending", "pending", None, None), (2, "extracted", "pending", "", None), (3, "extracted", "pending", "ab", None), (4, "quarantined", "pending", None, "worker-crash: 9"), (5, "quarantined", "pending", None, "duplicate-of: 3"), (6, "failed", "indexed", None, None), (7, "failed", "pending", "cd", None)],
+)
 PAGES = Fixture("doc long, page_no long, page_start long, page_end long, confidence double, review boolean", [(1, 1, 0, 100, 0.9, False), (1, 2, 101, 250, None, True), (1, 3, 251, 400, 0.5, False), (2, 1, 0, 80, None, False)])
 SPANS = Fixture("doc long, pos long, until long", [(1, 0, 50), (1, 90, 180), (1, 251, 399), (2, 10, 20), (2, 79, 200)])
 HEADINGS = Fixture(

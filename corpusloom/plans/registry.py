@@ -11,29 +11,8 @@ from ..operators import relational as R
 from ..operators import retrieval as H
 from ..operators import serving as V
 from ..operators import structure as S
-from .fixtures import AUTHORITY_FILES, CITATIONS, EDGES, HEADINGS, MESSAGES, MOVES, PAGED, PAGES, PRIVACY, SECTIONS, SPANS, TOOL_TEXTS
-
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def inline(spark: SparkSession, fixture) -> DataFrame:
-    return spark.createDataFrame(fixture.rows, fixture.schema)
-
+from .base import ORACLE_SQL, QUERIES, inline, ledger, query, read  # noqa: F401
+from .fixtures import AUTHORITY_FILES, CITATIONS, EDGES, HEADINGS, MESSAGES, PAGED, PAGES, PRIVACY, SECTIONS, SPANS, TOOL_TEXTS
 
 # ---- fragments of SQL
 
@@ -52,23 +31,6 @@ _LEDGER = """(select d.doc_id, d.source as category, d.lang as edition, sha256(d
     from documents d left join labels l using (doc_id))"""
 
 
-def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pipeline states derived from documents and labels, in the shape of an import ledger."""
-    short, q, t = F.col("n_chars") < 60, F.col("quality"), F.col("toxic")
-    indexed = F.coalesce((t == 0) & (q == 1), F.lit(False))
-    chunks = F.floor(F.col("n_chars") / 1000) + 1
-    return read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left").select(
-        "doc_id", F.col("source").alias("category"), F.col("lang").alias("edition"), F.sha2("text", 256).alias("sha"), "n_chars",
-        F.when(short, "quarantined").otherwise("parsed").alias("parse_status"),
-        F.when(short, "short-text").alias("reason"),
-        F.when(q.isNotNull(), "extracted").when(short, "quarantined").otherwise("pending").alias("extract_status"),
-        F.when(q == 1, "embedded").when(q == 0, "failed").otherwise("pending").alias("embed_status"),
-        F.when(indexed, "indexed").otherwise("pending").alias("index_status"),
-        F.when(q == 1, chunks).otherwise(F.lit(0)).cast("long").alias("chunk_count"),
-        F.when(indexed, chunks).otherwise(F.lit(0)).cast("long").alias("indexed_count"),
-    )
-
-
 def _vectors(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
 
@@ -93,7 +55,7 @@ _TOP = "select * from (select *, row_number() over (partition by query order by
 @query(_TOP.format(scores=_LEX.format(where="s.source = 'src1'"), k=10))
 def lexical_topk(spark, sf_dir):
     docs = H.scoped(read(spark, sf_dir, "documents"), "source", "src1").select(F.col("doc_id").alias("id"), "text")
-    return H.top_k(H.lexical_scores(_items(spark, sf_dir), docs), 10)
+    return H.lexical_topk(_items(spark, sf_dir), docs, 10)
 
 
 _LEX_TENANTS = f"""select q.item_id as query, s.source, d.doc_id as id, sum(q.tf * d.tf)::double as score from ({_ITEM_TF}) q
@@ -115,18 +77,18 @@ _DENSE = f"select q.vec_id as query, d.vec_id as id, round(case when q.n * d.n =
 def dense_topk_cosine(spark, sf_dir):
     """The stated query set: every row whose id is divisible by 50, against all rows."""
     v = _vectors(spark, sf_dir)
-    return H.top_k(H.dense_scores(v.where("id % 50 = 0").select(F.col("id").alias("query"), "vector"), v), 10)
+    return H.dense_topk(v.where("id % 50 = 0").select(F.col("id").alias("query"), "vector"), v, 10)
 
 
 def _hybrid_sql(where: str, k: int = 10) -> str:
     dense = _TOP.format(scores=_DENSE.format(where=f"q.vec_id in (select item_id from benchmark) and d.vec_id in (select s.doc_id from documents s where {where})"), k=30)
-    lexical = _TOP.format(scores=_LEX.format(where=where + " and q.item_id in (select vec_id from embeddings)"), k=30)
+    lexical = _TOP.format(scores=_LEX.format(where=where), k=30)
     fused = f"select query, id, round(sum(1.0::double / (60 + rank)), 6) as score, count(*) as legs from (select query, id, rank from ({dense}) union all select query, id, rank from ({lexical})) group by 1, 2"
     return _TOP.format(scores=fused, k=k)
 
 
 def _hybrid(spark, sf_dir, docs):
-    queries = _items(spark, sf_dir).join(_vectors(spark, sf_dir).withColumnRenamed("id", "query"), "query")
+    queries = _items(spark, sf_dir).join(_vectors(spark, sf_dir).withColumnRenamed("id", "query"), "query", "left")
     return H.hybrid(queries, docs.select(F.col("doc_id").alias("id"), "text"), _vectors(spark, sf_dir))
 
 
@@ -169,7 +131,7 @@ def parity_cosine(spark, sf_dir):
 @query()
 def mmr_select(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source")
-    top = H.top_k(H.lexical_scores(_items(spark, sf_dir), H.scoped(docs, "source", "src1")), 30)
+    top = H.lexical_topk(_items(spark, sf_dir), H.scoped(docs, "source", "src1"), 30)
     return H.mmr(top.join(docs.select("id", "text"), "id").select("query", "rank", "id", "text"), 10)
 
 
@@ -280,15 +242,9 @@ def wire_and_slug(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", T.wire_safe(F.col("text")).alias("wire"), T.slug(F.col("text")).alias("slug"))
 
 
-@query()
-def batch_plan(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "n_chars"))).alias("d"))
-    return d.select("source", T.batch_plan(F.transform("d", lambda x: x.n_chars)).alias("batches"))
-
-
-@query("select page_id, regexp_extract(html, '<title>(.*?)</title>', 1) as title, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) as host from pages")
+@query("select page_id, regexp_extract(html, '(?is)<title(?:\\s[^>]*)?>(.*?)</title', 1) as title, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) as host from pages")
 def html_title(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"), F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1).alias("host"))
+    return read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", r"(?is)<title(?:\s[^>]*)?>(.*?)</title", 1).alias("title"), F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1).alias("host"))
 
 
 # ---- relational reads
@@ -391,12 +347,6 @@ def post_dedup_limit(spark, sf_dir):
     return read(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("sha")).agg(F.min("doc_id").alias("doc_id")).select("doc_id").orderBy("doc_id").limit(100)
 
 
-@query(f"""select m.id, case when m.before = m.after then 'same' when a.machine is not null then 'allowed' else 'illegal' end as verdict from {MOVES.sql} m
-    left join (values {", ".join(str(t) for t in R.TRANSITIONS)}) a(machine, before, after) using (machine, before, after)""")
-def transition_check(spark, sf_dir):
-    return R.check_transitions(inline(spark, MOVES))
-
-
 @query(f"select category || '@v1#' || edition as key, max(doc_id) as doc_id, count(*) as files from {_LEDGER} where (reason is null or reason not like 'duplicate-of:%') and parse_status <> 'failed' group by 1")
 def manifest_export(spark, sf_dir):
     """One entry for each key; of several the last wins."""
@@ -519,14 +469,6 @@ def contradictions(spark, sf_dir):
     return A.contradictions(inline(spark, SECTIONS))
 
 
-@query(f"""with t as (select distinct matter, doc_type from {SECTIONS.sql}), e(expected) as (values ('contract'), ('letter'), ('correspondence'))
-    select m.matter, 'Missing ' || expected as gap from (select distinct matter from t) m, e where not exists (select 1 from t where t.matter = m.matter and doc_type = expected)""")
-def gaps(spark, sf_dir):
-    s = inline(spark, SECTIONS)
-    wanted = s.select("matter").distinct().select("matter", F.explode(F.array(*map(F.lit, A.EXPECTED_TYPES))).alias("doc_type"))
-    return wanted.join(s.select("matter", "doc_type"), ["matter", "doc_type"], "left_anti").select("matter", F.concat(F.lit("Missing "), "doc_type").alias("gap"))
-
-
 @query(f"select section, sum(case when term is not null then 1 else 0 end)::bigint as hits from {SECTIONS.sql} left join (values ('notice'), ('salaire'), ('contrat')) g(term) on contains(lower(text), lower(term)) group by 1")
 def glossary_hits(spark, sf_dir):
     terms = spark.createDataFrame([("notice",), ("salaire",), ("contrat",)], "term string")
@@ -626,36 +568,11 @@ def filename_provenance(spark, sf_dir):
 # ---- frames, metrics, stages
 
 
-@query("select conv_id, turn, i as seq, substr(text, i * 600 + 1, 600) as token from (select *, unnest(range((length(text) + 599) // 600)) as i from conversations where role = 'assistant')")
-def token_batches(spark, sf_dir):
-    c = read(spark, sf_dir, "conversations").where("role = 'assistant' and length(text) > 0")
-    n = F.floor((F.length("text") + 599) / 600)
-    return c.select("conv_id", "turn", "text", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("seq")).select("conv_id", "turn", "seq", F.substring(F.col("text"), (F.col("seq") * 600 + 1).cast("int"), F.lit(600)).alias("token"))
-
-
-@query()
-def sse_frames(spark, sf_dir):
-    """Frames of each assistant turn in contract order: status, citations, tokens, done."""
-    t = token_batches(spark, sf_dir)
-    turns = t.select("conv_id", "turn").distinct()
-    head = turns.select("conv_id", "turn", F.explode(F.array(F.lit("status"), F.lit("citations"), F.lit("done"))).alias("type"))
-    head = head.select("conv_id", "turn", F.when(F.col("type") == "status", 0).when(F.col("type") == "citations", 1).otherwise(9).alias("phase"), F.lit(0).cast("long").alias("seq"), F.to_json(F.struct("type")).alias("frame"))
-    body = t.select("conv_id", "turn", F.lit(2).alias("phase"), "seq", F.to_json(F.struct(F.lit("token").alias("type"), F.col("token").alias("text"))).alias("frame"))
-    return head.unionByName(body).select("conv_id", "turn", "phase", "seq", F.concat(F.lit("data: "), "frame", F.lit("\n\n")).alias("frame"))
-
-
 @query("select event_type, count(*) as n, round(sum(value), 4) as total, round(avg(value), 4) as mean from events group by 1")
 def pipeline_metrics(spark, sf_dir):
     return read(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.round(F.avg("value"), 4).alias("mean"))
 
 
-@query("select source, sha256(string_agg(doc_id || ':' || sha256(text), chr(10) order by doc_id)) as fingerprint from documents group by 1")
-def fingerprint(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select("source", F.struct("doc_id", F.sha2("text", 256).alias("sha")).alias("x"))
-    lines = F.transform(F.array_sort(F.collect_list("x")), lambda x: F.concat_ws(":", x.doc_id.cast("string"), x.sha))
-    return d.groupBy("source").agg(F.sha2(F.array_join(lines, "\n"), 256).alias("fingerprint"))
-
-
 @query()
 def embed_stage(spark, sf_dir):
     from ..sources.embedding import embed, hash_embedder
@@ -676,7 +593,7 @@ def events_increment(spark, sf_dir):
 @query(_TOP.format(scores=_LEX.format(where="s.source = 'src1'"), k=10).replace("select *, row_number", "select query, id, score, row_number", 1))
 def rerank_passthrough(spark, sf_dir):
     docs = H.scoped(read(spark, sf_dir, "documents"), "source", "src1").select(F.col("doc_id").alias("id"), "text")
-    top = H.top_k(H.lexical_scores(_items(spark, sf_dir), docs), 30)
+    top = H.lexical_topk(_items(spark, sf_dir), docs, 30)
     return V.rerank(top.join(docs, "id"), 10).select("query", "id", "score", "rank")
 
 
@@ -744,3 +661,6 @@ def stage_readiness(spark, sf_dir):
     rows = ledger(spark, sf_dir)
     ahead = F.array_compact(F.array(F.when((F.col("embed_status") == "embedded") & (F.col("extract_status") != "extracted"), "embed_status"), F.when((F.col("index_status") == "indexed") & ((F.col("extract_status") != "extracted") | (F.col("embed_status") != "embedded")), "index_status")))
     return rows.select("doc_id", F.explode(ahead).alias("stage"))
+
+
+from . import workflow  # noqa: E402, F401  it registers its own queries
