@@ -48,6 +48,11 @@ def join_hot(rows: DataFrame, small: DataFrame, key: str, times: str, total: int
 
     Rows of hot keys meet a broadcast of at most HOT_KEYS rows where they lie; only the others are shuffled by the key."""
     limit = max(HOT_LEAST, total // HOT_KEYS)
-    hot, few = F.broadcast(small.where(F.col(times) > limit)), small.where(F.col(times) <= limit)
-    rest = rows.join(F.broadcast(small.where(F.col(times) > limit).select(key)), key, "left_anti")
-    return rows.join(hot, key).unionByName(rest.join(few, key, how))
+    hot, few = small.where(F.col(times) > limit), small.where(F.col(times) <= limit)
+    # The condition uses all columns, so that both broadcasts and the join share one shuffle of an aggregate. It holds for any row;
+    # if it did not, the rows would meet no row of `few`.
+    names = {c: f"_hot_{c}" for c in small.columns}
+    met = hot.withColumnsRenamed(names)
+    same = (F.col(key) == F.col(names[key])) & (F.xxhash64(*names.values()) != F.lit(0))
+    rest = rows.join(F.broadcast(met), same, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(few, key, how))

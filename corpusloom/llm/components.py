@@ -1,25 +1,36 @@
 """Connected components of an edge table by alternating large and small stars; every round is cut into the shared folder.
 
-A hub, be it a third of all edges, is no join key: its edges meet its least neighbour in a broadcast (`join_hot`)."""
+A hub, be it a third of all edges, is no join key: its edges meet its least neighbour in a broadcast of at most `HOT_KEYS` rows, and
+are then dealt by their other end."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, join_hot
+from .common import HOT_KEYS, HOT_LEAST, durable
+
+
+def _least(edges: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """For each a the least of itself and its neighbours (m) and its edges (n); and the edges with the m of their a."""
+    least = edges.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n"))
+    limit = max(HOT_LEAST, total // HOT_KEYS)
+    hub = least.where(F.col("n") > limit).select(F.col("a").alias("_hub"), F.col("m").alias("_of_hub"))
+    other = least.where(F.col("n") <= limit).select(F.col("a").alias("_node"), F.col("m").alias("_of_node"))
+    known = edges.join(F.broadcast(hub), F.col("a") == F.col("_hub"), "left")
+    # No node is negative, so a hub's edges meet nothing more, in as many tasks as there are.
+    dealt = known.withColumn("_at", F.when(F.col("_hub").isNull(), F.col("a")).otherwise(-1 - F.pmod(F.xxhash64("b"), F.lit(1 << 20))))
+    return least, dealt.join(other, F.col("_at") == F.col("_node"), "left").select("a", "b", F.coalesce("_of_hub", "_of_node").alias("m"))
 
 
 def _large_star(edges: DataFrame, n: int) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n"))
-    return join_hot(both, least, "a", "n", 2 * n).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
+    return _least(both, 2 * n)[1].where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame, n: int) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-    linked = join_hot(down, least, "a", "n", n).where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least, linked = _least(edges, n)
+    linked = linked.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return linked.unionByName(least.select("a", F.col("m").alias("b")))
 
 
@@ -28,14 +39,14 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """edges (a, b) -> (node, root): the least node of its component, for every node that has an edge to another one.
+    """edges (a, b) of longs from 0 -> (node, root): the least node of its component, for every node that has an edge to another one.
 
-    Nodes may be of any ordered type; longs are cheapest. Rounds grow with the logarithm of a component's diameter."""
+    Rounds grow with the logarithm of a component's diameter."""
     now = durable(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = _mark(now)
     while mark[0]:
-        large = _large_star(now, mark[0]).where(F.col("a") != F.col("b")).distinct()
-        # The large star gives an edge for each of a node's at most, so its rows do not exceed those of both directions.
+        # The large star gives an edge for each of a node's at most: every a is greater than its b. Edges given twice go once, at the end.
+        large = _large_star(now, mark[0]).where(F.col("a") != F.col("b"))
         now = durable(_small_star(large, 2 * mark[0]).where(F.col("a") != F.col("b")).distinct())
         after = _mark(now)
         if after == mark:
