@@ -274,8 +274,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, bound: int = BROADCAST_
         for f in found[1:]:
             rows = rows.unionByName(f.select("_row"))
         rows = durable(rows.distinct().withColumnRenamed("_row", "_at"))
-        texts = durable(join_measured(keyed.select("_row", "text"), rows, F.col("_row") == F.col("_at"), "left_semi", bound=bound).dropDuplicates(["_row"]))
-        parts = [durable(_with_names(verify(texts, f, plan(items)), ids)) for (ids, items), f in zip(_item_blocks(benchmark), found, strict=True)]
+        texts = join_measured(keyed.select("_row", "text"), rows, F.col("_row") == F.col("_at"), "left_semi", bound=bound)
+        texts = texts if len(found) == 1 else durable(texts)  # more blocks read them again
+        # Repeats of a row are verified each and answered once.
+        parts = [durable(_with_names(verify(texts, f, plan(items)), ids).dropDuplicates(["_row"])) for (ids, items), f in zip(_item_blocks(benchmark), found, strict=True)]
         hits = parts[0]
         for p in parts[1:]:
             hits = hits.unionByName(p)
