@@ -28,13 +28,23 @@ def write_artifact(rows: DataFrame, root: str, name: str, mode: str = "error") -
     rows.write.mode(mode).option("compression", "zstd").parquet(f"{root}/{name}")
     n, mark = content_mark(rows.sparkSession.read.parquet(f"{root}/{name}"))
     entry = {"name": name, "n": n, "mark": mark}
-    rows.sparkSession.createDataFrame([entry], "name string, n long, mark long").coalesce(1).write.mode("append").json(f"{root}/_manifest")
+    number = 1 + max((r.number for r in _entries(rows.sparkSession, root) if r.name == name), default=0)
+    rows.sparkSession.createDataFrame([{**entry, "number": number}], _ENTRY).coalesce(1).write.mode("append").json(f"{root}/_manifest")
     return entry
 
 
+_ENTRY = "name string, n long, mark long, number long"
+
+
+def _entries(spark: SparkSession, root: str) -> list:
+    """The manifest's rows in the order in which they were written; its files have no order of their own."""
+    held = spark.read.schema(_ENTRY).json(f"{root}/_manifest").collect() if "_manifest" in _names(spark, root) else []
+    return sorted(held, key=lambda r: r.number)
+
+
 def manifest(spark: SparkSession, root: str) -> dict[str, tuple[int, int]]:
-    """name -> (n, mark) of every table below root; of one that was written again the last entry that holds."""
-    return {r.name: (r.n, r.mark) for r in spark.read.schema("name string, n long, mark long").json(f"{root}/_manifest").collect()} if "_manifest" in _names(spark, root) else {}
+    """name -> (n, mark) of every table below root; of one that was written again the last entry holds."""
+    return {r.name: (r.n, r.mark) for r in _entries(spark, root)}
 
 
 def read_artifact(spark: SparkSession, root: str, name: str) -> DataFrame:
