@@ -59,14 +59,20 @@ def parties(sections: DataFrame) -> DataFrame:
     return found.withColumn("n", F.row_number().over(w)).where("n = 1").select("section", "name", "kind")
 
 
-def dates(sections: DataFrame) -> DataFrame:
-    """section, at, date, label; the label looks at the 30 characters before the date."""
+def glossary(c: Column, terms: list[str]) -> Column:
+    """How many of the terms a text holds."""
+    low = F.lower(c)
+    return sum((F.coalesce(F.contains(low, F.lit(t.lower())), F.lit(False)).cast("long") for t in terms), F.lit(0).cast("long"))
+
+
+def dates(sections: DataFrame, *carry: str) -> DataFrame:
+    """section, the carried columns, at, date, label; the label looks at the 30 characters before the date."""
     gaps, hits = F.split("text", DATE, -1), F.regexp_extract_all("text", F.lit(DATE), F.lit(1))
-    rows = sections.withColumns({"_g": gaps, "_h": hits}).select("section", "_g", "_h", "text", F.posexplode("_h").alias("i", "date"))
+    rows = sections.withColumns({"_g": gaps, "_h": hits}).select("section", *carry, "_g", "_h", F.posexplode("_h").alias("i", "date"))
     before = F.array_join(F.transform(F.slice("_g", F.lit(1), F.col("i") + 1), lambda x, i: F.concat(x, F.when(i < F.col("i"), F.get("_h", i)).otherwise(F.lit("")))), "")
     around = F.lower(F.right(before, F.lit(30)))
     label = F.when(around.rlike("notice|préavis|pré-avis"), "notice date").when(around.rlike("effect|partir"), "effective date").otherwise("mentioned date")
-    return rows.select("section", F.col("i").alias("at"), "date", label.alias("label"))
+    return rows.select("section", *carry, F.col("i").alias("at"), "date", label.alias("label"))
 
 
 def obligations(sections: DataFrame) -> DataFrame:
@@ -144,7 +150,7 @@ def report(sections: DataFrame) -> DataFrame:
     """One row for each matter: types, issues and dates as nested lists in a fixed order."""
     types = sections.groupBy("matter").agg(F.array_sort(F.collect_set("doc_type")).alias("doc_types"), F.count("*").alias("sections"))
     found = issues(sections).groupBy("matter").agg(F.array_sort(F.collect_list(F.struct("rank", "issue", "risk", "refs"))).alias("issues"))
-    when = dates(sections).join(sections.select("section", "matter"), "section").groupBy("matter").agg(F.array_sort(F.collect_list(F.struct("section", "at", "date", "label"))).alias("dates"))
+    when = dates(sections, "matter").groupBy("matter").agg(F.array_sort(F.collect_list(F.struct("section", "at", "date", "label"))).alias("dates"))
     return types.join(found, "matter", "left").join(when, "matter", "left")
 
 

@@ -17,6 +17,11 @@ MAX_QUERIES = 2_000
 BUCKETS = 2048
 
 
+def tenants(rows: DataFrame, tenant: str) -> DataFrame:
+    """The rows that have a tenant; a search `within` it ranks every tenant's rows apart."""
+    return rows.where(F.col(tenant) != "")
+
+
 def scoped(rows: DataFrame, tenant: str, value) -> DataFrame:
     """Evidence is never read without its tenant."""
     if value is None or value == "":
@@ -35,14 +40,6 @@ def lexical_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
     return tf_vectors(docs, "id").join(F.broadcast(q) if _few(queries) else q, "idx").groupBy("query", "id").agg(F.sum(F.col("q_tf") * F.col("tf")).cast("double").alias("score"))
 
 
-def lexical_by_tenant(queries: DataFrame, docs: DataFrame, tenant: str, k: int) -> DataFrame:
-    """query, tenant, id, score, rank: the best k of every query within every tenant; docs (tenant, id, text) without a tenant are not read."""
-    owned = docs.where(F.col(tenant) != "").select(F.struct(tenant, "id").alias("id"), "text")
-    scores = lexical_scores(queries, owned).select("query", f"id.{tenant}", "id.id", "score")
-    w = Window.partitionBy(tenant, "query").orderBy(F.desc("score"), "id")
-    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def _few(queries: DataFrame) -> bool:
     return queries.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES
 
@@ -80,24 +77,45 @@ def _blocks(queries: DataFrame) -> list[DataFrame]:
         parts += max(1, parts // 4)
 
 
-def _block_topk(rows: DataFrame, queries: list, matrix: np.ndarray, score, k: int, slack: float) -> DataFrame:
-    """rows (id, x) against one block of queries: in each batch the rows that may be among the best k of a query, none of score null.
+def _parts(column: pa.Array) -> list[np.ndarray]:
+    """The places of each value's rows."""
+    codes = column.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(codes, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(codes[order])) + 1)
 
-    score(matrix, lists) gives a number for each (row, query), NaN where there is none; only about k rows a query and batch leave the
-    task, ties included, so no pair of a query and a document is shuffled but those."""
+
+def _block_topk(rows: DataFrame, queries: list, matrix: np.ndarray, score, k: int, slack: float, within: str | None = None) -> DataFrame:
+    """rows (id, x, and the tenant they are ranked within) against one block of queries: in each batch the rows that may be among the
+    best k of a query and tenant, none of score null.
+
+    score(matrix, lists) gives a number for each (row, query), NaN where there is none; only about k rows a query, tenant and batch
+    leave the task, ties included, so no pair of a query and a document is shuffled but those."""
     kind = {f.name: f.dataType.simpleString() for f in rows.schema}
+    own = _own(within)
 
     def run(batches):
         for b in batches:
-            ids, found = b.column("id"), score(matrix, b.column("x"))
+            if not len(b):
+                continue
+            found, at, asked = score(matrix, b.column("x")), [], []
             bare = np.where(np.isnan(found), -np.inf, found)
-            if len(bare) > k:
-                least = np.partition(bare, len(bare) - k, axis=0)[len(bare) - k] - slack
-                bare = np.where(bare >= least, bare, -np.inf)
-            r, q = np.nonzero(bare > -np.inf)
-            yield pa.RecordBatch.from_arrays([pa.array([queries[i] for i in q]).cast(pa.int64()), ids.take(pa.array(r)), pa.array(found[r, q])], ["query", "id", "score"])
+            for part in _parts(b.column(within)) if within else [np.arange(len(bare))]:
+                some = bare[part]
+                if len(part) > k:
+                    least = np.partition(some, len(part) - k, axis=0)[len(part) - k] - slack
+                    some = np.where(some >= least, some, -np.inf)
+                r, q = np.nonzero(some > -np.inf)
+                at.append(part[r])
+                asked.append(q)
+            r, q = np.concatenate(at), np.concatenate(asked)
+            kept = [b.column(c).take(pa.array(r)) for c in [*own, "id"]]
+            yield pa.RecordBatch.from_arrays([pa.array([queries[i] for i in q]).cast(pa.int64()), *kept, pa.array(found[r, q])], ["query", *own, "id", "score"])
+
+    return rows.mapInArrow(run, ", ".join(["query bigint", *(f"{c} {kind[c]}" for c in [*own, "id"]), "score double"]))
 
-    return rows.mapInArrow(run, f"query bigint, id {kind['id']}, score double")
+
+def _own(within: str | None) -> list[str]:
+    return [within] if within else []
 
 
 def _counts(lists: pa.Array) -> np.ndarray:
@@ -131,62 +149,67 @@ def _units(vectors: list) -> np.ndarray:
     return x / np.where(size > 0, size, 1.0)[:, None]
 
 
-def term_indices(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
+def term_indices(rows: DataFrame, key: str, text: str = "text", within: str | None = None) -> DataFrame:
     """id, x: the hash index of every token of a text."""
-    return rows.select(F.col(key).alias("id"), F.transform(T.tokens(F.col(text)), lambda t: T.hash_index(t)).cast("array<int>").alias("x"))
+    return rows.select(F.col(key).alias("id"), *_own(within), F.transform(T.tokens(F.col(text)), lambda t: T.hash_index(t)).cast("array<int>").alias("x"))
 
 
-def lexical_topk(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """query, id, score, rank: the best k of each query (query, text) among docs (id, text)."""
-    rows, parts = term_indices(docs, "id"), []
+def lexical_topk(queries: DataFrame, docs: DataFrame, k: int, within: str | None = None) -> DataFrame:
+    """query, id, score, rank: the best k of each query (query, text) among docs (id, text); with `within` among those of each tenant."""
+    rows, parts = term_indices(docs, "id", within=within), []
     for block in _blocks(queries):
         q = term_indices(block, "query").toArrow().combine_chunks()
-        parts.append(_block_topk(rows, q["id"].to_pylist(), np.concatenate([_counts(c) for c in q["x"].chunks]) if len(q) else np.zeros((0, BUCKETS), np.float32), _lexical, k, 0.0))
-    return top_k(reduce(DataFrame.unionByName, parts), k)
+        parts.append(_block_topk(rows, q["id"].to_pylist(), np.concatenate([_counts(c) for c in q["x"].chunks]) if len(q) else np.zeros((0, BUCKETS), np.float32), _lexical, k, 0.0, within))
+    return top_k(reduce(DataFrame.unionByName, parts), k, within)
 
 
-def dense_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """query, id, score, rank: the best k of each query (query, vector) among vectors (id, vector), by exact cosine to six places."""
-    rows, parts = vectors.select("id", F.col("vector").alias("x")), []
+def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, within: str | None = None) -> DataFrame:
+    """query, id, score, rank: the best k of each query (query, vector) among vectors (id, vector), by exact cosine to six places;
+    with `within` among those of each tenant."""
+    rows, parts = vectors.select("id", *_own(within), F.col("vector").alias("x")), []
     for block in _blocks(queries.where("vector is not null")):
         q = block.select("query", "vector").toArrow()
         if len(q):
-            parts.append(_block_topk(rows, q["query"].to_pylist(), _units(q["vector"].to_pylist()), _cosines, k, 2e-6))
+            parts.append(_block_topk(rows, q["query"].to_pylist(), _units(q["vector"].to_pylist()), _cosines, k, 2e-6, within))
     if not parts:
-        return top_k(queries.select("query").join(vectors.select("id")).limit(0).withColumn("score", F.lit(0.0)), k)
-    return top_k(reduce(DataFrame.unionByName, parts).withColumn("score", F.round("score", 6)), k)
+        return top_k(queries.select("query").join(vectors.select("id", *_own(within))).limit(0).withColumn("score", F.lit(0.0)), k, within)
+    return top_k(reduce(DataFrame.unionByName, parts).withColumn("score", F.round("score", 6)), k, within)
 
 
-def top_k(scores: DataFrame, k: int) -> DataFrame:
-    """rank 1..k of each query; ties go to the lower id."""
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+def top_k(scores: DataFrame, k: int, within: str | None = None) -> DataFrame:
+    """rank 1..k of each query (and tenant); ties go to the lower id."""
+    w = Window.partitionBy("query", *_own(within)).orderBy(F.desc("score"), "id")
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def fuse(legs: list[DataFrame], k: int, constant: int = RRF_K) -> DataFrame:
+def fuse(legs: list[DataFrame], k: int, constant: int = RRF_K, within: str | None = None) -> DataFrame:
     """Reciprocal rank fusion; a document of one leg keeps that leg's share."""
-    both = legs[0].select("query", "id", "rank")
+    names = ["query", *_own(within), "id"]
+    both = legs[0].select(*names, "rank")
     for leg in legs[1:]:
-        both = both.unionByName(leg.select("query", "id", "rank"))
-    fused = both.groupBy("query", "id").agg(F.round(F.sum(1.0 / (constant + F.col("rank"))), 6).alias("score"), F.count("*").alias("legs"))
-    return top_k(fused, k)
+        both = both.unionByName(leg.select(*names, "rank"))
+    fused = both.groupBy(*names).agg(F.round(F.sum(1.0 / (constant + F.col("rank"))), 6).alias("score"), F.count("*").alias("legs"))
+    return top_k(fused, k, within)
 
 
-def hybrid(queries: DataFrame, docs: DataFrame, vectors: DataFrame, depth: int = 30, k: int = 10) -> DataFrame:
-    """queries (query, text, vector), docs (id, text), vectors (id, vector) of one scope."""
-    lexical = lexical_topk(queries.select("query", "text"), docs, depth)
-    dense = dense_topk(queries.select("query", "vector"), vectors.join(docs.select("id"), "id", "left_semi"), depth)
-    return fuse([dense, lexical], k)
+def hybrid(queries: DataFrame, docs: DataFrame, vectors: DataFrame, depth: int = 30, k: int = 10, within: str | None = None) -> DataFrame:
+    """queries (query, text, vector), docs (id, text), vectors (id, vector) of one scope, or of every tenant that docs name."""
+    held = docs.select("id", within).distinct() if within else docs.select("id")
+    lexical = lexical_topk(queries.select("query", "text"), docs, depth, within)
+    dense = dense_topk(queries.select("query", "vector"), vectors.join(held, "id", "inner" if within else "left_semi"), depth, within)
+    return fuse([dense, lexical], k, within=within)
 
 
-def mmr(candidates: DataFrame, k: int, weight: float = 0.5) -> DataFrame:
+def mmr(candidates: DataFrame, k: int, weight: float = 0.5, within: str | None = None) -> DataFrame:
     """candidates (query, rank, id, text) -> picked (query, pick, id): relevance 1/rank against the largest token overlap."""
     import pandas as pd
 
+    own = ["query", *_own(within)]
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank").reset_index(drop=True)
         if len(pdf) <= k:
-            return pd.DataFrame({"query": pdf["query"], "pick": range(1, len(pdf) + 1), "id": pdf["id"]})
+            return pdf[[*own, "id"]].assign(pick=range(1, len(pdf) + 1))
         words = [set(str(t).lower().split()) for t in pdf["text"]]
         left, chosen = list(range(len(pdf))), []
         while left and len(chosen) < k:
@@ -198,9 +221,10 @@ def mmr(candidates: DataFrame, k: int, weight: float = 0.5) -> DataFrame:
                     best, best_score = i, score
             chosen.append(best)
             left.remove(best)
-        return pd.DataFrame({"query": pdf["query"].iloc[0], "pick": range(1, len(chosen) + 1), "id": pdf["id"].iloc[chosen].tolist()})
+        return pdf.loc[chosen, [*own, "id"]].assign(pick=range(1, len(chosen) + 1))
 
-    return candidates.groupBy("query").applyInPandas(run, "query long, pick int, id long")
+    kind = {f.name: f.dataType.simpleString() for f in candidates.schema}
+    return candidates.groupBy(*own).applyInPandas(run, ", ".join([*(f"{c} {kind[c]}" for c in [*own, "id"]), "pick int"]))
 
 
 def recall_at_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:

@@ -13,10 +13,10 @@ MATTER_KEYS = ["document_id", "page", "excerpt"]
 AUTHORITY_KEYS = ["source", "version", "article", "excerpt"]
 
 
-def rerank(hits: DataFrame, k: int, scorer: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """hits (query, rank, id, text) cut to k by an injected scorer's column; without one the order stays."""
+def rerank(hits: DataFrame, k: int, scorer: Callable[[Column, Column], Column] | None = None, within: str | None = None) -> DataFrame:
+    """hits (query, rank, id, text) cut to k of each query (and tenant) by an injected scorer's column; without one the order stays."""
     order = [F.col("rank")] if scorer is None else [F.desc(scorer(F.col("query"), F.col("text"))), F.col("rank")]
-    w = Window.partitionBy("query").orderBy(*order)
+    w = Window.partitionBy("query", *([within] if within else [])).orderBy(*order)
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+#: The types that documents stand for where types are needed.
+DOC_TYPES = "case n_chars % 5 when 0 then 'contract' when 1 then 'letter' when 2 then 'payslip' when 3 then 'correspondence' else 'other' end"
 
 
 def query(sql: str | None = None):

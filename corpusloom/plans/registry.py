@@ -11,7 +11,7 @@ from ..operators import relational as R
 from ..operators import retrieval as H
 from ..operators import serving as V
 from ..operators import structure as S
-from .base import ORACLE_SQL, QUERIES, inline, ledger, query, read  # noqa: F401
+from .base import DOC_TYPES, ORACLE_SQL, QUERIES, inline, ledger, query, read  # noqa: F401
 from .fixtures import AUTHORITY_FILES, CITATIONS, EDGES, HEADINGS, MESSAGES, PAGED, PAGES, PRIVACY, SECTIONS, SPANS, TOOL_TEXTS
 
 # ---- fragments of SQL
@@ -52,21 +52,26 @@ _LEX = f"""select q.item_id as query, d.doc_id as id, sum(q.tf * d.tf)::double a
 _TOP = "select * from (select *, row_number() over (partition by query order by score desc, id)::int as rank from ({scores})) where rank <= {k}"
 
 
-@query(_TOP.format(scores=_LEX.format(where="s.source = 'src1'"), k=10))
+@query(_TOP.format(scores=_LEX.format(where="true"), k=10))
 def lexical_topk(spark, sf_dir):
-    docs = H.scoped(read(spark, sf_dir, "documents"), "source", "src1").select(F.col("doc_id").alias("id"), "text")
-    return H.lexical_topk(_items(spark, sf_dir), docs, 10)
+    """The search without a tenant, over all documents."""
+    return H.lexical_topk(_items(spark, sf_dir), read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), 10)
 
 
+def _owned(spark, sf_dir):
+    """id, text, source: the documents that have a source, which is their tenant."""
+    return H.tenants(read(spark, sf_dir, "documents"), "source").select(F.col("doc_id").alias("id"), "text", "source")
+
+
+_TOP_TENANTS = "select * from (select *, row_number() over (partition by query, source order by score desc, id)::int as rank from ({scores})) where rank <= {k}"
 _LEX_TENANTS = f"""select q.item_id as query, s.source, d.doc_id as id, sum(q.tf * d.tf)::double as score from ({_ITEM_TF}) q
     join ({_DOC_TF}) d using (idx) join documents s on s.doc_id = d.doc_id where s.source <> '' group by 1, 2, 3"""
 
 
-@query(f"select * from (select *, row_number() over (partition by source, query order by score desc, id)::int as rank from ({_LEX_TENANTS})) where rank <= 10")
+@query(_TOP_TENANTS.format(scores=_LEX_TENANTS, k=10))
 def lexical_topk_tenants(spark, sf_dir):
     """lexical_topk for every source, each within its own documents."""
-    docs = read(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("id"), "text")
-    return H.lexical_by_tenant(_items(spark, sf_dir), docs, "source", 10)
+    return H.lexical_topk(_items(spark, sf_dir), _owned(spark, sf_dir), 10, "source")
 
 
 _NORMED = "select vec_id, label, embedding::double[] as v, sqrt(list_dot_product(embedding::double[], embedding::double[])) as n from embeddings"
@@ -87,21 +92,29 @@ def _hybrid_sql(where: str, k: int = 10) -> str:
     return _TOP.format(scores=fused, k=k)
 
 
-def _hybrid(spark, sf_dir, docs):
+def _hybrid_tenants_sql(k: int = 10) -> str:
+    scored = _DENSE.format(where="q.vec_id in (select item_id from benchmark)")
+    dense = _TOP_TENANTS.format(scores=f"select v.*, s.source from ({scored}) v join documents s on s.doc_id = v.id where s.source <> ''", k=30)
+    lexical = _TOP_TENANTS.format(scores=_LEX_TENANTS, k=30)
+    ranks = f"select query, source, id, rank from ({dense}) union all select query, source, id, rank from ({lexical})"
+    return _TOP_TENANTS.format(scores=f"select query, source, id, round(sum(1.0::double / (60 + rank)), 6) as score, count(*) as legs from ({ranks}) group by 1, 2, 3", k=k)
+
+
+def _hybrid(spark, sf_dir, docs, within=None):
     queries = _items(spark, sf_dir).join(_vectors(spark, sf_dir).withColumnRenamed("id", "query"), "query", "left")
-    return H.hybrid(queries, docs.select(F.col("doc_id").alias("id"), "text"), _vectors(spark, sf_dir))
+    return H.hybrid(queries, docs, _vectors(spark, sf_dir), within=within)
 
 
-@query(_hybrid_sql("s.lang = 'en'"))
+@query(_hybrid_sql("true"))
 def hybrid_rrf(spark, sf_dir):
-    return _hybrid(spark, sf_dir, H.scoped(read(spark, sf_dir, "documents"), "lang", "en"))
+    return _hybrid(spark, sf_dir, read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
-@query(f"select 'matter' as domain, * from ({_hybrid_sql("s.source = 'src1'")}) union all select 'authority', * from ({_hybrid_sql("s.lang = 'fr'")})")
+@query(f"select 'matter' as domain, query, source, id, score, legs, rank from ({_hybrid_tenants_sql()}) union all select 'authority', query, null, id, score, legs, rank from ({_hybrid_sql("true")})")
 def hybrid_both_domains(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents")
-    matter = _hybrid(spark, sf_dir, H.scoped(docs, "source", "src1")).withColumn("domain", F.lit("matter"))
-    return matter.unionByName(_hybrid(spark, sf_dir, docs.where("lang = 'fr'")).withColumn("domain", F.lit("authority")))
+    """Matter evidence within every source, authorities over all documents."""
+    matter = _hybrid(spark, sf_dir, _owned(spark, sf_dir), "source").withColumn("domain", F.lit("matter"))
+    return matter.unionByName(hybrid_rrf(spark, sf_dir).withColumns({"domain": F.lit("authority"), "source": F.lit(None).cast("string")}))
 
 
 _QV = "select a.vec_id, a.label, list_transform(list_zip(a.embedding, b.embedding), lambda x: x[1]::double + 0.5 * x[2]::double) as v from embeddings a join embeddings b on b.vec_id = a.vec_id + 1 where a.vec_id % 50 = 0"
@@ -130,9 +143,9 @@ def parity_cosine(spark, sf_dir):
 
 @query()
 def mmr_select(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source")
-    top = H.lexical_topk(_items(spark, sf_dir), H.scoped(docs, "source", "src1"), 30)
-    return H.mmr(top.join(docs.select("id", "text"), "id").select("query", "rank", "id", "text"), 10)
+    docs = _owned(spark, sf_dir)
+    top = H.lexical_topk(_items(spark, sf_dir), docs, 30, "source")
+    return H.mmr(top.join(docs, ["source", "id"]).select("query", "source", "rank", "id", "text"), 10, within="source")
 
 
 _WORDS = "regexp_split_to_array(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')"
@@ -430,16 +443,25 @@ def folder_walk(spark, sf_dir):
     return R.reachable(inline(spark, EDGES), [1], skip=[568])
 
 
-# ---- analysis of inline sections
+# ---- analysis of documents and of inline sections
+
+#: Documents as sections of matters: a hundred documents are a matter, `DOC_TYPES` gives their types; inline ones have negative ids.
+_CASES = f"(select doc_id // 100 as matter, doc_id as section, {DOC_TYPES} as doc_type, text from documents union all select -matter, -section, doc_type, text from {SECTIONS.sql})"
+
+
+def _cases(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 100).alias("matter"), F.col("doc_id").alias("section"), F.expr(DOC_TYPES).alias("doc_type"), "text")
+    return d.unionByName(inline(spark, SECTIONS).select((-F.col("matter")).alias("matter"), (-F.col("section")).alias("section"), "doc_type", "text"))
+
 
 _KEY = ", ".join(f"({' + '.join(f'(case when contains(lower(text), {chr(39)}{w.replace(chr(39), chr(39) * 2)}{chr(39)}) then {n} else 0 end)' for w, n in words)}) as {name}" for name, words in A.CLASS_KEYWORDS)
 _NAMES = [name for name, _ in A.CLASS_KEYWORDS]
 _BEST = f"greatest({', '.join(_NAMES)})"
 
 
-@query(f"select section, case when {_BEST} < 2 then 'unknown' {' '.join(f'when {n} = {_BEST} then {chr(39)}{n}{chr(39)}' for n in _NAMES)} end as doc_type from (select section, {_KEY} from {SECTIONS.sql})")
+@query(f"select section, case when {_BEST} < 2 then 'unknown' {' '.join(f'when {n} = {_BEST} then {chr(39)}{n}{chr(39)}' for n in _NAMES)} end as doc_type from (select section, {_KEY} from {_CASES})")
 def keyword_classify(spark, sf_dir):
-    return inline(spark, SECTIONS).select("section", A.classify(F.col("text")).alias("doc_type"))
+    return _sections(spark, sf_dir).select("section", A.classify(F.col("text")).alias("doc_type"))
 
 
 def _sections(spark, sf_dir):
@@ -463,17 +485,18 @@ def obligations(spark, sf_dir):
     return A.obligations(_sections(spark, sf_dir))
 
 
-@query(f"""with m as (select matter, section, lower(v) as value from (select matter, section, unnest(regexp_extract_all(text, '(?i)(\\d+\\s*(?:months?|mois))')) as v from {SECTIONS.sql} where contains(lower(text), 'notice period') or contains(lower(text), 'préavis')))
+@query(f"""with m as (select matter, section, lower(v) as value from (select matter, section, unnest(regexp_extract_all(text, '(?i)(\\d+\\s*(?:months?|mois))')) as v from {_CASES} where contains(lower(text), 'notice period') or contains(lower(text), 'préavis')))
     select a.matter, a.section as a_section, a.value as a_value, b.section as b_section, b.value as b_value from m a join m b on a.matter = b.matter and a.section < b.section and a.value <> b.value""")
 def contradictions(spark, sf_dir):
-    return A.contradictions(inline(spark, SECTIONS))
+    return A.contradictions(_cases(spark, sf_dir))
+
+
+_GLOSSARY = ["notice", "salaire", "contrat"]
 
 
-@query(f"select section, sum(case when term is not null then 1 else 0 end)::bigint as hits from {SECTIONS.sql} left join (values ('notice'), ('salaire'), ('contrat')) g(term) on contains(lower(text), lower(term)) group by 1")
+@query(f"select section, sum({' + '.join(f'coalesce(contains(lower(text), {chr(39)}{w}{chr(39)}), false)::bigint' for w in _GLOSSARY)})::bigint as hits from {_CASES} group by 1")
 def glossary_hits(spark, sf_dir):
-    terms = spark.createDataFrame([("notice",), ("salaire",), ("contrat",)], "term string")
-    s = inline(spark, SECTIONS)
-    return s.join(F.broadcast(terms), F.contains(F.lower("text"), F.lower("term")), "left").groupBy("section").agg(F.count("term").alias("hits"))
+    return _sections(spark, sf_dir).groupBy("section").agg(F.sum(A.glossary(F.col("text"), _GLOSSARY)).alias("hits"))
 
 
 _MARKS = " or ".join(f"contains(text, '{m}')" for m in A.EVIDENCE_MARKS)
@@ -512,28 +535,28 @@ _LOW = "lower(text)"
 _HIT = [" or ".join(f"contains({_LOW}, '{w}')" for w in words) for _, _, words in A.TEXT_ISSUES]
 _OWED = "len(list_filter(string_split(regexp_replace(text, '([.!;])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: " + " or ".join(f"contains(lower(s), '{w}')" for w in A.OBLIGATIONS) + ")) > 0"
 _ISSUES = " union all ".join(
-    [f"select matter, {i} as rank, '{n}' as issue, '{r}' as risk, list_sort(list(section)) as refs from {SECTIONS.sql} where {_HIT[i]} group by 1" for i, (n, r, _) in enumerate(A.TEXT_ISSUES)]
+    [f"select matter, {i} as rank, '{n}' as issue, '{r}' as risk, list_sort(list(section)) as refs from {_CASES} where {_HIT[i]} group by 1" for i, (n, r, _) in enumerate(A.TEXT_ISSUES)]
     + [
-        f"select matter, 3, 'Employment contract not on file', 'High', list_sort(list(section)) from {SECTIONS.sql} group by 1 having count(*) filter (doc_type = 'contract') = 0",
-        f"select matter, 4, 'Salary history incomplete', 'Medium', list_sort(list(section)) from {SECTIONS.sql} group by 1 having count(*) filter (doc_type = 'payslip') < 3",
-        f"select matter, 5, 'No explicit obligations detected', 'Low', list_sort(list(section)) from {SECTIONS.sql} group by 1 having count(*) filter ({_OWED}) = 0",
+        f"select matter, 3, 'Employment contract not on file', 'High', list_sort(list(section)) from {_CASES} group by 1 having count(*) filter (doc_type = 'contract') = 0",
+        f"select matter, 4, 'Salary history incomplete', 'Medium', list_sort(list(section)) from {_CASES} group by 1 having count(*) filter (doc_type = 'payslip') < 3",
+        f"select matter, 5, 'No explicit obligations detected', 'Low', list_sort(list(section)) from {_CASES} group by 1 having count(*) filter ({_OWED}) = 0",
     ]
 )
 
 
 @query(f"select matter, rank, issue, risk, array_to_string(refs, ',') as refs from ({_ISSUES})")
 def issues(spark, sf_dir):
-    return A.issues(inline(spark, SECTIONS)).withColumn("refs", F.array_join(F.col("refs").cast("array<string>"), ","))
+    return A.issues(_cases(spark, sf_dir)).withColumn("refs", F.array_join(F.col("refs").cast("array<string>"), ","))
 
 
 @query()
 def analysis_report(spark, sf_dir):
-    return A.report(inline(spark, SECTIONS))
+    return A.report(_cases(spark, sf_dir))
 
 
 @query()
 def draft_render(spark, sf_dir):
-    return A.draft(A.report(inline(spark, SECTIONS)))
+    return A.draft(A.report(_cases(spark, sf_dir)))
 
 
 @query()
@@ -590,11 +613,11 @@ def events_increment(spark, sf_dir):
 # ---- serving
 
 
-@query(_TOP.format(scores=_LEX.format(where="s.source = 'src1'"), k=10).replace("select *, row_number", "select query, id, score, row_number", 1))
+@query(_TOP_TENANTS.format(scores=_LEX_TENANTS, k=10))
 def rerank_passthrough(spark, sf_dir):
-    docs = H.scoped(read(spark, sf_dir, "documents"), "source", "src1").select(F.col("doc_id").alias("id"), "text")
-    top = H.lexical_topk(_items(spark, sf_dir), docs, 30)
-    return V.rerank(top.join(docs, "id"), 10).select("query", "id", "score", "rank")
+    docs = _owned(spark, sf_dir)
+    top = H.lexical_topk(_items(spark, sf_dir), docs, 30, "source")
+    return V.rerank(top.join(docs, ["source", "id"]), 10, within="source").select("query", "source", "id", "score", "rank")
 
 
 @query("select item_id as query, (row_number() over (partition by item_id order by d, r))::int as ordinal, domain, excerpt from (select item_id, 0 as d, 1 as r, 'matter' as domain, substr(text, 1, 800) as excerpt from benchmark union all select item_id, 1, 1, 'authority', substr(text, 1, 800) from benchmark)")

@@ -8,21 +8,20 @@ from ..functions import text as T
 from ..operators import analysis as A
 from ..operators import structure as S
 from ..operators import workflow as W
-from .base import inline, ledger, query, read
+from .base import DOC_TYPES, inline, ledger, query, read
 from .fixtures import FILES, MESSAGES, MOVES, PATHS, SECTIONS, UPLOADS
 
-_DOC_TYPES = "case n_chars % 5 when 0 then 'contract' when 1 then 'letter' when 2 then 'payslip' when 3 then 'correspondence' else 'other' end"
 _REPLIES = {"en": "Hello! Ask a question.", "fr": "Bonjour ! Posez une question.", "ar": "مرحباً! اطرح سؤالاً."}
 
 
 def _matters(spark, sf_dir):
     """Documents as sections of matters: a hundred documents are a matter, their sizes stand for their types."""
-    d = read(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 100).alias("matter"), F.expr(_DOC_TYPES).alias("doc_type"), "doc_id", "n_chars")
+    d = read(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 100).alias("matter"), F.expr(DOC_TYPES).alias("doc_type"), "doc_id", "n_chars")
     own = inline(spark, SECTIONS).select((-F.col("matter")).alias("matter"), "doc_type", "section", F.lit(0).cast("long"))
     return d.unionByName(own.toDF("matter", "doc_type", "doc_id", "n_chars"))
 
 
-_MATTERS = f"(select doc_id // 100 as matter, {_DOC_TYPES} as doc_type, doc_id, n_chars from documents union all select -matter, doc_type, section, 0 from {SECTIONS.sql})"
+_MATTERS = f"(select doc_id // 100 as matter, {DOC_TYPES} as doc_type, doc_id, n_chars from documents union all select -matter, doc_type, section, 0 from {SECTIONS.sql})"
 
 
 # ---- states

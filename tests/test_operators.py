@@ -48,7 +48,8 @@ def test_lexical_topk_of_every_tenant(spark, sf):
     sources = {r.source for r in spark.read.parquet(f"{sf}/documents.parquet").select("source").distinct().collect()}
     got = registry.QUERIES["lexical_topk_tenants"](spark, sf)
     assert {r.source for r in got.select("source").distinct().collect()} == sources
-    one = registry.QUERIES["lexical_topk"](spark, sf)
+    docs = H.scoped(spark.read.parquet(f"{sf}/documents.parquet"), "source", "src1").select(F.col("doc_id").alias("id"), "text")
+    one = H.lexical_topk(spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("query"), "text"), docs, 10)
     assert got.where("source = 'src1'").select(one.columns).exceptAll(one).isEmpty() and one.exceptAll(got.where("source = 'src1'").select(one.columns)).isEmpty()
 
 
