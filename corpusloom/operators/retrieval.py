@@ -211,16 +211,14 @@ def mmr(candidates: DataFrame, k: int, weight: float = 0.5, within: str | None =
         if len(pdf) <= k:
             return pdf[[*own, "id"]].assign(pick=range(1, len(pdf) + 1))
         words = [set(str(t).lower().split()) for t in pdf["text"]]
-        left, chosen = list(range(len(pdf))), []
+        left, chosen, again = list(range(len(pdf))), [], [0.0] * len(pdf)
         while left and len(chosen) < k:
-            best, best_score = left[0], None
-            for i in left:
-                again = max((len(words[i] & words[j]) / len(words[i] | words[j]) if words[i] | words[j] else 0.0 for j in chosen), default=0.0)
-                score = weight / (i + 1) - (1 - weight) * again
-                if best_score is None or score > best_score:
-                    best, best_score = i, score
+            best = max(left, key=lambda i: (weight / (i + 1) - (1 - weight) * again[i], -i))
             chosen.append(best)
             left.remove(best)
+            for i in left if len(chosen) < k else []:
+                both = len(words[i] & words[best])
+                again[i] = max(again[i], both / (len(words[i]) + len(words[best]) - both) if both else 0.0)
         return pdf.loc[chosen, [*own, "id"]].assign(pick=range(1, len(chosen) + 1))
 
     kind = {f.name: f.dataType.simpleString() for f in candidates.schema}
