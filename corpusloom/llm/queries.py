@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import norm_topk, oracle
+from .align import op11_tokenizer_alignment
 from .brown_lm import op7_brown_lm
 from .decontaminate import op3_decontamination
 from .html_extract import op4_html_extraction
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_exact_topk": op13_exact_topk,
 }
