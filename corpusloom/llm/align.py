@@ -28,6 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ SPACE = "▁"
 SPLIT = re.compile(r"(?<=[^\s▁]) ")
 #: Units known to all tasks (about 200 bytes each in a worker), distinct units that a task counts before it hands them on, bytes of texts in a
 #: bucket, and id pairs that may be broadcast (32 bytes each).
-HOT, HELD, BUCKET_BYTES, PAIRS = 500_000, 300_000, 16_000_000, 2_000_000
+HOT, HELD, BUCKET_BYTES, PAIRS = 400_000, 300_000, 4_000_000, 2_000_000
 _SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 
@@ -76,7 +77,7 @@ class Side:
         return b"".join(self.bytes[i] for i in self.encode([" " + text])[0]) == (" " + text).encode()
 
     def tokens(self, units: pa.Array) -> pa.Array:
-        """The (id, len) of the tokens of each unit."""
+        """The ids and byte lengths of the tokens of each unit."""
         texts = [" " + u for u in units.to_pylist()]
         found = self.encode(texts)
         ids = np.fromiter((i for x in found for i in x), np.int32)
@@ -85,7 +86,7 @@ class Side:
         total = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])[offsets]
         if (np.diff(total) != [len(t.encode()) for t in texts]).any():
             raise ValueError("a unit is not given back although its text is")
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(ids), pa.array(lengths)], ["id", "len"]))
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in (ids, lengths)], ["id", "len"])
 
 
 @lru_cache(maxsize=4)
@@ -167,27 +168,77 @@ def unit_counts(docs: DataFrame, texts) -> DataFrame:
     return docs.select("text").mapInArrow(run, "unit string, n bigint").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
-def aligned(units: DataFrame, paths: tuple[str, str]) -> DataFrame:
-    """unit, n, groups, links (id pairs as a * 2^32 + b), n_a, n_b, n_groups, n_links."""
+def tokenized(units: DataFrame, paths: tuple[str, str]) -> DataFrame:
+    """unit, n, and of either side the ids and byte lengths of the unit's tokens."""
+    for path, name in zip(paths, "ab", strict=True):
+        tokens = F.arrow_udf(lambda u, path=path: side(path).tokens(u), "id array<int>, len array<int>")
+        units = units.withColumn(f"_{name}", tokens("unit"))
+    return units.select("unit", "n", F.col("_a.id").alias("ids_a"), F.col("_a.len").alias("lens_a"), F.col("_b.id").alias("ids_b"), F.col("_b.len").alias("lens_b"))
 
-    def ends(path: str, name: str) -> DataFrame:
-        tokens = F.arrow_udf(lambda u: side(path).tokens(u), "array<struct<id:int,len:int>>")
+
+def linked(tokens: DataFrame) -> DataFrame:
+    """unit, n, end, a, b, link, g for each byte end of a token of either side, last ends first: the tokens that end there, the id pair that
+    overlaps before it (a * 2^32 + b), and the number of its group from the end."""
+
+    def ends(name: str) -> DataFrame:
         up_to = Window.partitionBy("unit").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        rows = units.select("unit", "n", F.posexplode(tokens("unit")).alias("pos", "t"))
-        return rows.select("unit", F.col("n").alias(f"n_{name}"), F.sum("t.len").over(up_to).alias("end"), F.col("t.id").alias(name))
+        rows = tokens.select("unit", "n", F.posexplode(F.arrays_zip(F.col(f"ids_{name}").alias("id"), F.col(f"lens_{name}").alias("len"))).alias("pos", "t"))
+        return rows.select("unit", "n", F.sum("t.len").over(up_to).alias("end"), F.col("t.id").alias(name))
 
-    joined = ends(paths[0], "a").join(ends(paths[1], "b"), ["unit", "end"], "full_outer")
+    a, b = ends("a"), ends("b")
+    both = a.join(b.drop("n"), ["unit", "end"], "left").select(F.col("unit").alias("of"), "n", "end", "a", "b")
+    b_alone = b.join(a.select("unit", "end"), ["unit", "end"], "left_anti").select(F.col("unit").alias("of"), "n", "end", F.lit(None).cast("int").alias("a"), "b")
     # From the last end to the first: the token that covers the bytes before an end is the one that ends there or next.
-    down = Window.partitionBy("unit").orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    down = Window.partitionBy("of").orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1).otherwise(0)
     link = F.last("a", True).over(down).cast("long") * (1 << 32) + F.last("b", True).over(down)
-    rows = joined.select("unit", "end", "a", "b", F.coalesce("n_a", "n_b").alias("n"), link.alias("link"), F.sum(cut).over(down).alias("g"))
-    ids = lambda c: F.expr(f"listagg({c}, ',') within group (order by `end`)")
-    groups = rows.groupBy("unit", "g").agg(F.first("n").alias("n"), F.concat(ids("a"), F.lit("|"), ids("b")).alias("group"), F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.collect_list("link").alias("links"))
-    return groups.groupBy("unit").agg(
-        F.first("n").alias("n"), F.expr("listagg(`group`, ';') within group (order by g desc)").alias("groups"), F.flatten(F.collect_list("links")).alias("links"),
-        F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), F.sum(F.size("links")).cast("long").alias("n_links"),
-    )
+    rows = both.unionByName(b_alone).select("of", "n", "end", "a", "b", link.alias("link"), F.sum(cut).over(down).alias("g"))
+    return rows.sortWithinPartitions("of", F.desc("end")).withColumnRenamed("of", "unit")
+
+
+def aligned(tokens: DataFrame) -> DataFrame:
+    """unit, n, groups, links (id pairs), n_a, n_b, n_groups, n_links: the rows of each unit, which lie together, written down."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        now, rows = None, []
+        out: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("unit", "n", "a", "b", "link", "g")), strict=True):
+                if row[:2] != now:
+                    if rows:
+                        out.append(_written(now, rows))
+                    now, rows = row[:2], []
+                rows.append(row[2:])
+            if len(out) >= 5000:
+                yield _records(out)
+                out = []
+        if rows:
+            out.append(_written(now, rows))
+        if out:
+            yield _records(out)
+        trim()
+
+    return linked(tokens).mapInArrow(run, "unit string, n bigint, groups string, links array<bigint>, n_a bigint, n_b bigint, n_groups bigint, n_links bigint")
+
+
+def _written(of: tuple[str, int], rows: list[tuple]) -> tuple:
+    groups: list[tuple[list[str], list[str]]] = []
+    last = None
+    for a, b, _, g in reversed(rows):
+        if g != last:
+            groups.append(([], []))
+            last = g
+        if a is not None:
+            groups[-1][0].append(str(a))
+        if b is not None:
+            groups[-1][1].append(str(b))
+    text = ";".join([f"{','.join(a)}|{','.join(b)}" for a, b in groups])
+    return *of, text, [r[2] for r in rows], sum(len(a) for a, _ in groups), sum(len(b) for _, b in groups), len(groups), len(rows)
+
+
+def _records(out: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.list_(pa.int64()), *[pa.int64()] * 4]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["unit", "n", "groups", "links", "n_a", "n_b", "n_groups", "n_links"])
 
 
 def pair_counts(table_: DataFrame) -> DataFrame:
@@ -216,11 +267,11 @@ def scored(table_: DataFrame, pairs: DataFrame, few_pairs: bool) -> DataFrame:
 _PLACES: dict[str, dict[str, int]] = {}
 
 
-def _places(token: str, units: list[str]) -> dict[str, int]:
+def _places(token: str, hot: pa.Table) -> dict[str, int]:
     """Places of the hot units, made once for each worker and call."""
     if token not in _PLACES:
         _PLACES.clear()
-        _PLACES[token] = {u: i for i, u in enumerate(units)}
+        _PLACES[token] = {u.as_py(): i for i, u in enumerate(hot.column("unit"))}
     return _PLACES[token]
 
 
@@ -244,24 +295,23 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
     def texts() -> Texts:
         return Texts(paths, doubtful)
 
-    units = _stored(unit_counts(docs, texts))
-    # What is partitioned by unit stays so through windows, join and groups.
+    units = _stored(tokenized(unit_counts(docs, texts), paths), "unit")
+    # Buckets of units stay together through windows and joins: nothing is shuffled until id pairs are counted.
     with _setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
-        known = _stored(aligned(units.repartition("unit"), paths), "unit")
-        pairs = durable(pair_counts(known))
+        known = _stored(aligned(units), "unit")
+    pairs = durable(pair_counts(known))
     few_pairs = pairs.count() <= pairs_bound
     least = _threshold(units, hot)
     total = units.agg(F.sum(F.col("n") * (F.octet_length("unit") + 1))).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
 
     columns = ["groups", *_SUMS]
-    few = scored(known.where(F.col("n") >= least), pairs, few_pairs).toArrow()
-    shared = spark.sparkContext.broadcast((few.column("unit").to_pylist(), few.column("groups").to_pylist(), np.stack([few.column(c).to_numpy() for c in _SUMS], 1).astype(np.int64)))
-
-    token = uuid.uuid4().hex
+    target = pa.schema([("groups", pa.large_string()), *[(c, pa.int64()) for c in _SUMS]])
+    few = scored(known.where(F.col("n") >= least), pairs, few_pairs).toArrow().combine_chunks()
+    shared, token = spark.sparkContext.broadcast(few), uuid.uuid4().hex
 
     def hot_units() -> dict[str, int]:
-        return _places(token, shared.value[0])
+        return _places(token, shared.value)
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int"))
 
@@ -282,20 +332,20 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def assemble(texts_: pa.Table, rest: pa.Table) -> pa.Table:
-        of, place = texts(), hot_units()
-        _, groups, sums = shared.value
-        own = {u: len(groups) + i for i, u in enumerate(rest.column("unit").to_pylist())}
-        parts = rest.column("groups").to_pylist()
-        if own:
-            sums = np.concatenate([sums, np.stack([rest.column(c).to_numpy() for c in _SUMS], 1).astype(np.int64)])
-        at_hot = len(groups)
-        out, numbers = [], np.zeros((texts_.num_rows, len(_SUMS)), np.int64)
-        for r, text in enumerate(texts_.column("text")):
-            at = [i if (i := place.get(u)) is not None else own[u] for u in of.units(text.as_py())]
-            out.append(";".join([groups[i] if i < at_hot else parts[i - at_hot] for i in at]))
-            if at:
-                numbers[r] = sums[at].sum(0)
-        return pa.table({"doc_id": texts_.column("doc_id"), **{c: pa.array(numbers[:, i]) for i, c in enumerate(_SUMS)}, "groups": pa.array(out, pa.string())})
+        of, place, hot_ = texts(), hot_units(), shared.value
+        own = {u: hot_.num_rows + i for i, u in enumerate(rest.column("unit").to_pylist())}
+        all_ = pa.concat_tables([hot_.select(columns).cast(target), rest.select(columns).cast(target)])
+        at, sizes = [], []
+        for text in texts_.column("text"):
+            found = of.units(text.as_py())
+            at += [i if (i := place.get(u)) is not None else own[u] for u in found]
+            sizes.append(len(found))
+        starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        at = np.array(at, np.int64)
+        parts = pa.concat_arrays(all_.column("groups").take(pa.array(at)).chunks) if len(at) else pa.array([], pa.large_string())
+        groups = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(starts), parts), pa.scalar(";", pa.large_string()))
+        sums = [np.concatenate([[0], np.cumsum(all_.column(c).to_numpy()[at])]) for c in _SUMS]
+        return pa.table({"doc_id": texts_.column("doc_id"), **{c: pa.array(x[starts[1:]] - x[starts[:-1]]) for c, x in zip(_SUMS, sums, strict=True)}, "groups": groups.cast(pa.string())})
 
     schema = f"doc_id {kind}, {', '.join(f'{c} bigint' for c in _SUMS)}, groups string"
     return rows.groupBy("_bucket").cogroup(cold.groupBy("_bucket")).applyInArrow(assemble, schema)
