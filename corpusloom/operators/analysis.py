@@ -1,10 +1,10 @@
-"""Rule-based analysis of documents: classes, parties, dates, obligations, contradictions, issues, gaps, gates."""
+"""Rules over single texts: classes, dates, obligations, contradictions, gates. A matter's whole analysis is in `casefile`."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -48,17 +48,6 @@ def classify(c: Column, keywords=None, threshold: int = CLASS_THRESHOLD) -> Colu
     return F.when(best["score"] >= threshold, best["name"]).otherwise("unknown")
 
 
-def parties(sections: DataFrame) -> DataFrame:
-    """name, kind, seq: persons before companies within a section; of one name, whatever its case, the first."""
-    both = F.concat(
-        F.transform(F.regexp_extract_all("text", F.lit(PERSON), F.lit(1)), lambda x: F.struct(F.lit("person").alias("kind"), x.alias("name"))),
-        F.transform(F.regexp_extract_all("text", F.lit(COMPANY), F.lit(1)), lambda x: F.struct(F.lit("company").alias("kind"), x.alias("name"))),
-    )
-    found = sections.select("section", F.posexplode(both).alias("at", "p")).select("section", "at", "p.kind", T.strip(F.col("p.name")).alias("name"))
-    w = Window.partitionBy(F.lower("name")).orderBy("section", "at")
-    return found.withColumn("n", F.row_number().over(w)).where("n = 1").select("section", "name", "kind")
-
-
 def glossary(c: Column, terms: list[str]) -> Column:
     """How many of the terms a text holds."""
     low = F.lower(c)
@@ -66,11 +55,11 @@ def glossary(c: Column, terms: list[str]) -> Column:
 
 
 def dates(sections: DataFrame, *carry: str) -> DataFrame:
-    """section, the carried columns, at, date, label; the label looks at the 30 characters before the date."""
-    gaps, hits = F.split("text", DATE, -1), F.regexp_extract_all("text", F.lit(DATE), F.lit(1))
-    rows = sections.withColumns({"_g": gaps, "_h": hits}).select("section", *carry, "_g", "_h", F.posexplode("_h").alias("i", "date"))
-    before = F.array_join(F.transform(F.slice("_g", F.lit(1), F.col("i") + 1), lambda x, i: F.concat(x, F.when(i < F.col("i"), F.get("_h", i)).otherwise(F.lit("")))), "")
-    around = F.lower(F.right(before, F.lit(30)))
+    """section, the carried columns, at, date, label; the label looks at the 30 characters before the date, which five dates before it and what
+    lies between them fill."""
+    rows = sections.withColumns({"_g": F.split("text", DATE, -1), "_h": F.regexp_extract_all("text", F.lit(DATE), F.lit(1))}).select("section", *carry, "_g", "_h", F.posexplode("_h").alias("i", "date"))
+    parts = [F.coalesce(F.get(c, F.col("i") - k), F.lit("")) for k in range(5, 0, -1) for c in ("_g", "_h")]
+    around = F.lower(F.right(F.concat(*parts, F.get("_g", F.col("i"))), F.lit(30)))
     label = F.when(around.rlike("notice|préavis|pré-avis"), "notice date").when(around.rlike("effect|partir"), "effective date").otherwise("mentioned date")
     return rows.select("section", *carry, F.col("i").alias("at"), "date", label.alias("label"))
 
@@ -120,43 +109,3 @@ def tool_call(c: Column) -> Column:
     parsed = F.transform(blocks, lambda x: F.from_json(x, "tool string, query string"))
     known = ["search_matter", "search_authority", "search_both", "out_of_scope"]
     return F.get(F.filter(parsed, lambda x: x.isNotNull() & x.tool.isin(known) & (F.length(F.coalesce(x["query"], F.lit(""))) > 0)), F.lit(0))
-
-
-#: Rules by keyword, and what they say.
-TEXT_ISSUES = [
-    ("Employment termination recorded", "High", ["terminat", "licenci", "fired"]),
-    ("Notice period stated", "Medium", ["notice period", "préavis", "pré-avis"]),
-    ("Final compensation stated", "Medium", ["compensat", "indemnit", "paid", "mad"]),
-]
-
-
-def issues(sections: DataFrame) -> DataFrame:
-    """matter, rank, issue, risk, refs: text rules cite the sections that match, absence rules cite all sections of the matter."""
-    low = F.lower("text")
-    hits = [F.array_compact(F.collect_list(F.when(any_of(low, words), F.col("section")))) for _, _, words in TEXT_ISSUES]
-    owed = F.count_if(F.exists(F.split("text", r"(?<=[.!;])(?U)\s+"), lambda s: any_of(F.lower(s), OBLIGATIONS)))
-    by = sections.groupBy("matter").agg(*[h.alias(f"h{i}") for i, h in enumerate(hits)], F.collect_list("section").alias("all"), F.count_if(F.col("doc_type") == "contract").alias("contracts"), F.count_if(F.col("doc_type") == "payslip").alias("payslips"), owed.alias("owed"))
-    rules = [(F.size(f"h{i}") > 0, name, risk, F.col(f"h{i}")) for i, (name, risk, _) in enumerate(TEXT_ISSUES)]
-    rules += [
-        (F.col("contracts") == 0, "Employment contract not on file", "High", F.col("all")),
-        (F.col("payslips") < PAYSLIPS, "Salary history incomplete", "Medium", F.col("all")),
-        (F.col("owed") == 0, "No explicit obligations detected", "Low", F.col("all")),
-    ]
-    found = F.array_compact(F.array(*[F.when(test, F.struct(F.lit(i).alias("rank"), F.lit(name).alias("issue"), F.lit(risk).alias("risk"), F.array_sort(refs).alias("refs"))) for i, (test, name, risk, refs) in enumerate(rules)]))
-    return by.select("matter", F.explode(found).alias("x")).select("matter", "x.*")
-
-
-def report(sections: DataFrame) -> DataFrame:
-    """One row for each matter: types, issues and dates as nested lists in a fixed order."""
-    types = sections.groupBy("matter").agg(F.array_sort(F.collect_set("doc_type")).alias("doc_types"), F.count("*").alias("sections"))
-    found = issues(sections).groupBy("matter").agg(F.array_sort(F.collect_list(F.struct("rank", "issue", "risk", "refs"))).alias("issues"))
-    when = dates(sections, "matter").groupBy("matter").agg(F.array_sort(F.collect_list(F.struct("section", "at", "date", "label"))).alias("dates"))
-    return types.join(found, "matter", "left").join(when, "matter", "left")
-
-
-def draft(reports: DataFrame, kind: str = "summary") -> DataFrame:
-    """matter, content: the report as text, one line for each finding with its references."""
-    item = lambda x: F.format_string("- %s (%s) [sections %s]", x.issue, x.risk, F.array_join(x.refs.cast("array<string>"), ", "))
-    day = lambda x: F.format_string("- %s: %s [section %d]", x.label, x.date, x.section)
-    body = F.concat_ws("\n", F.lit(f"{kind.upper()} - DRAFT, not reviewed"), F.concat(F.lit("Documents: "), F.array_join("doc_types", ", ")), F.lit("Findings:"), F.array_join(F.transform("issues", item), "\n"), F.lit("Dates:"), F.array_join(F.transform(F.coalesce("dates", F.array().cast(reports.schema["dates"].dataType)), day), "\n"))
-    return reports.select("matter", body.alias("content"))

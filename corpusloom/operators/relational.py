@@ -6,6 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def durable(df: DataFrame) -> DataFrame:
+    """Materialise df in the shared folder that spark.checkpoint.dir names; where none is set, beside the tables of the warehouse."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+    return df.checkpoint()
+
+
 def latest_per_group(rows: DataFrame, group: str, order: list[str], keep: list[str]) -> DataFrame:
     """The row of each group that is last by `order`: one partial aggregate, no sort of a group."""
     return rows.groupBy(group).agg(F.max_by(F.struct(*keep), F.struct(*order)).alias("last")).select(group, "last.*")
@@ -81,7 +89,7 @@ def overlapping(ranges: DataFrame, pages: DataFrame, key: str) -> DataFrame:
     return joined.groupBy(F.col(f"r.{key}").alias(key), F.col("r.start").alias("start"), F.col("r.end").alias("end")).agg(F.min("p.confidence").alias("confidence"), F.coalesce(F.bool_or("p.review"), F.lit(False)).alias("needs_review"))
 
 
-def headings_in_force(lines: DataFrame, doc: str, order: str) -> DataFrame:
+def headings_in_force(lines: DataFrame, doc: str, order: str, keep: list[str] | tuple = ()) -> DataFrame:
     """lines (doc, order, book, part, chapter: null but on heading lines) with the headings in force; a higher level clears lower ones."""
     w = Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     at = lambda c: F.max(F.when(F.col(c).isNotNull(), F.col(order))).over(w)
@@ -89,23 +97,21 @@ def headings_in_force(lines: DataFrame, doc: str, order: str) -> DataFrame:
     now = {c: F.last(c, ignorenulls=True).over(w) for c in ("book", "part", "chapter")}
     zero = F.lit(-1).cast("long")
     b, p, c = (F.coalesce(x, zero) for x in ("_b", "_p", "_c"))
-    return out.select(doc, order, now["book"].alias("in_book"), F.when(p >= b, now["part"]).alias("in_part"), F.when((c >= b) & (c >= p), now["chapter"]).alias("in_chapter"))
+    return out.select(doc, order, *keep, now["book"].alias("in_book"), F.when(p >= b, now["part"]).alias("in_part"), F.when((c >= b) & (c >= p), now["chapter"]).alias("in_chapter"))
 
 
 def reachable(edges: DataFrame, roots: list, skip: list | None = None) -> DataFrame:
     """node, depth by breadth-first rounds over edges (src, dst), until no node is new; skipped nodes are never entered. Each wave is
     cut by a checkpoint, so a deep graph does not grow the plan."""
     spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
     kind = edges.schema["src"].dataType.simpleString()
-    seen = wave = spark.createDataFrame([(r, 0) for r in roots], f"node {kind}, depth int").checkpoint()
+    seen = wave = durable(spark.createDataFrame([(r, 0) for r in roots], f"node {kind}, depth int"))
     depth = 0
     while not wave.isEmpty():
         depth += 1
         step = edges.join(wave, edges.src == wave.node).select(F.col("dst").alias("node")).distinct()
         if skip:
             step = step.where(~F.col("node").isin(skip))
-        wave = step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
-        seen = seen.unionByName(wave).repartition("node").checkpoint()
+        wave = durable(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
+        seen = durable(seen.unionByName(wave).repartition("node"))
     return seen

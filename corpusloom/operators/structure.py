@@ -1,26 +1,15 @@
-"""Structure of paged texts: headed sections with page provenance, statute items with headings in force, budgeted pieces."""
+"""Structure of paged texts: headed sections with page provenance, and their parts. Statutes are in `statutes`."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import relational as R
 
-#: Headings of documents and statutes, item marks, header lines, sentence ends.
+#: Headings of documents.
 HEADING = r"^(?U)\s*(?:(?:Article|ARTICLE|المادة)\s+\S+.*|(?:Objet|OBJET)\s*:.*|(?:CONTRAT DE TRAVAIL|Section|Chapitre|الفصل|الباب).{0,80})\s*$"
-ARTICLE_ITEM = r"(?iu)^\s*(?:المادة|Article)\s+([0-9٠-٩]+)"
-FASL_ITEM = r"^\s*الفصل\s+([0-9٠-٩]+)(?![\p{L}\p{N}_])"
-FASL_REVERSED = r"^\s*([0-9٠-٩]+)\s+الفصل(?![\p{L}\p{N}_])"
-LEVELS = {"book": r"(?iu)^\s*(?:الكتاب| Livre)\s+(.+)$", "part": r"(?iu)^\s*(?:الباب| Partie|Titre)\s+(.+)$", "chapter": r"(?iu)^\s*(?:الفصل| Chapitre)\s+(.+)$"}
-LAW_HEADER = r"^\s*(القانون التنظيمي|الدستور|دستور|ظهير شريف|مرسوم بقانون|قرار مشترك|ظهير|مرسوم|قرار|القانون|قانون)(?![\p{L}\p{N}_])(.*)$"
-SENTENCE_END = r"(?<=[.!؟?])\s+|\n+"
-BUDGET, OVERLAP = T.SERVED_TOKENS, 64
 
 
 def lines(pages: DataFrame) -> DataFrame:
@@ -52,106 +41,6 @@ def heading_sections(pages: DataFrame) -> DataFrame:
     return out.join(signals, ["doc", "start", "end"]).select("doc", "section", "title", "text", "page_start", "page_end", "start", "end", "confidence", "needs_review")
 
 
-def item_label(line: Column) -> Column:
-    digits = lambda p: F.translate(F.regexp_extract(line, p, 1), "٠١٢٣٤٥٦٧٨٩", "0123456789")
-    fasl = F.coalesce(F.nullif(digits(FASL_ITEM), F.lit("")), F.nullif(digits(FASL_REVERSED), F.lit("")))
-    return F.coalesce(F.concat(F.lit("Article "), F.nullif(digits(ARTICLE_ITEM), F.lit(""))), F.concat(F.lit("Fasl "), fasl))
-
-
-def statute_items(pages: DataFrame) -> DataFrame:
-    """pages (doc, page_no, text) -> doc, item, label, page_no, book, part, chapter, text; a document without items gives its pages."""
-    rows = lines(pages.where(F.length(T.strip(F.col("text"))) > 0)).withColumn("label", item_label(F.col("text")))
-    level = {}
-    free = F.col("label").isNull()
-    for name, pattern in LEVELS.items():
-        found = F.trim(F.regexp_extract("text", pattern, 1))
-        ok = free & (F.length(found) > 0)
-        level[name] = F.when(ok & ~found.rlike("^[0-9٠-٩]") if name == "chapter" else ok, found)
-        free = free & ~(F.length(found) > 0)
-    rows = rows.withColumns(level)
-    rows = rows.join(R.headings_in_force(rows.select("doc", "line", *LEVELS), "doc", "line"), ["doc", "line"])
-    w = Window.partitionBy("doc").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("item", F.sum(F.col("label").isNotNull().cast("int")).over(w))
-    rows = rows.withColumn("_any", F.max("item").over(Window.partitionBy("doc")))
-    items = rows.where("item > 0").groupBy("doc", "item").agg(
-        F.min_by("label", "line").alias("label"), F.min("page_no").alias("page_no"),
-        *[F.min_by(f"in_{c}", "line").alias(c) for c in LEVELS],
-        T.strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x.text), "\n")).alias("text"),
-    )
-    structural = F.col("text").rlike(LAW_HEADER) | F.col("book").isNotNull() | F.col("part").isNotNull() | F.col("chapter").isNotNull()
-    joined = T.strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x.text), "\n")).alias("text")
-    none = [F.lit(None).cast("string").alias(c) for c in LEVELS]
-    preamble = rows.where((F.col("_any") > 0) & (F.col("item") == 0) & ~structural).groupBy("doc").agg(F.min("page_no").alias("page_no"), joined)
-    preamble = preamble.select("doc", F.lit(0).cast("long").alias("item"), F.lit("preamble").alias("label"), "page_no", *none, "text").where(F.length("text") > 0)
-    plain = rows.where("_any = 0").groupBy("doc", "page_no").agg(joined)
-    plain = plain.select("doc", F.col("page_no").cast("long").alias("item"), F.concat(F.lit("section-p"), F.col("page_no").cast("string")).alias("label"), "page_no", *none, "text")
-    return items.select("doc", F.col("item").cast("long").alias("item"), "label", "page_no", *LEVELS, "text").unionByName(preamble).unionByName(plain)
-
-
-def split_text(text: str, fits: Callable[[str], bool], units: Callable[[str], list[str]]) -> list[str]:
-    """Pieces that fit: sentences packed greedily; a sentence that does not fit alone is cut at the longest run of units that does."""
-    if fits(text):
-        return [text]
-    out, buffer = [], ""
-    for sentence in (s for s in re.split(SENTENCE_END, text) if s and s.strip()):
-        joined = f"{buffer} {sentence}" if buffer else sentence
-        if fits(joined):
-            buffer = joined
-            continue
-        if buffer:
-            out.append(buffer)
-        buffer = ""
-        if fits(sentence):
-            buffer = sentence
-            continue
-        rest = units(sentence)
-        while rest:
-            low, high = 1, len(rest)
-            while low < high:
-                mid = (low + high + 1) // 2
-                low, high = (mid, high) if fits("".join(rest[:mid])) else (low, mid - 1)
-            out.append("".join(rest[:low]).strip())
-            rest = rest[low:]
-    return [p for p in [*out, buffer] if p]
-
-
-def with_overlap(pieces: list[str], fits: Callable[[str], bool], units: Callable[[str], list[str]], size: int = OVERLAP) -> list[str]:
-    """Each piece after the first led by the last units of the one before, where that still fits."""
-    out = pieces[:1]
-    for before, piece in zip(pieces, pieces[1:], strict=False):
-        lead = "".join(units(before)[-size:]).strip()
-        joined = f"{lead} {piece}" if lead and not piece.startswith(lead) else piece
-        out.append(joined if fits(joined) else piece)
-    return out
-
-
-def budget_pieces(items: DataFrame, counter: Callable[[str], int], units: Callable[[str], list[str]], budget: int = BUDGET, overlap: int = OVERLAP) -> DataFrame:
-    """items (doc, item, label, text) -> doc, item, piece, label, continued_from, text, estimate. The token counter is injected."""
-    if counter is None:
-        raise ValueError("a token counter is needed; nothing stands in for it")
-
-    def estimate(t: str) -> int:
-        return counter(t) + T.NEWLINE_WEIGHT * t.count("\n")
-
-    def run(batches):
-        for b in batches:
-            rows = []
-            for doc, item, label, text in zip(*(b.column(c).to_pylist() for c in ("doc", "item", "label", "text")), strict=True):
-                fits = lambda t: estimate(t) <= budget
-                cut = with_overlap(split_text(text or "", fits, units), fits, units, overlap)
-                names = [label] if len(cut) < 2 else [f"{label} · part {k + 1}/{len(cut)}" for k in range(len(cut))]
-                for k, piece in enumerate(cut):
-                    if estimate(piece) > budget:
-                        raise ValueError(f"{doc}: {names[k]} exceeds the budget")
-                    rows.append((doc, item, k, names[k], names[k - 1] if k else None, piece, estimate(piece)))
-            cols = list(zip(*rows, strict=True)) or [[]] * 7
-            types = [b.schema.field("doc").type, pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc", "item", "piece", "label", "continued_from", "text", "estimate"])
-
-    kind = items.schema["doc"].dataType.simpleString()
-    return items.select("doc", "item", "label", "text").mapInArrow(run, f"doc {kind}, item bigint, piece int, label string, continued_from string, text string, estimate int")
-
-
 def children(sections: DataFrame, most: int = 2000) -> DataFrame:
     """sections (doc, section, title, text, start) and, of those longer than `most`, their parts: section s.c1.., title (part i/n),
     parent, and offsets found in the parent's text from where the last part ended (its start, where white space was joined)."""

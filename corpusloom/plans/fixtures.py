@@ -84,3 +84,41 @@ PAGED = Fixture(
         (3, 2, "   \n ", None, False),
     ],
 )
+#: Statutes: an act over two pages, a decree, a decision, numbered items in both orders, an act without items, blank pages, lines after a header.
+STATUTES = Fixture(
+    "doc long, page_no long, text string, path string",
+    [
+        (-1, 1, "ظهير شريف رقم 1.11.151 صادر في 16 من رمضان 1432 (17 أغسطس 2011)\nبتنفيذ القانون رقم 36.21 المتعلق بالحالة المدنية\nالكتاب الأول: أحكام عامة\nالمادة 1 - نطاق التطبيق\nتسري أحكام هذا القانون على جميع المغاربة.\n", "/x/المادة المدنية/doc.pdf"),
+        (-1, 2, "الباب الثاني: التسجيل\nالمادة 2 - واجب التصريح\nيجب التصريح بالولادات خلال ثلاثين يوما.\n", "/x/المادة المدنية/doc.pdf"),
+        (-2, 3, "مرسوم رقم 2.22.690 بتطبيق القانون رقم 36.21 المتعلق بالحالة المدنية\nالمادة 1 - كيفيات التطبيق\nتحدد بنص تنظيمي كيفيات تطبيق أحكام القانون المذكور.\n", "/x/المادة المدنية/doc.pdf"),
+        (-3, 5, "قرار لوزير العدل بتحديد استمارات التصريح بالتقييد في السجل التجاري\nالمادة 1 - الاستمارات\nتحدد استمارات التصريح بقرار مشترك.\nالمادة 2 - النشر\nينشر هذا القرار بالجريدة الرسمية.\n", "/x/مادة المعاملات الالكترونية/doc.pdf"),
+        (-4, 1, "الكتاب الأول: الالتزامات\nالفصل 1 - مبدأ سلطان الإرادة\nتنشأ الالتزامات عن الاتفاقات والتصريحات.\nالفصل 2 - الأهلية\nيشترط في الملتزم أن يكون متمتعا بالأهلية.\n", "/x/المادة المدنية/doc.pdf"),
+        (-5, 1, "   \n ", "/x/y/doc.pdf"),
+        (-5, 2, "", "/x/y/doc.pdf"),
+        (-6, 4, "مذكرة تفسيرية بدون ترقيم للمواد.", None),
+        (-7, 1, "Préambule du texte\n\nTitre II\nArticle 1\nPremier corps.\nsuite", "/x/مادة الوظيفة العمومية/a.pdf"),
+        (-7, 2, "Titre III\nالفصل الأول\nArticle ٢\nSecond corps.\n الفصل 3 dit\n5 الفصل\nfin\nالكتاب الثاني\n7 الفصل", "/x/مادة الوظيفة العمومية/a.pdf"),
+        (-8, 1, "Avant\nقانون رقم 1\n\nالمتعلق بكذا\nبشأن كذا\nالمادة 9\nنص\nالصادر بعد ذلك", "a.pdf"),
+        (-9, 1, "Article 3\nقانون رقم 2\nالمتعلق بكذا", "/x/المادة الجنائية/b.pdf"),
+        (-10, 1, "دستور\nالمتعلق بكذا\nحاشية\nالمتعلق بغيره\nالمادة 1", "/x/المادة الجنائية/b.pdf"),
+    ],
+)
+#: Case files: a termination letter, two notice periods and a phrase across sections, a flagged section, one name in two matters, lower case, no sections.
+CASES = Fixture(
+    "matter long, seq long, document_id long, page long, s long, e long, title string, text string, needs_review boolean",
+    [
+        (-1, 0, 1, 1, 0, 90, "Letter", "Mme Salma Berrada, ATLAS TEXTILES SARL: your employment is terminated effective 2024-03-15. Notice period is 1 month.", False),
+        (-2, 0, 2, 1, 0, 40, "Contract", "The notice period is 1 month; pay. Mme Salma Berrada signed.", False),
+        (-2, 1, 3, 2, 5, 60, "Addendum", "The notice period is 3 months. Also 1 month. Acme Services LLC shall pay 900 MAD.", False),
+        (-2, 2, 4, 1, 0, 30, "Mail", "Nous devons donner un avis: notice given on 12/02/2024", True),
+        (-3, 0, 5, 1, 0, 20, "A", "no word here, only notice", False),
+        (-3, 1, 6, 1, 0, 20, "B", "period ends on 2024-01-01, effet à partir du 5.6.2023; M. Omar Alaoui", False),
+        (-4, 0, 7, 1, 0, 20, None, "mr omar alaoui wrote to acme services llc. compensation will be paid. fired!", False),
+        (-4, 1, 8, 1, 0, 20, "Null", None, None),
+    ],
+)
+FILED = Fixture("matter long, document_id long, doc_type string", [(-1, 1, "letter"), (-2, 2, "contract"), (-2, 3, "letter"), (-2, 4, "correspondence"), (-2, 9, "payslip"), (-2, 10, "payslip"), (-2, 11, "payslip"), (-3, 5, "payslip"), (-6, 12, "contract")])
+PASSAGES = Fixture(
+    "matter long, seq long, domain string, source string, version string, edition string, article_or_section string",
+    [(-1, 0, "authority", "Code du travail", "65.99", "ar", "Article 43"), (-1, 1, None, "Code du travail ", "65.99", "fr", "Article 43"), (-1, 2, "matter", "x", "1", "ar", "Article 1"), (-1, 3, "authority", " ", "1", "ar", "Article 1"), (-2, 0, "authority", "DOC", None, None, "Fasl 230")],
+)

@@ -470,11 +470,6 @@ def _sections(spark, sf_dir):
     return own.unionByName(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("section"), "text"))
 
 
-@query()
-def parties(spark, sf_dir):
-    return A.parties(_sections(spark, sf_dir))
-
-
 @query()
 def dates(spark, sf_dir):
     return A.dates(_sections(spark, sf_dir))
@@ -531,53 +526,11 @@ def citation_dedup(spark, sf_dir):
     return c.select("document_id", "page", "s", "e", F.format_string("[matter: doc %d p.%d ¶%d-%d]", "document_id", "page", "s", "e").alias("rendered"))
 
 
-_LOW = "lower(text)"
-_HIT = [" or ".join(f"contains({_LOW}, '{w}')" for w in words) for _, _, words in A.TEXT_ISSUES]
-_OWED = "len(list_filter(string_split(regexp_replace(text, '([.!;])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: " + " or ".join(f"contains(lower(s), '{w}')" for w in A.OBLIGATIONS) + ")) > 0"
-_ISSUES = " union all ".join(
-    [f"select matter, {i} as rank, '{n}' as issue, '{r}' as risk, list_sort(list(section)) as refs from {_CASES} where {_HIT[i]} group by 1" for i, (n, r, _) in enumerate(A.TEXT_ISSUES)]
-    + [
-        f"select matter, 3, 'Employment contract not on file', 'High', list_sort(list(section)) from {_CASES} group by 1 having count(*) filter (doc_type = 'contract') = 0",
-        f"select matter, 4, 'Salary history incomplete', 'Medium', list_sort(list(section)) from {_CASES} group by 1 having count(*) filter (doc_type = 'payslip') < 3",
-        f"select matter, 5, 'No explicit obligations detected', 'Low', list_sort(list(section)) from {_CASES} group by 1 having count(*) filter ({_OWED}) = 0",
-    ]
-)
-
-
-@query(f"select matter, rank, issue, risk, array_to_string(refs, ',') as refs from ({_ISSUES})")
-def issues(spark, sf_dir):
-    return A.issues(_cases(spark, sf_dir)).withColumn("refs", F.array_join(F.col("refs").cast("array<string>"), ","))
-
-
-@query()
-def analysis_report(spark, sf_dir):
-    return A.report(_cases(spark, sf_dir))
-
-
-@query()
-def draft_render(spark, sf_dir):
-    return A.draft(A.report(_cases(spark, sf_dir)))
-
-
 @query()
 def heading_sections(spark, sf_dir):
     return S.heading_sections(inline(spark, PAGED))
 
 
-@query()
-def statute_items(spark, sf_dir):
-    return S.statute_items(inline(spark, PAGED))
-
-
-@query()
-def budget_pieces(spark, sf_dir):
-    """Documents cut to the served budget; words stand in for the injected tokenizer."""
-    import re
-
-    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.lit(0).cast("long").alias("item"), F.lit("text").alias("label"), "text")
-    return S.budget_pieces(d, lambda t: len(t.split()), lambda t: re.findall(r"\S+\s*", t))
-
-
 # ---- file names
 
 
@@ -686,4 +639,4 @@ def stage_readiness(spark, sf_dir):
     return rows.select("doc_id", F.explode(ahead).alias("stage"))
 
 
-from . import workflow  # noqa: E402, F401  it registers its own queries
+from . import casefile, statutes, workflow  # noqa: E402, F401  they register their own queries

@@ -80,10 +80,9 @@ def test_batches_match_fold(spark):
     assert plan == [e - s for s, e in embedding.batches(["x" * n for n in lengths])] and sum(plan) == len(lengths)
 
 
-def test_dates_parties_obligations(spark):
+def test_dates_obligations(spark):
     s = inline(spark, SECTIONS)
     assert {(r.date, r.label) for r in A.dates(s).collect()} == {("2024-03-01", "effective date"), ("12/02/2024", "notice date"), ("5.6.2023", "mentioned date")}
-    assert {r.kind for r in A.parties(s).collect()} == {"person", "company"}
     assert A.obligations(s).count() == 4
 
 
@@ -127,16 +126,6 @@ def test_stream_resumes(spark, tmp_path):
     assert spark.read.parquet(out).count() == 8
 
 
-def test_statute_items(spark):
-    from corpusloom.operators import structure as S
-    from corpusloom.plans.fixtures import PAGED
-
-    got = {(r.doc, r.label): r for r in S.statute_items(inline(spark, PAGED)).collect()}
-    assert set(got) == {(1, "preamble"), (1, "Article 1"), (1, "Article 2"), (2, "Fasl 1"), (2, "Fasl 5"), (3, "section-p1")}
-    assert got[1, "Article 2"].part == "II" and got[1, "Article 1"].part is None and got[2, "Fasl 1"].part == "الأول"
-    assert got[1, "Article 1"].text.startswith("Article 1\nPremier corps.\nsuite") and got[1, "Article 2"].page_no == 2
-
-
 def test_heading_sections(spark):
     from corpusloom.operators import structure as S
     from corpusloom.plans.fixtures import PAGED
@@ -146,26 +135,6 @@ def test_heading_sections(spark):
     assert (got[1, "s2"].page_start, got[1, "s2"].page_end, got[1, "s2"].needs_review, got[1, "s2"].confidence) == (1, 2, True, 0.9)
 
 
-def test_budget_pieces(spark):
-    from corpusloom.operators import structure as S
-
-    text = " ".join(f"Sentence {i} has exactly six words." for i in range(300)) + " " + "long " * 1000
-    rows = spark.createDataFrame([(1, 1, "Article 7", text), (2, 1, "Article 8", "short")], "doc long, item long, label string, text string")
-    with pytest.raises(ValueError):
-        S.budget_pieces(rows, None, None)
-    got = S.budget_pieces(rows, lambda t: len(t.split()), lambda t: re.findall(r"\S+\s*", t)).orderBy("doc", "piece").collect()
-    own = [r for r in got if r.doc == 1]
-    assert all(r.estimate <= 450 for r in got) and own[0].continued_from is None and own[1].continued_from == own[0].label and len(own) > 4
-    assert [r.label for r in got if r.doc == 2] == ["Article 8"]
-    assert all(f"Sentence {i} " in " ".join(r.text for r in own) for i in range(300))
-
-
-def test_issue_report(spark):
-    got = {r.matter: r for r in A.report(inline(spark, SECTIONS)).collect()}
-    assert [i.issue for i in got[1].issues][:2] == ["Employment termination recorded", "Notice period stated"] and got[2].doc_types == ["correspondence", "payslip"]
-    assert "Findings:" in A.draft(A.report(inline(spark, SECTIONS))).first().content
-
-
 def test_verified_writes(spark, tmp_path):
     from corpusloom.operators import serving as V
 

@@ -38,7 +38,7 @@ def test_runs(spark, sf, name):
     assert registry.QUERIES[name](spark, sf).count() > 0
 
 
-@pytest.mark.parametrize("name", ["parties", "dates", "obligations", "keyword_classify", "glossary_hits"])
+@pytest.mark.parametrize("name", ["dates", "obligations", "keyword_classify", "glossary_hits"])
 def test_sections_of_documents(spark, tmp_path, name):
     text = "Mme Salma Berrada must pay from 2024-05-06."
     spark.createDataFrame([(77, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
