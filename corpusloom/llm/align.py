@@ -34,14 +34,15 @@ from pyspark.sql import functions as F
 
 from .bpe import _bytes_of_symbols, default_path
 from .common import HOT_KEYS, durable, ensure_checkpoint_dir, table
-from .textkit import trim
+from .textkit import ragged, trim
 
 SPACE = "▁"
 #: A space behind a character that is white space to neither tokenizer; the space belongs to the unit that it opens.
 SPLIT = re.compile(r"(?<=[^\s▁]) ")
+CLOSED, JOINED = re.compile(r"[^\s▁]\Z"), 256
 #: Units known to all tasks (about 200 bytes each in a worker), distinct units that a task counts before it hands them on, bytes of texts in a
 #: bucket, and id pairs that may be broadcast (32 bytes each).
-HOT, HELD, BUCKET_BYTES, PAIRS = 400_000, 300_000, 4_000_000, 2_000_000
+HOT, HELD, BUCKET_BYTES, PAIRS = 250_000, 150_000, 4_000_000, 2_000_000
 _SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 
@@ -78,14 +79,33 @@ class Side:
 
     def tokens(self, units: pa.Array) -> pa.Array:
         """The ids and byte lengths of the tokens of each unit."""
-        texts = [" " + u for u in units.to_pylist()]
-        found = self.encode(texts)
-        ids = np.fromiter((i for x in found for i in x), np.int32)
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-        lengths = self.length[ids]
-        total = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])[offsets]
-        if (np.diff(total) != [len(t.encode()) for t in texts]).any():
+        texts = units.to_pylist()
+        # Units after which a space ends a token are encoded many at a time.
+        joins = self.splits
+        order, runs, alone = [], [[]], []
+        for i, u in enumerate(texts):
+            if joins and CLOSED.search(u):
+                if len(runs[-1]) == JOINED:
+                    runs.append([])
+                runs[-1].append(i)
+            else:
+                alone.append(i)
+        strings = []
+        for run in [*filter(None, runs), *([i] for i in alone)]:
+            order += run
+            strings.append(" " + " ".join([texts[i] for i in run]))
+        ids = np.fromiter((i for x in self.encode(strings) for i in x), np.int32)
+        ends = np.cumsum(self.length[ids], dtype=np.int64)
+        bounds = np.cumsum([len(texts[i].encode()) + 1 for i in order], dtype=np.int64)
+        last = np.searchsorted(ends, bounds)
+        if len(bounds) and (last[-1] != len(ids) - 1 or (ends[last] != bounds).any()):
             raise ValueError("a unit is not given back although its text is")
+        first = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
+        # Back to the order of the units.
+        back = np.argsort(order) if order else np.zeros(0, np.int64)
+        size = (last - first + 1)[back]
+        ids = ids[ragged(first[back], size)]
+        lengths, offsets = self.length[ids], np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
         return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in (ids, lengths)], ["id", "len"])
 
 
@@ -196,49 +216,60 @@ def linked(tokens: DataFrame) -> DataFrame:
     return rows.sortWithinPartitions("of", F.desc("end")).withColumnRenamed("of", "unit")
 
 
-def aligned(tokens: DataFrame) -> DataFrame:
+def aligned(tokens: DataFrame, paths: tuple[str, str]) -> DataFrame:
     """unit, n, groups, links (id pairs), n_a, n_b, n_groups, n_links: the rows of each unit, which lie together, written down."""
 
+    size = max(len(side(p).bytes) for p in paths)
+
     def run(batches: Iterator[pa.RecordBatch]):
-        now, rows = None, []
-        out: list[tuple] = []
+        words, rest = _words(size), None
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("unit", "n", "a", "b", "link", "g")), strict=True):
-                if row[:2] != now:
-                    if rows:
-                        out.append(_written(now, rows))
-                    now, rows = row[:2], []
-                rows.append(row[2:])
-            if len(out) >= 5000:
-                yield _records(out)
-                out = []
-        if rows:
-            out.append(_written(now, rows))
-        if out:
-            yield _records(out)
+            rows = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            unit = rows.column("unit").combine_chunks()
+            new = np.array(pc.not_equal(unit[1:], unit[:-1]))
+            starts = np.concatenate([[0], np.flatnonzero(new) + 1])
+            # The last unit may go on in the next batch.
+            if len(starts) > 1:
+                yield _written(rows.slice(0, starts[-1]), starts[:-1], words, size)
+            rest = rows.slice(starts[-1])
+        if rest is not None and rest.num_rows:
+            yield _written(rest, np.zeros(1, np.int64), words, size)
         trim()
 
     return linked(tokens).mapInArrow(run, "unit string, n bigint, groups string, links array<bigint>, n_a bigint, n_b bigint, n_groups bigint, n_links bigint")
 
 
-def _written(of: tuple[str, int], rows: list[tuple]) -> tuple:
-    groups: list[tuple[list[str], list[str]]] = []
-    last = None
-    for a, b, _, g in reversed(rows):
-        if g != last:
-            groups.append(([], []))
-            last = g
-        if a is not None:
-            groups[-1][0].append(str(a))
-        if b is not None:
-            groups[-1][1].append(str(b))
-    text = ";".join([f"{','.join(a)}|{','.join(b)}" for a, b in groups])
-    return *of, text, [r[2] for r in rows], sum(len(a) for a, _ in groups), sum(len(b) for _, b in groups), len(groups), len(rows)
-
-
-def _records(out: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int64(), pa.string(), pa.list_(pa.int64()), *[pa.int64()] * 4]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["unit", "n", "groups", "links", "n_a", "n_b", "n_groups", "n_links"])
+@lru_cache(maxsize=1)
+def _words(size: int) -> pa.Array:
+    """Every id behind nothing, a comma, a bar and a semicolon."""
+    return pa.array([f"{sep}{i}" for sep in ("", ",", "|", ";") for i in range(size)])
+
+
+def _written(rows: pa.Table, starts: np.ndarray, words: pa.Array, size: int) -> pa.RecordBatch:
+    """Rows of whole units, each from its last end to its first, as one row a unit."""
+    n = rows.num_rows
+    a, b = (rows.column(c).fill_null(-1).to_numpy() for c in "ab")
+    g, link = rows.column("g").to_numpy(), rows.column("link").to_numpy()
+    ends = np.append(starts[1:], n)
+    of = np.repeat(np.arange(len(starts)), ends - starts)
+    # Reading backwards: units last to first, in each the first end first. A group is a unit and its number.
+    group = np.cumsum(np.concatenate([[True], (of[::-1][1:] != of[::-1][:-1]) | (g[::-1][1:] != g[::-1][:-1])])) - 1
+    sides = [(x[::-1], group * 2 + k) for k, x in enumerate((a, b))]
+    ids, key = (np.concatenate(x) for x in zip(*((x[x >= 0], k[x >= 0]) for x, k in sides), strict=True))
+    order = np.argsort(key, kind="stable")
+    ids, key = ids[order], key[order]
+    unit = of[::-1][np.searchsorted(group, key >> 1)]
+    first = np.concatenate([[True], unit[1:] != unit[:-1]])
+    sep = np.where(first, 0, np.where(np.concatenate([[False], key[1:] == key[:-1]]), 1, np.where(key & 1, 2, 3)))
+    tokens = words.take(pa.array(sep * size + ids))
+    # Units come out last to first; turned round again at the end.
+    offsets = np.append(np.flatnonzero(first), len(ids)).astype(np.int32)
+    groups = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), tokens), "").take(pa.array(np.arange(len(starts))[::-1]))
+    links = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum((ends - starts)[::-1])).astype(np.int32)), pa.array(link[::-1])).take(pa.array(np.arange(len(starts))[::-1]))
+    sums = [np.add.reduceat(x.astype(np.int64), starts) for x in (a >= 0, b >= 0, (a >= 0) & (b >= 0))]
+    at = pa.array(starts)
+    columns = [rows.column("unit").combine_chunks().take(at), rows.column("n").combine_chunks().take(at), groups, links, *map(pa.array, sums), pa.array((ends - starts).astype(np.int64))]
+    return pa.RecordBatch.from_arrays(columns, ["unit", "n", "groups", "links", "n_a", "n_b", "n_groups", "n_links"])
 
 
 def pair_counts(table_: DataFrame) -> DataFrame:
@@ -298,7 +329,7 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
     units = _stored(tokenized(unit_counts(docs, texts), paths), "unit")
     # Buckets of units stay together through windows and joins: nothing is shuffled until id pairs are counted.
     with _setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
-        known = _stored(aligned(units), "unit")
+        known = _stored(aligned(units, paths), "unit")
     pairs = durable(pair_counts(known))
     few_pairs = pairs.count() <= pairs_bound
     least = _threshold(units, hot)
