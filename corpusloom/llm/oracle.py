@@ -26,19 +26,23 @@ from b"""
 
 
 def secrets_sql() -> str:
+    """One pass of each rule over each text: what lies between matches gives their places by a running sum."""
     parts = []
     for i, r in enumerate(secret_scan.RULES):
         p = r.pattern.replace("'", "''")
-        parts.append(f"""select doc_id, '{r.kind}' as kind, {i} as rank, {str(r.base).lower()} as base, k, hits[k] as hit, vals[k] as val, gaps, hits, {r.min_length} as least
-            from (select doc_id, string_split_regex(t, '{p}') as gaps, regexp_extract_all(t, '{p}', 0) as hits, regexp_extract_all(t, '{p}', {r.group}) as vals, unnest(range(1, len(regexp_extract_all(t, '{p}', 0)) + 1)) as k from d)""")
-    length = "list_sum(list_transform({0}, lambda x: length(x)))"
+        cut = f"regexp_replace(t, '{p}', chr(1), 'g')"
+        need = f"where regexp_matches(t, '{p}')"
+        # Texts without the separator itself are split at it after one replacement; others are split by the pattern.
+        parts.append(f"""select doc_id, row, '{r.kind}' as kind, {i} as rank, {str(r.base).lower()} as base, {r.min_length} as least, unnest(h) as hit, unnest(v) as val, unnest(list_transform(g[1:len(h)], lambda x: length(x))) as gap, unnest(range(len(h))) as k
+            from (select doc_id, row, regexp_extract_all(t, '{p}', 0) as h, regexp_extract_all(t, '{p}', {r.group}) as v, case when contains(t, chr(1)) then string_split_regex(t, '{p}') else string_split({cut}, chr(1)) end as g from d {need})""")
     counts = ", ".join(f"count(*) filter (kind = '{r.kind}') as n_{r.kind}" for r in secret_scan.RULES if r.base)
     return f"""
-with d as (select doc_id, coalesce(text, '') as t from documents),
+with d as (select doc_id, row_number() over () as row, coalesce(text, '') as t from documents),
 m as ({" union all ".join(parts)}),
-s as (select doc_id, kind, rank, base, (coalesce({length.format("gaps[1:k]")}, 0) + coalesce({length.format("hits[1:k - 1]")}, 0))::bigint as s, length(hit) as n from m where length(val) >= least),
-a as (select doc_id, {counts}, string_agg(kind || ':' || s || ':' || (s + n), ',' order by s, rank) filter (base) as base, string_agg(kind || ':' || s || ':' || (s + n), ',' order by s, rank) as spans from s group by 1)
-select doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) as n_{r.kind}" for r in secret_scan.RULES if r.base)}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join a using (doc_id)"""
+p as (select *, sum(gap + length(hit)) over (partition by row, rank order by k) - length(hit) as s from m),
+s as (select row, kind, rank, base, s::bigint as s, (s + length(hit))::bigint as e from p where length(val) >= least),
+a as (select row, {counts}, string_agg(kind || ':' || s || ':' || e, ',' order by s, rank) filter (base) as base, string_agg(kind || ':' || s || ':' || e, ',' order by s, rank) as spans from s group by 1)
+select doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) as n_{r.kind}" for r in secret_scan.RULES if r.base)}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join a using (row)"""
 
 
 def decontamination_sql() -> str:
