@@ -4,10 +4,10 @@
    Documents with one digest are copies; only one node, a number, stands for them from here on.
 2. Nodes that share a band hash are tied to the least node of that bucket, so a bucket of m nodes gives m - 1 ties. The
    components of the ties hold every candidate pair.
-3. Each component's full n-gram sets are fetched once, by a key of the row, and all its pairs are verified exactly in one task. A
-   larger component is verified bucket by bucket, a pair in the first band it shares, or, where buckets hold more pairs than the
-   component, dealt into blocks, one task for two blocks. So the work is never more than the pairs that share a band. A task
-   returns a row for each node (links counted, least linked node), never the pairs.
+3. Each component's full n-gram sets are fetched once, by a key of the row, and its pairs that share a band are verified exactly, in
+   one task. A larger component is verified bucket by bucket, a pair in the first band it shares, or, where buckets hold more pairs
+   than the component, dealt into blocks, one task for two blocks. The pairs are the same whichever way is taken, so a pair's link
+   never depends on other rows. A task returns a row for each node (links counted, least linked node), never the pairs.
 4. The components of the verified links are the classes.
 
 Hot keys (a bucket, a hub, a class, a text with a third of all rows) meet broadcasts of bounded size, see `common.join_hot`.
@@ -178,8 +178,14 @@ def _verify(threshold: float):
                 linked &= x[:, e][:, None] != y[:, e][None, :]
         if same:
             np.fill_diagonal(linked, False)
-        names = np.concatenate([left["id"], [] if same else right["id"]]).astype(np.int64)
         i, j = np.nonzero(linked)
+        if index < 0:  # a component: the same pairs as its buckets would give, those that share a band
+            x, y = np.stack(left["bands"].to_numpy()), np.stack(right["bands"].to_numpy())
+            shared = np.zeros(len(i), bool)
+            for e in range(x.shape[1]):
+                shared |= x[i, e] == y[j, e]
+            i, j = i[shared], j[shared]
+        names = np.concatenate([left["id"], [] if same else right["id"]]).astype(np.int64)
         least = names.copy()
         other = j + (0 if same else len(left))
         while True:  # least names spread until nothing changes
@@ -208,15 +214,16 @@ def _groups(near: DataFrame, nodes: DataFrame, entries: DataFrame, buckets: Data
         pairs = buckets.join(near, buckets.low == near.node).groupBy("root").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("pairs"))
         large = durable(large.join(pairs, "root").where("pairs < cast(n as double) * n").select("root", "n"))
     whole = sizes.join(large.select("root"), "root", "left_anti")
-    one = join_hot(near, whole, "root", "n", total).select(F.col("node").alias("id"), F.array(F.struct(F.col("root").alias("key"), F.lit(-1).alias("index"), "blocks")).alias("groups"))
+    one = join_hot(near, whole, "root", "n", total).join(nodes.select(F.col("id").alias("node"), "bands"), "node")
+    one = one.select(F.col("node").alias("id"), "bands", F.array(F.struct(F.col("root").alias("key"), F.lit(-1).alias("index"), "blocks")).alias("groups"))
     dealt = join_hot(near, large, "root", "n", total).select(F.col("node").alias("id"))
     if large.isEmpty():
-        return one.withColumn("bands", F.lit(None).cast("array<bigint>"))
+        return one
     shared = entries.join(dealt, "id")
     shared = join_hot(shared, buckets, "band", "n", nodes.count() * entries.select("index").distinct().count())
     made = F.collect_list(F.struct(F.col("band").alias("key"), F.col("index"), F.ceil(F.col("n") / BLOCK_NODES).cast("int").alias("blocks")))
     by_bucket = shared.groupBy("id").agg(made.alias("groups")).join(nodes.select("id", "bands"), "id")
-    return one.withColumn("bands", F.lit(None).cast("array<bigint>")).unionByName(by_bucket)
+    return one.unionByName(by_bucket)
 
 
 def _classes(docs: DataFrame, threshold: float, n: int, recall: float, bound: int) -> DataFrame:

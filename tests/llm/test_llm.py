@@ -198,6 +198,25 @@ def brute_classes(rows):
     return Counter(out)
 
 
+def test_links_do_not_depend_on_the_size_of_a_component(spark, monkeypatch):
+    """With few bands many pairs above the threshold share none: they are no links, in one task, in blocks or by buckets."""
+    rng = random.Random(8)
+    base = [name(rng.randrange(5000)) for _ in range(150)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(150)] = name(5000 + rng.randrange(9000))
+        rows.append((i, " ".join(words)))
+    docs, got = spark.createDataFrame(rows, "doc_id long, text string"), []
+    for nodes in (1536, 3, 12):
+        monkeypatch.setattr(jaccard_join, "BLOCK_NODES", nodes)
+        got.append(sorted(map(tuple, jaccard_join.jaccard_classes(docs, recall=0.3).collect())))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(146)} for _, t in rows]
+    every = sum(len(a & b) >= 0.8 * len(a | b) for x, a in enumerate(sets) for y, b in enumerate(sets) if x != y and rows[x][1] != rows[y][1])
+    assert got[0] == got[1] == got[2] and 0 < sum(r[2] for r in got[0]) < every
+
+
 @pytest.mark.parametrize("bound,nodes", [(0, 1536), (1000, 3)])
 def test_jaccard_classes(spark, docs, monkeypatch, bound, nodes):
     monkeypatch.setattr(jaccard_join, "BLOCK_NODES", nodes)
