@@ -33,6 +33,7 @@ GREETINGS = [
     "salam", "azul", "labas", "la bas", "cava", "ca va", "ça va",
 ]
 GREETING_CHARS = 40
+TOOLS = ["search_matter", "search_authority", "search_both", "out_of_scope"]
 EVIDENCE_MARKS = ["[matter:", "¶"]
 
 
@@ -104,8 +105,15 @@ def privacy(evidence: Column, external: Column, mode: Column, consent: Column) -
 
 
 def tool_call(c: Column) -> Column:
-    """struct(tool, query) of the first object in the text that names a known tool, else null."""
-    blocks = F.regexp_extract_all(c, F.lit(r'(\{[^{}]*"tool"[^{}]*\})'), F.lit(1))
-    parsed = F.transform(blocks, lambda x: F.from_json(x, "tool string, query string"))
-    known = ["search_matter", "search_authority", "search_both", "out_of_scope"]
-    return F.get(F.filter(parsed, lambda x: x.isNotNull() & x.tool.isin(known) & (F.length(F.coalesce(x["query"], F.lit(""))) > 0)), F.lit(0))
+    """struct(tool, query) of the text if it is an envelope as a whole, else of the first block in it that is one; null without any. Both
+    fields must be strings, the tool known and the query not blank; white space around it goes."""
+    whole = T.strip(c)
+    blocks = F.concat(F.array(whole), F.regexp_extract_all(whole, F.lit(r'(\{[^{}]*"tool"[^{}]*\})'), F.lit(1)))
+
+    def envelope(x):
+        v = F.try_parse_json(x)
+        text = lambda name: F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant")) == "STRING", F.try_variant_get(v, f"$.{name}", "string"))
+        asked = T.strip(text("query"))
+        return F.when(text("tool").isin(TOOLS) & (F.length(asked) > 0), F.struct(text("tool").alias("tool"), asked.alias("query")))
+
+    return F.get(F.array_compact(F.transform(blocks, envelope)), F.lit(0))

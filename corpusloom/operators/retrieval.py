@@ -225,26 +225,34 @@ def mmr(candidates: DataFrame, k: int, weight: float = 0.5, within: str | None =
     return candidates.groupBy(*own).applyInPandas(run, ", ".join([*(f"{c} {kind[c]}" for c in [*own, "id"]), "pick int"]))
 
 
-def recall_at_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """queries (query = gold id, bucket, vector): recall of each bucket and, with bucket null, overall. Ties favour the gold row.
+def recall_at_k(queries: DataFrame, vectors: DataFrame, k: int, by_query: bool = False) -> DataFrame:
+    """queries (query = gold id, vector), vectors (id, bucket, vector): the sample -> recall of each bucket, ranked within it, and, with bucket
+    null, overall, ranked within the whole sample. Ties favour the gold row. by_query: bucket, query, rank_in, rank instead.
 
-    A batch of vectors gives for each query how many are closer than its gold row: nothing else is shuffled."""
+    A batch of vectors gives for each query how many are closer than its gold row, all and of its bucket: nothing else is shuffled."""
     parts = []
     for block in _blocks(queries):
         q = block.select("query", "vector").toArrow()
         names, unit = q["query"].to_pylist(), _units(q["vector"].to_pylist())
-        own = vectors.join(F.broadcast(block.select(F.col("query").alias("id"))), "id", "left_semi").select("id", "vector").toArrow()
-        held = dict(zip(own["id"].to_pylist(), _units(own["vector"].to_pylist()), strict=True)) if len(own) else {}
-        gold = np.round([float(held[n] @ u) if n in held else np.inf for n, u in zip(names, unit, strict=True)], 6)
+        own = vectors.join(F.broadcast(block.select(F.col("query").alias("id"))), "id", "left_semi").select("id", F.col("bucket").cast("string").alias("bucket"), "vector").toArrow()
+        held = dict(zip(own["id"].to_pylist(), zip(own["bucket"].to_pylist(), _units(own["vector"].to_pylist()), strict=True), strict=True)) if len(own) else {}
+        gold = np.round([float(held[n][1] @ u) if n in held else np.inf for n, u in zip(names, unit, strict=True)], 6)
+        bucket = np.array([str(held[n][0]) if n in held else "" for n in names], object)
 
-        def run(batches, names=names, unit=unit, gold=gold):
-            closer = np.zeros(len(names), np.int64)
+        def run(batches, names=names, unit=unit, gold=gold, bucket=bucket):
+            closer, within = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
             for b in batches:
-                found = np.round(_cosines(unit, b.column("x")), 6)
-                closer += (found > gold[None, :]).sum(0)
-            yield pa.RecordBatch.from_arrays([pa.array(names).cast(pa.int64()), pa.array(closer), pa.array(np.isfinite(gold))], ["query", "closer", "there"])
-
-        parts.append(vectors.select(F.col("vector").alias("x")).mapInArrow(run, "query bigint, closer bigint, there boolean"))
-    ranks = reduce(DataFrame.unionByName, parts).where("there").groupBy("query").agg((1 + F.sum("closer")).alias("rank"))
-    hits = ranks.join(queries.select("query", "bucket"), "query")
-    return hits.rollup("bucket").agg(F.count("*").alias("n"), F.round(F.avg((F.col("rank") <= k).cast("int")), 6).alias("recall"))
+                found = np.round(_cosines(unit, b.column("x")), 6) > gold[None, :]
+                closer += found.sum(0)
+                within += (found & (np.array([str(x) for x in b.column("bucket").to_pylist()], object)[:, None] == bucket[None, :])).sum(0)
+            yield pa.RecordBatch.from_arrays([pa.array(names).cast(pa.int64()), pa.array(closer), pa.array(within), pa.array(np.isfinite(gold))], ["query", "closer", "within", "there"])
+
+        parts.append(vectors.select(F.col("vector").alias("x"), F.col("bucket").cast("string").alias("bucket")).mapInArrow(run, "query bigint, closer bigint, within bigint, there boolean"))
+    ranks = reduce(DataFrame.unionByName, parts).where("there").groupBy("query").agg((1 + F.sum("closer")).alias("rank"), (1 + F.sum("within")).alias("rank_in"))
+    rows = ranks.join(vectors.select(F.col("id").alias("query"), "bucket"), "query").select("bucket", "query", "rank_in", "rank")
+    if by_query:
+        return rows
+    share = lambda c: F.round(F.avg((F.col(c) <= k).cast("int")), 6).alias("recall")
+    none = F.lit(None).cast(rows.schema["bucket"].dataType).alias("bucket")
+    overall = rows.groupBy().agg(F.count("*").alias("n"), share("rank")).where("n > 0").select(none, "n", "recall")
+    return rows.groupBy("bucket").agg(F.count("*").alias("n"), share("rank_in")).unionByName(overall)

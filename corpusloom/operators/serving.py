@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 #: Fixed values.
 EXCERPT, SUMMARY_CHARS, OCR_CHARS = 800, 1200, 20
 MATTER_KEYS = ["document_id", "page", "excerpt"]
+ELLIPSIS = " …"
 AUTHORITY_KEYS = ["source", "version", "article", "excerpt"]
 
 
@@ -41,7 +42,15 @@ def parse_frames(raw: DataFrame) -> DataFrame:
 
 
 def cap_summary(c: Column, size: int = SUMMARY_CHARS) -> Column:
-    return F.when(F.length(c) <= size, c).otherwise(F.concat(F.substring(c, 1, size - 1), F.lit("…")))
+    """At most size characters: the first line stays, what follows is cut and ends in an ellipsis; a line that fills the size alone is
+    cut without one. A size of 0 or less cuts nothing."""
+    if size <= 0:
+        return c
+    line = F.substring_index(c, "\n", 1)
+    gap = F.when(F.contains(c, F.lit("\n")), "\n").otherwise("")
+    left = F.lit(size) - F.length(line) - F.length(gap) - F.length(F.lit(ELLIPSIS))
+    rest = F.regexp_replace(F.substring(c, F.length(line) + 2, left), r"(?U)\s+$", "")
+    return F.when(F.length(c) <= size, c).when(left <= 0, F.substring(line, 1, size)).otherwise(F.concat(line, gap, rest, F.lit(ELLIPSIS)))
 
 
 def token_estimate(c: Column) -> Column:
@@ -72,13 +81,15 @@ def write_verified(rows: DataFrame, path: str, key: str, dim: int | None = None,
     return rows.select(key).join(found, key, "left").select(key, F.when(F.col("_there"), "verified").otherwise("missing").alias("status"))
 
 
-def content_mark(rows: DataFrame) -> tuple[int, int]:
-    """Rows and an order-free checksum of all columns, to be kept beside a written table."""
-    r = rows.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64(*rows.columns)), F.lit(0).cast("long"))).first()
+def content_mark(rows: DataFrame) -> tuple[int, str]:
+    """Rows, and an order-free checksum of all columns: the sums of two hashes of every row, so equal rows count each. Kept beside a table."""
+    total = lambda h: F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)).cast("string")
+    high = F.conv(F.substring(F.sha2(F.to_json(F.struct(*rows.columns)), 256), 1, 15), 16, 10)
+    r = rows.agg(F.count("*"), F.concat_ws(":", total(F.xxhash64(*rows.columns)), total(high))).first()
     return r[0], r[1]
 
 
-def read_verified(spark, path: str, mark: tuple[int, int]) -> DataFrame:
+def read_verified(spark, path: str, mark: tuple[int, str]) -> DataFrame:
     """The table at path if it still has the mark it was written with."""
     rows = spark.read.parquet(path)
     if content_mark(rows) != tuple(mark):

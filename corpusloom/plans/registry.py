@@ -118,18 +118,21 @@ def hybrid_both_domains(spark, sf_dir):
 
 
 _QV = "select a.vec_id, a.label, list_transform(list_zip(a.embedding, b.embedding), lambda x: x[1]::double + 0.5 * x[2]::double) as v from embeddings a join embeddings b on b.vec_id = a.vec_id + 1 where a.vec_id % 50 = 0"
-_RECALL = f"""with q as (select *, sqrt(list_dot_product(v, v)) as n from ({_QV})), d as ({_NORMED}),
-    s as (select q.vec_id as query, q.label as bucket, d.vec_id as id, round(list_dot_product(q.v, d.v) / (q.n * d.n), 6) as score from q, d),
-    r as (select s.query, s.bucket, 1 + count(*) filter (s.score > g.score) as rank from s join s g on g.query = s.query and g.id = g.query group by 1, 2)
-    select bucket, count(*) as n, round(avg((rank <= 10)::int), 6) as recall from r group by rollup (bucket)"""
+_RECALL = f"""with q as (select *, sqrt(list_dot_product(v, v)) as n from ({_QV})), d as (select * from ({_NORMED}) x where x.vec_id in (select vec_id from q)),
+    s as (select q.vec_id as query, d.vec_id as id, q.label = e.label as same, round(list_dot_product(q.v, d.v) / (q.n * d.n), 6) as score from q, d join embeddings e on e.vec_id = d.vec_id),
+    r as (select s.query, 1 + count(*) filter (s.score > g.score) as rank, 1 + count(*) filter (s.score > g.score and s.same) as rank_in from s join s g on g.query = s.query and g.id = g.query group by 1),
+    b as (select r.*, e.label as bucket from r join embeddings e on e.vec_id = r.query)
+    select bucket, count(*) as n, round(avg((rank_in <= 10)::int), 6) as recall from b group by 1 union all select null, count(*), round(avg((rank <= 10)::int), 6) from b having count(*) > 0"""
 
 
 @query(_RECALL)
 def self_retrieval_recall(spark, sf_dir):
+    """The sample are the stated queries' own rows: a bucket ranks within itself, the whole within the sample."""
     e = read(spark, sf_dir, "embeddings")
     nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
-    q = e.where("vec_id % 50 = 0").join(nxt, "vec_id").select(F.col("vec_id").alias("query"), F.col("label").alias("bucket"), F.zip_with("embedding", "other", lambda x, y: x.cast("double") + 0.5 * y.cast("double")).alias("vector"))
-    return H.recall_at_k(q, _vectors(spark, sf_dir), 10)
+    q = e.where("vec_id % 50 = 0").join(nxt, "vec_id").select(F.col("vec_id").alias("query"), F.zip_with("embedding", "other", lambda x, y: x.cast("double") + 0.5 * y.cast("double")).alias("vector"))
+    sample = e.join(q.select(F.col("query").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("id"), F.col("label").alias("bucket"), F.col("embedding").alias("vector"))
+    return H.recall_at_k(q, sample, 10)
 
 
 @query("""with p as (select list_dot_product(a.embedding::double[], b.embedding::double[]) / (sqrt(list_dot_product(a.embedding::double[], a.embedding::double[])) * sqrt(list_dot_product(b.embedding::double[], b.embedding::double[]))) as c
@@ -594,7 +597,8 @@ def sse_parse(spark, sf_dir):
     return V.parse_frames(c.select("id", F.when(F.col("role") == "assistant", frame).otherwise(F.concat(F.lit("event: "), "text")).alias("line")))
 
 
-@query("select doc_id, case when length(text) <= 1200 then text else substr(text, 1, 1199) || '…' end as summary, length(text) // 4 as estimate from documents")
+@query("""with d as (select doc_id, text, string_split(text, chr(10))[1] as line, contains(text, chr(10))::int as gap from documents), l as (select *, 1200 - length(line) - gap - 2 as room from d)
+    select doc_id, case when length(text) <= 1200 then text when room <= 0 then line[1:1200] else line || case gap when 1 then chr(10) else '' end || regexp_replace(substr(text, length(line) + 2, room), '\\s+$', '') || ' …' end as summary, length(text) // 4 as estimate from l""")
 def summary_cap(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", V.cap_summary(F.col("text")).alias("summary"), V.token_estimate(F.col("text")).alias("estimate"))
 

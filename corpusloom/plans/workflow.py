@@ -212,10 +212,10 @@ def download_urls(spark, sf_dir):
     return inline(spark, PATHS).select("id", W.quoted_path(F.col("path")).alias("url"))
 
 
-@query("select lang as bucket, count(*) as n, case when count(*) < 15 then 'n=' || count(*) || ' < 15' end as dropped from documents where doc_id % 3 = 0 group by 1")
+@query("select lang as bucket, count(*) as n, case when count(*) < 15 then 'n=' || count(*) || ' < 15' end as dropped from documents group by 1")
 def gate_buckets(spark, sf_dir):
-    """Buckets of the quality gate; a third of the documents is its sample."""
-    return W.gate_buckets(read(spark, sf_dir, "documents").where("doc_id % 3 = 0").withColumnRenamed("lang", "bucket"), "bucket")
+    """Buckets of the quality gate, over all documents."""
+    return W.gate_buckets(read(spark, sf_dir, "documents").withColumnRenamed("lang", "bucket"), "bucket")
 
 
 @query("""with h as (select lang as bucket, n_chars % 7 > 0 as a, n_chars % 5 > 0 as b from documents), g as (select bucket, count(*) as n, avg(a::int) as x, avg(b::int) as y from h group by rollup (bucket))

@@ -33,7 +33,7 @@ def write_artifact(rows: DataFrame, root: str, name: str, mode: str = "error") -
     return entry
 
 
-_ENTRY = "name string, n long, mark long, number long"
+_ENTRY = "name string, n long, mark string, number long"
 
 
 def _entries(spark: SparkSession, root: str) -> list:
@@ -42,7 +42,7 @@ def _entries(spark: SparkSession, root: str) -> list:
     return sorted(held, key=lambda r: r.number)
 
 
-def manifest(spark: SparkSession, root: str) -> dict[str, tuple[int, int]]:
+def manifest(spark: SparkSession, root: str) -> dict[str, tuple[int, str]]:
     """name -> (n, mark) of every table below root; of one that was written again the last entry holds."""
     return {r.name: (r.n, r.mark) for r in _entries(spark, root)}
 

@@ -11,6 +11,7 @@ from corpusloom.functions import text as T
 from corpusloom.operators import analysis as A
 from corpusloom.operators import relational as R
 from corpusloom.operators import retrieval as H
+from corpusloom.operators import serving as V
 from corpusloom.plans.registry import SECTIONS, inline
 from corpusloom.sources import catalog, embedding
 from corpusloom.streaming.incremental import ingest
@@ -36,10 +37,47 @@ def test_both_legs_surface(spark):
     assert {r.id for r in H.hybrid(q, docs, vectors).collect()} == {1, 2}
 
 
-def test_identity_vectors_recall_one(spark):
-    v = spark.createDataFrame([(i, [float(i == j) for j in range(8)]) for i in range(8)], "id long, vector array<float>")
-    q = v.select(F.col("id").alias("query"), F.lit("all").alias("bucket"), "vector")
-    assert {r.recall for r in H.recall_at_k(q, v, 1).collect()} == {1.0}
+def _recalls(spark, chunks, queries, buckets, k):
+    v = spark.createDataFrame([(i, b, list(map(float, x))) for i, (x, b) in enumerate(zip(chunks, buckets, strict=True))], "id long, bucket string, vector array<double>")
+    q = spark.createDataFrame([(i, list(map(float, x))) for i, x in enumerate(queries)], "query long, vector array<double>")
+    return {r.bucket: (r.n, r.recall) for r in H.recall_at_k(q, v, k).collect()}
+
+
+def test_recall_within_the_sample_and_its_buckets(spark):
+    eye = [[float(i == j) for j in range(8)] for i in range(8)]
+    assert _recalls(spark, eye, eye, ["all"] * 8, 1) == {"all": (8, 1.0), None: (8, 1.0)}
+    # All queries are the first chunk: only one finds its own.
+    assert _recalls(spark, eye[:5], [eye[0]] * 5, ["x"] * 5, 1)[None] == (5, 0.2)
+    # A chunk of another bucket is nearer: the bucket's recall does not see it, the whole one does.
+    assert _recalls(spark, [[1, 0], [0, 1]], [[0.4, 1], [0.4, 1]], ["a", "b"], 1) == {"a": (1, 1.0), "b": (1, 1.0), None: (2, 0.5)}
+
+
+def test_summary_cap(spark):
+    head = "matter passages: 2, authority passages: 1."
+    rows = [(0, None), (1, ""), (2, f"{head}\nExcerpts:\n{'M' * 250}\n---\n{'A' * 250}"), (3, "x" * 500), (4, f"{head}\n{'a ' * 300}"), (5, "short")]
+    got = {r.i: r.c for r in spark.createDataFrame(rows, "i int, t string").select("i", V.cap_summary(F.col("t"), 120).alias("c")).collect()}
+    assert got[0] is None and got[1] == "" and got[5] == "short" and got[3] == "x" * 120
+    assert len(got[2]) == 120 and got[2].startswith(f"{head}\nExcerpts:\nM") and got[2].endswith("M …")
+    assert got[4].startswith(f"{head}\na a") and got[4].endswith("a …") and len(got[4]) <= 120
+    assert spark.createDataFrame([("keep me",)], "t string").select(V.cap_summary(F.col("t"), 0)).first()[0] == "keep me"
+
+
+def test_tool_envelopes(spark):
+    ok = '{"tool": "search_both", "query": "conge annuel"}'
+    cases = [
+        (ok, ("search_both", "conge annuel")), (f"  {ok}\n", ("search_both", "conge annuel")), (f"Sure. {ok} One moment.", ("search_both", "conge annuel")), (f"[{ok}]", ("search_both", "conge annuel")),
+        ('{"wrapper": {"tool": "search_authority", "query": "nested"}}', ("search_authority", "nested")), ('{{"tool": "search_both", "query": "braced"}}', ("search_both", "braced")),
+        ('{"tool": "search_both", "query": "  spaced  "}', ("search_both", "spaced")), ('{"tool": "search_both"}', None), ('{"tool": "search_both", "query": "   "}', None), ('{"tool": "nope", "query": "x"}', None),
+        ('{"query": "x"}', None), ('"just a string"', None), ("[1, 2, 3]", None), ("not json {{{", None), ('{"tool": "search_both", "query": 7}', None), ("", None), (None, None), ('{"tool": "out_of_scope", "query": "pizza"}', ("out_of_scope", "pizza")),
+        ('{"tool": "search_both", "query": "a {b} c"}', ("search_both", "a {b} c")), ('{"tool": "nope", "query": "x"} {"tool": "search_matter", "query": "y"}', ("search_matter", "y")),
+    ]
+    got = spark.createDataFrame(list(enumerate(c for c, _ in cases)), "i int, t string").select("i", A.tool_call(F.col("t")).alias("c")).collect()
+    assert {r.i: r.c and tuple(r.c) for r in got} == dict(enumerate(w for _, w in cases))
+
+
+def test_content_mark_sees_pairs(spark):
+    one, two = (spark.createDataFrame([(x,), (x,), (9,)], "v int") for x in (1, 2))
+    assert V.content_mark(one) != V.content_mark(two) and V.content_mark(one) == V.content_mark(one.orderBy("v")) and V.content_mark(one.limit(0))[0] == 0
 
 
 def test_lexical_topk_of_every_tenant(spark, sf):
