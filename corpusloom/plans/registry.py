@@ -643,4 +643,4 @@ def stage_readiness(spark, sf_dir):
     return rows.select("doc_id", F.explode(ahead).alias("stage"))
 
 
-from . import casefile, statutes, workflow  # noqa: E402, F401  they register their own queries
+from . import casefile, stages, statutes, workflow  # noqa: E402, F401  they register their own queries
