@@ -3,8 +3,8 @@
 A word of l code points, padded, has l + Q - 1 grams with positions; one edit destroys at most Q of them and moves the others by one place
 at most. So near words share at least max(l, l') - 1 grams (the overlap bound), and one of the Q + 1 rarest of each. The index is dealt
 by (gram, length, position) of those rarest grams; a word asks the places where a near word of its own length, or one longer, may
-have the gram. In a place, the postings of all grams of a word, under the same limits of length and position, are merged by a
-heap; words that come up as often as the bound asks are verified. The order of grams and the places decide the work, never the pairs.
+have the gram. In a place, postings of a word's grams, under the same limits of length and position, are merged by a heap, and words that
+share as many grams as the bound asks are verified. The order of grams and the places decide the work, never the pairs.
 
 A place with more words than a block takes is cut into blocks, each of which every word that asks there meets.
 
@@ -17,8 +17,9 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
+from operator import eq, itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,8 @@ DIVISOR, MIN_LENGTH, MIN_COUNT, RATIO = 97, 5, 3, 2
 Q = 3
 #: Distinct words that a task counts before it hands them on; words of a place that are indexed together.
 HELD, BLOCK = 300_000, 4096
+#: Up to so many words of a place are compared without a look at the postings.
+FEW = 3
 
 
 def mutated(run: str, seed: int) -> str:
@@ -117,24 +120,49 @@ class Postings:
 
     def __init__(self):
         self.words: list[tuple[str, int]] = []
-        self.lists: dict[tuple[str, int], list[int]] = defaultdict(list)
+        self.grams: list[list[str]] = []
+        self.lists: dict[tuple[str, int], list[int]] = {}
 
     def add(self, word: str, n: int) -> None:
-        for p, g in enumerate(grams(word)):
-            self.lists[g, p].append(len(self.words))
+        own = grams(word)
+        for key in zip(own, range(len(own)), strict=True):
+            if key in self.lists:
+                self.lists[key].append(len(self.words))
+            else:
+                self.lists[key] = [len(self.words)]
         self.words.append((word, n))
+        self.grams.append(own)
 
     def near(self, word: str, longer: bool) -> Iterator[tuple[str, int]]:
-        """Indexed words of the same length, or one longer, one edit from word."""
-        bound = len(word) if longer else len(word) - 1
-        lists = [x for p, g in enumerate(grams(word)) for at in ((p, p + 1) if longer else (p,)) if (x := self.lists.get((g, at)))]
-        if len(lists) < bound:
-            return
-        last, times = -1, 0
-        for i in heapq.merge(*lists):
-            last, times = i, times + 1 if i == last else 1
-            if times == bound and len(self.words[i][0]) == len(word) + longer and one_edit(word, self.words[i][0]):
-                yield self.words[i]
+        """Indexed words of the same length, or one longer, one edit from word.
+
+        Who misses at most Q grams is in a posting of any Q + 1 of them: the shortest are merged by a heap, and the overlap over all
+        postings is counted only for who comes up there."""
+        own, length = grams(word), len(word) + longer
+        bound = length - 1
+        if len(self.words) <= FEW:
+            found = range(len(self.words))
+        else:
+            get, spare, short = self.lists.get, len(own) - bound, []
+            for p, g in enumerate(own):
+                at = [x for x in (get((g, p)), get((g, p + 1)) if longer else None) if x]
+                if at:
+                    short.append((sum(map(len, at)), at))
+                else:
+                    spare -= 1
+                    if spare < 0:
+                        return
+            short.sort(key=_first)
+            found = heapq.merge(*[x for _, at in short[: spare + 1] for x in at])
+        last = -1
+        for i in found:
+            if i != last:
+                last, other = i, self.grams[i]
+                if len(self.words[i][0]) == length and sum(map(eq, own, other)) + (sum(map(eq, own, other[1:])) if longer else 0) >= bound and one_edit(word, self.words[i][0]):
+                    yield self.words[i]
+
+
+_first = itemgetter(0)
 
 
 #: What a row does in a place: it is indexed (and asks for its own length), or asks for its own length or one longer.
