@@ -39,10 +39,12 @@ from .textkit import ragged, trim
 SPACE = "▁"
 #: A space behind a character that is white space to neither tokenizer; the space belongs to the unit that it opens.
 SPLIT = re.compile(r"(?<=[^\s▁]) ")
+RUNS = [f"{c} " for c in map(chr, range(0x10000)) if c.isspace() or c == SPACE]
 CLOSED, JOINED = re.compile(r"[^\s▁]\Z"), 256
 #: Units known to all tasks (about 200 bytes each in a worker), distinct units that a task counts before it hands them on, bytes of texts in a
 #: bucket, and id pairs that may be broadcast (32 bytes each).
 HOT, HELD, BUCKET_BYTES, PAIRS = 250_000, 150_000, 4_000_000, 2_000_000
+BUCKETS = 3
 _SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 
@@ -141,7 +143,10 @@ class Texts:
         """None of a text that has no tokens. Only texts with a doubtful code point need a look at the tokenizers."""
         if not text or self.doubtful and self.doubtful.search(text) and not all(side(p).gives_back(text) for p in self.paths):
             return []
-        return SPLIT.split(text) if self.split else [text]
+        if not self.split:
+            return [text]
+        # Where every space stands behind a visible character, the pattern splits at each.
+        return SPLIT.split(text) if text[0] == " " or any(p in text for p in RUNS) else text.split(" ")
 
 
 @contextmanager
@@ -163,7 +168,8 @@ def _stored(df: DataFrame, by: str | None = None) -> DataFrame:
     if by is None:
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
-    df.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", path).saveAsTable(name)
+    # Some buckets for each shuffle partition, so that the sorts within a bucket are small.
+    df.write.format("parquet").bucketBy(BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", path).saveAsTable(name)
     out = spark.table(name)
     out.schema  # noqa: B018  resolved before the name goes; the files stay
     spark.sql(f"drop table {name}")
@@ -351,7 +357,7 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
         asked: set[tuple[int, str]] = set()
         for batch in batches:
             for b, text in zip(batch.column("_bucket").to_pylist(), batch.column("text"), strict=True):
-                asked.update((b, u) for u in of.units(text.as_py()) if u not in held)
+                asked.update((b, u) for u in set(of.units(text.as_py())).difference(held))
                 if len(asked) > HELD:
                     yield _pairs(asked)
                     asked.clear()
@@ -369,7 +375,7 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
         at, sizes = [], []
         for text in texts_.column("text"):
             found = of.units(text.as_py())
-            at += [i if (i := place.get(u)) is not None else own[u] for u in found]
+            at += map(place.get, found, map(own.get, found))
             sizes.append(len(found))
         starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         at = np.array(at, np.int64)
