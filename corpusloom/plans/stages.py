@@ -36,17 +36,16 @@ def catalog_upsert(spark, sf_dir):
 
 # ---- the loop: a user's turns are queries of their conversation; the length of a text decides what the model says
 
-_N = F.length(F.substring_index("prompt", "\nQuestion: ", -1))
-
 
 def _model(prompts: DataFrame, kind: str, number: int) -> DataFrame:
+    size = F.length(F.substring_index("prompt", "\nQuestion: ", -1))
     ask = lambda tool: F.to_json(F.struct(F.lit(tool).alias("tool"), F.substring_index("prompt", "\nQuestion: ", -1).alias("query")))
     if kind == "classify":
-        reply = F.when(_N % 8 == 0, "OUT_OF_SCOPE").otherwise("IN_SCOPE")
+        reply = F.when(size % 8 == 0, "OUT_OF_SCOPE").otherwise("IN_SCOPE")
     elif number == 1:
-        reply = F.when(_N % 4 == 0, "An answer.").when(_N % 4 == 1, ask("search_both")).when(_N % 4 == 2, ask("search_authority")).otherwise(ask("out_of_scope"))
+        reply = F.when(size % 4 == 0, "An answer.").when(size % 4 == 1, ask("search_both")).when(size % 4 == 2, ask("search_authority")).otherwise(ask("out_of_scope"))
     else:
-        reply = F.when(_N % 3 == 0, ask("search_authority")).otherwise("An answer from passages.")
+        reply = F.when(size % 3 == 0, ask("search_authority")).otherwise("An answer from passages.")
     return prompts.select("query", reply.alias("reply"), F.lit(None).cast("string").alias("error"))
 
 
