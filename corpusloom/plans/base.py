@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,3 +46,21 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(q == 1, chunks).otherwise(F.lit(0)).cast("long").alias("chunk_count"),
         F.when(indexed, chunks).otherwise(F.lit(0)).cast("long").alias("indexed_count"),
     )
+
+
+@dataclass(frozen=True)
+class Beside:
+    """A fixture's rows and those that a given table has under expressions which Spark and the SQL beside it read alike."""
+
+    fixture: object
+    table: str
+    columns: tuple[str, ...]
+
+    @property
+    def sql(self) -> str:
+        return f"(select * from {self.fixture.sql} union all select {', '.join(self.columns)} from {self.table})"
+
+    def rows(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        own = inline(spark, self.fixture)
+        more = read(spark, sf_dir, self.table).selectExpr(*self.columns).toDF(*own.columns)
+        return own.unionByName(more.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in own.schema]))

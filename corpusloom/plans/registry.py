@@ -12,7 +12,8 @@ from ..operators import retrieval as H
 from ..operators import serving as V
 from ..operators import structure as S
 from .base import DOC_TYPES, ORACLE_SQL, QUERIES, inline, ledger, query, read  # noqa: F401
-from .fixtures import AUTHORITY_FILES, CITATIONS, EDGES, HEADINGS, MESSAGES, PAGED, PAGES, PRIVACY, SECTIONS, SPANS, TOOL_TEXTS
+from .beside import AUTHORITY_FILES, CITATIONS, EDGES, HEADINGS, MESSAGES, PAGED, PAGES, PRIVACY, SPANS, TOOL_TEXTS
+from .fixtures import SECTIONS
 
 # ---- fragments of SQL
 
@@ -228,7 +229,7 @@ def detect_lang(spark, sf_dir):
 @query(f"select role, text, case when {_COUNT.format(T.ARABIC)} + {_COUNT.format(T.HEBREW)} > {_COUNT.format(T.LATIN)} then 'rtl' else 'ltr' end as direction, case when {_COUNT.format(T.ARABIC)} + {_COUNT.format(T.HEBREW)} > {_COUNT.format(T.LATIN)} then case when {_COUNT.format(T.HEBREW)} > {_COUNT.format(T.ARABIC)} then 'he' else 'ar' end when regexp_matches(lower(text), '[{T.FRENCH_ACCENTS}]') then 'fr' else 'en' end as detected from {MESSAGES.sql}")
 def detect_direction(spark, sf_dir):
     direction, lang = T.detect_direction(F.col("text"))
-    return inline(spark, MESSAGES).select("role", "text", direction.alias("direction"), lang.alias("detected"))
+    return MESSAGES.rows(spark, sf_dir).select("role", "text", direction.alias("direction"), lang.alias("detected"))
 
 
 _SENTENCES = "list_filter(string_split(regexp_replace(text, '([.!?\\n])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: length(trim(x, chr(32) || chr(10) || chr(9) || chr(13))) > 0)"
@@ -413,12 +414,12 @@ def index_points(spark, sf_dir):
 
 @query(f"select s.doc, s.pos, p.page_no from {SPANS.sql} s asof left join {PAGES.sql} p on p.doc = s.doc and p.page_start <= s.pos")
 def page_asof(spark, sf_dir):
-    return R.as_of(inline(spark, SPANS), inline(spark, PAGES), "doc", "pos", "page_start", "page_no")
+    return R.as_of(SPANS.rows(spark, sf_dir), PAGES.rows(spark, sf_dir), "doc", "pos", "page_start", "page_no")
 
 
 @query(f"select s.doc, s.pos as start, s.until as \"end\", min(p.confidence) as confidence, coalesce(bool_or(p.review), false) as needs_review from {SPANS.sql} s left join {PAGES.sql} p on p.doc = s.doc and p.page_start < s.until and p.page_end > s.pos group by 1, 2, 3")
 def page_overlap(spark, sf_dir):
-    return R.overlapping(inline(spark, SPANS).select("doc", F.col("pos").alias("start"), F.col("until").alias("end")), inline(spark, PAGES), "doc")
+    return R.overlapping(SPANS.rows(spark, sf_dir).select("doc", F.col("pos").alias("start"), F.col("until").alias("end")), PAGES.rows(spark, sf_dir), "doc")
 
 
 _LAST = "last_value({0} ignore nulls) over w"
@@ -429,7 +430,7 @@ _AT = "max(case when {0} is not null then line end) over w"
     from {HEADINGS.sql} window w as (partition by doc order by line rows between unbounded preceding and current row))
     select doc, line, b as in_book, case when ap >= ab then p end as in_part, case when ac >= ab and ac >= ap then c end as in_chapter from x""")
 def statute_hierarchy(spark, sf_dir):
-    return R.headings_in_force(inline(spark, HEADINGS), "doc", "line")
+    return R.headings_in_force(HEADINGS.rows(spark, sf_dir), "doc", "line")
 
 
 @query("select doc_id, piece, case when piece > 0 then doc_id || ' part ' || piece end as continued_from from (select doc_id, unnest(range(n_chars // 1500 + 1)) as piece from documents)")
@@ -443,7 +444,7 @@ def continued_from(spark, sf_dir):
 
 @query(f"with recursive r(node, depth) as (select 1::bigint, 0 union select e.dst, r.depth + 1 from r join {EDGES.sql} e on e.src = r.node where e.dst <> 568 and r.depth < 20) select node, min(depth)::int as depth from r group by 1")
 def folder_walk(spark, sf_dir):
-    return R.reachable(inline(spark, EDGES), [1], skip=[568])
+    return R.reachable(EDGES.rows(spark, sf_dir), [1], skip=[568])
 
 
 # ---- analysis of documents and of inline sections
@@ -503,35 +504,35 @@ _MARKS = " or ".join(f"contains(text, '{m}')" for m in A.EVIDENCE_MARKS)
 @query(f"select id, case when not ({_MARKS}) then 'ok' when not external then 'ok' when mode = 'strict' then 'violation' when not consent then 'consent-needed' else 'ok' end as decision from {PRIVACY.sql}")
 def privacy_decision(spark, sf_dir):
     evidence = A.any_of(F.col("text"), A.EVIDENCE_MARKS)
-    return inline(spark, PRIVACY).select("id", A.privacy(evidence, F.col("external"), F.col("mode"), F.col("consent")).alias("decision"))
+    return PRIVACY.rows(spark, sf_dir).select("id", A.privacy(evidence, F.col("external"), F.col("mode"), F.col("consent")).alias("decision"))
 
 
 @query()
 def greeting_gate(spark, sf_dir):
-    own = inline(spark, MESSAGES).select("text").unionByName(read(spark, sf_dir, "conversations").select("text"))
+    own = MESSAGES.rows(spark, sf_dir).select("text").unionByName(read(spark, sf_dir, "conversations").select("text"))
     return own.select("text", A.greeting(F.col("text")).alias("greeting"))
 
 
 @query(f"select id, case when contains(lower(text), 'out_of_scope') and not contains(lower(text), 'in_scope') then 'OUT_OF_SCOPE' else 'IN_SCOPE' end as label from {TOOL_TEXTS.sql}")
 def intent_label(spark, sf_dir):
-    return inline(spark, TOOL_TEXTS).select("id", A.intent(F.col("text")).alias("label"))
+    return TOOL_TEXTS.rows(spark, sf_dir).select("id", A.intent(F.col("text")).alias("label"))
 
 
 @query()
 def tool_call_parse(spark, sf_dir):
-    return inline(spark, TOOL_TEXTS).select("id", A.tool_call(F.col("text")).alias("call")).select("id", "call.*")
+    return TOOL_TEXTS.rows(spark, sf_dir).select("id", A.tool_call(F.col("text")).alias("call")).select("id", "call.*")
 
 
 @query(f"""with r as (select *, row_number() over (partition by document_id, page, s, e order by seq) as n from {CITATIONS.sql})
     select document_id, page, s, e, '[matter: doc ' || document_id || ' p.' || page || ' ¶' || s || '-' || e || ']' as rendered from r where n = 1""")
 def citation_dedup(spark, sf_dir):
-    c = R.first_per_group(inline(spark, CITATIONS), ["document_id", "page", "s", "e"], ["seq"])
+    c = R.first_per_group(CITATIONS.rows(spark, sf_dir), ["document_id", "page", "s", "e"], ["seq"])
     return c.select("document_id", "page", "s", "e", F.format_string("[matter: doc %d p.%d ¶%d-%d]", "document_id", "page", "s", "e").alias("rendered"))
 
 
 @query()
 def heading_sections(spark, sf_dir):
-    return S.heading_sections(inline(spark, PAGED))
+    return S.heading_sections(PAGED.rows(spark, sf_dir))
 
 
 # ---- file names
@@ -541,7 +542,7 @@ def heading_sections(spark, sf_dir):
 def filename_provenance(spark, sf_dir):
     from ..sources.catalog import provenance
 
-    return provenance(inline(spark, AUTHORITY_FILES))
+    return provenance(AUTHORITY_FILES.rows(spark, sf_dir))
 
 
 # ---- frames, metrics, stages

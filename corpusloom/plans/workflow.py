@@ -9,7 +9,8 @@ from ..operators import analysis as A
 from ..operators import structure as S
 from ..operators import workflow as W
 from .base import DOC_TYPES, inline, ledger, query, read
-from .fixtures import FILES, MESSAGES, MOVES, PATHS, SECTIONS, UPLOADS
+from .beside import FILES, MOVES, PATHS, UPLOADS
+from .fixtures import MESSAGES, SECTIONS
 
 _REPLIES = {"en": "Hello! Ask a question.", "fr": "Bonjour ! Posez une question.", "ar": "مرحباً! اطرح سؤالاً."}
 
@@ -38,10 +39,10 @@ _MATTERS = f"(select doc_id // 100 as matter, {DOC_TYPES} as doc_type, doc_id, n
     when before = after then 'same'
     when (machine, before) in (('draft', 'lawyer_reviewed'), ('chunk', 'indexed'), ('parse_status', 'parsed'), ('extract_status', 'extracted'), ('embed_status', 'embedded'), ('index_status', 'indexed')) then 'terminal'
     when machine = 'draft' and after = 'lawyer_reviewed' and trim(coalesce(reviewer, '')) = '' then 'reviewer'
-    when machine = 'draft' and before = 'acknowledged' and after = 'draft' then 'illegal'
+    when machine = 'draft' and (before, after) not in (('draft', 'acknowledged'), ('draft', 'lawyer_reviewed'), ('acknowledged', 'lawyer_reviewed')) then 'illegal'
     else 'allowed' end as verdict from {MOVES.sql}""")
 def transition_check(spark, sf_dir):
-    return inline(spark, MOVES).select("id", W.move(F.col("machine"), F.col("before"), F.col("after"), F.col("reviewer")).alias("verdict"))
+    return MOVES.rows(spark, sf_dir).select("id", W.move(F.col("machine"), F.col("before"), F.col("after"), F.col("reviewer")).alias("verdict"))
 
 
 @query("""select doc_id, case quality when 1 then 'Acknowledged by user — provisional, verify before use' when 0 then 'Reviewed by ' || case when toxic = 1 then 'counsel' else 'r' || doc_id end || ' — provisional, verify before use'
@@ -68,7 +69,7 @@ def latest_run(spark, sf_dir):
 @query(f"""select id from {FILES.sql} where index_status <> 'indexed' and (status in ('pending', 'failed') or (status = 'extracted' and coalesce(sha, '') = '') or (status = 'quarantined' and (reason like 'worker-crash%' or reason like 'timeout%')))""")
 def extract_again(spark, sf_dir):
     due = W.extract_again(F.col("status"), F.col("index_status"), F.col("sha"), F.col("reason"), ["worker-crash", "timeout"])
-    return inline(spark, FILES).where(due).select("id")
+    return FILES.rows(spark, sf_dir).where(due).select("id")
 
 
 # ---- gaps, frames, replies
@@ -134,7 +135,7 @@ def summaries(spark, sf_dir):
 
 @query(f"select id, case when size > 20000000 then 'oversize' when regexp_matches(lower(name), '[^./][^/]*\\.(pdf|docx|txt|md)$') then 'ok' else 'unsupported' end as verdict from {UPLOADS.sql}")
 def upload_check(spark, sf_dir):
-    return inline(spark, UPLOADS).select("id", W.upload_check(F.col("name"), F.col("size")).alias("verdict"))
+    return UPLOADS.rows(spark, sf_dir).select("id", W.upload_check(F.col("name"), F.col("size")).alias("verdict"))
 
 
 @query("select doc_id, source, lang from documents where lower(coalesce(source, '')) like '%rc1%' or lower(coalesce(lang, '')) like '%rc1%' or lower(coalesce(text, '')) like '%rc1%'")
@@ -209,7 +210,7 @@ def spot_sample(spark, sf_dir):
 @query(f"""select id, case when p like 'http%' then p else array_to_string(list_transform(string_split(p, ''), lambda c: case when regexp_matches(c, '^[A-Za-z0-9_.~/:?=&-]*$') then c else regexp_replace(hex(encode(c)), '(..)', '%\\1', 'g') end), '') end as url
     from (select id, regexp_replace(trim(string_split(path, '#')[1]), '^/', '') as p from {PATHS.sql})""")
 def download_urls(spark, sf_dir):
-    return inline(spark, PATHS).select("id", W.quoted_path(F.col("path")).alias("url"))
+    return PATHS.rows(spark, sf_dir).select("id", W.quoted_path(F.col("path")).alias("url"))
 
 
 @query("select lang as bucket, count(*) as n, case when count(*) < 15 then 'n=' || count(*) || ' < 15' end as dropped from documents group by 1")
