@@ -43,7 +43,7 @@ RUNS = [f"{c} " for c in map(chr, range(0x10000)) if c.isspace() or c == SPACE]
 CLOSED, JOINED = re.compile(r"[^\s▁]\Z"), 256
 #: Units known to all tasks (about 200 bytes each in a worker), distinct units that a task counts before it hands them on, bytes of texts in a
 #: bucket, and id pairs that may be broadcast (32 bytes each).
-HOT, HELD, BUCKET_BYTES, PAIRS = 250_000, 150_000, 4_000_000, 2_000_000
+HOT, HELD, BUCKET_BYTES, PAIRS = 400_000, 150_000, 8_000_000, 2_000_000
 BUCKETS = 3
 _SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
