@@ -166,10 +166,10 @@ def _stored(df: DataFrame, by: str | None = None) -> DataFrame:
     name = f"align_{uuid.uuid4().hex}"
     path = f"{spark.sparkContext.getCheckpointDir()}/{name}"
     if by is None:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         return spark.read.schema(df.schema).parquet(path)
     # Some buckets for each shuffle partition, so that the sorts within a bucket are small.
-    df.write.format("parquet").bucketBy(BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", path).saveAsTable(name)
+    df.write.format("parquet").bucketBy(BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", path).option("compression", "zstd").saveAsTable(name)
     out = spark.table(name)
     out.schema  # noqa: B018  resolved before the name goes; the files stay
     spark.sql(f"drop table {name}")
