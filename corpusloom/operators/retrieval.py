@@ -6,14 +6,20 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import relational as R
 
 RRF_K = 60
 #: Queries of one block: their vectors, at most 4,096 numbers each, travel with the tasks; the documents never do.
 MAX_QUERIES = 2_000
+#: Queries of a lexical block are lists of indices, many times smaller than counts: so many times more of them go in one.
+LEXICAL_BLOCKS = 4
+#: Rows and queries of one product in a task.
+SLICE, PART = 1024, 1024
 BUCKETS = 2048
 
 
@@ -62,17 +68,18 @@ def dense_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, scores)
 
 
-def _blocks(queries: DataFrame) -> list[DataFrame]:
-    """The queries in parts of at most MAX_QUERIES rows by a hash of the id; one id is never split."""
-    if _few(queries):
+def _blocks(queries: DataFrame, size: int | None = None) -> list[DataFrame]:
+    """The queries in parts of at most `size` rows (MAX_QUERIES) by a hash of the id; one id is never split."""
+    size = size or MAX_QUERIES
+    if queries.limit(size + 1).count() <= size:
         return [queries]
     n, ids = queries.count(), queries.groupBy("query").count()
-    parts = -(-n // MAX_QUERIES)
+    parts = -(-n // size)
     most = ids.agg(F.max("count")).first()[0]
     while True:
         part = F.pmod(F.xxhash64("query"), F.lit(parts))
         fullest = ids.groupBy(part.alias("part")).agg(F.sum("count").alias("n")).agg(F.max("n")).first()[0]
-        if fullest <= max(MAX_QUERIES, most):
+        if fullest <= max(size, most):
             return [queries.where(part == i) for i in range(parts)]
         parts += max(1, parts // 4)
 
@@ -84,36 +91,62 @@ def _parts(column: pa.Array) -> list[np.ndarray]:
     return np.split(order, np.flatnonzero(np.diff(codes[order])) + 1)
 
 
-def _block_topk(rows: DataFrame, queries: list, matrix: np.ndarray, score, k: int, slack: float, within: str | None = None) -> DataFrame:
-    """rows (id, x, and the tenant they are ranked within) against one block of queries: in each batch the rows that may be among the
-    best k of a query and tenant, none of score null.
+def _block_topk(rows: DataFrame, queries: list, score, k: int, slack: float, within: str | None = None) -> DataFrame:
+    """rows (id, x, and the tenant they are ranked within) against one block of queries: what may be among the best k of a query and
+    tenant, none of score null.
 
-    score(matrix, lists) gives a number for each (row, query), NaN where there is none; only about k rows a query, tenant and batch
-    leave the task, ties included, so no pair of a query and a document is shuffled but those."""
+    score(lists) gives, for one part of the queries after another, its first place and a number for each (row, query), -inf where there is
+    none. Rows are taken SLICE at a time and queries PART at a time, so a task holds one such product, whatever its batches and the block
+    are. The best k so far are remembered, so a row leaves the task only if it may still come among them; of rows with one score
+    the k of least id. No pair of a query and a document is shuffled but those."""
     kind = {f.name: f.dataType.simpleString() for f in rows.schema}
     own = _own(within)
 
     def run(batches):
+        best: dict = {}
         for b in batches:
-            if not len(b):
-                continue
-            found, at, asked = score(matrix, b.column("x")), [], []
-            bare = np.where(np.isnan(found), -np.inf, found)
-            for part in _parts(b.column(within)) if within else [np.arange(len(bare))]:
-                some = bare[part]
-                if len(part) > k:
-                    least = np.partition(some, len(part) - k, axis=0)[len(part) - k] - slack
-                    some = np.where(some >= least, some, -np.inf)
-                r, q = np.nonzero(some > -np.inf)
-                at.append(part[r])
-                asked.append(q)
-            r, q = np.concatenate(at), np.concatenate(asked)
-            kept = [b.column(c).take(pa.array(r)) for c in [*own, "id"]]
-            yield pa.RecordBatch.from_arrays([pa.array([queries[i] for i in q]).cast(pa.int64()), *kept, pa.array(found[r, q])], ["query", *own, "id", "score"])
+            # Without tenants the best are remembered over all batches of the task; of tenants there may be too many for that.
+            best = best if within is None else {}
+            for whole in _parts(b.column(within)) if within and len(b) else [np.arange(len(b))]:
+                name = b.column(within)[int(whole[0])].as_py() if within and len(b) else None
+                top = best.setdefault(name, np.full((k, len(queries)), -np.inf))
+                for s in range(0, len(whole), SLICE):
+                    part = b.take(pa.array(whole[s : s + SLICE]))
+                    order = pc.rank(part.column("id"), tiebreaker="first").to_numpy()
+                    for first, found in score(part.column("x")):
+                        r, q = _may_lead(found, top[:, first : first + found.shape[1]], order, slack)
+                        if len(r):
+                            kept = [part.column(c).take(pa.array(r)) for c in [*own, "id"]]
+                            asked = pa.array([queries[first + i] for i in q]).cast(pa.int64())
+                            yield pa.RecordBatch.from_arrays([asked, *kept, pa.array(found[r, q].astype(np.float64))], ["query", *own, "id", "score"])
+                if within:
+                    del best[name]
 
     return rows.mapInArrow(run, ", ".join(["query bigint", *(f"{c} {kind[c]}" for c in [*own, "id"]), "score double"]))
 
 
+def _may_lead(found: np.ndarray, top: np.ndarray, order: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and queries of the scores that may be among the best len(top), which are brought up to date."""
+    k = len(top)
+    better = np.flatnonzero((found > top.min(0)).any(0))
+    if len(better):
+        now = found[:, better]
+        now = np.partition(now, len(now) - k, axis=0)[len(now) - k :] if len(now) > k else now
+        both = np.concatenate([top[:, better], now])
+        top[:, better] = np.partition(both, len(both) - k, axis=0)[len(both) - k :]
+    r, q = np.nonzero((found >= top.min(0) - slack) & (found > -np.inf))
+    if len(r) > k:
+        # Of equal scores of a query only the k of least id can be among its best.
+        value = found[r, q]
+        by = np.lexsort((order[r], value, q))
+        r, q, value = r[by], q[by], value[by]
+        fresh = np.append(True, (np.diff(q) != 0) | (np.diff(value) != 0))
+        begins = np.flatnonzero(fresh)
+        few = np.arange(len(r)) - begins[np.cumsum(fresh) - 1] < k
+        r, q = r[few], q[few]
+    return r, q
+
+
 def _own(within: str | None) -> list[str]:
     return [within] if within else []
 
@@ -124,12 +157,18 @@ def _counts(lists: pa.Array) -> np.ndarray:
     return np.bincount(at, minlength=len(n) * BUCKETS).reshape(len(n), BUCKETS).astype(np.float32)
 
 
-def _lexical(matrix: np.ndarray, lists: pa.Array) -> np.ndarray:
-    """Inner products of term counts; counts are whole numbers, exact in single precision up to 2 ** 24. No common term: no score."""
-    out = np.empty((len(lists), len(matrix)))
-    for s in range(0, len(lists), 512):
-        out[s : s + 512] = _counts(lists.slice(s, 512)) @ matrix.T
-    return np.where(out > 0, out, np.nan)
+def _lexical(asked: pa.Array):
+    """Inner products of term counts; counts are whole numbers, exact in single precision up to 2 ** 24. No common term: no score.
+    The queries travel as lists of indices and are counted PART at a time."""
+
+    def score(lists: pa.Array):
+        own = _counts(lists)
+        for s in range(0, len(asked), PART):
+            found = own @ _counts(asked.slice(s, PART)).T
+            found[found <= 0] = -np.inf
+            yield s, found
+
+    return score
 
 
 def _cosines(matrix: np.ndarray, lists: pa.Array) -> np.ndarray:
@@ -143,6 +182,16 @@ def _cosines(matrix: np.ndarray, lists: pa.Array) -> np.ndarray:
     return out
 
 
+def _dense(matrix: np.ndarray):
+    def score(lists: pa.Array):
+        for s in range(0, len(matrix), PART):
+            found = _cosines(matrix[s : s + PART], lists)
+            found[np.isnan(found)] = -np.inf
+            yield s, found
+
+    return score
+
+
 def _units(vectors: list) -> np.ndarray:
     x = np.array(vectors, np.float64)
     size = np.sqrt((x * x).sum(1))
@@ -151,15 +200,21 @@ def _units(vectors: list) -> np.ndarray:
 
 def term_indices(rows: DataFrame, key: str, text: str = "text", within: str | None = None) -> DataFrame:
     """id, x: the hash index of every token of a text."""
-    return rows.select(F.col(key).alias("id"), *_own(within), F.transform(T.tokens(F.col(text)), lambda t: T.hash_index(t)).cast("array<int>").alias("x"))
+    return rows.select(F.col(key).alias("id"), *_own(within), F.transform(T.tokens(F.col(text)), lambda t: T.hash_index(t)).cast("array<smallint>").alias("x"))
 
 
 def lexical_topk(queries: DataFrame, docs: DataFrame, k: int, within: str | None = None) -> DataFrame:
     """query, id, score, rank: the best k of each query (query, text) among docs (id, text); with `within` among those of each tenant."""
     rows, parts = term_indices(docs, "id", within=within), []
-    for block in _blocks(queries):
+    blocks = _blocks(queries, LEXICAL_BLOCKS * MAX_QUERIES)
+    if len(blocks) > 1:
+        rows = R.durable(rows)  # every block reads the indices; the texts are hashed once
+    for block in blocks:
         q = term_indices(block, "query").toArrow().combine_chunks()
-        parts.append(_block_topk(rows, q["id"].to_pylist(), np.concatenate([_counts(c) for c in q["x"].chunks]) if len(q) else np.zeros((0, BUCKETS), np.float32), _lexical, k, 0.0, within))
+        if len(q):
+            parts.append(_block_topk(rows, q["id"].to_pylist(), _lexical(q["x"].combine_chunks()), k, 0.0, within))
+    if not parts:
+        return top_k(queries.select("query").join(docs.select("id", *_own(within))).limit(0).withColumn("score", F.lit(0.0)), k, within)
     return top_k(reduce(DataFrame.unionByName, parts), k, within)
 
 
@@ -170,7 +225,7 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, within: str | Non
     for block in _blocks(queries.where("vector is not null")):
         q = block.select("query", "vector").toArrow()
         if len(q):
-            parts.append(_block_topk(rows, q["query"].to_pylist(), _units(q["vector"].to_pylist()), _cosines, k, 2e-6, within))
+            parts.append(_block_topk(rows, q["query"].to_pylist(), _dense(_units(q["vector"].to_pylist())), k, 2e-6, within))
     if not parts:
         return top_k(queries.select("query").join(vectors.select("id", *_own(within))).limit(0).withColumn("score", F.lit(0.0)), k, within)
     return top_k(reduce(DataFrame.unionByName, parts).withColumn("score", F.round("score", 6)), k, within)
