@@ -3,7 +3,8 @@
 State is a row for each query; what a round decides is a column of it, and what it retrieves goes to a second table. The model and the searches
 are injected as functions from DataFrames to DataFrames. Before every call of the model the prompt passes the privacy check; a query that
 does not pass stops there, and so does one whose call fails: other queries go on. Rounds are cut by checkpoints, so a lost executor
-repeats no call of a round that is done.
+repeats no call of a round that is done. A query's search for a text that it has searched before in that domain is not made again: its hits
+are repeated.
 
 Defined results: a null text is an empty one; a query id must be unique; a matter search of a query without a matter finds nothing and
 asks no store; an empty table gives empty tables.
@@ -12,6 +13,7 @@ asks no store; an empty table gives empty tables.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,11 +94,23 @@ def run(queries: DataFrame, model: Model, search_matter: Search, search_authorit
         )
         said = R.durable(said.withColumn("stop", stop))
         asks = said.where("stop is null").select("query", "matter", F.col("call.tool").alias("tool"), F.col("call.query").alias("text"))
-        found = []
+        found, fresh = [], []
         for domain, search, rows in (("matter", search_matter, asks.where("tool in ('search_matter', 'search_both') and matter is not null")), ("authority", search_authority, asks.where("tool in ('search_authority', 'search_both')"))):
-            got = search(rows.select("query", *(["matter"] if domain == "matter" else []), "text"))
+            rows = rows.select("query", *(["matter"] if domain == "matter" else []), "text")
+            if number > 1:
+                # What a query has searched before is not searched again: its hits are those of then.
+                known = asked.where(F.col("domain") == domain).select("query", "text", "first")
+                same = rows.join(known, ["query", "text"]).select("query", F.col("first").alias("round"))
+                found.append(hits.where(F.col("domain") == domain).join(same, ["query", "round"]).withColumn("round", F.lit(number)))
+                rows = R.durable(rows.join(known, ["query", "text"], "left_anti"))
+            fresh.append(rows.select("query", "text", F.lit(domain).alias("domain"), F.lit(number).alias("first")))
+            if rows.isEmpty():
+                continue
+            got = search(rows)
             found.append(got.select("query", F.lit(domain).alias("domain"), F.lit(number).alias("round"), F.col("rank").cast("int").alias("rank"), F.col("id").cast("string").alias("id"), "text"))
-        hits = R.durable(hits.unionByName(found[0]).unionByName(found[1]))
+        if found:
+            hits = hits.unionByName(R.durable(reduce(DataFrame.unionByName, found)))
+        asked = reduce(DataFrame.unionByName, fresh) if number == 1 else reduce(DataFrame.unionByName, fresh, asked)
         # A retrieval without hits is a round too: its counts are told.
         empty = F.lit("matter passages: 0, authority passages: 0.")
         seen = summaries(hits, size).select("query", F.col("prior").alias("_prior"))

@@ -82,3 +82,23 @@ def test_empty(spark):
     none = spark.createDataFrame([], "query long, matter long, text string")
     out, hits = C.run(none, None, None, None, None, lambda t: t)
     assert out.count() == hits.count() == 0 and A.TOOLS[-1] == "out_of_scope"
+
+
+def test_a_search_is_made_once(spark):
+    """A text that a query has searched before is not searched again; its hits count in the later round all the same."""
+    searched = []
+
+    def search(rows):
+        searched.extend((r.query, r.text) for r in rows.collect())
+        return rows.select("query", F.lit(1).alias("rank"), F.lit("d").alias("id"), "text")
+
+    def model(prompts, kind, number):
+        # Query 1 asks the same in every round, query 2 something else in the second and the first text again in the third.
+        text = F.when((F.col("query") == 2) & F.lit(number == 2), "other").otherwise("same")
+        return prompts.select("query", F.to_json(F.struct(F.lit("search_authority").alias("tool"), text.alias("query"))).alias("reply"), F.lit(None).cast("string").alias("error"))
+
+    queries = spark.createDataFrame([(1, None, "a"), (2, None, "b")], "query long, matter long, text string")
+    out, hits = C.run(queries, model, search, search, lambda p, e: F.lit("ok"), lambda t: t)
+    assert {(r.query, r.stop, r.tool_rounds) for r in out.collect()} == {(1, "rounds", 3), (2, "rounds", 3)}
+    assert sorted(set(searched)) == [(1, "same"), (2, "other"), (2, "same")] and len(searched) == 3
+    assert sorted((h.query, h.round, h.text) for h in hits.collect()) == [(1, 1, "same"), (1, 2, "same"), (1, 3, "same"), (2, 1, "same"), (2, 2, "other"), (2, 3, "same")]
