@@ -165,23 +165,50 @@ def page_chunks(pages: DataFrame, normalize: bool = True) -> DataFrame:
     return rows.select("doc", (F.row_number().over(order) - 1).cast("long").alias("chunk"), F.concat(F.lit("section-p"), F.col("page_no").cast("string")).alias("label"), "page_no", code_for(F.col("path")).alias("code"), *none, _strip(F.col("text")).alias("text"))
 
 
+#: Characters of a text's beginning and end that are looked at before the whole.
+_AHEAD = 8
+
+
 @dataclass
 class Budget:
     """Cuts one text into pieces that a model can be served. Pieces are slices of the text and of its sentences: ids are only measured,
-    so no character is altered, and a cut never falls inside one."""
+    so no character is altered, and a cut never falls inside one.
+
+    Where a tokenizer's counts add up over words (`adds_up`), every sentence is measured once, and sums are compared with the budget; other
+    tokenizers are asked for each candidate."""
 
     tokenizer: Tokenizer
     tokens: int = T.SERVED_TOKENS
     overlap: int = OVERLAP
+    _last: tuple[str, int] | None = None
 
     def estimate(self, text: str) -> int:
-        return self.tokenizer.served(text) + T.NEWLINE_WEIGHT * text.count("\n")
+        if self._last is None or self._last[0] != text:
+            self._last = text, self.tokenizer.served(text) + T.NEWLINE_WEIGHT * text.count("\n")
+        return self._last[1]
 
     def fits(self, text: str) -> bool:
         return self.estimate(text) <= self.tokens
 
+    def _sums(self, text: str) -> bool:
+        return getattr(self.tokenizer, "adds_up", lambda t: False)(text)
+
+    def _long(self, text: str) -> bool:
+        """Whether the beginning of the text, up to a cut that adds up, is beyond the budget already; the text adds up."""
+        head = text[: self.tokens * _AHEAD]
+        cut = _last_cut(head) if len(head) < len(text) else 0
+        return cut > 0 and not self.fits(head[:cut])
+
     def tail(self, text: str) -> str:
         """The last `overlap` tokens of a text."""
+        if self.overlap and self._sums(text):
+            size = self.overlap * _AHEAD
+            while size < len(text):
+                cut = _first_cut(text, len(text) - size)
+                spans = self.tokenizer.spans(text[cut:]) if cut > 0 else []
+                if len(spans) >= self.overlap:
+                    return text[cut + spans[-self.overlap][0] :].strip()
+                size *= 4
         spans = self.tokenizer.spans(text)
         return text[spans[-self.overlap :][0][0] :].strip() if spans and self.overlap else ""
 
@@ -191,17 +218,30 @@ class Budget:
         # Where a token starts a character of its own; characters of several tokens are not divided.
         cuts = sorted({a for a, _ in spans[1:] if a} | {len(text)})
         begin = at = 0
+        guess = None
         while at < len(cuts):
             low, high = at, min(at + self.tokens, len(cuts)) - 1
+            if guess is not None:  # a run is mostly as long as the one before
+                near = min(at + guess, high)
+                if near > low and self.fits(text[begin : cuts[near]]):
+                    low = near
+                    if low < high and not self.fits(text[begin : cuts[low + 1]]):
+                        high = low
+                elif near > low:
+                    high = near - 1
             while low < high:
                 middle = (low + high + 1) // 2
                 low, high = (middle, high) if self.fits(text[begin : cuts[middle]]) else (low, middle - 1)
             if piece := text[begin : cuts[low]].strip():
                 yield piece
+            guess = low - at
             begin, at = cuts[low], low + 1
 
     def packed(self, text: str, lead: str = "") -> list[str]:
         """Sentences joined while they fit; the lead opens the first piece of whole sentences, if it fits there, and is never alone."""
+        sentences = list(filter(None, map(str.strip, re.split(SENTENCE_END, text))))
+        if self._sums(text) and self._sums(lead):
+            return self._packed(sentences, lead)
         out: list[str] = []
         held = ""
 
@@ -212,7 +252,7 @@ class Budget:
                 out.append(led if self.fits(led) else held)
                 held = lead = ""
 
-        for sentence in filter(None, map(str.strip, re.split(SENTENCE_END, text))):
+        for sentence in sentences:
             if not self.fits(sentence):
                 close()
                 out += list(self.windows(sentence)) or [sentence]
@@ -224,9 +264,37 @@ class Budget:
         close()
         return out
 
+    def _packed(self, sentences: list[str], lead: str) -> list[str]:
+        """packed, by sums. Sentences hold no line feed; a lead may."""
+        alone, behind = self.tokenizer.weight, [self.tokenizer.weight(x, True) for x in sentences]
+        out: list[str] = []
+        room, weight = self.tokens - self.tokenizer.around_own, 0
+        led = self.estimate(lead) - self.tokenizer.around_own if lead else 0
+        held: list[int] = []
+
+        def close() -> None:
+            nonlocal held, lead
+            if held:
+                body = " ".join(sentences[i] for i in held)
+                out.append(f"{lead} {body}" if lead and led + weight - alone(sentences[held[0]]) + behind[held[0]] <= room else body)
+                held, lead = [], ""
+
+        for i, sentence in enumerate(sentences):
+            if len(sentence) * 4 > room and alone(sentence) > room:  # a character has at most four tokens
+                close()
+                out += list(self.windows(sentence)) or [sentence]
+            elif held and weight + behind[i] > room:
+                close()
+                held, weight = [i], alone(sentence)
+            else:
+                weight = weight + behind[i] if held else alone(sentence)
+                held.append(i)
+        close()
+        return out
+
     def split(self, text: str) -> list[str]:
         """One piece if it fits; else pieces of which each opens with the end of the one before, packed anew with it."""
-        if self.fits(text):
+        if not (self._sums(text) and self._long(text)) and self.fits(text):
             return [text]
         first, *rest = self.packed(text) or [text]
         out = [first]
@@ -236,6 +304,20 @@ class Budget:
         return out
 
 
+def _cuts_at(text: str, i: int) -> bool:
+    return text[i] == " " and not text[i - 1].isspace() and not text[i + 1].isspace()
+
+
+def _last_cut(text: str) -> int:
+    """The last single space between visible characters, or 0."""
+    return next((i for i in range(len(text) - 2, 0, -1) if _cuts_at(text, i)), 0)
+
+
+def _first_cut(text: str, begin: int) -> int:
+    """The first such space from `begin`, or 0."""
+    return next((i for i in range(max(begin, 1), len(text) - 1) if _cuts_at(text, i)), 0)
+
+
 def _cut(chunks: DataFrame, tokenizer: Callable[[], Tokenizer], tokens: int, overlap: int) -> DataFrame:
     columns = ["doc", "chunk", "page_no", *HIERARCHY]
 
@@ -264,7 +346,8 @@ def statute_pieces(pages: DataFrame, tokenizer: Callable[[], Tokenizer], tokens:
         raise ValueError("a tokenizer is needed; nothing stands in for it")
     if normalize:
         pages = pages.withColumn("text", T.nfkc(F.col("text")))
-    made = _cut(statute_chunks(pages, False), tokenizer, tokens, overlap).withColumn("_over", F.max(F.col("token_count") > tokens).over(Window.partitionBy("doc")))
+    # Both ways read what was cut: it is cut once.
+    made = R.durable(_cut(statute_chunks(pages, False), tokenizer, tokens, overlap)).withColumn("_over", F.max(F.col("token_count") > tokens).over(Window.partitionBy("doc")))
     over = made.where("_over").select("doc").distinct()
     other = _cut(page_chunks(pages.join(over, "doc", "left_semi"), False), tokenizer, tokens, overlap)
     both = made.where("not _over").drop("_over").withColumn("way", F.lit("articles")).unionByName(other.withColumn("way", F.lit("pages")))

@@ -174,3 +174,61 @@ def test_empty_and_null(spark):
     assert pieces(spark, []) == [] and pieces(spark, [(1, 1, None, None), (2, 1, " \n", "x")]) == []
     df = spark.createDataFrame([(None,), ("",), ("a b",)], "t string")
     assert [r[0] for r in df.select(served_tokens(df.t, tokenizer)).collect()] == [None, 2, 4]
+
+
+class Counted:
+    """The public tokenizer, with the characters that it is asked to encode; `sums` off: every candidate is encoded."""
+
+    def __init__(self, sums):
+        self.own, self.asked, self.around_own = json_tokenizer(public_tokenizers.path("byte_bpe_50k.json"), 2), 0, 2
+        self.own.known.clear()
+        library = self.own.library
+        outer = self
+
+        class Library:
+            def encode(self, text, **kw):
+                outer.asked += len(text)
+                return library.encode(text, **kw)
+
+            def encode_batch_fast(self, texts, **kw):
+                outer.asked += sum(map(len, texts))
+                return library.encode_batch_fast(texts, **kw)
+
+        self.inner = object.__new__(type(self.own))
+        self.inner.__dict__ |= self.own.__dict__ | {"library": Library(), "known": {}}
+        self.sums = sums
+
+    def spans(self, text):
+        return self.inner.spans(text)
+
+    def served(self, text):
+        return self.inner.served(text) if self.sums else len(self.inner.library.encode(text).ids) + 2
+
+    def adds_up(self, text):
+        return self.sums and self.inner.adds_up(text)
+
+    def weight(self, text, behind=False):
+        return self.inner.weight(text, behind)
+
+
+def test_every_word_is_measured_once():
+    """By sums the same pieces, odd texts included; an article is not encoded anew for every sentence that may join a piece."""
+    rng = random.Random(4)
+    bits = ["a" * 700, "كلمة " * 90, "x.  y! z?\n\nq", "don't 's. 're  ok.", "　wide. em. \x1cfs. ", "<|endoftext|> s. ", "😀" * 90, ". . . . ", "1234567890" * 30, "  two  spaces.   three ", "قانون رقم 1. "]
+    for k in range(120):
+        text = "".join(rng.choice(bits) + "word " * rng.randrange(12) for _ in range(rng.randrange(1, 14))).strip()
+        budget = {"tokens": rng.choice([30, 60, 450]), "overlap": rng.choice([0, 4, 9])}
+        assert L.Budget(Counted(True), **budget).split(text) == L.Budget(Counted(False), **budget).split(text), k
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(300)]
+    text = " ".join(" ".join(rng.choices(words, k=9)) + "." for _ in range(900))
+    few, many = Counted(True), Counted(False)
+    assert L.Budget(few).split(text) == L.Budget(many).split(text)
+    assert few.asked < 2 * len(text) < 10 * len(text) < many.asked
+
+
+def test_served_counts_of_known_words(monkeypatch):
+    own, texts = tokenizer(), ["", " ", "a b", "a  b", " a b ", "it's 's x", "<|endoftext|> a", "\x1c a \x85b c", "word " * 50, "x" * 200 + " y", "é ü 中 文 😀 😀"]
+    for limit in (200_000, 3):
+        monkeypatch.setattr("corpusloom.functions.tokenizer.WORDS", limit)
+        assert [own.served(t) for t in texts * 2] == [len(own.library.encode(t).ids) + 2 for t in texts * 2]
+        assert own.served(texts[8]) and (limit > 3 or len(own.known) <= 3 or own.known.clear() is None)
