@@ -21,7 +21,8 @@ CLASS_KEYWORDS: list[tuple[str, list[tuple[str, int]]]] = [
 CLASS_THRESHOLD = 2
 #: Patterns and words of the extraction rules.
 PERSON = r"(?iuU)\b(?:Mr|Mrs|Ms|M\.|Mme|Me)\.?\s+([A-ZÀ-Þ][\wÀ-ÿ'’-]+(?:\s+[A-ZÀ-Þ][\wÀ-ÿ'’-]+){0,2})"
-COMPANY = r"(?iuU)([A-ZÀ-Þ][\wÀ-ÿ'’&.-]*(?:\s+[A-ZÀ-Þ][\wÀ-ÿ'’&.-]*){0,3}\s+(?:SARL|SA\b|SAS|LLC|Inc\.?|Ltd\.?))"
+#: A name starts where its run of name characters has its first letter; runs and spaces are taken whole, so no word is tried letter by letter.
+COMPANY = r"(?iuU)(?:\G|(?<![\wÀ-ÿ'’&.-]))(?:(?![A-ZÀ-Þ])[\wÀ-ÿ'’&.-])*+([A-ZÀ-Þ][\wÀ-ÿ'’&.-]*+(?:\s++[A-ZÀ-Þ][\wÀ-ÿ'’&.-]*+){0,3}\s++(?:SARL|SA\b|SAS|LLC|Inc\.?|Ltd\.?))"
 DATE = r"\b(\d{4}-\d{2}-\d{2}|\d{1,2}[/.]\d{1,2}[/.]\d{2,4})\b"
 DURATION = r"(?i)(\d+\s*(?:months?|mois))"
 OBLIGATIONS = ["will be paid", "shall pay", "must pay", "doit payer", "notice period"]

@@ -89,7 +89,10 @@ def parties(case: Case) -> DataFrame:
     def named(kind: str, pattern: str) -> Column:
         return F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), lambda x: F.struct(F.lit(kind).alias("kind"), T.strip(x).alias("name")))
 
-    kinds = F.concat(named("person", A.PERSON), named("employer", A.COMPANY))
+    employer = named("employer", A.COMPANY)
+    # Without the beginning of a legal form no name of a company is looked for.
+    employer = F.when(F.col("text").rlike(r"(?iuU)\s(?:SA|LLC|Inc|Ltd)"), employer).otherwise(F.array().cast("array<struct<kind:string,name:string>>"))
+    kinds = F.concat(named("person", A.PERSON), employer)
     found = case.sections.select("matter", "seq", *_PLACE, F.posexplode(kinds).alias("at", "p")).select("matter", "seq", "at", "p.*", *_PLACE)
     first = found.groupBy("matter", F.lower("name").alias("_low")).agg(F.min(F.struct("seq", "at", "name", "kind", *_PLACE)).alias("p"))
     return first.select("matter", "p.*")
@@ -103,7 +106,7 @@ def employers(found: DataFrame) -> DataFrame:
 def dates(case: Case) -> DataFrame:
     """matter, seq, at, label, value, needs_review and the place. The label looks at the 30 characters before a date: at most five dates
     with what lies between them."""
-    rows = case.sections.withColumns({"_g": F.split("text", A.DATE, -1), "_h": F.regexp_extract_all("text", F.lit(A.DATE), F.lit(1))})
+    rows = case.sections.where(F.col("text").rlike(r"\d[-/.]\d")).withColumns({"_g": F.split("text", A.DATE, -1), "_h": F.regexp_extract_all("text", F.lit(A.DATE), F.lit(1))})
     rows = rows.select("matter", "seq", "needs_review", *_PLACE, "_g", F.posexplode("_h").alias("at", "value"), "_h")
     at = F.col("at")
     parts = [x for k in range(5, 0, -1) for x in (F.coalesce(F.get("_g", at - k), F.lit("")), F.coalesce(F.get("_h", at - k), F.lit("")))]
@@ -114,7 +117,8 @@ def dates(case: Case) -> DataFrame:
 
 def obligations(case: Case, found: DataFrame) -> DataFrame:
     """matter, seq, at, who, what and the place: sentences that promise or demand; the matter's employer owes them."""
-    rows = case.sections.select("matter", "seq", *_PLACE, F.posexplode(F.split("text", r"(?<=[.!;])(?U)\s+")).alias("at", "what"))
+    # No phrase lies across two sentences: texts without any are not split.
+    rows = case.sections.where(_contains(F.col("text"), A.OBLIGATIONS)).select("matter", "seq", *_PLACE, F.posexplode(F.split("text", r"(?<=[.!;])(?U)\s+")).alias("at", "what"))
     rows = rows.where(_contains(F.col("what"), A.OBLIGATIONS)).withColumn("what", T.strip(F.col("what")))
     return rows.join(employers(found), "matter", "left").select("matter", "seq", "at", F.coalesce("who", F.lit("employer")).alias("who"), "what", *_PLACE)
 
@@ -124,8 +128,8 @@ def _across(case: Case, phrase: str) -> DataFrame:
     words, out = phrase.split(" "), None
     for k in range(1, len(words)):
         left, right = " ".join(words[:k]), " ".join(words[k:])
-        low = case.sections.select("matter", "seq", F.lower("text").alias("t"))
-        ends, starts = low.where(F.col("t").endswith(left)).select("matter", (F.col("seq") + 1).alias("seq")), low.where(F.col("t").startswith(right)).select("matter", "seq")
+        last, begin = F.lower(F.right("text", F.lit(len(left)))), F.lower(F.left("text", F.lit(len(right))))
+        ends, starts = case.sections.where(last.endswith(left)).select("matter", (F.col("seq") + 1).alias("seq")), case.sections.where(begin.startswith(right)).select("matter", "seq")
         met = ends.join(starts, ["matter", "seq"]).select("matter").distinct()
         out = met if out is None else out.unionByName(met).distinct()
     return out
@@ -137,7 +141,7 @@ def flags(case: Case) -> DataFrame:
     text = F.col("text")
     worded = [words for *_, words in ISSUES if words]
     terms = [F.contains(F.lower(text), F.lit(t.lower())) | (F.contains(text, F.lit(ar)) if ar else F.lit(False)) for t, ar, *_ in case.glossary]
-    owed = F.exists(F.split(text, r"(?<=[.!;])(?U)\s+"), lambda s: _contains(s, A.OBLIGATIONS))
+    owed = _contains(text, A.OBLIGATIONS)
     by = case.sections.groupBy("matter").agg(
         F.count("*").alias("sections"), F.bool_or(owed).alias("owed"), *[F.bool_or(_contains(text, w)).alias(f"hit{i}") for i, w in enumerate(worded)], *[F.bool_or(t).alias(f"term{i}") for i, t in enumerate(terms)]
     )

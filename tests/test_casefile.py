@@ -1,9 +1,12 @@
 """The analysis of case files: golden cases, the lists by parts, drafts whole and in pieces, empty tables."""
 
 import json
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
+from corpusloom.operators import analysis as A
 from corpusloom.operators import casefile as C
 from corpusloom.plans.casefile import case_of
 
@@ -127,3 +130,15 @@ def test_whole_tables(spark, sf):
     heads = {r.matter: r for r in C.heads(one).collect()}
     issues = C.issues(C.flags(one)).groupBy("matter").count().collect()
     assert {r.matter: r["count"] for r in issues} == {m: r.issues for m, r in heads.items() if r.issues}
+
+
+def test_company_names_take_linear_time(spark):
+    """A long run of letters is not tried from each of its letters; the names are those of the plain pattern."""
+    plain = r"(?iuU)([A-ZÀ-Þ][\wÀ-ÿ'’&.-]*(?:\s+[A-ZÀ-Þ][\wÀ-ÿ'’&.-]*){0,3}\s+(?:SARL|SA\b|SAS|LLC|Inc\.?|Ltd\.?))"
+    texts = ["Acme SARLfoo Bar SA", "1abc 'x SA", "a b c d e SAS", "x SARL SA inc.", "Éa&Co. ltd", "sa SA", "- SA", "a\n\tLLC b LLC", "ABC"]
+    found = lambda p: F.regexp_extract_all("t", F.lit(p), F.lit(1))
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(found(plain).alias("a"), found(A.COMPANY).alias("b")).collect()
+    assert all(r.a == r.b for r in rows) and sum(len(r.a) for r in rows) > 5
+    begin = time.monotonic()
+    assert spark.createDataFrame([("x" * 200_000 + " SA. " + "y" * 200_000,)], "t string").select(F.size(found(A.COMPANY))).first()[0] == 1
+    assert time.monotonic() - begin < 20
