@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +17,8 @@ HEBREW = r"֐-׿"
 LATIN = "a-zA-ZàáâãäåçèéêëìíîïðñòóôõöùúûüýþÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖÙÚÛÜÝÞ"
 FRENCH_ACCENTS = "éèêàçùîôâëï"
 FRENCH_WORDS = ["le", "la", "les", "des", "une", "est", "pour", "dans", "avec", "votre", "vous", "dit"]
+#: Texts that a batch has as Python strings at once.
+SLICE = 256
 NEWLINE_WEIGHT, SERVED_TOKENS = 4, 450
 
 
@@ -56,15 +58,15 @@ def chunk_id(source: Column, version: Column, edition: Column, article: Column,
 
 
 def count_chars(c: Column, members: str) -> Column:
-    return F.length(F.regexp_replace(c, f"[^{members}]", "")).cast("long")
+    return F.length(F.regexp_replace(c, f"[^{members}]+", "")).cast("long")
 
 
 def detect_lang(c: Column) -> Column:
-    words = F.transform(F.split(c, "[^a-zA-Z]+"), lambda w: F.lower(w))
+    """Characters are counted only where there are Arabic ones; the words are looked for as whole runs of letters, never split."""
     return (
-        F.when(count_chars(c, ARABIC) > count_chars(c, LATIN), "ar")
+        F.when(c.rlike(f"[{ARABIC}]") & (count_chars(c, ARABIC) > count_chars(c, LATIN)), "ar")
         .when(c.rlike(f"[{FRENCH_ACCENTS}]"), "fr")
-        .when(F.arrays_overlap(words, F.array(*map(F.lit, FRENCH_WORDS))), "fr")
+        .when(c.rlike(f"(?i)(?<![a-zA-Z])(?:{'|'.join(FRENCH_WORDS)})(?![a-zA-Z])"), "fr")
         .otherwise("en")
     )
 
@@ -141,10 +143,13 @@ def batch_plan(lengths: Column, texts: int = 32, chars: int = 24_000) -> Column:
 
 
 def nfkc(c: Column) -> Column:
-    """Compatibility composition; the JVM has no built-in for it, so batches of texts go through Arrow."""
+    """Compatibility composition; the JVM has no built-in for it, so texts that are not ASCII go through Arrow, of which SLICE at a time are
+    strings of Python."""
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        parts = [pa.array([t if t is None else unicodedata.normalize("NFKC", t) for t in texts.slice(s, SLICE).to_pylist()], pa.string()) for s in range(0, len(texts), SLICE)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
-    return run(c)
+    wide = c.rlike(r"[^\x00-\x7F]")
+    return F.when(wide, run(F.when(wide, c))).otherwise(c)
