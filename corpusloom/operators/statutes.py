@@ -133,11 +133,12 @@ def statute_chunks(pages: DataFrame, normalize: bool = True) -> DataFrame:
     """doc, chunk (from 0), label, page_no, code, law_type, law, book, part, chapter, text of the articles of every document, its preamble
     first; of a document without items, of its pages."""
     if normalize:
-        pages = pages.withColumn("text", T.nfkc(F.col("text")))
+        pages = R.durable(pages.withColumn("text", T.nfkc(F.col("text"))))
     paths = pages.groupBy("doc").agg(F.min("path").alias("path"))
     rows = line_states(pages)
     w = Window.partitionBy("doc").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("item", F.count("label").over(w)).withColumn("_items", F.count("label").over(Window.partitionBy("doc")))
+    # Five aggregates read the lines' states: they are made once.
+    rows = R.durable(rows.withColumn("item", F.count("label").over(w)).withColumn("_items", F.count("label").over(Window.partitionBy("doc"))))
     law = F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("of_law"), F.struct("at", "line")))), lambda x: _strip(x["line"])), " "), 1, LAW_SIZE)
     laws = rows.groupBy("doc").agg(law.alias("law"), law_type_for(F.max("head")).alias("law_type"))
     body = rows.where("item > 0").groupBy("doc", "item").agg(F.min_by("label", "at").alias("label"), F.min_by("page_no", "at").alias("page_no"), *[F.min_by(c, "at").alias(c) for c in HEADINGS], _joined().alias("text"))
@@ -345,7 +346,7 @@ def statute_pieces(pages: DataFrame, tokenizer: Callable[[], Tokenizer], tokens:
     if tokenizer is None:
         raise ValueError("a tokenizer is needed; nothing stands in for it")
     if normalize:
-        pages = pages.withColumn("text", T.nfkc(F.col("text")))
+        pages = R.durable(pages.withColumn("text", T.nfkc(F.col("text"))))
     # Both ways read what was cut: it is cut once.
     made = R.durable(_cut(statute_chunks(pages, False), tokenizer, tokens, overlap)).withColumn("_over", F.max(F.col("token_count") > tokens).over(Window.partitionBy("doc")))
     over = made.where("_over").select("doc").distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tokenizer import json_tokenizer, served_tokens
+from ..operators import relational as R
 from ..operators import statutes as L
 from .base import inline, query, read
 from .fixtures import STATUTES
@@ -81,7 +82,7 @@ from x join w using (doc) where text <> ''"""
 @query(_STATUTES_SQL)
 def statute_chunks(spark, sf_dir):
     """Articles with their headings, law and pages. The SQL has no compatibility composition, so the texts are taken as they are."""
-    return L.statute_chunks(_pages(spark, sf_dir), normalize=False)
+    return L.statute_chunks(R.durable(_pages(spark, sf_dir)), normalize=False)
 
 
 def _tokenizer():

@@ -232,3 +232,9 @@ def test_served_counts_of_known_words(monkeypatch):
         monkeypatch.setattr("corpusloom.functions.tokenizer.WORDS", limit)
         assert [own.served(t) for t in texts * 2] == [len(own.library.encode(t).ids) + 2 for t in texts * 2]
         assert own.served(texts[8]) and (limit > 3 or len(own.known) <= 3 or own.known.clear() is None)
+
+
+def test_lines_are_made_once(spark):
+    """The aggregates over lines read them as they were written; none splits the pages anew."""
+    plan = L.statute_chunks(spark.createDataFrame([(1, 1, "Article 1\nfine", None)], SCHEMA))._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
