@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import unicodedata
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ from .textkit import Block, ragged
 
 #: Distinct merged pre-tokens kept by a worker before it starts anew, about 150 bytes each, and their letters.
 MEMORY, MEMORY_LETTERS = 400_000, 20_000_000
+#: New pre-tokens that are encoded as one string, where they may be.
+JOINED = 64
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 
 
@@ -86,6 +89,10 @@ class Vocabulary:
 
         self.path, self.tokenizer = path, Tokenizer.from_file(path)
         self.added = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Bytes of each id: byte-level vocabularies write one symbol for each.
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.bytes = np.zeros(1 + max([*vocab.values(), *self.tokenizer.get_added_tokens_decoder()]), np.int64)
+        self.bytes[list(vocab.values())] = list(map(len, vocab))
         self.whole = self._prove()
         self._forget()
 
@@ -109,16 +116,34 @@ class Vocabulary:
         self.ids, self.used = np.fromiter(self.whole.values(), np.uint32, len(self.whole)), len(self.whole)
         self.letters = 0
 
-    def _learn(self, texts: list[str]) -> None:
+    def _encode_apart(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts one after another, and how many each has."""
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        size = np.array([len(x) for x in found], np.int64)
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum())), size
+
+    def _encode_joined(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of pre-tokens that are each a space and a visible run, many at a time: the pattern splits before such a space. Bytes tell
+        whose the ids are; if they do not add up, each is encoded alone."""
+        ids, _ = self._encode_apart(["".join(texts[i : i + JOINED]) for i in range(0, len(texts), JOINED)])
+        ends = np.cumsum(self.bytes[ids])
+        bounds = np.cumsum(np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts)))
+        last = np.searchsorted(ends, bounds)
+        if len(last) and (last[-1] != len(ids) - 1 or (ends[last] != bounds).any()):
+            return self._encode_apart(texts)
+        return ids, np.diff(last, prepend=-1)
+
+    def _learn(self, texts: list[str]) -> None:
+        led, others = [], []
+        for t in texts:
+            (led if t[0] == " " and len(t) > 1 and not t[1].isspace() else others).append(t)
+        flat, size = map(np.concatenate, zip(self._encode_joined(led), self._encode_apart(others), strict=True))
         at = self.used + np.cumsum(size) - size
-        flat = np.fromiter((i for x in found for i in x), np.uint32, int(size.sum()))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(flat)), np.uint32)])
         self.ids[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
-        self.known.update(zip(texts, range(len(self.known), len(self.known) + len(texts)), strict=True))
+        self.known.update(zip(chain(led, others), range(len(self.known), len(self.known) + len(texts)), strict=True))
         self.at, self.size = np.concatenate([self.at, at]), np.concatenate([self.size, size])
         self.letters += sum(map(len, texts))
 
@@ -129,16 +154,23 @@ class Vocabulary:
         wide = len(raw) >= 1 << 31
         kind = (pa.LargeStringArray if wide else pa.StringArray).from_buffers
         encoded = kind(len(starts), pa.py_buffer(offsets.astype(np.int64 if wide else np.int32)), pa.py_buffer(raw)).dictionary_encode()
-        distinct = encoded.dictionary.to_pylist()
-        new = [t for t in distinct if t not in self.known]
+        distinct = encoded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = self._places(distinct)
+        new = [distinct[i] for i in np.flatnonzero(known < 0)]
         if new and (len(self.known) + len(new) > MEMORY + len(self.whole) or self.letters + sum(map(len, new)) > MEMORY_LETTERS):
             self._forget()
-            new = [t for t in distinct if t not in self.known]
+            known = self._places(distinct)
+            new = [distinct[i] for i in np.flatnonzero(known < 0)]
         if new:
             self._learn(new)
-        place = np.fromiter((self.known[t] for t in distinct), np.int64, len(distinct))[encoded.indices.to_numpy()]
+            known[known < 0] = self._places(new)
+        place = known[encoded.indices.to_numpy()]
         return self.at[place], self.size[place], place < len(self.whole)
 
+    def _places(self, texts: list[str]) -> np.ndarray:
+        """The place of each text that is known, -1 of the others."""
+        return np.fromiter(map(self.known.get, texts, repeat(-1)), np.int64, len(texts))
+
     def special_rows(self, block: Block) -> list[int]:
         """Rows whose text holds an added token's string."""
         if not self.added:

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from bisect import insort
 
 import numpy as np
 import pandas as pd
@@ -31,6 +32,9 @@ END = 1
 SHARE = 4
 #: Pieces that are packed together; it bounds a task's work and memory.
 GROUP = 4096
+#: Bits of a piece's place in its group.
+PLACE = 32
+FIRST = (1 << PLACE) - 1
 _PIECES = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
@@ -68,38 +72,43 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
 
 
 def difference(sizes: np.ndarray, k: int) -> np.ndarray:
-    """Window of each size, of k, by multiway differencing."""
+    """Window of each size, of k, by multiway differencing.
+
+    A partial partition is the ascending list of its windows that hold anything, each the number `sum << PLACE | first piece`;
+    most merges put one piece to many, and then change one place of a list that stays sorted."""
     n = len(sizes)
-    following = np.full(n, -1, np.int64)
-    heap: list = [(-int(s), i) for i, s in enumerate(sizes)]
+    following, last = [-1] * n, list(range(n))
+    heap: list = [(-s, i) for i, s in enumerate(sizes.tolist())]
+    single = [-s << PLACE | i for s, i in heap]
     heapq.heapify(heap)
-    made: dict[int, tuple] = {}
-
-    def entry(i: int):
-        if i in made:
-            return made.pop(i)
-        sums, head, tail = np.zeros(k, np.int64), np.full(k, -1, np.int64), np.full(k, -1, np.int64)
-        sums[0], head[0], tail[0] = sizes[i], i, i
-        return sums, head, tail
-
-    name = n
-    while len(heap) > 1:
-        (_, a), (_, b) = heapq.heappop(heap), heapq.heappop(heap)
-        (sa, ha, ta), (sb, hb, tb) = entry(a), entry(b)
-        sb, hb, tb = sb[::-1], hb[::-1], tb[::-1]
-        sums = sa + sb
-        both = (ha >= 0) & (hb >= 0)
-        following[ta[both]] = hb[both]
-        head, tail = np.where(ha >= 0, ha, hb), np.where(hb >= 0, tb, ta)
-        order = np.argsort(-sums, kind="stable")
-        sums = sums[order]
-        made[name] = (sums, head[order], tail[order])
-        heapq.heappush(heap, (-int(sums[0] - sums[-1]), name))
-        name += 1
+    made: dict[int, list[int]] = {}
+
+    def joined(v: int, w: int) -> int:
+        head, more = v & FIRST, w & FIRST
+        following[last[head]], last[head] = more, last[more]
+        return v + (w - more)
+
+    for name in range(n, 2 * n - 1):
+        a = heapq.heappop(heap)[1]
+        b = heap[0][1]
+        x, y = made.pop(a, None) or [single[a]], made.pop(b, None) or [single[b]]
+        if len(x) < len(y):
+            x, y = y, x
+        both = len(x) + len(y) - k
+        if len(y) == 1:
+            insort(x, joined(x.pop(0), y[0]) if both > 0 else y[0])
+        else:
+            # The larger sums of one meet the smaller ones of the other, of k places on either side.
+            met = [joined(v, w) for v, w in zip(x[:both], y[both - 1 :: -1], strict=False)] if both > 0 else []
+            both = max(both, 0)
+            x = met + x[both:] + y[both:]
+            x.sort()
+        made[name] = x
+        heapq.heapreplace(heap, (-(x[-1] >> PLACE) + (x[0] >> PLACE if len(x) == k else 0), name))
     window = np.zeros(n, np.int64)
     if n:
-        _, head, _ = entry(heap[0][1])
-        for w, at in enumerate(head):
+        for w, at in enumerate(reversed(made.get(heap[0][1]) or single)):
+            at &= FIRST
             while at >= 0:
                 window[at] = w
                 at = following[at]
