@@ -9,7 +9,7 @@ A unit is what follows a space up to the next space that stands behind a visible
 there (the byte-level pattern always does; no piece holds a space behind another character, or texts are not split), so equal units
 align equally and are aligned once: a text's groups and links are those of its units, one after another. Counts of id pairs weigh each
 unit by its occurrences. The most frequent units, HOT of them at most, are known to all tasks; the others go by join to the bucket
-of texts that hold them, once for each bucket.
+of texts that hold them, once for each bucket and task that asks.
 
 Defined results: texts that are null, empty, or that either tokenizer does not give back byte for byte, have no tokens, zeros and '';
 repeated rows count each; ties for the highest count are all best; an empty table gives an empty result; other columns are
@@ -25,6 +25,7 @@ from collections import Counter
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,8 @@ CLOSED, JOINED = re.compile(r"[^\s▁]\Z"), 256
 #: Units known to all tasks (about 200 bytes each in a worker), distinct units that a task counts before it hands them on, bytes of texts in a
 #: bucket, and id pairs that may be broadcast (32 bytes each).
 HOT, HELD, BUCKET_BYTES, PAIRS = 400_000, 150_000, 8_000_000, 2_000_000
+#: Bytes of a bucket's texts whose groups are put together at a time.
+SLICE_BYTES = 1_000_000
 BUCKETS = 3
 _SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
@@ -159,6 +162,11 @@ def _setting(spark: SparkSession, key: str, value: str):
         spark.conf.set(key, before)
 
 
+def _buckets(spark: SparkSession) -> int:
+    """Some buckets for each shuffle partition, so that the sorts within a bucket are small."""
+    return BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _stored(df: DataFrame, by: str | None = None) -> DataFrame:
     """df as a table in the shared checkpoint folder, compressed, unlike a checkpoint; bucketed by a column if asked."""
     spark = df.sparkSession
@@ -168,8 +176,7 @@ def _stored(df: DataFrame, by: str | None = None) -> DataFrame:
     if by is None:
         df.write.option("compression", "zstd").parquet(path)
         return spark.read.schema(df.schema).parquet(path)
-    # Some buckets for each shuffle partition, so that the sorts within a bucket are small.
-    df.write.format("parquet").bucketBy(BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", path).option("compression", "zstd").saveAsTable(name)
+    df.write.format("parquet").bucketBy(_buckets(spark), by).option("path", path).option("compression", "zstd").saveAsTable(name)
     out = spark.table(name)
     out.schema  # noqa: B018  resolved before the name goes; the files stay
     spark.sql(f"drop table {name}")
@@ -365,24 +372,32 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
         trim()
 
     asked = rows.select("_bucket", "text").mapInArrow(wanted, "_bucket int, unit string")
-    cold = asked.repartition("unit").dropDuplicates(["unit", "_bucket"]).join(scored(known.where(F.col("n") < least), pairs, few_pairs), "unit").select("_bucket", "unit", *columns)
+    # As many partitions as the stored units have buckets, so that one shuffle is enough. What several tasks ask for comes more than once, never
+    # more often than it stands in the texts.
+    cold = asked.repartition(_buckets(spark), "unit").join(scored(known.where(F.col("n") < least), pairs, few_pairs), "unit").select("_bucket", "unit", *columns)
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def assemble(texts_: pa.Table, rest: pa.Table) -> pa.Table:
         of, place, hot_ = texts(), hot_units(), shared.value
         own = {u: hot_.num_rows + i for i, u in enumerate(rest.column("unit").to_pylist())}
         all_ = pa.concat_tables([hot_.select(columns).cast(target), rest.select(columns).cast(target)])
-        at, sizes = [], []
-        for text in texts_.column("text"):
-            found = of.units(text.as_py())
-            at += map(place.get, found, map(own.get, found))
-            sizes.append(len(found))
-        starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        at = np.array(at, np.int64)
-        parts = pa.concat_arrays(all_.column("groups").take(pa.array(at)).chunks) if len(at) else pa.array([], pa.large_string())
-        groups = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(starts), parts), pa.scalar(";", pa.large_string()))
-        sums = [np.concatenate([[0], np.cumsum(all_.column(c).to_numpy()[at])]) for c in _SUMS]
-        return pa.table({"doc_id": texts_.column("doc_id"), **{c: pa.array(x[starts[1:]] - x[starts[:-1]]) for c, x in zip(_SUMS, sums, strict=True)}, "groups": groups.cast(pa.string())})
+        names, values = all_.column("groups").combine_chunks(), [all_.column(c).to_numpy() for c in _SUMS]
+        # Places and strings of units are held for SLICE_BYTES of texts at a time.
+        ends, out = np.cumsum(pc.binary_length(texts_.column("text")).to_numpy(), dtype=np.int64), []
+        cuts = [0, *(1 + np.flatnonzero(np.diff(ends // SLICE_BYTES))).tolist(), texts_.num_rows]
+        for some in (texts_.slice(a, b - a) for a, b in pairwise(cuts)):
+            at, sizes = [], []
+            for text in some.column("text"):
+                found = of.units(text.as_py())
+                at += map(place.get, found, map(own.get, found))
+                sizes.append(len(found))
+            starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+            at = np.array(at, np.int64)
+            groups = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(starts), names.take(pa.array(at))), pa.scalar(";", pa.large_string()))
+            sums = [np.concatenate([[0], np.cumsum(x[at])]) for x in values]
+            out.append(pa.table({"doc_id": some.column("doc_id"), **{c: pa.array(x[starts[1:]] - x[starts[:-1]]) for c, x in zip(_SUMS, sums, strict=True)}, "groups": groups.cast(pa.string())}))
+        trim()
+        return pa.concat_tables(out)
 
     schema = f"doc_id {kind}, {', '.join(f'{c} bigint' for c in _SUMS)}, groups string"
     return rows.groupBy("_bucket").cogroup(cold.groupBy("_bucket")).applyInArrow(assemble, schema)

@@ -92,3 +92,15 @@ def test_query(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     want = brute([(r.doc_id, r.text) for r in docs])
     assert sorted(map(tuple, got.collect()), key=str) == sorted(((*w[:-1], hashlib.sha256(w[-1].encode()).hexdigest() if w[-1] else "") for w in want), key=str)
+
+
+def test_asked_units_are_shuffled_once(spark, monkeypatch):
+    """Units that buckets of texts ask for meet the stored ones after one shuffle, and a bucket is put together slice by slice."""
+    monkeypatch.setattr(align, "SLICE_BYTES", 300)
+    rows = odd_texts()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    with align._setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        out = align.align(docs, hot=5, bucket_bytes=2000)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert sorted((tuple(r) for r in out.select(*COLUMNS).collect()), key=str) == brute(rows)
+    assert plan.count("Exchange hashpartitioning(unit") == 1 and "SortMergeJoin [unit" in plan, plan
