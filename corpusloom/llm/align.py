@@ -23,7 +23,6 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from contextlib import contextmanager
 from functools import lru_cache
 from itertools import pairwise
 
@@ -35,6 +34,7 @@ from pyspark.sql import functions as F
 
 from .bpe import _bytes_of_symbols, default_path
 from .common import HOT_KEYS, durable, ensure_checkpoint_dir, table
+from .common import setting as _setting
 from .textkit import ragged, trim
 
 SPACE = "▁"
@@ -152,16 +152,6 @@ class Texts:
         return SPLIT.split(text) if text[0] == " " or any(p in text for p in RUNS) else text.split(" ")
 
 
-@contextmanager
-def _setting(spark: SparkSession, key: str, value: str):
-    before = spark.conf.get(key)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def _buckets(spark: SparkSession) -> int:
     """Some buckets for each shuffle partition, so that the sorts within a bucket are small."""
     return BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))

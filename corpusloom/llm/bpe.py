@@ -16,13 +16,19 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .textkit import Block, ragged
 
 #: Distinct merged pre-tokens kept by a worker before it starts anew, about 150 bytes each, and their letters.
-MEMORY, MEMORY_LETTERS = 400_000, 20_000_000
-#: New pre-tokens that are encoded as one string, where they may be.
-JOINED = 64
+MEMORY, MEMORY_LETTERS = 400_000, 8_000_000
+#: New pre-tokens that are encoded as one string, where they may be, and strings that the tokenizer gets at a time: what it gives back
+#: holds each token's string, about 100 bytes a token, until its ids are taken.
+JOINED, AT_ONCE = 64, 64
+#: Pre-tokens of a block that are Python strings at a time.
+LOOKED_UP = 10_000
+#: Code points that are classified at a time.
+POINTS = 1 << 14
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 
 
@@ -38,10 +44,11 @@ def classes() -> np.ndarray:
     import regex
 
     out = np.full(0x110000, OTHER, np.uint8)
-    everything = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
-    for pattern, kind in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (r"\p{White_Space}", SPACE)):
-        found = regex.findall(f"{pattern}+", everything)
-        out[np.frombuffer("".join(found).encode("utf-32-le"), np.uint32)] = kind
+    for first in range(0, 0x110000, POINTS):
+        some = "".join(chr(c) for c in range(first, first + POINTS) if not 0xD800 <= c < 0xE000)
+        for pattern, kind in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (r"\p{White_Space}", SPACE)):
+            found = regex.findall(f"{pattern}+", some)
+            out[np.frombuffer("".join(found).encode("utf-32-le"), np.uint32)] = kind
     return out
 
 
@@ -107,20 +114,25 @@ class Vocabulary:
                 continue
             texts.append(text)
             ids.append(i)
-        return {t: i for t, i, e in zip(texts, ids, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True) if e.ids == [i]}
+        found, size = self._encode_apart(texts)
+        one = (size == 1) & (found[np.minimum(np.cumsum(size) - size, len(found) - 1)] == ids)
+        return {texts[k]: ids[k] for k in np.flatnonzero(one)}
 
     def _forget(self) -> None:
         """Places of pre-tokens, the proven ones first; by place, where the ids lie and how many they are."""
-        self.known = {t: i for i, t in enumerate(self.whole)}
+        self.known = dict(zip(self.whole, range(len(self.whole)), strict=True))
         self.at, self.size = np.arange(len(self.whole)), np.ones(len(self.whole), np.int64)
         self.ids, self.used = np.fromiter(self.whole.values(), np.uint32, len(self.whole)), len(self.whole)
         self.letters = 0
 
     def _encode_apart(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts one after another, and how many each has."""
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum())), size
+        ids, size = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for i in range(0, len(texts), AT_ONCE):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts[i : i + AT_ONCE], add_special_tokens=False)]
+            size.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter(chain.from_iterable(found), np.uint32, int(size[-1].sum())))
+        return np.concatenate(ids), np.concatenate(size)
 
     def _encode_joined(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The same of pre-tokens that are each a space and a visible run, many at a time: the pattern splits before such a space. Bytes tell
@@ -133,19 +145,23 @@ class Vocabulary:
             return self._encode_apart(texts)
         return ids, np.diff(last, prepend=-1)
 
-    def _learn(self, texts: list[str]) -> None:
-        led, others = [], []
-        for t in texts:
-            (led if t[0] == " " and len(t) > 1 and not t[1].isspace() else others).append(t)
-        flat, size = map(np.concatenate, zip(self._encode_joined(led), self._encode_apart(others), strict=True))
+    def _learn(self, new: pa.Array) -> np.ndarray:
+        """Encodes new pre-tokens and gives their places."""
+        texts, led, others = new.to_pylist(), [], []
+        for i, t in enumerate(texts):
+            (led if t[0] == " " and len(t) > 1 and not t[1].isspace() else others).append(i)
+        flat, size = map(np.concatenate, zip(self._encode_joined([texts[i] for i in led]), self._encode_apart([texts[i] for i in others]), strict=True))
         at = self.used + np.cumsum(size) - size
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(flat)), np.uint32)])
         self.ids[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
-        self.known.update(zip(chain(led, others), range(len(self.known), len(self.known) + len(texts)), strict=True))
+        order, place = np.array(led + others, np.int64), np.empty(len(texts), np.int64)
+        place[order] = np.arange(len(self.known), len(self.known) + len(texts))
+        self.known.update(zip(texts, place.tolist(), strict=True))
         self.at, self.size = np.concatenate([self.at, at]), np.concatenate([self.size, size])
         self.letters += sum(map(len, texts))
+        return place
 
     def lookup(self, block: Block, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each pre-token: where its ids lie in self.ids, how many they are, and whether the shortcut gave them."""
@@ -154,22 +170,25 @@ class Vocabulary:
         wide = len(raw) >= 1 << 31
         kind = (pa.LargeStringArray if wide else pa.StringArray).from_buffers
         encoded = kind(len(starts), pa.py_buffer(offsets.astype(np.int64 if wide else np.int32)), pa.py_buffer(raw)).dictionary_encode()
-        distinct = encoded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        distinct = encoded.dictionary.cast(pa.large_string())
         known = self._places(distinct)
-        new = [distinct[i] for i in np.flatnonzero(known < 0)]
-        if new and (len(self.known) + len(new) > MEMORY + len(self.whole) or self.letters + sum(map(len, new)) > MEMORY_LETTERS):
+        new = distinct.filter(pa.array(known < 0))
+        if len(new) and (len(self.known) + len(new) > MEMORY + len(self.whole) or self.letters + pc.sum(pc.utf8_length(new)).as_py() > MEMORY_LETTERS):
             self._forget()
             known = self._places(distinct)
-            new = [distinct[i] for i in np.flatnonzero(known < 0)]
-        if new:
-            self._learn(new)
-            known[known < 0] = self._places(new)
+            new = distinct.filter(pa.array(known < 0))
+        if len(new):
+            known[known < 0] = np.concatenate([self._learn(new.slice(i, LOOKED_UP)) for i in range(0, len(new), LOOKED_UP)])
         place = known[encoded.indices.to_numpy()]
         return self.at[place], self.size[place], place < len(self.whole)
 
-    def _places(self, texts: list[str]) -> np.ndarray:
+    def _places(self, texts: pa.Array) -> np.ndarray:
         """The place of each text that is known, -1 of the others."""
-        return np.fromiter(map(self.known.get, texts, repeat(-1)), np.int64, len(texts))
+        out = np.empty(len(texts), np.int64)
+        for i in range(0, len(texts), LOOKED_UP):
+            some = texts.slice(i, LOOKED_UP).to_pylist()
+            out[i : i + len(some)] = list(map(self.known.get, some, repeat(-1)))
+        return out
 
     def special_rows(self, block: Block) -> list[int]:
         """Rows whose text holds an added token's string."""

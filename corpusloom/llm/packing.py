@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import default_path, vocabulary
-from .common import durable, table
+from .common import durable, setting, table
 from .textkit import map_blocks
 
 CAPACITY = 2048
@@ -32,6 +32,8 @@ END = 1
 SHARE = 4
 #: Pieces that are packed together; it bounds a task's work and memory.
 GROUP = 4096
+#: Rows of whole texts that a task hands to Python at a time; its Arrow buffers lie in the executor and in the worker.
+BATCH = 1000
 #: Bits of a piece's place in its group.
 PLACE = 32
 FIRST = (1 << PLACE) - 1
@@ -130,7 +132,8 @@ def pack(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
 
 def pack_sequences(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """Pieces with the sequence and offset at which each lies. Sequence ids are unique, not consecutive."""
-    made = durable(pieces(docs, path or default_path(), capacity))
+    with setting(docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH)):
+        made = durable(pieces(docs, path or default_path(), capacity))
     whole, rest = made.where(F.col("length") == capacity), made.where(F.col("length") < capacity)
     whole = whole.withColumn("sequence_id", F.lit(1 << 62) + F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     groups = max(1, -(-rest.count() // group))

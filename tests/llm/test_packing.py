@@ -69,3 +69,31 @@ def test_new_words_are_encoded_together(tokenizer):
     vocab.bytes = vocab.bytes * 0
     (block,) = blocks(pa.array([" alphathble betathble"]))
     assert vocab.encode(block)[0].tolist() == tokenizer.encode(" alphathble betathble", add_special_tokens=False).ids
+
+
+def test_a_worker_holds_little_at_a_time(spark, tokenizer, monkeypatch):
+    """Results of the tokenizer, Python strings of a block and Arrow batches are taken in slices; ids stay the same."""
+    rng = random.Random(9)
+    text = " ".join("".join(rng.choice("bcdaeiou") for _ in range(9)) for _ in range(30_000)) + "\n" * 3000 + "\n".join(map(str, range(3000)))
+    vocab, most = Vocabulary(default_path()), []
+
+    class Counting:
+        def encode_batch_fast(self, batch, **kw):
+            most.append(len(batch))
+            return tokenizer.encode_batch_fast(batch, **kw)
+
+    vocab.tokenizer = Counting()
+    (block,) = blocks(pa.array([text]))
+    assert vocab.encode(block)[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert max(most) <= 64 < sum(most)
+
+    seen, plain = [], packing.pieces
+
+    def watched(docs, *args):
+        seen.append(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+        return plain(docs, *args)
+
+    monkeypatch.setattr(packing, "pieces", watched)
+    docs = spark.range(25).selectExpr("id doc_id", "repeat('a', 10) text")
+    assert packing.pack_sequences(docs).count() == 25 and seen == ["1000"]
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
