@@ -21,7 +21,6 @@ from __future__ import annotations
 import os
 import re
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import pairwise
@@ -40,11 +39,13 @@ from .textkit import ragged, trim
 SPACE = "▁"
 #: A space behind a character that is white space to neither tokenizer; the space belongs to the unit that it opens.
 SPLIT = re.compile(r"(?<=[^\s▁]) ")
-RUNS = [f"{c} " for c in map(chr, range(0x10000)) if c.isspace() or c == SPACE]
+BLANK = [c for c in map(chr, range(0x10000)) if c.isspace() or c == SPACE]
+#: The same for Arrow: texts with a space that does not split, or with a character that asks for a look at the tokenizers.
+ODD = "^ |[" + "".join(f"\\x{{{ord(c):x}}}" for c in BLANK) + "] "
 CLOSED, JOINED = re.compile(r"[^\s▁]\Z"), 256
-#: Units known to all tasks (about 200 bytes each in a worker), distinct units that a task counts before it hands them on, bytes of texts in a
-#: bucket, and id pairs that may be broadcast (32 bytes each).
-HOT, HELD, BUCKET_BYTES, PAIRS = 400_000, 150_000, 8_000_000, 2_000_000
+#: Units known to all tasks (about 200 bytes each in a worker), bytes of texts whose units are counted or asked for at a time, bytes of texts in
+#: a bucket, and id pairs that may be broadcast (32 bytes each).
+HOT, HELD_BYTES, BUCKET_BYTES, PAIRS = 400_000, 6_000_000, 8_000_000, 2_000_000
 #: Bytes of a bucket's texts whose groups are put together at a time.
 SLICE_BYTES = 1_000_000
 BUCKETS = 3
@@ -141,6 +142,7 @@ class Texts:
     def __init__(self, paths: tuple[str, str], doubtful: str):
         self.paths, self.doubtful = paths, re.compile(f"[{re.escape(doubtful)}]") if doubtful else None
         self.split = all(side(p).splits for p in paths)
+        self.odd = ODD + "".join(f"|\\x{{{ord(c):x}}}" for c in doubtful)
 
     def units(self, text: str | None) -> list[str]:
         """None of a text that has no tokens. Only texts with a doubtful code point need a look at the tokenizers."""
@@ -149,7 +151,20 @@ class Texts:
         if not self.split:
             return [text]
         # Where every space stands behind a visible character, the pattern splits at each.
-        return SPLIT.split(text) if text[0] == " " or any(p in text for p in RUNS) else text.split(" ")
+        return SPLIT.split(text) if text[0] == " " or any(c in text and f"{c} " in text for c in BLANK) else text.split(" ")
+
+    def parts(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]:
+        """Some rows of texts, all their units one after another, and how many each row has. Arrow splits the rows that are split at each space."""
+        rows = np.arange(len(texts))
+        odd = np.array(pc.match_substring_regex(texts, self.odd).fill_null(True), bool) | (np.array(pc.binary_length(texts).fill_null(0)) == 0)
+        if not self.split:
+            odd[:] = True
+        if not odd.all():
+            found = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+            yield rows[~odd], found.flatten(), np.array(pc.list_value_length(found), np.int64)
+        if odd.any():
+            lists = [self.units(t.as_py()) for t in texts.filter(pa.array(odd))]
+            yield rows[odd], pa.array([u for x in lists for u in x], pa.string()), np.array([len(x) for x in lists], np.int64)
 
 
 def _buckets(spark: SparkSession) -> int:
@@ -173,19 +188,23 @@ def _stored(df: DataFrame, by: str | None = None) -> DataFrame:
     return out
 
 
+def _slices(batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
+    """Rows of about `limit` bytes of texts at a time."""
+    ends = np.cumsum(np.array(pc.binary_length(batch.column("text")).fill_null(0), np.int64))
+    for a, b in pairwise([0, *(1 + np.flatnonzero(np.diff(ends // limit))).tolist(), batch.num_rows]):
+        yield batch.slice(a, b - a)
+
+
 def unit_counts(docs: DataFrame, texts) -> DataFrame:
     """unit, n: in how many places of all texts each unit stands; counted in the tasks first."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        of, counts = texts(), Counter()
+        of = texts()
         for batch in batches:
-            for text in batch.column("text"):
-                counts.update(of.units(text.as_py()))
-                if len(counts) > HELD:
-                    yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["unit", "n"])
-                    counts.clear()
-        if counts:
-            yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["unit", "n"])
+            for some in _slices(batch, HELD_BYTES):
+                for _, units, _ in of.parts(some.column("text")):
+                    counts = units.value_counts()
+                    yield pa.RecordBatch.from_arrays([counts.field(0), counts.field(1)], ["unit", "n"])
         trim()
 
     return docs.select("text").mapInArrow(run, "unit string, n bigint").groupBy("unit").agg(F.sum("n").alias("n"))
@@ -350,15 +369,14 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int"))
 
     def wanted(batches: Iterator[pa.RecordBatch]):
-        of, held = texts(), hot_units()
-        asked: set[tuple[int, str]] = set()
+        of, held = texts(), shared.value.column("unit")
         for batch in batches:
-            for b, text in zip(batch.column("_bucket").to_pylist(), batch.column("text"), strict=True):
-                asked.update((b, u) for u in set(of.units(text.as_py())).difference(held))
-                if len(asked) > HELD:
-                    yield _pairs(asked)
-                    asked.clear()
-        yield _pairs(asked)
+            for some in _slices(batch, HELD_BYTES):
+                for at, units, sizes in of.parts(some.column("text")):
+                    bucket = pa.array(np.repeat(np.array(some.column("_bucket"))[at], sizes), pa.int32())
+                    cold = pc.invert(pc.is_in(units, held))
+                    asked = pa.table({"_bucket": bucket, "unit": units}).filter(cold).group_by(["_bucket", "unit"]).aggregate([])
+                    yield from asked.select(["_bucket", "unit"]).to_batches()
         trim()
 
     asked = rows.select("_bucket", "text").mapInArrow(wanted, "_bucket int, unit string")
@@ -393,10 +411,6 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
     return rows.groupBy("_bucket").cogroup(cold.groupBy("_bucket")).applyInArrow(assemble, schema)
 
 
-def _pairs(asked: set[tuple[int, str]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in asked], pa.int32()), pa.array([u for _, u in asked], pa.string())], ["_bucket", "unit"])
-
-
 def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = align(table(spark, sf_dir, "documents"))
     digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))

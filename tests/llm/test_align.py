@@ -104,3 +104,20 @@ def test_asked_units_are_shuffled_once(spark, monkeypatch):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert sorted((tuple(r) for r in out.select(*COLUMNS).collect()), key=str) == brute(rows)
     assert plan.count("Exchange hashpartitioning(unit") == 1 and "SortMergeJoin [unit" in plan, plan
+
+
+def test_units_are_split_and_counted_by_arrow(monkeypatch):
+    """Only texts with a space that does not split, or with a doubtful character, go through Python one by one; units are the same."""
+    import pyarrow as pa
+
+    paths = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    of, plain, one_by_one = align.Texts(paths, "▁"), align.Texts(paths, "▁"), []
+    monkeypatch.setattr(of, "units", lambda t: one_by_one.append(t) or plain.units(t))
+    texts = [t for _, t in odd_texts()] + [f"a{c} b" for c in align.BLANK] + [f"word{i} other\nline" for i in range(500)]
+    got = {}
+    for rows, units, sizes in of.parts(pa.array(texts, pa.string())):
+        flat = iter(units.to_pylist())
+        got |= {r: [next(flat) for _ in range(n)] for r, n in zip(rows.tolist(), sizes.tolist(), strict=True)}
+        assert next(flat, None) is None
+    assert [got[r] for r in range(len(texts))] == [plain.units(t) for t in texts]
+    assert len(one_by_one) < len(texts) - 500
