@@ -26,7 +26,7 @@ MEMORY, MEMORY_LETTERS = 400_000, 8_000_000
 #: holds each token's string, about 100 bytes a token, until its ids are taken.
 JOINED, AT_ONCE = 64, 64
 #: Pre-tokens of a block that are Python strings at a time.
-LOOKED_UP = 10_000
+LOOKED_UP = 50_000
 #: Code points that are classified at a time.
 POINTS = 1 << 14
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
