@@ -6,8 +6,11 @@ does not pass stops there, and so does one whose call fails: other queries go on
 repeats no call of a round that is done. A query's search for a text that it has searched before in that domain is not made again: its hits
 are repeated.
 
-Defined results: a null text is an empty one; a query id must be unique; a matter search of a query without a matter finds nothing and
-asks no store; an empty table gives empty tables.
+The best passages of many queries are often the same long ones. Where a domain has a store (id, text), its search names ids alone: a hit
+keeps the beginning of its passage, which is all that a prompt shows, and whole texts are joined to the returned hits only when these are read.
+
+Defined results: a null text is an empty one; a query id must be unique, and an id in a store too; a matter search of a query without a
+matter finds nothing and asks no store; an empty table gives empty tables.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ MAX_ROUNDS, TOP_K = 3, 30
 SHOWN, SHOWN_CHARS = 4, 250
 #: (query, prompt) and whether it decides or classifies -> (query, reply, error).
 Model = Callable[[DataFrame, str, int], DataFrame]
-#: (query, matter, text) -> (query, rank, id, text); authorities are searched without a matter.
+#: (query, matter, text) -> (query, rank, id, text); authorities are searched without a matter. Of a domain with a store: (query, rank, id).
 Search = Callable[[DataFrame], DataFrame]
 HITS = "domain string, round int, rank int, id string, text string"
 
@@ -52,6 +55,11 @@ def summaries(hits: DataFrame, size: int = V.SUMMARY_CHARS) -> DataFrame:
     return counts.join(shown, "query").select("query", V.cap_summary(F.concat(line, excerpts), size).alias("prior"))
 
 
+def _with_texts(hits: DataFrame, store: DataFrame, text: Column) -> DataFrame:
+    """hits (domain, round, rank, id and query) of a store's domain with the text of their passages."""
+    return hits.join(store.select(F.col("id").cast("string").alias("id"), text.alias("text")), "id")
+
+
 def _asked(rows: DataFrame, prompt: Column, model: Model, kind: str, number: int, privacy: Callable[[Column, Column], Column]) -> DataFrame:
     """rows with reply, error and barred: what the check says if it is not ok; barred prompts are never sent."""
     rows = rows.drop("error").withColumn("_prompt", prompt).withColumn("barred", F.nullif(privacy(F.col("_prompt"), F.col("evidence")), F.lit("ok")))
@@ -60,12 +68,12 @@ def _asked(rows: DataFrame, prompt: Column, model: Model, kind: str, number: int
     return R.durable(rows.drop("_prompt").join(said.select("query", "reply", "error"), "query", "left"))
 
 
-def run(queries: DataFrame, model: Model, search_matter: Search, search_authority: Search, privacy: Callable[[Column, Column], Column], replies: Callable[[Column], Column], rounds: int = MAX_ROUNDS, size: int = V.SUMMARY_CHARS) -> tuple[DataFrame, DataFrame]:
-    """queries (query, matter, text) -> (outcomes, hits).
+def run(queries: DataFrame, model: Model, search_matter: Search, search_authority: Search, privacy: Callable[[Column, Column], Column], replies: Callable[[Column], Column], rounds: int = MAX_ROUNDS, size: int = V.SUMMARY_CHARS, stores: dict[str, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """queries (query, matter, text) -> (outcomes, hits). stores: the passages of a domain, "matter" or "authority", if its search names ids alone.
 
     outcomes: query, stop, tool_rounds, direct_text, error, stages. stop is greeting, direct, out-of-scope, late-verdict (out of scope said
     after a retrieval), rounds (all used), provider-error, or what the privacy check says."""
-    spark = queries.sparkSession
+    spark, stores = queries.sparkSession, stores or {}
     none = lambda kind: F.lit(None).cast(kind)
     text = F.coalesce("text", F.lit(""))
     hello = A.greeting(text)
@@ -107,7 +115,8 @@ def run(queries: DataFrame, model: Model, search_matter: Search, search_authorit
             if rows.isEmpty():
                 continue
             got = search(rows)
-            found.append(got.select("query", F.lit(domain).alias("domain"), F.lit(number).alias("round"), F.col("rank").cast("int").alias("rank"), F.col("id").cast("string").alias("id"), "text"))
+            named = ["query", F.lit(domain).alias("domain"), F.lit(number).alias("round"), F.col("rank").cast("int").alias("rank"), F.col("id").cast("string").alias("id")]
+            found.append(_with_texts(got.select(*named), stores[domain], F.substring("text", 1, SHOWN_CHARS)) if domain in stores else got.select(*named, "text"))
         if found:
             hits = hits.unionByName(R.durable(reduce(DataFrame.unionByName, found)))
         asked = reduce(DataFrame.unionByName, fresh) if number == 1 else reduce(DataFrame.unionByName, fresh, asked)
@@ -123,5 +132,8 @@ def run(queries: DataFrame, model: Model, search_matter: Search, search_authorit
             F.when(went, F.coalesce("_prior", empty)).otherwise(F.col("prior")).alias("prior"), F.coalesce("_private", F.lit(False)).alias("evidence"),
         )
         state = R.durable(state.where("stop is not null").unionByName(again.select(*columns)))
+    for domain, store in stores.items():
+        own = F.col("domain") == domain
+        hits = hits.where(~own).unionByName(_with_texts(hits.where(own).drop("text"), store, F.col("text")))
     stages = F.when(F.col("tool_rounds") > 0, F.array(F.lit("retrieving"))).otherwise(F.array().cast("array<string>"))
     return state.select("query", "stop", "tool_rounds", "direct_text", "error", stages.alias("stages")), hits

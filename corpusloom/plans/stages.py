@@ -67,7 +67,7 @@ def chat_rounds(spark, sf_dir):
         return asks.join(own, "matter").where(F.col("rank") < 3).select("query", "rank", "id", F.col("said").alias("text"))
 
     def authority(asks: DataFrame) -> DataFrame:
-        return H.lexical_topk(asks.select("query", "text"), docs, 3).join(docs, "id").select("query", "rank", "id", "text")
+        return H.lexical_topk(asks.select("query", "text"), docs, 3).select("query", "rank", "id")
 
-    out, _ = C.run(queries, _model, matter, authority, _privacy, lambda t: F.lit("Hello!"))
+    out, _ = C.run(queries, _model, matter, authority, _privacy, lambda t: F.lit("Hello!"), stores={"authority": docs})
     return out.select("query", "stop", "tool_rounds")

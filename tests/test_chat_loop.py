@@ -102,3 +102,35 @@ def test_a_search_is_made_once(spark):
     assert {(r.query, r.stop, r.tool_rounds) for r in out.collect()} == {(1, "rounds", 3), (2, "rounds", 3)}
     assert sorted(set(searched)) == [(1, "same"), (2, "other"), (2, "same")] and len(searched) == 3
     assert sorted((h.query, h.round, h.text) for h in hits.collect()) == [(1, 1, "same"), (1, 2, "same"), (1, 3, "same"), (2, 1, "same"), (2, 2, "other"), (2, 3, "same")]
+
+
+def test_texts_of_a_store_are_not_written_with_hits(spark, monkeypatch):
+    """Every query finds the same long passage: rounds write how it begins, the returned hits have all of it."""
+    long, written = "long " * 20_000, []
+    store = spark.createDataFrame([(5, long), (6, "short"), (7, None)], "id long, text string")
+    durable = C.R.durable
+
+    def watched(rows):
+        rows = durable(rows)
+        texts = [c for c, kind in rows.dtypes if kind == "string"]
+        written.extend(len(v) for r in rows.select(*texts).collect() for v in r if v is not None)
+        return rows
+
+    def authority(rows):
+        return rows.crossJoin(store.select("id")).select("query", (F.col("id") - 4).alias("rank"), "id")
+
+    def model(prompts, kind, number):
+        prompts_sent.extend(r.prompt for r in prompts.collect())
+        return prompts.select("query", F.lit(ASK("search_both")).alias("reply"), F.lit(None).cast("string").alias("error"))
+
+    prompts_sent = []
+    matter = lambda rows: rows.select("query", F.lit(1).alias("rank"), F.lit("m").alias("id"), F.lit("of the matter").alias("text"))
+    monkeypatch.setattr(C.R, "durable", watched)
+    queries = spark.createDataFrame([(q, 1 if q == 1 else None, f"text {q}") for q in range(4)], "query long, matter long, text string")
+    out, hits = C.run(queries, model, matter, authority, lambda p, e: F.lit("ok"), lambda t: t, rounds=2, stores={"authority": store})
+    assert {(r.query, r.stop, r.tool_rounds) for r in out.collect()} == {(q, "rounds", 2) for q in range(4)}
+    assert max(written) < 2_000
+    assert any(f"authority passages: 3.\nExcerpts:\n{long[:250]}\n---\nshort\n---\n\nQuestion: text 0" in p for p in prompts_sent)
+    want = [(q, "authority", n, i, str(i + 4), t) for q in range(4) for n in (1, 2) for i, t in ((1, long), (2, "short"), (3, None))] + [(1, "matter", n, 1, "m", "of the matter") for n in (1, 2)]
+    key = lambda r: r[:5]
+    assert sorted(((h.query, h.domain, h.round, h.rank, h.id, h.text) for h in hits.collect()), key=key) == sorted(want, key=key)
