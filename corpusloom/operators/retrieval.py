@@ -20,6 +20,8 @@ MAX_QUERIES = 2_000
 LEXICAL_BLOCKS = 4
 #: Rows and queries of one product in a task.
 SLICE, PART = 1024, 1024
+#: The longest rows, which give every query of a lexical search its first bound, and the queries that are bounded together.
+LONGEST, STEP = 1024, 256
 BUCKETS = 2048
 
 
@@ -203,16 +205,89 @@ def term_indices(rows: DataFrame, key: str, text: str = "text", within: str | No
     return rows.select(F.col(key).alias("id"), *_own(within), F.transform(T.tokens(F.col(text)), lambda t: T.hash_index(t)).cast("array<smallint>").alias("x"))
 
 
+def _lengths(lists: pa.Array) -> np.ndarray:
+    """The lengths of vectors of term counts."""
+    return np.concatenate([np.zeros(0), *(np.sqrt(np.square(_counts(lists.slice(s, SLICE)), dtype=np.float64).sum(1)) for s in range(0, len(lists), SLICE))])
+
+
+def _with_lengths(rows: DataFrame) -> DataFrame:
+    """rows (id, x) and the length of each, in the shared folder."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("x"), pa.array(_lengths(b.column("x")))], ["id", "x", "length"])
+
+    return R.durable(rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, x array<smallint>, length double"))
+
+
+def _longest(rows: DataFrame) -> DataFrame:
+    """The LONGEST rows of greatest length; only lengths are sorted."""
+    last = rows.select("length", "id").orderBy(F.desc("length"), F.desc("id")).limit(LONGEST).agg(F.min(F.struct("length", "id")).alias("x")).first()["x"]
+    if last is None:
+        return rows.limit(0)
+    same = (F.col("length") == last["length"]) & (F.col("id") >= F.lit(last["id"]))
+    return R.durable(rows.where((F.col("length") > last["length"]) | same)).coalesce(2)
+
+
+def _bounded_topk(rows: DataFrame, longest: DataFrame, queries: list, asked: pa.Array, k: int) -> DataFrame:
+    """As _block_topk of rows (id, x, length), multiplying only what may lead.
+
+    The k-th score of a query among the longest rows is a floor under its k-th of all. No inner product exceeds the product of both lengths:
+    a row meets only the queries whose floor it can reach. Queries are sorted by the length that they need, rows of a batch by the length
+    that they have. Only rows that reach a floor leave the task, so their number does not grow with that of the tasks."""
+    found = top_k(_block_topk(longest, queries, _lexical(asked), k, 0.0), k).where(F.col("rank") == k).select("query", "score").toArrow()
+    reached = dict(zip(found["query"].to_pylist(), found["score"].to_pylist(), strict=True))
+    floor, size = np.array([reached.get(q, -np.inf) for q in queries]), _lengths(asked)
+    # A little less than the quotient, as lengths are rounded; a query without terms needs more than there is.
+    need = np.where(size > 0, floor / np.where(size > 0, size, 1.0) * (1 - 1e-9), np.inf)
+    by = np.argsort(need, kind="stable")
+    queries, asked, floor, need = [queries[i] for i in by], asked.take(pa.array(by)), floor[by], need[by]
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        top = np.tile(floor, (k, 1))
+        for b in batches:
+            length = b.column("length").to_numpy()
+            down = np.argsort(-length, kind="stable")
+            reach = np.searchsorted(-length[down], -need, side="right")
+            first = None
+            for s in range(0, len(need), STEP):
+                if not reach[s]:
+                    break
+                q = _counts(asked.slice(s, STEP)).T
+                for at in range(0, int(reach[s]), SLICE):
+                    if at or first is None:
+                        part = b.take(pa.array(down[at : at + SLICE]))
+                        own = part, _counts(part.column("x")), pc.rank(part.column("id"), tiebreaker="first").to_numpy()
+                        first = own if not at else first
+                    part, counts, order = own if at else first
+                    n = min(len(counts), int(reach[s]) - at)
+                    scores = counts[:n] @ q
+                    scores[scores <= 0] = -np.inf
+                    r, c = _may_lead(scores, top[:, s : s + STEP], order[:n], 0.0)
+                    if len(r):
+                        names = pa.array([queries[s + i] for i in c]).cast(pa.int64())
+                        yield pa.RecordBatch.from_arrays([names, part.column("id").take(pa.array(r)), pa.array(scores[r, c].astype(np.float64))], ["query", "id", "score"])
+
+    return rows.mapInArrow(run, f"query bigint, id {kind}, score double")
+
+
 def lexical_topk(queries: DataFrame, docs: DataFrame, k: int, within: str | None = None) -> DataFrame:
-    """query, id, score, rank: the best k of each query (query, text) among docs (id, text); with `within` among those of each tenant."""
+    """query, id, score, rank: the best k of each query (query, text) among docs (id, text); with `within` among those of each tenant.
+    More than PART queries without tenants are worth a first look at the longest rows."""
     rows, parts = term_indices(docs, "id", within=within), []
     blocks = _blocks(queries, LEXICAL_BLOCKS * MAX_QUERIES)
-    if len(blocks) > 1:
+    bounded = within is None and queries.limit(PART + 1).count() > PART
+    if bounded:
+        rows = _with_lengths(rows)
+        longest = _longest(rows)
+    elif len(blocks) > 1:
         rows = R.durable(rows)  # every block reads the indices; the texts are hashed once
     for block in blocks:
         q = term_indices(block, "query").toArrow().combine_chunks()
         if len(q):
-            parts.append(_block_topk(rows, q["id"].to_pylist(), _lexical(q["x"].combine_chunks()), k, 0.0, within))
+            names, lists = q["id"].to_pylist(), q["x"].combine_chunks()
+            parts.append(_bounded_topk(rows, longest, names, lists, k) if bounded else _block_topk(rows, names, _lexical(lists), k, 0.0, within))
     if not parts:
         return top_k(queries.select("query").join(docs.select("id", *_own(within))).limit(0).withColumn("score", F.lit(0.0)), k, within)
     return top_k(reduce(DataFrame.unionByName, parts), k, within)

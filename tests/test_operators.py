@@ -200,3 +200,31 @@ def test_rerank_scorer(spark):
 
     hits = spark.createDataFrame([(0, 1, 10, "a"), (0, 2, 11, "abc")], "query long, rank int, id long, text string")
     assert V.rerank(hits, 1).first().id == 10 and V.rerank(hits, 1, lambda q, t: F.length(t)).first().id == 11
+
+
+def test_lexical_topk_of_many_queries_is_bounded_by_lengths(spark, monkeypatch):
+    """The same best as of all products, ties, copies and blanks included; tasks send on few rows, however many they are."""
+    import random
+
+    dice = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    some = lambda n: " ".join(dice.choices(words, [1 / (i + 1) for i in range(60)], k=n))
+    texts = [some(int(2 ** dice.uniform(0, 9))) for _ in range(500)]
+    texts += [texts[0]] * 20 + [max(texts, key=len)] * 6 + [None, "", "alone", "w1 w1 w1 w1"]
+    dice.shuffle(texts)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").repartition(12)
+    asked = [(q, some(dice.randint(1, 12))) for q in range(60)] + [(60, "alone"), (61, "nowhere"), (62, ""), (63, None), (64, "w59")]
+    queries = spark.createDataFrame(asked, "query long, text string")
+    sent, top_k = [], H.top_k
+    for name, value in {"PART": 16, "LONGEST": 24, "STEP": 8, "SLICE": 32}.items():
+        monkeypatch.setattr(H, name, value, raising=False)
+    rows = lambda df: sorted((r.query, r["rank"], r.id, r.score) for r in df.collect())
+    for k in (1, 3, 40):
+        want = rows(top_k(H.lexical_scores(queries, docs), k))
+        with monkeypatch.context() as m:
+            m.setattr(H, "top_k", lambda scores, *a: (sent.append(scores.count()), top_k(scores, *a))[1])
+            got = rows(H.lexical_topk(queries, docs, k))
+        assert got == want and {q for q, *_ in got} >= {60} and not {61, 62, 63} & {q for q, *_ in got}
+        if k == 3:
+            # The last is what was put together; every one of 12 tasks sent k rows of each query, and more, before.
+            assert sent[-1] < 12 * k * len(asked) / 2
